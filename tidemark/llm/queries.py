@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash
+from . import bagminhash, decontaminate, mix_sources, shard_ring
 from .common import table
 
 
+def op5_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.taken(table(spark, sf_dir, "documents"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_ring.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_efraimidis_mix": op5_efraimidis_mix,
+    "op6_template_decontamination": op6_template_decontamination,
+    "op7_bounded_ring": op7_bounded_ring,
     "op9_bagminhash": op9_bagminhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_efraimidis_mix": mix_sources.SQL,
+}
