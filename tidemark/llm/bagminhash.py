@@ -8,9 +8,14 @@ covered. Each point carries a time and a signature position, and a position keep
 first point. Two signatures agree at a position with the probability of the weighted
 Jaccard similarity. A text stops drawing points once all its positions hold earlier ones.
 
-Signatures are cut into bands. In every band bucket the members are held against a few
-centres, then components that still share a bucket are held against each other, and each
-such pair is verified on the whole texts: sum of the smaller counts over sum of the larger.
+Signatures are cut into bands. In every band bucket the members are held against two
+centres: the text that meets most others, and one at random. Where a bucket then still
+holds several components, all similar pairs across components are looked up by their
+prefixes: with the shingles of both in one order, rare ones first, two similar texts share
+one of the first fifth, so early that enough can still follow. What a multitude of texts
+has in common stands last in that order, so a common passage or a group of edited copies
+makes no pairs. Each pair is verified on the whole texts: sum of the smaller counts over
+sum of the larger.
 
 Null and empty texts are equal to each other and near to no other text. Repeated rows and
 null ids are kept; a class is named by its smallest doc_id (null if it has none). An empty
@@ -28,10 +33,10 @@ from .common import cut, small, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Centres against which every member of a band bucket is held before components are compared.
-CENTRES = 3
+#: Counters by which shingles are ordered. They only decide how many pairs are looked at, never which links are found.
+CELLS = 1 << 20
 #: Bytes of text that a task takes at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 U = np.uint64
 _P, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
@@ -190,17 +195,67 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select(text_key().alias("key"), "doc_id", "text").mapInArrow(_sketch(bands, rows), "key binary, doc_id long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def texts_of(keys: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, text for the given keys, from the row with the smallest doc_id."""
+    need = cut(keys.join(reps.select("key", F.col("doc_id").alias("_id")), "key"))
+    held = docs.select(text_key().alias("key"), "doc_id", "text").join(small(need, need.count()), "key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return written(held.groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of text keys, those whose texts are similar. Each pair's texts meet once, whole."""
-    pairs = cut(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "doc_id"), "key")
-    need = cut(need)
-    n = need.count()
-    texts = docs.select(text_key().alias("key"), "doc_id", "text").join(small(need.withColumnRenamed("doc_id", "_id"), n), "key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = written(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
     out = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     out = out.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return out.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double")
+    return cut(out.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double"))
+
+
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets with every occurrence as an element of its own."""
+    doc, element, count = bags(texts)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), mixed(np.repeat(element, count) + nth.astype(U) * _P)
+
+
+def _count(batches):
+    import pyarrow.compute  # noqa: F401
+
+    seen = np.zeros(CELLS, np.int64)
+    for whole in batches:
+        for b in chunks(whole, "text"):
+            _, e = _units([t or "" for t in b.column("text").to_pylist()])
+            seen += np.bincount((e % U(CELLS)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
+
+
+def _prefixes(seen):
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                doc, e = _units([t or "" for t in b.column("text").to_pylist()])
+                order = np.lexsort((e, seen.value[(e % U(CELLS)).astype(np.int64)], doc))
+                doc, e = doc[order], e[order]
+                n = np.bincount(doc, minlength=b.num_rows)[doc]
+                pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                on = pos <= n - np.ceil(SIMILAR * n - 1e-9)
+                at = pa.array(doc[on])
+                yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("label").take(at), pa.array(e[on].view(np.int64)), pa.array(pos[on]), pa.array(n[on])], ["key", "label", "element", "pos", "n"])
+
+    return run
+
+
+def across(mixed_keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys with different labels that can be similar; none that is similar is missing."""
+    rows = written(mixed_keys.join(texts, "key").select("key", "label", "text"), "mixed")
+    counts = rows.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    seen = np.ones(CELLS, np.int64)
+    seen[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    p = written(rows.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(seen)), "key binary, label binary, element long, pos long, n long"), "prefixes")
+    left = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos"))
+    enough = left >= SIMILAR / (1 + SIMILAR) * F.expr("x.n + y.n") - 1e-9
+    return p.alias("x").join(p.alias("y"), (F.expr("x.element = y.element and x.label < y.label")) & enough).select(*_ordered("x.key", "y.key")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,19 +281,21 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     members = written(sketches(docs, bands, rows), "sketches")
     reps = written(members.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "reps")
     dealt = reps.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
-    orders = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key")).alias(f"c{i}") for i in range(CENTRES)]
-    centres = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *orders).where("n > 1").drop("n")
-    shared = cut(dealt.join(centres, "band"))
-    near = shared.select("key", F.explode(F.array(*[f"c{i}.key" for i in range(CENTRES)])).alias("c")).where("key != c")
-    links = cut(verified(near.select(*_ordered("key", "c")).distinct(), docs, reps))
+    shared = cut(dealt.join(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    # The text that meets most others is likely the one that they were made from; a second centre is taken at random.
+    met = shared.join(shared.groupBy("key").agg(F.sum("n").alias("met")), "key")
+    first = F.max(F.struct("met", "key")).alias("first")
+    second = F.max(F.struct(F.xxhash64("key").alias("h"), "key")).alias("second")
+    centres = met.groupBy("band").agg(first, second)
+    near = shared.join(centres, "band").select("key", F.explode(F.array("first.key", "second.key")).alias("c")).where("key != c")
+    near = cut(near.select(*_ordered("key", "c")).distinct())
+    texts = texts_of(shared.select("key").distinct(), docs, reps)
+    links = verified(near, texts)
     labels = components(links)
-    # Components that still share a bucket: every pair across them that was not held together yet.
     at = shared.select("band", "key").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-    mixed_bands = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    at = cut(at.join(mixed_bands, "band"))
-    across = at.alias("x").join(at.alias("y"), "band").where("x.label < y.label").select(*_ordered("x.key", "y.key")).distinct()
-    across = across.join(near.select(*_ordered("key", "c")).distinct(), ["a", "b"], "left_anti")
-    more = cut(verified(across, docs, reps))
+    several = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
+    open_keys = at.join(several, "band").select("key", "label").distinct()
+    more = verified(across(open_keys, texts).join(near, ["a", "b"], "left_anti"), texts)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = reps.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
