@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, mix_sources, shard_ring
+from . import bagminhash, decontaminate, media_matroska, mix_sources, shard_ring, toxicity_chain, url_filter, warc_normalise
 from .common import table
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_matroska.features(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, url_filter.reported(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.taken(table(spark, sf_dir, "documents"))
 
@@ -26,13 +39,22 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_normalise.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_matroska": op1_matroska,
+    "op2_toxicity_chain": op2_toxicity_chain,
+    "op3_bloom_url_filter": op3_bloom_url_filter,
     "op5_efraimidis_mix": op5_efraimidis_mix,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_bounded_ring": op7_bounded_ring,
     "op9_bagminhash": op9_bagminhash,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_bloom_url_filter": url_filter.SQL,
     "op5_efraimidis_mix": mix_sources.SQL,
 }
