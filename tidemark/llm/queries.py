@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, media_matroska, mix_sources, shard_ring, toxicity_chain, url_filter, warc_normalise
+from . import bagminhash, decontaminate, lang_ppm, media_matroska, mix_sources, shard_ring, toxicity_chain, url_filter, warc_normalise
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, url_filter.reported(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_ppm.predicted(table(spark, sf_dir, "documents"))
+
+
 def op5_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.taken(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_bloom_url_filter": op3_bloom_url_filter,
+    "op4_ppm_language": op4_ppm_language,
     "op5_efraimidis_mix": op5_efraimidis_mix,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_bounded_ring": op7_bounded_ring,
