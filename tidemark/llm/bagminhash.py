@@ -34,7 +34,7 @@ from .common import cut, small, written
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Counters by which shingles are ordered. They only decide how many pairs are looked at, never which links are found.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: Bytes of text that a task takes at once.
 CHUNK = 4 << 20
 
