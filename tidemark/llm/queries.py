@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, lang_ppm, media_matroska, mix_sources, shard_ring, toxicity_chain, url_filter, warc_normalise
+from . import bagminhash, decontaminate, lang_ppm, media_matroska, mix_sources, pii_boost, shard_ring, toxicity_chain, url_filter, warc_normalise
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_ring.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.found(table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_efraimidis_mix": op5_efraimidis_mix,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_bounded_ring": op7_bounded_ring,
+    "op8_pii_boosting": op8_pii_boosting,
     "op9_bagminhash": op9_bagminhash,
     "op10_warc_normaliser": op10_warc_normaliser,
 }
