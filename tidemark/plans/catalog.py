@@ -1,14 +1,612 @@
-"""All queries by name, with the SQL that checks them."""
+"""All queries by name. Market concepts are mapped to the test tables here: ticks are events, news are documents, the calendar is made of orders."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.functions import text as X
+from tidemark.functions import vectors as V
+from tidemark.functions.numeric import feature
+from tidemark.functions.stamps import parse_stamp
+from tidemark.operators import candles as C
+from tidemark.operators import context as K
+from tidemark.operators import fingerprint as P
+from tidemark.operators import joins as J
+from tidemark.operators import learning as L
+from tidemark.operators import outcomes as O
+from tidemark.operators import research as R
+from tidemark.operators import scoring as S
+from tidemark.operators import similarity as M
+from tidemark.operators import topology as T
+from tidemark.operators.outcomes import r6
+from tidemark.sources.files import bar_line, bar_lines
 
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+PIP = 2.0
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def bars(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_pip(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP)
+
+
+def states(spark: SparkSession, sf: str) -> DataFrame:
+    return P.fingerprints(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP)
+
+
+def regime_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_regime(P.with_id(bars(spark, sf)))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return O.forward(regime_bars(spark, sf), digits=True)
+
+
+def split(df: DataFrame, col: str, parts: list[str], keep: list[str]) -> DataFrame:
+    return df.select(*keep, *[F.expr(x).alias(f"{col}_{i}") for i, x in enumerate(parts)])
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as news, an hour apart from the first of January 2024 on, over thirty days."""
+    d = read(spark, sf, "documents")
+    return d.select(
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") % 720).cast("int"))).alias("published_at"),
+        (((F.col("doc_id") * 37) % 21 - 10) / 10).alias("hint"),
+        (((F.col("doc_id") * 13) % 11) / 10).alias("relevance"),
+    )
+
+
+CLERK_NAMES = ("CPI report", "rate decision", "PMI survey", "GDP release", "retail sales", "speech")
+
+
+def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as calendar events, moved into the thirty days of the ticks, one for every sixtieth key."""
+    o = read(spark, sf, "orders").where("o_orderkey % 60 = 0")
+    i = (F.col("o_orderkey") / 60).cast("long") % 6
+    name = F.get(F.array(*map(F.lit, CLERK_NAMES)), i.cast("int"))
+    return o.select(
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 720).cast("int"), mins=F.lit(30))).alias("event_date"),
+        name.alias("name"),
+        X.impact(name).alias("impact"),
+        X.is_rate_decision(name).alias("is_rate"),
+        F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 50) / 10).alias("actual"),
+        F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 40) / 10).alias("estimate"),
+        ((F.col("o_orderkey") % 45) / 10).alias("previous"),
+    )
+
+
+@query
+def candle_resample_4h(spark, sf):
+    return C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id")
+
+
+@query
+def ohlc_validate(spark, sf):
+    """Every seventh bar is given a high below its close first."""
+    w = Window.partitionBy("asset").orderBy("ts")
+    bad = bars(spark, sf).withColumn("rn", F.row_number().over(w)).withColumn("high", F.when(F.col("rn") % 7 == 0, F.least("open", "close") - 1).otherwise(F.col("high")))
+    return C.violations(bad)
+
+
+@query
+def grid_expected(spark, sf):
+    return C.expected(bars(spark, sf))
+
+
+@query
+def gap_detect(spark, sf):
+    """Every fifth bar is taken away first."""
+    w = Window.partitionBy("asset").orderBy("ts")
+    some = bars(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn % 5 != 3")
+    return C.gaps(some)
+
+
+@query
+def sunday_merge(spark, sf):
+    return C.sunday_merged(bars(spark, sf))
+
+
+@query
+def fingerprint_id(spark, sf):
+    return P.with_id(bars(spark, sf)).select("asset", "ts", "fingerprint_id")
+
+
+@query
+def return_profile(spark, sf):
+    return regime_bars(spark, sf).select("asset", "ts", "net_pips", "range_pips")
+
+
+@query
+def regime_classify(spark, sf):
+    return regime_bars(spark, sf).select("asset", "ts", "vol_regime", "trend_regime", "session", F.expr(P.API_SESSION).alias("api_session"))
+
+
+@query
+def l1_structure(spark, sf):
+    return split(bars(spark, sf), "l1", [feature(x) for x in P.STRUCTURE], ["asset", "ts"])
+
+
+@query
+def l2_volatility(spark, sf):
+    return split(bars(spark, sf), "l2", [feature(x) for x in P.VOLATILITY], ["asset", "ts"])
+
+
+@query
+def l3_liquidity(spark, sf):
+    return split(bars(spark, sf), "l3", P.LIQUIDITY, ["asset", "ts"])
+
+
+@query
+def l4_macro_snapshot(spark, sf):
+    """Closes of the five assets stand for the five snapshot symbols, brought into their ranges."""
+    b = bars(spark, sf)
+    wide = b.groupBy("ts").agg(*[F.max(F.when(F.col("asset") == a, F.col("close"))).alias(f"x{i}") for i, a in enumerate(ASSETS)])
+    snap = wide.select("ts", *[F.expr(e).alias(n) for n, e in SNAPSHOT.items()])
+    return split(snap, "l4", [feature(x) for x in P.MACRO], ["ts"])
+
+
+ASSETS = ("click", "view", "purchase", "signup", "error")
+SNAPSHOT = {"dxy": "90e0 + x0 / 10e0", "vix": "10e0 + x1 / 5e0", "spx": "3000e0 + x2 * 10e0", "us10y": "1e0 + x3 / 50e0", "gold": "1500e0 + x4 * 4e0"}
+
+
+@query
+def forward_outcomes(spark, sf):
+    cols = ["asset", "ts", "next_ts", "net_return_pips", "mfe_pips", "mae_pips", "realised_volatility"]
+    return O.forward(bars(spark, sf), digits=True).select(*cols)
+
+
+@query
+def rolling_trend(spark, sf):
+    return P.rolling_trend(bars(spark, sf)).select("asset", "ts", "rolling_trend")
+
+
+@query
+def atr_percentile(spark, sf):
+    return P.atr_percentile(bars(spark, sf)).select("asset", "ts", "atr_percentile")
+
+
+@query
+def vol_regime_score(spark, sf):
+    return P.volatility_score(bars(spark, sf)).select("asset", "ts", "vol_regime_score")
+
+
+@query
+def session_stats(spark, sf):
+    return P.session_statistics(regime_bars(spark, sf)).select("asset", "ts", *[f"{s}_{x}" for s in ("asia", "london", "ny") for x in ("count", "range")])
+
+
+@query
+def ml_features(spark, sf):
+    df = P.ml_vector(P.extended(states(spark, sf)))
+    return df.select("asset", "ts", *[F.col("ml_features")[i].alias(f"f{i}") for i in range(30)])
+
+
+@query
+def walk_forward_split(spark, sf):
+    return L.walk_forward(labelled(spark, sf), "asset", "ts").groupBy("asset").agg(F.sum(F.col("is_train").cast("int")).alias("train"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def outcome_distribution(spark, sf):
+    return O.distribution(labelled(spark, sf), ["asset", "vol_regime"], "net_return_pips")
+
+
+@query
+def outcome_weighted(spark, sf):
+    """Every asset's outcomes as seen from a NORMAL bar in London."""
+    d = labelled(spark, sf).withColumn("copies", O.regime_copies(F.lit("NORMAL"), F.lit("LONDON"), F.col("vol_regime"), F.col("session")))
+    return O.distribution(d, ["asset"], "net_return_pips", weight="copies")
+
+
+@query
+def dynamic_flat(spark, sf):
+    return O.dynamic_flat(bars(spark, sf)).select("asset", "ts", r6(F.col("flat_threshold")).alias("flat_threshold"))
+
+
+@query
+def cosine_pairs(spark, sf):
+    v = vectors(spark, sf).withColumn("n", V.norm(F.col("v")))
+    a, b = (v.select(*[F.col(c).alias(f"{s}_{c}") for c in v.columns]) for s in "ab")
+    p = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id")))
+    return p.select("a_vec_id", "b_vec_id", r6(V.cosine(F.col("a_v"), F.col("b_v"), F.col("a_n"), F.col("b_n"))).alias("similarity"))
+
+
+@query
+def l2_similarity(spark, sf):
+    v = vectors(spark, sf)
+    a, b = (v.select(*[F.col(c).alias(f"{s}_{c}") for c in v.columns]) for s in "ab")
+    p = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id")))
+    return p.select("a_vec_id", "b_vec_id", r6(V.closeness(F.col("a_v"), F.col("b_v"))).alias("similarity"))
+
+
+@query
+def topk_similarity(spark, sf):
+    """For every vector whose id is divisible by 20, the ten nearest of all by cosine."""
+    v = vectors(spark, sf).withColumn("n", V.norm(F.col("v")))
+    q = v.where("vec_id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in v.columns])
+    p = q.join(v, F.col("q_vec_id") != F.col("vec_id")).withColumn("score", r6(V.cosine(F.col("q_v"), F.col("v"), F.col("q_n"), F.col("n"))))
+    return J.top_per_key(p, ["q_vec_id"], [F.col("score").desc(), F.col("vec_id")], 10).select("q_vec_id", "vec_id", "score", "rank")
+
+
+@query
+def similarity_batch(spark, sf):
+    return M.batch_search(states(spark, sf)).select("asset", "fingerprint_id", "match_id", "rank", "score")
+
+
+@query
+def similarity_engine(spark, sf):
+    return M.engine_search(states(spark, sf)).select("asset", "fingerprint_id", "match_id", "rank", "score")
+
+
+@query
+def match_explanation(spark, sf):
+    m = M.explained(M.engine_search(states(spark, sf), 3), 0.95)
+    return m.select("fingerprint_id", "match_id", "matched", "mismatched", "reason")
+
+
+@query
+def blended_score(spark, sf):
+    """Layer one stands in for the topology vector, missing for the fifth match."""
+    m = M.engine_search(states(spark, sf), 5)
+    t = F.when(F.col("rank") != 5, F.col("s1"))
+    return m.select("fingerprint_id", "match_id", M.blended(F.col("score"), t).alias("blended"))
+
+
+@query
+def layer_merge(spark, sf):
+    """Three searches by different regimes, merged by id."""
+    b = labelled(spark, sf).select(F.col("fingerprint_id").alias("id"), "vol_regime", "trend_regime", "session", F.abs("net_return_pips").alias("score"))
+    return M.merged_layers([b.where("vol_regime = 'HIGH'"), b.where("trend_regime = 'BULLISH'"), b.where("session = 'NY'")])
+
+
+def forecasts(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+    """For every bar the distribution of what followed its most similar earlier bars, as a forecast, with confidence inputs."""
+    m = M.engine_search(states(spark, sf), k)
+    out = labelled(spark, sf)
+    known = m.join(out.select(F.col("fingerprint_id").alias("match_id"), "net_return_pips"), "match_id")
+    d = O.distribution(known, ["asset", "fingerprint_id"], "net_return_pips")
+    q = known.groupBy("fingerprint_id").agg(F.avg("score").alias("mean_similarity"), (F.max("score") - F.min("score")).alias("similarity_spread"), F.avg((F.col("score") >= 0.8).cast("double")).alias("top_match_density"), F.avg((F.col("session") == F.col("match_session")).cast("double")).alias("regime_match_ratio"))
+    d = S.forecast(d).join(q, "fingerprint_id")
+    d = d.withColumns({"variance": F.least(F.col("std_dev") / 50, F.lit(1.0)), "skew": F.lit(0.0), "kurtosis": F.lit(0.0), "regime_diversity": 1 - F.col("regime_match_ratio")})
+    return S.confidence_v1(d)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return forecasts(spark, sf).select("asset", "fingerprint_id", "sample_size", "up", "down", "flat", "expected_move_pips", "direction", "confidence_v1")
+
+
+@query
+def forecast_flagship(spark, sf):
+    return flagship(spark, sf)
+
+
+def regime_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar's forecast from all outcomes of its asset and regime: cheap, with evaluations for all bars."""
+    o = labelled(spark, sf)
+    d = S.forecast(O.distribution(o, ["asset", "vol_regime", "trend_regime"], "net_return_pips"))
+    cols = ["asset", "vol_regime", "trend_regime", "up", "down", "flat", "expected_move_pips", "sample_size", "std_dev", "max_probability"]
+    keep = o.select("asset", "ts", "fingerprint_id", "vol_regime", "trend_regime", "session", "net_return_pips")
+    return keep.join(d.select(*cols), ["asset", "vol_regime", "trend_regime"]).withColumn("confidence", F.col("max_probability"))
+
+
+def evaluations(spark: SparkSession, sf: str) -> DataFrame:
+    return R.evaluated(regime_forecasts(spark, sf)).withColumn("regime", F.concat_ws("_", "vol_regime", "trend_regime"))
+
+
+@query
+def forecast_normalise(spark, sf):
+    return S.forecast(O.distribution(labelled(spark, sf), ["asset", "vol_regime", "session"], "net_return_pips")).select("asset", "vol_regime", "session", "up", "down", "flat", "expected_move_pips", "direction")
+
+
+@query
+def ensemble_blend(spark, sf):
+    """The asset's own distribution stands for the model's; sign-ups have none."""
+    o = labelled(spark, sf)
+    d = S.forecast(O.distribution(o, ["asset", "vol_regime"], "net_return_pips"))
+    m = S.forecast(O.distribution(o.where("asset != 'signup'"), ["asset"], "net_return_pips")).select("asset", *[F.col(x).alias(f"ml_{x}") for x in ("up", "down", "flat")])
+    return S.ensemble(d.join(m, "asset", "left"), "ml_up", "ml_down", "ml_flat").select("asset", "vol_regime", "ens_up", "ens_down", "ens_flat")
+
+
+@query
+def confidence_v1(spark, sf):
+    f = regime_forecasts(spark, sf).select("asset", "vol_regime", "trend_regime", "up", "down", "flat", "sample_size", "std_dev").distinct()
+    f = f.withColumns({"variance": F.least(F.col("std_dev") / 50, F.lit(1.0)), "skew": F.lit(0.1), "kurtosis": F.lit(0.2), "mean_similarity": F.lit(0.8), "similarity_spread": F.lit(0.2), "top_match_density": F.lit(0.7), "regime_match_ratio": F.lit(0.6), "regime_diversity": F.lit(0.3)})
+    return S.confidence_v1(f).select("asset", "vol_regime", "trend_regime", "confidence_raw", "sample_weight", "regime_stability", "confidence_v1")
+
+
+@query
+def confidence_v2(spark, sf):
+    """Bucket and regime rates come from the evaluations themselves; the density curve is n / 30."""
+    e = evaluations(spark, sf)
+    b = e.groupBy("bucket").agg(r6(F.avg("direction_accuracy")).alias("bucket_rate"))
+    r = e.groupBy("regime").agg(r6(F.avg("direction_accuracy")).alias("regime_rate"), F.count(F.lit(1)).alias("rn")).where("rn >= 30")
+    f = e.select("asset", "regime", "bucket", "sample_size").distinct().join(b, "bucket").join(r, "regime", "left")
+    return S.confidence_v2(f, F.col("bucket_rate"), F.col("regime_rate"), F.col("sample_size") / 30).select("asset", "regime", "bucket", "sample_size", "confidence_v2", "using_fallback")
+
+
+@query
+def tradeability(spark, sf):
+    f = regime_forecasts(spark, sf).withColumns({"spread": S.session_default(F.col("session"), 0), "liquidity": S.session_default(F.col("session"), 1), "news": F.hour("ts") == 12, "conf": F.when(F.col("sample_size") > 5, F.col("confidence"))})
+    return S.tradeability(f, "conf", "spread", "session", "liquidity", "news").select("asset", "ts", "tradeability_score", "label", "unavailable")
+
+
+@query
+def sentiment_vector(spark, sf):
+    return K.sentiment(bars(spark, sf), articles(spark, sf))
+
+
+@query
+def macro_vector(spark, sf):
+    return K.macro(bars(spark, sf).select("ts").distinct(), calendar(spark, sf))
+
+
+@query
+def news_risk(spark, sf):
+    return K.news_risk(bars(spark, sf).select("ts").distinct(), calendar(spark, sf).select("name", "event_date", "impact").distinct())
+
+
+@query
+def event_context(spark, sf):
+    one = O.forward(bars(spark, sf).where("asset = 'view'"), digits=True)
+    return K.event_impact(calendar(spark, sf), one)
+
+
+@query
+def regime_v2(spark, sf):
+    return S.regimes(P.summary(P.extended(states(spark, sf)))).select("asset", "ts", "primary", "primary_score", "secondary", *[f"rule_{n}" for n in S.RULES])
+
+
+@query
+def evaluation_metrics(spark, sf):
+    return evaluations(spark, sf).select("fingerprint_id", "direction_predicted", "direction_actual", "direction_accuracy", "error", "abs_error", "squared_error", "brier", "calibration_error", "bucket", "tradeability_success")
+
+
+@query
+def forecast_maturity(spark, sf):
+    f = labelled(spark, sf).withColumns({"expiry": F.col("ts") + F.expr("interval 4 hours"), "net_return_pips": F.when(F.col("session") != "NY", F.col("net_return_pips"))})
+    return R.maturity(f, "2024-01-20 00:00:00").select("fingerprint_id", "status")
+
+
+@query
+def unevaluated_antijoin(spark, sf):
+    f = regime_bars(spark, sf).select("asset", "ts", "fingerprint_id")
+    return f.join(evaluations(spark, sf).where("session != 'ASIA'").select("fingerprint_id"), "fingerprint_id", "left_anti")
+
+
+@query
+def calibration_report(spark, sf):
+    return R.calibration(evaluations(spark, sf))
+
+
+@query
+def regime_accuracy(spark, sf):
+    """Against the run before the fifteenth."""
+    e = evaluations(spark, sf)
+    return R.regime_accuracy(e, R.regime_accuracy(e.where("ts < timestamp_ntz'2024-01-15'")))
+
+
+@query
+def regime_accuracy_rollup(spark, sf):
+    return evaluations(spark, sf).rollup("regime", "asset").agg(F.count(F.lit(1)).alias("n"), r6(100 * F.avg("direction_accuracy"), 2).alias("accuracy"))
+
+
+@query
+def stage_contribution(spark, sf):
+    return R.contributions(evaluations(spark, sf), {"confidence": "confidence", "expected_move": "expected_move_pips", "sample": "sample_size"})
+
+
+@query
+def marginal_delta(spark, sf):
+    return R.marginal(evaluations(spark, sf), F.col("session") == "LONDON")
+
+
+@query
+def pearson(spark, sf):
+    return R.correlation(labelled(spark, sf).withColumn("zero", F.lit(1.0)), ["asset"], "range_pips", "mfe_pips")
+
+
+@query
+def drift_check(spark, sf):
+    return R.drift(evaluations(spark, sf), "asset", ["ts"])
+
+
+@query
+def experiment_ab(spark, sf):
+    by_pips = lambda n: lambda d: d.withColumn("result", R.realised(F.col("net_return_pips"), n))
+    return R.experiment(labelled(spark, sf), {"1.0": by_pips(2.0), "1.1": by_pips(20.0)})
+
+
+@query
+def upsert_ignore(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return J.insert_new(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
+
+
+@query
+def upsert_overwrite(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return J.upsert(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
+
+
+@query
+def update_column(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return J.updated(c, c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(1.0)), ["c_custkey"], "c_acctbal")
+
+
+@query
+def dedup_first(spark, sf):
+    return J.first_of_each(read(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
+
+
+@query
+def provider_fallback(spark, sf):
+    b = bars(spark, sf).select("asset", "ts", "close")
+    return J.first_available([b.where("hour(ts) < 8"), b.where("hour(ts) < 16").withColumn("close", F.col("close") + 1), b.withColumn("close", F.col("close") + 2)], ["asset", "ts"])
+
+
+@query
+def asof_next(spark, sf):
+    return J.asof_next(bars(spark, sf).select("asset", "ts", "close"), "asset", "ts", ["ts", "close"])
+
+
+@query
+def asof_tolerance(spark, sf):
+    """For each high-impact event the latest purchase bar within four hours on either side."""
+    e = calendar(spark, sf).where("impact = 'high'").select("name", "event_date").distinct()
+    m = J.interval_join(bars(spark, sf).where("asset = 'purchase'").select("ts", "close"), e, [], "ts", "event_date", 4 * 3600, 4 * 3600)
+    return m.groupBy("name", "event_date").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
+
+
+@query
+def range_join_window(spark, sf):
+    m = J.interval_join(articles(spark, sf), bars(spark, sf).select("ts").distinct(), [], "published_at", "ts", 24 * 3600, 0)
+    return m.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hint")).alias("mean_hint"))
+
+
+@query
+def serving_latest(spark, sf):
+    """Each asset's newest bar."""
+    s = F.struct("ts", "close", "vol_regime", "trend_regime", "session")
+    return regime_bars(spark, sf).groupBy("asset").agg(F.max(s).alias("s")).select("asset", "s.*")
+
+
+@query
+def paginate(spark, sf):
+    """The third page of twenty customers by balance."""
+    return read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").orderBy(F.col("c_acctbal").desc(), "c_custkey").offset(40).limit(20)
+
+
+@query
+def tier_projection(spark, sf):
+    """Customers with nation and region, as a tier may see them: balances only where they are high."""
+    c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
+    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("c_custkey", "n_name", "r_name", F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal")).alias("c_acctbal"))
+
+
+NEWS = ("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar")
+
+
+def headlines(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "documents")
+    pick = F.get(F.array(*map(F.lit, NEWS)), (F.col("doc_id") % len(NEWS)).cast("int"))
+    return d.select("doc_id", F.concat_ws(" ", pick, F.substring("text", 1, 40)).alias("headline"))
+
+
+@query
+def detect_asset(spark, sf):
+    return headlines(spark, sf).select("doc_id", X.asset_of(F.col("headline")).alias("asset_id"))
+
+
+@query
+def relevance_score(spark, sf):
+    return headlines(spark, sf).select("doc_id", X.relevance(F.col("headline")).alias("relevance"))
+
+
+@query
+def event_impact(spark, sf):
+    h = headlines(spark, sf)
+    return h.select("doc_id", X.impact(F.col("headline")).alias("impact"), X.impact(F.col("headline"), "news").alias("news_impact"), X.is_rate_decision(F.col("headline")).alias("is_rate"))
+
+
+@query
+def sentiment_bias(spark, sf):
+    p, n = X.bias_hits(F.col("headline"))
+    g = headlines(spark, sf).groupBy((F.col("doc_id") % 10).alias("batch")).agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
+    return g.select("batch", r6(F.when(F.col("p") + F.col("n") == 0, 0.0).otherwise((F.col("p") - F.col("n")) / F.greatest(F.col("p") + F.col("n"), F.lit(1)))).alias("bias"))
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Bars written as lines and parsed again."""
+    lines = bars(spark, sf).select(bar_line(F.col("ts"), "open", "high", "low", "close", "volume").alias("value"))
+    return bar_lines(lines).where("error is null").select(parse_stamp(F.col("ts_text")).cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+@query
+def json_vector_parse(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query
+def cache_ttl(spark, sf):
+    return read(spark, sf, "events").select("event_id", C.seconds_to_next(F.col("ts")).cast("long").alias("ttl"), (C.seconds_to_next(F.col("ts")) >= 60).alias("cached"))
+
+
+@query
+def rate_window(spark, sf):
+    """Events of a user in the hour up to each event, and whether they exceed five."""
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(s).rangeBetween(-3600, 0)
+    n = F.count(F.lit(1)).over(w)
+    return read(spark, sf, "events").select("event_id", n.alias("n"), (n > 5).alias("limited"))
+
+
+@query
+def time_ago(spark, sf):
+    m = F.floor((F.lit(1706745600) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 60)
+    return read(spark, sf, "events").select("event_id", X.time_ago(m).alias("ago"))
+
+
+@query
+def sparkline(spark, sf):
+    g = bars(spark, sf).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s"))
+    return g.select("asset", F.size("s").alias("n"), F.col("s")[0]["close"].alias("first"), F.get("s", F.size("s") - 1)["close"].alias("last"))
+
+
+@query
+def topology_levels(spark, sf):
+    t = T.topology(bars(spark, sf))
+    return t.select("asset", "ts", F.inline("levels"))
+
+
+@query
+def topology_vector(spark, sf):
+    t = T.topology(bars(spark, sf), include_current=False)
+    return t.select("asset", "ts", *[F.col("vector")[i].alias(f"t{i}") for i in range(40)])
+
+
+def _ml(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    df = P.ml_vector(P.extended(O.forward(states(spark, sf), digits=True))).withColumn("target", L.label(F.col("net_return_pips")))
+    df = L.walk_forward(df, "asset", "ts")
+    return df, L.trained(df.where("is_train"), "ml_features", "target", rounds=5)
+
+
+@query
+def classifier_train(spark, sf):
+    df, models = _ml(spark, sf)
+    return L.metrics(L.predicted(df.where("not is_train"), models, "ml_features"), "target")
+
+
+@query
+def isotonic_calibrate(spark, sf):
+    df, models = _ml(spark, sf)
+    p = L.predicted(df, models, "ml_features").select("fingerprint_id", "is_train", "target", "ml_up", "ml_down", "ml_flat")
+    return L.calibrated(p.where("not is_train"), L.calibrators(p.where("is_train"), "target")).select("fingerprint_id", *[r6(F.col(f"cal_{n}")).alias(f"cal_{n}") for n in L.CLASSES])
+
+
+@query
+def shap_approx(spark, sf):
+    df, models = _ml(spark, sf)
+    newest = df.where("not is_train").select("fingerprint_id", "ml_features")
+    return L.occlusion(newest, models, "ml_features", "fingerprint_id")
