@@ -78,9 +78,9 @@ CLERK_NAMES = ("CPI report", "rate decision", "PMI survey", "GDP release", "reta
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as calendar events, moved into the thirty days of the ticks, one for every sixtieth key."""
-    o = read(spark, sf, "orders").where("o_orderkey % 60 = 0")
-    i = (F.col("o_orderkey") / 60).cast("long") % 6
+    """Orders as calendar events, moved into the thirty days of the ticks, one for every sixty-first key."""
+    o = read(spark, sf, "orders").where("o_orderkey % 61 = 0")
+    i = (F.col("o_orderkey") / 61).cast("long") % 6
     name = F.get(F.array(*map(F.lit, CLERK_NAMES)), i.cast("int"))
     return o.select(
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 720).cast("int"), mins=F.lit(30))).alias("event_date"),

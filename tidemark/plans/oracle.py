@@ -91,7 +91,7 @@ def impact(name: str, terms: str = "calendar") -> str:
     return f"case when {contains(f'lower({name})', high)} then 'high' when {contains(f'lower({name})', medium)} then 'medium' else 'low' end"
 
 
-CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 60) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 720)::int) + interval '30 minutes' as event_date from orders where o_orderkey % 60 = 0),
+CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 720)::int) + interval '30 minutes' as event_date from orders where o_orderkey % 61 = 0),
 cal as (select name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
 TIMES = "times as (select distinct ts from candles)"
 HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar"))}[(doc_id % 8 + 1)::int] || ' ' || substr(text, 1, 40) as headline from documents)"""
