@@ -236,3 +236,14 @@ def test_streamed_bars_equal_batch_bars(spark, sf, tmp_path):
     got = sorted(tuple(r) for r in B.latest(spark.read.parquet(str(tmp_path / "out"))).collect())
     want = sorted(tuple(r) for r in C.bars(events, "event_type", "ts", "value", "event_id").collect())
     assert got == want
+
+
+def test_registry_and_tiers(spark):
+    from tidemark.operators import serving as G
+
+    with pytest.raises(ValueError):
+        G.registry(spark, G.ASSETS + G.ASSETS[:1])
+    m = F.create_map(*[F.lit(x) for i in range(7) for x in (f"k{i}", float(i) / 2)])
+    assert one(spark, G.first_markets(m).alias("m")).m == {"k0": 0.0, "k1": 0.5, "k2": 1.0, "k3": 1.0, "k4": 1.0}
+    df = spark.createDataFrame([(1, "a"), (2, None)], "b int, a string")
+    assert len({r.trace for r in G.traced(df).collect()}) == 2

@@ -19,6 +19,7 @@ from tidemark.operators import learning as L
 from tidemark.operators import outcomes as O
 from tidemark.operators import research as R
 from tidemark.operators import scoring as S
+from tidemark.operators import serving as G
 from tidemark.operators import similarity as M
 from tidemark.operators import topology as T
 from tidemark.operators.outcomes import r6
@@ -610,3 +611,70 @@ def shap_approx(spark, sf):
     df, models = _ml(spark, sf)
     newest = df.where("not is_train").select("fingerprint_id", "ml_features")
     return L.occlusion(newest, models, "ml_features", "fingerprint_id")
+
+
+@query
+def registry(spark, sf):
+    a = G.processable(G.registry(spark))
+    return a.select("id", "symbol", "priority", "pip_size", F.array_join(G.currencies(F.col("symbol")), "/").alias("pair"), F.concat("symbol", F.lit("=X")).alias("chart_symbol"))
+
+
+def versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as engines, with three versions each."""
+    n = read(spark, sf, "nation").select(F.col("n_name").alias("engine"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"))
+    return n.select("engine", F.concat(F.lit("1."), F.col("i")).alias("version"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("i"))).alias("created_at"), (F.col("i") == 3).alias("is_active"))
+
+
+@query
+def version_bump(spark, sf):
+    new = read(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("engine"), F.lit("2.0").alias("version"), F.lit("2024-02-01").cast("timestamp_ntz").alias("created_at"))
+    return G.bumped(versions(spark, sf), new)
+
+
+@query
+def config_snapshot(spark, sf):
+    return G.snapshot(versions(spark, sf)).select(F.explode("versions").alias("engine", "version"))
+
+
+@query
+def integrity_report(spark, sf):
+    """Counts of each asset's bars, with those of odd volume for errors."""
+    counts = {"bars": "true", "wide": "high - low > 120", "errors": "volume % 10 = 0"}
+    r = G.report(bars(spark, sf), ["asset"], counts)
+    return r.select("asset", "status", *[F.get_json_object("report", f"$.{c}").cast("long").alias(c) for c in counts])
+
+
+@query
+def cache_write(spark, sf):
+    last = bars(spark, sf).select("asset", "ts", "close")
+    return G.served(last, last.select("asset").distinct(), "2024-01-30 21:00:00")
+
+
+@query
+def plan_limits(spark, sf):
+    """Customers by plan, as of a fixed time."""
+    names = F.array(*[F.lit(p) for p in G.PLANS])
+    c = read(spark, sf, "customer").select("c_custkey", F.get(names, (F.col("c_custkey") % 4).cast("int")).alias("plan"), F.when(F.col("c_custkey") % 8 == 3, F.lit(99)).alias("override"), (F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 40).cast("int"))).alias("last"))
+    now = F.lit("2024-03-15 10:30:00").cast("timestamp_ntz")
+    return c.select("c_custkey", "plan", G.limit_of(F.col("plan"), F.col("override")).alias("max_requests"), G.needs_reset(F.col("last"), G.period_of(F.col("plan")), now).alias("reset"), G.retry_after(G.period_of(F.col("plan")), now).alias("retry_after"))
+
+
+@query
+def tier_allowed(spark, sf):
+    tiers, paths = F.array(*map(F.lit, G.TIERS)), F.array(*[F.lit(f"{p}/x") for p in G.PATHS], F.lit("/v2"))
+    r = read(spark, sf, "customer").select("c_custkey", F.get(tiers, (F.col("c_custkey") % 4).cast("int")).alias("tier"), F.get(paths, (F.col("c_custkey") % 5).cast("int")).alias("path"))
+    return G.allowed(r)
+
+
+@query
+def strict_json(spark, sf):
+    """Every third document lacks its field, every fifth has one too many."""
+    e = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("{}")).when(F.col("event_id") % 5 == 0, F.lit('{"k": "x", "z": 1}')).otherwise(F.col("props")).alias("doc"))
+    return G.strict(e, "doc", {"k": "number"}).select("event_id", "unknown", "missing", "mistyped")
+
+
+@query
+def macro_snapshot(spark, sf):
+    """The last value of each symbol up to a time."""
+    e = read(spark, sf, "events").where("ts <= timestamp_ntz'2024-01-20'")
+    return e.groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))

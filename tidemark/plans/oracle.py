@@ -256,6 +256,15 @@ select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1
     "rate_window": "with e as (select event_id, user_id, floor(epoch(ts))::bigint as s from events), n as (select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) as n from e) select event_id, n, n > 5 as limited from n",
     "time_ago": "with m as (select event_id, floor((1706745600 - floor(epoch(ts))) / 60)::bigint as m from events) select event_id, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as ago from m",
     "sparkline": f"with {BARS} select asset, count(*)::int as n, first(close order by ts) as first, last(close order by ts) as last from c group by asset",
+    "registry": "select * from (values ('eurusd', 'EURUSD', 1, 0.0001::double, 'EUR/USD', 'EURUSD=X'), ('gbpusd', 'GBPUSD', 2, 0.0001::double, 'GBP/USD', 'GBPUSD=X')) t(id, symbol, priority, pip_size, pair, chart_symbol)",
+    "version_bump": "with v as (select n_name as engine, '1.' || i as version, timestamp '2024-01-01' + to_days(i::int) as created_at from nation, range(1, 4) t(i) union all select n_name, '2.0', timestamp '2024-02-01' from nation where n_nationkey % 2 = 0) select *, created_at = max(created_at) over (partition by engine) as is_active from v",
+    "config_snapshot": "select n_name as engine, '1.3' as version from nation",
+    "integrity_report": f"with {BARS} select asset, case when count_if(volume % 10 = 0) > 0 then 'partial' else 'complete' end as status, count(*) as bars, count_if(high - low > 120)::bigint as wide, count_if(volume % 10 = 0)::bigint as errors from c group by asset",
+    "cache_write": f"with {BARS}, l as (select asset, ts, close from c qualify row_number() over (partition by asset order by ts desc) = 1) select *, (epoch(ts + interval '4 hours') - epoch(timestamp '2024-01-30 21:00:00'))::bigint as ttl from l where epoch(ts + interval '4 hours') - epoch(timestamp '2024-01-30 21:00:00') >= 60",
+    "plan_limits": "with c as (select c_custkey, ['free', 'starter', 'professional', 'enterprise'][(c_custkey % 4 + 1)::int] as plan, timestamp '2024-03-01' + to_days((c_custkey % 40)::int) as last from customer) select c_custkey, plan, case when plan = 'enterprise' and c_custkey % 8 = 3 then 99 else case plan when 'free' then 100 when 'starter' then 5000 else 25000 end end as max_requests, last < case when plan = 'free' then timestamp '2024-03-15' else timestamp '2024-03-01' end as reset, (epoch(case when plan = 'free' then timestamp '2024-03-16' else timestamp '2024-04-01' end) - epoch(timestamp '2024-03-15 10:30:00'))::bigint as retry_after from c",
+    "tier_allowed": "with r as (select c_custkey, ['retail', 'developer', 'research', 'internal'][(c_custkey % 4 + 1)::int] as tier, ['/v1/forecast/x', '/v1/state/x', '/v1/similarity/x', '/v1/metrics/x', '/v2'][(c_custkey % 5 + 1)::int] as path from customer) select *, case when path = '/v2' then null else left(path, length(path) - 2) end as endpoint, case c_custkey % 5 when 0 then true when 1 then tier != 'retail' when 2 then tier != 'retail' when 3 then tier = 'internal' else false end as allowed from r",
+    "strict_json": "select event_id, case when event_id % 3 != 0 and event_id % 5 = 0 then 'z' else '' end as unknown, case when event_id % 3 = 0 then 'k' else '' end as missing, case when event_id % 3 != 0 and event_id % 5 = 0 then 'k' else '' end as mistyped from events",
+    "macro_snapshot": "select event_type, last(value order by ts, event_id) as value from events where ts <= timestamp '2024-01-20' group by event_type",
 }
 _FLAG = f"""with {ENGINE}, {ranked('sc', 20)}, nx as (select *, lead(close) over (partition by asset order by ts) as nc from v), o as (select *, {r6("(nc - close) / pip", 2)} as net from nx where nc is not null),
 k as (select rk.*, o.net as net_return_pips from rk join o on o.fingerprint_id = rk.match_id), {distribution('k', 'asset, fingerprint_id')}, {forecast('dist', 'fc')},
