@@ -35,6 +35,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Counters by which shingles are ordered. They only decide how many pairs are looked at, never which links are found.
 CELLS = 1 << 17
+#: Parts into which a band bucket is dealt.
+SALTS = 16
 #: Bytes of text that a task takes at once.
 CHUNK = 4 << 20
 
@@ -294,7 +296,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     labels = components(links)
     at = shared.select("band", "key").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
     several = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_keys = at.join(several, "band").select("key", "label").distinct()
+    several = cut(several)
+    salts = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+    dealt_out = at.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))  # no task gets a whole bucket
+    open_keys = dealt_out.join(small(several.withColumn("_salt", F.explode(salts)), several.count() * SALTS), ["band", "_salt"]).select("key", "label").distinct()
     more = verified(across(open_keys, texts).join(near, ["a", "b"], "left_anti"), texts)
     if not more.isEmpty():
         labels = components(links.unionByName(more))

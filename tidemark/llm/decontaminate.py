@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, written
 
 #: Units that make the word after a number a slot.
 UNITS = "km cm mm m kg g mg lb lbs oz l ml s sec seconds min minutes h hr hours days weeks months years miles feet ft inches in yards percent dollars euros pounds cents usd eur degrees mph kph watts volts people".split()
@@ -106,6 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     found = cut(found.select("key", "item", "covered", "best.offset", "best.lo", (F.col("best.hi") - F.col("best.lo") + 5).alias("len")))
     some = found.select("key").distinct()
     held = docs.select("doc_id", text_key().alias("key"), "text").join(small(some, found.count()), "key", "left_semi")
+    held = written(held, "held")
     mine = held.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("mine"))
     theirs = texts.select("item", tokens(F.col("text")).alias("theirs"))
     side = found.join(mine, "key").join(small(theirs, n), "item")
