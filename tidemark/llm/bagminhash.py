@@ -38,7 +38,7 @@ CELLS = 1 << 17
 #: Parts into which a band bucket is dealt.
 SALTS = 16
 #: Bytes of text that a task takes at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 U = np.uint64
 _P, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
@@ -57,6 +57,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from running sums over all bytes; two numbers a byte are held at once."""
+    power = np.full(len(buf), _P)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    total = np.zeros(len(buf) + 1, U)
+    np.add(buf, U(1), out=total[1:])
+    total[1:] *= power
+    np.cumsum(total, out=total)
+    power[1:] = _P_INV
+    power[0] = 1
+    np.cumprod(power, out=power)
+    return mixed((total[end] - total[start]) * power[start])
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each shingle of each text, the text's number and a 64-bit hash. Texts stand one after another."""
     raw = [t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
@@ -67,15 +82,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    up = np.full(len(buf) + 1, _P)
-    up[0] = 1
-    np.cumprod(up, out=up)
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * up[:-1], out=total[1:])
-    down = np.full(len(buf) + 1, _P_INV)
-    down[0] = 1
-    np.cumprod(down, out=down)
-    word = mixed((total[end] - total[start]) * down[start])
+    word = word_hashes(buf, start, end)
     doc = np.searchsorted(ends, start, side="left")
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count
