@@ -79,12 +79,12 @@ CLERK_NAMES = ("CPI report", "rate decision", "PMI survey", "GDP release", "reta
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as calendar events, moved into the thirty days of the ticks, one for every sixty-first key."""
-    o = read(spark, sf, "orders").where("o_orderkey % 61 = 0")
+    """Orders as calendar events, dealt over five years that begin with the ticks' thirty days."""
+    o = read(spark, sf, "orders")
     i = (F.col("o_orderkey") / 61).cast("long") % 6
     name = F.get(F.array(*map(F.lit, CLERK_NAMES)), i.cast("int"))
     return o.select(
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 720).cast("int"), mins=F.lit(30))).alias("event_date"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 43_920).cast("int"), mins=F.lit(30))).alias("event_date"),
         name.alias("name"),
         X.impact(name).alias("impact"),
         X.is_rate_decision(name).alias("is_rate"),
@@ -435,22 +435,27 @@ def experiment_ab(spark, sf):
     return R.experiment(labelled(spark, sf), {"1.0": by_pips(2.0), "1.1": by_pips(20.0)})
 
 
+def rekeyed(customers: DataFrame, times: int, balance: float) -> DataFrame:
+    """All customers as writes to ``times`` their key: some keys are known, some new."""
+    return customers.withColumns({"c_custkey": F.col("c_custkey") * times, "c_acctbal": F.lit(balance)})
+
+
 @query
 def upsert_ignore(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return J.insert_new(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
+    return J.insert_new(c, rekeyed(c, 2, 0.0), ["c_custkey"])
 
 
 @query
 def upsert_overwrite(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return J.upsert(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
+    return J.upsert(c, rekeyed(c, 2, 0.0), ["c_custkey"])
 
 
 @query
 def update_column(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return J.updated(c, c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(1.0)), ["c_custkey"], "c_acctbal")
+    return J.updated(c, rekeyed(c, 5, 1.0), ["c_custkey"], "c_acctbal")
 
 
 @query
@@ -510,7 +515,7 @@ NEWS = ("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents")
     pick = F.get(F.array(*map(F.lit, NEWS)), (F.col("doc_id") % len(NEWS)).cast("int"))
-    return d.select("doc_id", F.concat_ws(" ", pick, F.substring("text", 1, 40)).alias("headline"))
+    return d.select("doc_id", F.concat_ws(" ", pick, "text").alias("headline"))
 
 
 @query

@@ -91,10 +91,10 @@ def impact(name: str, terms: str = "calendar") -> str:
     return f"case when {contains(f'lower({name})', high)} then 'high' when {contains(f'lower({name})', medium)} then 'medium' else 'low' end"
 
 
-CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 720)::int) + interval '30 minutes' as event_date from orders where o_orderkey % 61 = 0),
+CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 43920)::int) + interval '30 minutes' as event_date from orders),
 cal as (select name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
 TIMES = "times as (select distinct ts from candles)"
-HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar"))}[(doc_id % 8 + 1)::int] || ' ' || substr(text, 1, 40) as headline from documents)"""
+HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar"))}[(doc_id % 8 + 1)::int] || coalesce(' ' || text, '') as headline from documents)"""
 
 
 def weight(i: int) -> str:
@@ -235,9 +235,9 @@ select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1
     "pearson": f"with {FWD}, s as (select asset, {sums('range_pips', 'mfe_pips')} from o group by asset) select asset, n, {corr()} as correlation from s",
     "drift_check": f"with {EV}, r as (select *, row_number() over (partition by asset order by ts desc) as rn from ev), n as (select * from r where rn <= 100), w as (select asset, rn, avg(direction_accuracy) over w as acc, count(*) over w as k from n window w as (partition by asset order by rn desc rows between 29 preceding and current row)), gg as (select asset, count(*) as n, max(case when rn = 1 and k = 30 then acc end) as rolling, avg(case when k = 30 then acc end) as mean, avg(case when k = 30 then acc * acc end) as sq from w group by asset), h as (select *, {r6('sqrt(greatest(sq - mean * mean, 0))')} as sd from gg where n >= 30) select asset, n, {r6('rolling')} as rolling_accuracy, {r6('mean')} as baseline_mean, sd as baseline_std, sd > 0 and rolling < mean - 2 * sd as drifted, case when sd > 0 then {r6('(mean - rolling) / sd', 2)} else 0 end as deviation from h",
     "experiment_ab": f"with {FWD}, r as (select fingerprint_id, case when net_return_pips > 2 then 'UP' when net_return_pips < -2 then 'DOWN' else 'FLAT' end as a, case when net_return_pips > 20 then 'UP' when net_return_pips < -20 then 'DOWN' else 'FLAT' end as b from o) select fingerprint_id, '1.0=' || a || ',1.1=' || b as results, a = b as agree from r",
-    "upsert_ignore": "select c_custkey, c_name, case when c_custkey % 3 = 0 then c_acctbal else 0 end as c_acctbal from customer where c_custkey % 3 = 0 or c_custkey % 2 = 0",
-    "upsert_overwrite": "select c_custkey, c_name, case when c_custkey % 2 = 0 then 0 else c_acctbal end as c_acctbal from customer where c_custkey % 3 = 0 or c_custkey % 2 = 0",
-    "update_column": "select c_custkey, case when c_custkey % 5 = 0 then 1 else c_acctbal end as c_acctbal from customer",
+    "upsert_ignore": "select c_custkey, c_name, c_acctbal from customer union all select c_custkey * 2, c_name, 0::double from customer where c_custkey * 2 not in (select c_custkey from customer)",
+    "upsert_overwrite": "select c_custkey * 2 as c_custkey, c_name, 0::double as c_acctbal from customer union all select c_custkey, c_name, c_acctbal from customer where c_custkey not in (select c_custkey * 2 from customer)",
+    "update_column": "select c_custkey, case when c_custkey in (select c_custkey * 5 from customer) then 1 else c_acctbal end as c_acctbal from customer",
     "dedup_first": "select o_custkey, o_orderdate, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1",
     "provider_fallback": f"with {BARS} select asset, ts, case when hour(ts) < 8 then close when hour(ts) < 16 then close + 1 else close + 2 end as close, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 1 else 2 end as source_rank, case when hour(ts) < 8 then 3 when hour(ts) < 16 then 2 else 1 end::bigint as sources from c",
     "asof_next": f"with {BARS} select asset, ts, close, lead(ts) over w as next_ts, lead(close) over w as next_close from c window w as (partition by asset order by ts)",
