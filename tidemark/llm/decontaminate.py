@@ -95,6 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     texts = items.groupBy("item").agg(F.first("text").alias("text"))
     wins = cut(item_windows(texts))
     n = wins.count()
+    rows = items.count()
     at = placed(docs.select(text_key().alias("key"), "text"), "key")
     hits = at.join(small(wins, n), "hash").groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
     whole = wins.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
@@ -109,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     held = written(held, "held")
     mine = held.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("mine"))
     theirs = texts.select("item", tokens(F.col("text")).alias("theirs"))
-    side = found.join(mine, "key").join(small(theirs, n), "item")
+    side = found.join(mine, "key").join(small(theirs, max(n, rows)), "item")
     pair = F.arrays_zip(F.slice("theirs", F.col("lo") + 1, F.col("len")).alias("i"), F.slice("mine", F.col("lo") + F.col("offset") + 1, F.col("len")).alias("d"))
     slots = F.filter(pair, lambda p: (kind(p["i"]) > 0) & (kind(p["i"]) == kind(p["d"])))
     side = side.withColumn("_slots", slots).withColumn("_pairs", F.array_distinct("_slots"))
@@ -119,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     side = side.where(F.col("consistent") >= leak.consistent).select(
         "key", "item", "covered", F.size("_slots").alias("slots"), "consistent", F.when(same, "verbatim").otherwise("other values").alias("form")
     )
-    side = side.join(small(items.select("item", "item_id"), n), "item")
+    side = side.join(small(items.select("item", "item_id"), rows), "item")
     return held.select("key", "doc_id").join(side, "key").select("doc_id", "item_id", "covered", "slots", "consistent", "form")
 
 
