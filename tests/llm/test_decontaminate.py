@@ -83,6 +83,17 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in D.leaks(df, bench).collect()] == [1]
 
 
+def test_items_without_templates_are_found_as_they_stand(spark):
+    dense, names = "12 + 7 * 3 = 33 and 5 * 9 = 45", "Anna, Boris, Clara, David, Emma, Frank"
+    bench = spark.createDataFrame([(1, dense, "k"), (2, "Who wrote Emma?", "k"), (3, "1 2 3 4 5 6 7 8", "k"), (4, names, "k"), (5, "...", "k"), (6, "Xylophone", "k"), (7, Q, "k")], BENCH)
+    data = [(1, FILL + dense + " " + FILL), (2, FILL + "who wrote emma"), (3, "1 2 3 4 5 6 7 8 9"), (4, FILL + names.upper()), (5, "..."), (6, "a xylophone."), (7, Q), (8, FILL + "who wrote Anna"), (9, FILL + dense.replace("7", "8").replace("5", "6")), (10, FILL + "Emma wrote who")]
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in data], SCHEMA).repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r["form"] for r in rows(D.leaks(df, bench))}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 7)}
+    assert set(got.values()) == {"verbatim"}
+    assert sorted(r.doc_id for r in D.cleaned(df, bench).collect()) == [5, 8, 9, 10]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, Q, "a", "b", 1)], SCHEMA), spark.createDataFrame([(1, Q, "k")], BENCH)
     assert D.leaks(docs.limit(0), bench).count() == 0

@@ -7,11 +7,13 @@ words are hashed and hash-joined with those of the benchmark. A text holds an it
 least ``covered`` of the item's windows occur in it; then the values in the slots of both
 are laid side by side along the offset on which most windows match, and each value of the
 item must stand for one value of the text throughout: the share of consistent slots must
-reach ``consistent``. Windows with fewer than two plain words say nothing and are left out
-on both sides.
+reach ``consistent``. Windows with fewer than two plain words say nothing as templates and
+are left out. An item that has no other windows is sought as it stands: by its windows of
+five bare words (lower-cased, without placeholders), or as a whole run if it has fewer than
+five words, so that an item of one word is held by every text with that word.
 
 Every distinct text is judged once by its checksum, and copies share the verdict. Null and
-empty texts, and items of fewer than five words, match nothing. Repeated rows give repeated
+empty texts, and items without a word, match nothing. Repeated rows give repeated
 results, null ids stay null. Empty tables give an empty result. Other columns are ignored
 (``cleaned`` keeps them).
 """
@@ -50,8 +52,8 @@ def kind(token: Column) -> Column:
     return F.when((c >= 48) & (c <= 57), 1).when(c == 2, 2).when(c == 3, 3).otherwise(0)
 
 
-def windows(words: str) -> Column:
-    """Hashes of all windows of five template words, from a column of ``codes``."""
+def windows(words: str, n: int = 5) -> Column:
+    """Hashes of all windows of n (1 to 5) words, from a column of ``codes`` or ``bare_codes``."""
     c = F.col(words)
 
     def rest(x: Column, k: int) -> Column:
@@ -60,8 +62,16 @@ def windows(words: str) -> Column:
     def cut_to(x: Column, k: int) -> Column:
         return F.slice(x, 1, F.greatest(F.size(x) - k, F.lit(0)))
 
+    if n == 1:
+        return c
     two = F.zip_with(cut_to(c, 1), rest(c, 1), lambda a, b: F.xxhash64(a, b))
+    if n == 2:
+        return two
+    if n == 3:
+        return F.zip_with(cut_to(two, 1), rest(c, 2), lambda a, b: F.xxhash64(a, b))
     four = F.zip_with(cut_to(two, 2), rest(two, 2), lambda a, b: F.xxhash64(a, b))
+    if n == 4:
+        return four
     return F.zip_with(cut_to(four, 1), rest(c, 4), lambda a, b: F.xxhash64(a, b))
 
 
@@ -69,20 +79,39 @@ def codes(words: Column) -> Column:
     return F.transform(words, lambda t: F.when(kind(t) == 0, F.xxhash64(t)).otherwise(kind(t).cast("long")))
 
 
-def placed(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos and hash of every window of the column text."""
+def bare(token: Column) -> Column:
+    """The word without its mark."""
+    return F.when(kind(token) >= 2, F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def bare_codes(words: Column) -> Column:
+    return F.transform(words, lambda t: F.xxhash64(bare(t)))
+
+
+def placed(df: DataFrame, *keys: str, runs: list[int]) -> DataFrame:
+    """keys, pos and hash of every window of template words in the column text, and of every run of as many bare words as in runs."""
     df = df.select(*keys, tokens(F.col("text")).alias("_t"))
-    df = df.select(*keys, codes(F.col("_t")).alias("_c"))
-    return df.select(*keys, F.posexplode(windows("_c")).alias("pos", "hash"))
+    df = df.select(*keys, codes(F.col("_t")).alias("_c"), *[bare_codes(F.col("_t")).alias("_b")] * bool(runs))
+    df = df.select(*keys, F.explode(F.array(windows("_c"), *[windows("_b", n) for n in runs])).alias("_w"))
+    return df.select(*keys, F.posexplode("_w").alias("pos", "hash"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item, pos, hash of the windows that say something. An item is a distinct text of the benchmark."""
+    """item, pos, hash, run of the windows an item is sought by; run is their length in bare words, 0 for templates.
+
+    An item is a distinct text of the benchmark. Templates must say something; items without such windows come as bare words.
+    """
     df = benchmark.select("item", tokens(F.col("text")).alias("_t"))
-    df = df.select("item", codes(F.col("_t")).alias("_c"))
-    df = df.select("item", "_c", F.posexplode(windows("_c")).alias("pos", "hash"))
-    plain = F.size(F.filter(F.slice("_c", F.col("pos") + 1, 5), lambda x: ~x.between(1, 3)))
-    return df.where(plain >= 2).select("item", F.col("pos").alias("at"), "hash")
+    df = df.select("item", codes(F.col("_t")).alias("_c"), bare_codes(F.col("_t")).alias("_b"))
+    at = df.select("item", "_c", F.posexplode(windows("_c")).alias("at", "hash"))
+    plain = F.size(F.filter(F.slice("_c", F.col("at") + 1, 5), lambda x: ~x.between(1, 3)))
+    said = cut(at.where(plain >= 2).select("item", "at", "hash", F.lit(0).alias("run")))
+    rest = df.join(said.select("item").distinct(), "item", "left_anti").where(F.size("_b") > 0)
+    run = F.least(F.size("_b"), F.lit(5))
+    own = F.when(run == 5, windows("_b"))
+    for n in (4, 3, 2, 1):
+        own = own.when(run == n, windows("_b", n))
+    return said.union(rest.select("item", F.posexplode(own).alias("at", "hash"), run.alias("run")))
 
 
 def text_key() -> Column:
@@ -96,7 +125,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     wins = cut(item_windows(texts))
     n = wins.count()
     rows = items.count()
-    at = placed(docs.select(text_key().alias("key"), "text"), "key")
+    runs = sorted(r.run for r in wins.select("run").distinct().collect() if r.run)
+    at = placed(docs.select(text_key().alias("key"), "text"), "key", runs=runs)
     hits = at.join(small(wins, n), "hash").groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
     whole = wins.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
     found = hits.groupBy("key", "item").agg(
