@@ -94,6 +94,16 @@ def test_items_without_templates_are_found_as_they_stand(spark):
     assert sorted(r.doc_id for r in D.cleaned(df, bench).collect()) == [5, 8, 9, 10]
 
 
+def test_copies_in_another_case(spark):
+    q = "the guide says that Anna met Boris in Lyon before Clara and David went to Rome with Emma"
+    bench = spark.createDataFrame([(1, q, "k"), (2, Q, "k")], BENCH)
+    data = [(1, q), (2, FILL + q.lower()), (3, q.upper()), (4, Q.lower()), (5, Q.upper()), (6, Q.lower().replace("120", "75")), (7, q.replace("Anna", "Maria").replace("Rome", "Paris")), (8, q.lower().replace("anna", "maria").replace("clara", "eva").replace("lyon", "bonn")), (9, q.replace("Anna", "anna").replace("Clara", "CLARA"))]
+    data += [(100 + k, "word " * (D.PART - 12 + k) + q.lower()) for k in range(16)]
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in data], SCHEMA).repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r["form"] for r in rows(D.leaks(df, bench))}
+    assert got == {(k, 2 if 4 <= k <= 6 else 1): "other values" if k in (6, 7) else "verbatim" for k in (1, 2, 3, 4, 5, 6, 7, 9, *range(100, 116))}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, Q, "a", "b", 1)], SCHEMA), spark.createDataFrame([(1, Q, "k")], BENCH)
     assert D.leaks(docs.limit(0), bench).count() == 0

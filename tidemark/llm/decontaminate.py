@@ -2,11 +2,13 @@ r"""Benchmark decontamination by templates, with DataFrame functions only.
 
 Texts are cut into lower-cased words (runs of letters and digits). Numbers, units after a
 number and names (capitalised words inside a sentence) become typed placeholders, so that
-a question with other numbers or names has the same template. Windows of five template
-words are hashed and hash-joined with those of the benchmark. A text holds an item if at
+a question with other numbers or names has the same template. Names are known by their
+capital, so each window has two more forms for texts in another case: with names as plain
+words, and with all its words bare. Windows of five words are hashed in these forms and
+hash-joined with those of the benchmark; one that matches in any form occurs. A text holds an item if at
 least ``covered`` of the item's windows occur in it; then the values in the slots of both
 are laid side by side along the offset on which most windows match, and each value of the
-item must stand for one value of the text throughout: the share of consistent slots must
+item must stand for one value of the text throughout, whatever its case: the share of consistent slots must
 reach ``consistent``. Windows with fewer than two plain words say nothing as templates and
 are left out. An item that has no other windows is sought as it stands: by its windows of
 five bare words (lower-cased, without placeholders), or as a whole run if it has fewer than
@@ -32,6 +34,12 @@ UNITS = "km cm mm m kg g mg lb lbs oz l ml s sec seconds min minutes h hr hours
 
 NAME, UNIT = "\u0002", "\u0003"
 
+#: The codes of a number, a name and a unit.
+PLACES = (1, 2, 3)
+
+#: Words of a text that are hashed at once.
+PART = 256
+
 
 @dataclass(frozen=True)
 class Leak:
@@ -88,24 +96,44 @@ def bare_codes(words: Column) -> Column:
     return F.transform(words, lambda t: F.xxhash64(bare(t)))
 
 
-def placed(df: DataFrame, *keys: str, runs: list[int]) -> DataFrame:
-    """keys, pos and hash of every window of template words in the column text, and of every run of as many bare words as in runs."""
+def parts(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, _from and _t: the words of the column text in rows of PART and the four that follow, so that long texts stay small."""
     df = df.select(*keys, tokens(F.col("text")).alias("_t"))
-    df = df.select(*keys, codes(F.col("_t")).alias("_c"), *[bare_codes(F.col("_t")).alias("_b")] * bool(runs))
-    df = df.select(*keys, F.explode(F.array(windows("_c"), *[windows("_b", n) for n in runs])).alias("_w"))
-    return df.select(*keys, F.posexplode("_w").alias("pos", "hash"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(PART))
+    df = df.select(*keys, F.explode(F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice("_t", k + 1, PART + 4).alias("t")))).alias("_p"))
+    return df.select(*keys, F.col("_p.k").alias("_from"), F.col("_p.t").alias("_t"))
+
+
+def forms(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and the words of the column _t as codes: _c with placeholders, _b bare, _n with placeholders but for names.
+
+    Without a placeholder all three are the same; then _b and _n are null.
+    """
+    df = df.select(*keys, "_t", codes(F.col("_t")).alias("_c"))
+    df = df.select(*keys, "_c", F.when(F.arrays_overlap("_c", F.array(*map(F.lit, PLACES))), bare_codes(F.col("_t"))).alias("_b"))
+    return df.withColumn("_n", F.when(F.array_contains("_c", PLACES[1]), F.zip_with("_c", "_b", lambda c, b: F.when(c == 2, b).otherwise(c))))
+
+
+def placed(df: DataFrame, *keys: str, runs: list[int]) -> DataFrame:
+    """keys, pos and hash of every window of the column text in its forms, and of every run of as many bare words as in runs."""
+    keys += ("_from",)
+    df = forms(parts(df, *keys[:-1]), *keys).withColumn("_r", F.coalesce("_b", "_c"))
+    every = [windows("_c"), *[F.when(F.col(c).isNotNull(), windows(c)) for c in ("_n", "_b")], *[windows("_r", n) for n in runs if n < 5]]
+    df = df.select(*keys, F.explode(F.array(*every)).alias("_w")).select(*keys, F.posexplode("_w").alias("pos", "hash"))
+    return df.withColumn("pos", F.col("pos") + F.col("_from")).drop("_from")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item, pos, hash, run of the windows an item is sought by; run is their length in bare words, 0 for templates.
+    """item, pos, hash, run of the windows an item is sought by; run is their length in bare words, 0 for those of templates in all forms.
 
     An item is a distinct text of the benchmark. Templates must say something; items without such windows come as bare words.
     """
-    df = benchmark.select("item", tokens(F.col("text")).alias("_t"))
-    df = df.select("item", codes(F.col("_t")).alias("_c"), bare_codes(F.col("_t")).alias("_b"))
-    at = df.select("item", "_c", F.posexplode(windows("_c")).alias("at", "hash"))
+    df = forms(benchmark.select("item", tokens(F.col("text")).alias("_t")), "item").withColumn("_b", F.coalesce("_b", "_c")).withColumn("_n", F.coalesce("_n", "_c"))
+    every = F.arrays_zip(windows("_c").alias("c"), windows("_n").alias("n"), windows("_b").alias("b"))
+    at = df.select("item", "_c", F.posexplode(every).alias("at", "w"))
     plain = F.size(F.filter(F.slice("_c", F.col("at") + 1, 5), lambda x: ~x.between(1, 3)))
-    said = cut(at.where(plain >= 2).select("item", "at", "hash", F.lit(0).alias("run")))
+    at = at.where(plain >= 2).select("item", "at", F.explode(F.array_distinct(F.array("w.c", "w.n", "w.b"))).alias("hash"))
+    said = cut(at.withColumn("run", F.lit(0)))
     rest = df.join(said.select("item").distinct(), "item", "left_anti").where(F.size("_b") > 0)
     run = F.least(F.size("_b"), F.lit(5))
     own = F.when(run == 5, windows("_b"))
@@ -128,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     runs = sorted(r.run for r in wins.select("run").distinct().collect() if r.run)
     at = placed(docs.select(text_key().alias("key"), "text"), "key", runs=runs)
     hits = at.join(small(wins, n), "hash").groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
-    whole = wins.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
+    whole = wins.groupBy("item").agg(F.count_distinct("at").alias("windows"))
     found = hits.groupBy("key", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"),
         F.max(F.struct(F.size("ats").alias("n"), F.col("offset"), F.array_min("ats").alias("lo"), F.array_max("ats").alias("hi"))).alias("best"),
@@ -142,7 +170,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     theirs = texts.select("item", tokens(F.col("text")).alias("theirs"))
     side = found.join(mine, "key").join(small(theirs, max(n, rows)), "item")
     pair = F.arrays_zip(F.slice("theirs", F.col("lo") + 1, F.col("len")).alias("i"), F.slice("mine", F.col("lo") + F.col("offset") + 1, F.col("len")).alias("d"))
-    slots = F.filter(pair, lambda p: (kind(p["i"]) > 0) & (kind(p["i"]) == kind(p["d"])))
+    pair = F.filter(pair, lambda p: (kind(p["i"]) > 0) & ((kind(p["i"]) == kind(p["d"])) | (bare(p["i"]) == bare(p["d"]))))
+    slots = F.transform(pair, lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["d"]).alias("d")))
     side = side.withColumn("_slots", slots).withColumn("_pairs", F.array_distinct("_slots"))
     names = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["i"])))
     side = side.withColumn("consistent", F.when(F.size("_pairs") > 0, names / F.size("_pairs")).otherwise(1.0))
