@@ -83,6 +83,17 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in D.leaks(df, bench).collect()] == [1]
 
 
+def test_every_offset_is_judged(spark):
+    q = "first add 5 to the sum then take 5 from the sum then add 5 to the rest and take 5 from it and add 5 more"
+    numbers = iter("12346789123467891234678912346789")
+    messes = [re.sub("5", lambda m: next(numbers), q) for _ in range(3)]
+    bench = spark.createDataFrame([(1, q, "k")], BENCH)
+    data = [(1, " and ".join([FILL, q, FILL, messes[0]])), (2, " and ".join([messes[0], q, messes[1], messes[2]])), (3, " and ".join(messes)), (4, " and ".join([messes[0], q.replace("5", "8"), messes[1]]))]
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in data], SCHEMA).repartition(2)
+    assert sorted((r.doc_id, r.form) for r in D.leaks(df, bench).collect()) == [(1, "verbatim"), (2, "verbatim"), (4, "other values")]
+    assert [r.doc_id for r in D.cleaned(df, bench).collect()] == [3]
+
+
 def test_items_without_templates_are_found_as_they_stand(spark):
     dense, names = "12 + 7 * 3 = 33 and 5 * 9 = 45", "Anna, Boris, Clara, David, Emma, Frank"
     bench = spark.createDataFrame([(1, dense, "k"), (2, "Who wrote Emma?", "k"), (3, "1 2 3 4 5 6 7 8", "k"), (4, names, "k"), (5, "...", "k"), (6, "Xylophone", "k"), (7, Q, "k")], BENCH)

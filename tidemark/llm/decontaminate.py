@@ -7,9 +7,9 @@ capital, so each window has two more forms for texts in another case: with names
 words, and with all its words bare. Windows of five words are hashed in these forms and
 hash-joined with those of the benchmark; one that matches in any form occurs. A text holds an item if at
 least ``covered`` of the item's windows occur in it; then the values in the slots of both
-are laid side by side along the offset on which most windows match, and each value of the
-item must stand for one value of the text throughout, whatever its case: the share of consistent slots must
-reach ``consistent``. Windows with fewer than two plain words say nothing as templates and
+are laid side by side along each offset on which that share of windows matches, and along
+the one on which most do (of equal ones, each), and each value of the item must stand for one value of the text throughout, whatever its case: the share of consistent slots must
+reach ``consistent`` on one of the offsets; the best of these is told. Windows with fewer than two plain words say nothing as templates and
 are left out. An item that has no other windows is sought as it stands: by its windows of
 five bare words (lower-cased, without placeholders), or as a whole run if it has fewer than
 five words, so that an item of one word is held by every text with that word.
@@ -157,14 +157,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     at = placed(docs.select(text_key().alias("key"), "text"), "key", runs=runs)
     hits = at.join(small(wins, n), "hash").groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
     whole = wins.groupBy("item").agg(F.count_distinct("at").alias("windows"))
+    hits = hits.select("key", "item", "offset", "ats", F.size("ats").alias("n"))
     found = hits.groupBy("key", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"),
-        F.max(F.struct(F.size("ats").alias("n"), F.col("offset"), F.array_min("ats").alias("lo"), F.array_max("ats").alias("hi"))).alias("best"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("_all"),
+        F.max("n").alias("_most"),
+        F.collect_list(F.struct("n", "offset", F.array_min("ats").alias("lo"), F.array_max("ats").alias("hi"))).alias("_at"),
     )
-    found = found.join(small(whole, n), "item").withColumn("covered", F.col("n") / F.col("windows")).where(F.col("covered") >= leak.covered)
-    found = cut(found.select("key", "item", "covered", "best.offset", "best.lo", (F.col("best.hi") - F.col("best.lo") + 5).alias("len")))
+    found = found.join(small(whole, n), "item").withColumn("covered", F.col("_all") / F.col("windows")).where(F.col("covered") >= leak.covered)
+    judged = F.filter("_at", lambda o: (o["n"] == F.col("_most")) | (o["n"] / F.col("windows") >= leak.covered))
+    found = found.select("key", "item", "covered", F.explode(judged).alias("best"))
+    found = cut(found.select("key", "item", "covered", "best.n", "best.offset", "best.lo", (F.col("best.hi") - F.col("best.lo") + 5).alias("len")))
     some = found.select("key").distinct()
-    held = docs.select("doc_id", text_key().alias("key"), "text").join(small(some, found.count()), "key", "left_semi")
+    held = docs.select("doc_id", text_key().alias("key"), "text").join(small(some, some.count()), "key", "left_semi")
     held = written(held, "held")
     mine = held.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("mine"))
     theirs = texts.select("item", tokens(F.col("text")).alias("theirs"))
@@ -176,8 +180,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     names = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["i"])))
     side = side.withColumn("consistent", F.when(F.size("_pairs") > 0, names / F.size("_pairs")).otherwise(1.0))
     same = F.forall("_slots", lambda p: p["i"] == p["d"])
-    side = side.where(F.col("consistent") >= leak.consistent).select(
-        "key", "item", "covered", F.size("_slots").alias("slots"), "consistent", F.when(same, "verbatim").otherwise("other values").alias("form")
+    side = side.where(F.col("consistent") >= leak.consistent)
+    told = F.struct("n", same.alias("same"), "consistent", F.size("_slots").alias("slots"))
+    side = side.groupBy("key", "item", "covered").agg(F.max(told).alias("_told")).select(
+        "key", "item", "covered", "_told.slots", "_told.consistent", F.when(F.col("_told.same"), "verbatim").otherwise("other values").alias("form")
     )
     side = side.join(small(items.select("item", "item_id"), rows), "item")
     return held.select("key", "doc_id").join(side, "key").select("doc_id", "item_id", "covered", "slots", "consistent", "form")
