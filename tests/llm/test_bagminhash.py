@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, source string, label string, band int"
 
 def bag(text):
     w = (text or "").lower().split()
-    k = min(B.SHINGLE, len(w))
+    k = min(B.Near.shingle, len(w))
     return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter()
 
 
@@ -56,14 +56,14 @@ def got(df):
 def test_signatures_estimate_weighted_similarity():
     base = text(1, 300)
     for other in (base + " " + base[:300], base[400:], base + " " + " ".join(base.split()[:150])):
-        s = B.signatures([base, other], 4000)
+        s = B.signatures([base, other], 4000, 5)
         assert abs((s[0] == s[1]).mean() - similarity(base, other)) < 0.04
-        assert B.overlaps([base], [other])[0] == pytest.approx(similarity(base, other))
+        assert B.overlaps([base], [other], 5)[0] == pytest.approx(similarity(base, other))
 
 
 def test_repeated_words_weigh():
     a, b = "x y " * 40, "x y " * 20
-    s = B.signatures([a, b], 4000)
+    s = B.signatures([a, b], 4000, 5)
     assert abs((s[0] == s[1]).mean() - similarity(a, b)) < 0.04
 
 
@@ -84,7 +84,35 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([(*r, "s", "l", 1) for r in rows], SCHEMA)
     out = B.one_of_each(df)
     assert out.columns == df.columns
-    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 9, None]
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 9]
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    lone = text(31, 60)
+    nulls = [(None, lone), (None, lone), (None, lone + " end"), (None, text(32, 60))]
+    for more in ([], [(7, text(33, 40)), (7, text(33, 40))], [(7, text(33, 40)), (7, text(34, 40))]):
+        rows = [(*r, f"s{k}", "l", k) for k, r in enumerate(nulls + more)]
+        out = B.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+        kept = [r.text for r in out]
+        assert len(kept) == len(set(kept)) == 2 + len({t for _, t in more})
+        assert text(32, 60) in kept and sum(t.startswith(lone) for t in kept) == 1
+        assert sorted(map(str, out)) == sorted(map(str, B.one_of_each(spark.createDataFrame(rows[::-1], SCHEMA)).collect()))
+
+
+def test_clashing_columns_stay(spark):
+    names = "key band bands label a b text doc_id _key _id _row id n"
+    df = spark.createDataFrame([tuple(f"x{k}" for k in range(6)) + (t, i) + (1,) * 5 for i, t in enumerate([text(5, 60), text(5, 60), text(6, 60)])], names.split())
+    assert sorted((r.doc_id, r.key, r._key) for r in B.one_of_each(df).collect()) == [(0, "x0", 1), (2, "x0", 1)]
+    assert got(B.near_duplicates(df)) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_large_groups_are_dealt_out(spark):
+    """Hubs, heavy buckets and heavy copies above the bound from which keys are salted."""
+    base = text(21, 120)
+    rows = [(i, base) for i in range(300)] + [(1000 + i, base + f" x{i}") for i in range(300)] + [(5000 + i, text(100 + i, 60)) for i in range(50)]
+    df = spark.createDataFrame([(*r, "s", "l", 1) for r in rows], SCHEMA).repartition(6)
+    assert got(B.near_duplicates(df)) == brute_classes(rows)
+    assert sorted(r.doc_id for r in B.one_of_each(df).collect()) == [0] + [5000 + i for i in range(50)]
 
 
 def test_empty_table(spark):

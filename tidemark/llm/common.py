@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,6 +49,29 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Rows of a key above which it is dealt out; at least, and as a part of all rows, so that there are at most 10,000 such keys.
+LIGHT, MOST_HEAVY = 64, 10_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: Column | str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined with one, which has at most one row for a key, so that no task gets all rows of a heavy key.
+
+    Heavy keys of many are dealt into salts by the column ``by``, and their rows of one are
+    copied to each salt. ``counts`` (key, n) saves counting. Keys are not null.
+    """
+    if counts is None:
+        counts = cut(many.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    light = max(LIGHT, rows // MOST_HEAVY)
+    heavy = cut(counts.where(F.col("n") > light).select(key, F.ceil(F.col("n") / light).cast("int").alias("_salts")))
+    if heavy.isEmpty():
+        return many.join(one, key, how)
+    salts = F.coalesce("_salts", F.lit(1))
+    many = many.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    one = one.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return many.join(one, [key, "_salt"], how).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
