@@ -5,15 +5,17 @@ that fits decides. URLs without a rule are blocked if their canonical form is on
 a blocked Bloom filter (blocks of eight 64-bit words, one bit set in each word) passes
 possible hits, and a hash join on the canonical URL itself removes those that aren't
 listed. The filter's size follows the counted list; up to ``MOST_BLOCKS`` it is broadcast,
-above it is joined by block. Listed URLs are dealt into ``SALTS`` parts, so that one URL
-that is a third of all rows meets no single task.
+above it is joined by block. Only URLs without a rule meet the filter, and only possible
+hits the list; a URL or block with many rows is dealt out (``dealt_join``), so that one
+URL that is a third of all rows meets no single task.
 
 Canonical: no scheme, no ``www.`` or ``m.``, host in lower case, path without ``.html`` and
 trailing slashes, no query or fragment.
 
 A URL that is null or has no ``://`` has an empty host and path; it has no rule, no
 canonical form, and is allowed. Repeated rows and null ids stay. An empty table or list
-gives no error. Other columns are kept by ``judged``.
+gives no error. Other columns are kept by ``judged``, but for those named as one that it makes
+(``MADE``): they are replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, dealt_join
 
 #: Host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-BITS_PER_URL, WORDS, SALTS = 16, 8, 8
+BITS_PER_URL, WORDS = 16, 8
+#: Columns that ``judged`` makes.
+MADE = ("host", "path", "rule", "verdict", "possible", "listed")
 #: Blocks up to which the filter is broadcast: about 20 MB.
 MOST_BLOCKS = BROADCAST_ROWS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,24 +80,28 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule, verdict, possible (the filter passed it) and listed. ``listed``: canonical URLs in the column of that name."""
-    rows = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select(F.struct(*[c for c in pages.columns if c not in MADE]).alias("_row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_verdict": verdict, "_url": canonical(F.col("host"), F.col("path"))})
     listed = listed.where("listed is not null").select("listed").distinct()
     blocks = max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS)))
     table = bloom(listed, blocks)
-    table = F.broadcast(table) if blocks <= MOST_BLOCKS else table
-    probe = rows.withColumn("_block", F.when(F.col("rule").isNull(), _block(F.col("_url"), blocks)))
-    bit = [F.getbit(F.col(f"w{i}"), b) == 1 for i, b in enumerate(_bits(F.col("_url")))]
-    every = bit[0]
-    for b in bit[1:]:
-        every = every & b
-    probe = probe.join(table, "_block", "left").withColumn("possible", F.coalesce(every, F.lit(False)) & F.col("rule").isNull())
-    probe = probe.select("_row", "host", "path", "rule", "_verdict", "possible", F.when(F.col("possible"), F.col("_url")).alias("_hit"), F.when(F.col("possible"), F.pmod(F.xxhash64("_row"), F.lit(SALTS))).alias("_salt"))
-    salted = listed.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    out = probe.join(salted.withColumnRenamed("listed", "_hit").withColumn("_on", F.lit(True)), ["_hit", "_salt"], "left")
-    on = F.coalesce("_on", F.lit(False))
-    return out.select("_row.*", "host", "path", "rule", F.coalesce("_verdict", F.when(on, "block").otherwise("allow")).alias("verdict"), "possible", on.alias("listed"))
+    asked = F.col("rule").isNull() & F.col("_url").isNotNull()
+    probe = rows.where(asked).withColumn("_block", _block(F.col("_url"), blocks))
+    spread = F.monotonically_increasing_id()
+    probe = probe.join(F.broadcast(table), "_block", "left") if blocks <= MOST_BLOCKS else dealt_join(probe, table, "_block", spread, "left")
+    every = F.lit(True)
+    for i, b in enumerate(_bits(F.col("_url"))):
+        every = every & (F.getbit(F.col(f"w{i}"), b) == 1)
+    possible = F.coalesce(every, F.lit(False))
+    hits = dealt_join(probe.where(possible), listed.select(F.col("listed").alias("_url"), F.lit(True).alias("_on")), "_url", spread, "left")
+
+    def told(part: DataFrame, passed: bool, on: Column) -> DataFrame:
+        last = F.coalesce("_verdict", F.when(on, "block").otherwise("allow"))
+        return part.select("_row.*", "host", "path", "rule", last.alias("verdict"), F.lit(passed).alias("possible"), on.alias("listed"))
+
+    no = F.lit(False)
+    return told(rows.where(~asked), False, no).union(told(probe.where(~possible), False, no)).union(told(hits, True, F.coalesce("_on", no)))
 
 
 def reported(pages: DataFrame) -> DataFrame:
