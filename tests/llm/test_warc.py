@@ -38,6 +38,13 @@ def test_round_trip(spark, monkeypatch):
     assert W.round_trip(df.limit(0)).count() == 0
 
 
+def test_repeated_payloads_beyond_the_broadcast(spark, monkeypatch):
+    data = DATA + [(100 + i, "u", "hot", "c", "n") for i in range(500)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    assert got(W.round_trip(df)) == brute(data)
+
+
 def test_payloads_and_members(spark):
     df = spark.createDataFrame(DATA, SCHEMA).coalesce(1)
     mono = W.monolithic(df)

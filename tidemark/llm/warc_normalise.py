@@ -1,7 +1,9 @@
 """WARC archives: written as monolithic gzip streams, normalised to a member per record with an offset index, and read back.
 
 Records with equal payloads are stored once: the one with the smallest page id is a
-response, the others are revisits that refer to it. An archive is first written as one
+response, the others are revisits that refer to it. What is shuffled for that are ids and
+digests; the digests of repeated payloads then meet the pages by broadcast, if there are few
+enough, else by a join that deals heavy payloads out. An archive is first written as one
 gzip stream over all its records. The normaliser inflates such a stream once, from front
 to back, cuts it into records by their Content-Length, rewrites every record as a gzip
 member of its own, and lists each member's offset and length beside it. The reader seeks
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, cut, dealt_join, written
 
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 4
@@ -125,8 +127,12 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to, revisit: the response of each payload is looked up by its digest."""
     key = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     rows = pages.select("page_id", "url", "html", key.alias("_key"))
-    first = rows.groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n")
-    out = rows.join(first, "_key", "left")
+    first = cut(rows.groupBy("_key").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1 and _first is not null"))
+    count = first.count()
+    if count <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(first.drop("n")), "_key", "left")
+    else:
+        out = dealt_join(rows, first.drop("n"), "_key", F.monotonically_increasing_id(), "left", counts=first.select("_key", "n"))
     revisit = F.coalesce((F.col("_first") != F.col("page_id")) | (F.col("_first").isNotNull() & F.col("page_id").isNull()), F.lit(False))
     return out.select("page_id", "url", "html", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
 
