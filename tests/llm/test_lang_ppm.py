@@ -45,13 +45,28 @@ def test_code_lengths_are_exact():
     counts = {}
     for x, texts in train.items():
         g, n = np.unique(P.grams(*P.joined(texts)), return_counts=True)
-        counts[x] = (g, n.astype(float))
+        counts[x] = (g.astype(np.int64), n.astype(float))
     m = P.Model(counts)
     texts = ["the hund", "", "ü", "zzz 123 \U0001f600", "x", "katze the", "\0\0", "the cat and the dog " * 50, ""]
     got = m.lengths(texts)
     for j, x in enumerate(m.langs):
         tree = Tree(train[x])
-        assert got[:, j] == pytest.approx([tree.bits(t) for t in texts], rel=1e-4, abs=1e-4)
+        assert got[:, j] == pytest.approx([tree.bits(t) for t in texts], rel=1e-12, abs=1e-9)
+
+
+def test_long_texts_are_looked_up_in_slices(monkeypatch):
+    g, n = np.unique(P.grams(*P.joined(["the cat and the dog"])), return_counts=True)
+    m = P.Model({"a": (g.astype(np.int64), n.astype(float))})
+    texts = ["", "the cat " * 9, "", "x", "dog and cat " * 7, ""]
+    whole = m.lengths(texts)
+    monkeypatch.setattr(P, "SLICE", 7)
+    assert m.lengths(texts) == pytest.approx(whole)
+
+
+def test_tables_are_bounded(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole, small = P.learned(docs, P.Ppm()), P.learned(docs, P.Ppm(table_mb=1))
+    assert small.four.values.nbytes <= 1 << 20 < whole.four.values.nbytes and small.langs == whole.langs
 
 
 def test_held_out_accuracy(spark):

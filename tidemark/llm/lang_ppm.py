@@ -8,12 +8,16 @@ shortened by a byte; below order zero all 256 bytes cost the same (escape method
 text's code length is exact: the sum over all its bytes. The shortest one names the
 language, and the score is its share of probability among all of them.
 
-As the trees are frozen, costs are tables: one for each trigram (contexts of two bytes),
-and one for the four-byte strings that any language has seen, held by hash with exact
-comparison, for all languages at once. Rows are scored in NumPy by those tables.
+As the trees are frozen, costs are tables: the three- and four-byte strings that any
+language has seen are held by hash with exact comparison, for all languages at once, and
+so are the escapes of three-byte contexts; below that two dense tables, of at most 257 x
+257 pairs of bytes a language, do. Costs and sums are double precision. Rows are scored in
+NumPy by those tables, a few thousand bytes at a time.
 
 Training counts whole texts of at most about ``Ppm.texts`` documents a language, by a hash
-of their id: the one bound, and that of the tables. lang, source and doc_id play no part in
+of their id: the one bound. The strings they hold are counted before the tables are built;
+if the tables would take more than ``Ppm.table_mb`` the sample is halved, so what is
+broadcast is bounded for any number of languages. lang, source and doc_id play no part in
 a prediction. Null texts and texts without letters are ``und`` with score 0. Null ids are
 scored and count as held out of training. Repeated rows get equal results; ties go to the
 first language by name. Without training rows all are ``und``. An empty table gives an
@@ -32,13 +36,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 U = np.uint64
-#: Bytes of text that a task takes at once.
-CHUNK = 2 << 20
+#: Characters of text that a task takes at once, and bytes that are looked up at once.
+CHUNK, SLICE = 2 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
 class Ppm:
     texts: int = 1500
+    table_mb: int = 256
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +63,54 @@ def grams(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return four[real[3:]]
 
 
+def chunks(texts: list[str]) -> list[np.ndarray]:
+    """The numbers of the texts, in runs of about CHUNK characters."""
+    ends = np.cumsum([len(t) for t in texts]) // CHUNK
+    return np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1) if texts else []
+
+
 def _counts(batches):
     for b in batches:
-        lang = np.array(b.column("lang").to_pylist(), object)
-        texts = b.column("text").to_pylist()
-        for x in sorted(set(lang)):
-            buf, starts = joined([t or "" for t, on in zip(texts, lang == x, strict=True) if on])
-            gram, n = np.unique(grams(buf, starts), return_counts=True) if len(buf) > 3 else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+        lang, texts = b.column("lang").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+        for part in chunks(texts):
+            for x in sorted({lang[i] for i in part}):
+                gram, n = np.unique(grams(*joined([texts[i] for i in part if lang[i] == x])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+
+class Table:
+    """Rows of numbers by key, in open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.tags, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros((1 << self.bits, values.shape[1]))
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # whoever finds its slot free takes it, the others go one on
+            free = self.tags[at] < 0
+            self.tags[at[free]] = left[free]
+            won = self.tags[at] == left
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+        held = self.tags >= 0
+        self.values[held] = values[self.tags[held]]
+        self.tags[held] = keys[self.tags[held]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(U) * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of keys, and the places of those that it does not hold."""
+        at = self._slot(keys)
+        out = self.values[at]
+        look, lost = np.flatnonzero(self.tags[at] != keys), []
+        at = at[look]
+        while len(look):
+            none = self.tags[at] < 0
+            lost.append(look[none])
+            at, look = (at[~none] + 1) & ((1 << self.bits) - 1), look[~none]
+            found = self.tags[at] == keys[look]
+            out[look[found]] = self.values[at[found]]
+            at, look = at[~found], look[~found]
+        return out, np.concatenate(lost) if lost else look
 
 
 class Model:
@@ -80,41 +125,36 @@ class Model:
                 used[gram >> 8 * k & 255] = True
         self.byte = np.full(256, used.sum(), np.int64)  # all bytes never seen share one number
         self.byte[used] = np.arange(used.sum())
-        K = int(used.sum()) + 1
-        self.K = K
-        low, self.escape3 = np.zeros((K * K * K, L), np.float32), np.zeros((K * K * K, L), np.float32)
-        per = []
+        self.K = K = int(used.sum()) + 1
+        self.escape2, self.low = np.zeros((K * K, L)), np.zeros((K * K, L))
+        seen3, seen4 = {}, {}
         for j, x in enumerate(self.langs):
             gram, n = counts[x]
-            s = self.byte[gram & 255]
-            c1, c2, c3 = (self.byte[gram >> 8 * k & 255] for k in (1, 2, 3))
-            cost = np.full(K, 8.0)
-            cost = self._order(np.zeros_like(s), s, n, 1, np.broadcast_to(cost, (1, K)))
-            cost = self._order(c1, s, n, K, np.broadcast_to(cost, (K, K)))
-            cost = self._order(c2 * K + c1, s, n, K * K, np.tile(cost, (K, 1)))
-            low[:, j] = cost.reshape(-1)
-            context = (c3 * K + c2) * K + c1
-            total, distinct = np.bincount(context, n, minlength=K**3), np.bincount(context, minlength=K**3)
+            s, c1, c2 = (self.byte[gram >> 8 * k & 255] for k in range(3))
+            cost = self._order(np.zeros_like(s), s, n, 1, np.full((1, K), 8.0))
+            self.low[:, j] = self._order(c1, s, n, K, np.broadcast_to(cost, (K, K))).reshape(-1)
+            three, at = np.unique(gram & 0xFFFFFF, return_inverse=True)
+            seen3[x] = self._known(three, np.bincount(at, n))
+            pair = self.byte[three >> 8 & 255] + K * self.byte[three >> 16 & 255]
+            total, distinct = np.bincount(pair, np.bincount(at, n), minlength=K * K), np.bincount(pair, minlength=K * K)
             known = distinct > 0
-            self.escape3[known, j] = -np.log2(distinct[known] / (total[known] + distinct[known]))
-            per.append((gram, -np.log2(n / (total[context] + distinct[context]))))
-        self.low = low
-        every = np.unique(np.concatenate([g for g, _ in per])) if per else np.zeros(0, np.uint32)
-        high = self._unseen(every)
-        for j, (gram, cost) in enumerate(per):
-            high[np.searchsorted(every, gram), j] = cost
-        self.bits = max(12, int(4 * len(every)).bit_length())
-        self.tags, self.rows = np.full(1 << self.bits, -1, np.int64), np.zeros((1 << self.bits, L), np.float32)
-        left = np.arange(len(every))
-        at = self._slot(every)
-        while len(left):  # whoever finds its slot free takes it, the others go one on
-            free = self.tags[at] < 0
-            self.tags[at[free]] = left[free]
-            won = self.tags[at] == left
-            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
-        held = self.tags >= 0
-        self.rows[held] = high[self.tags[held]]
-        self.tags[held] = every[self.tags[held]]
+            self.escape2[known, j] = -np.log2(distinct[known] / (total[known] + distinct[known]))
+            seen4[x] = self._known(gram, n)
+        every = np.unique(np.concatenate([g for g, *_ in seen3.values()])) if seen3 else np.zeros(0, np.int64)
+        cost = self._cost2(every)
+        for j, x in enumerate(self.langs):
+            cost[np.searchsorted(every, seen3[x][0]), j] = seen3[x][1]
+        self.three = Table(every.astype(np.int64), cost)
+        every = np.unique(np.concatenate([g for _, _, g, _ in seen4.values()])) if seen4 else np.zeros(0, np.int64)
+        escape = np.zeros((len(every), L))
+        for j, x in enumerate(self.langs):
+            escape[np.searchsorted(every, seen4[x][2]), j] = seen4[x][3]
+        self.escape3 = Table(every.astype(np.int64), escape)
+        every = np.unique(np.concatenate([g for g, *_ in seen4.values()])) if seen4 else np.zeros(0, np.int64)
+        cost = self._cost3(every.astype(np.int64))
+        for j, x in enumerate(self.langs):
+            cost[np.searchsorted(every, seen4[x][0]), j] = seen4[x][1]
+        self.four = Table(every.astype(np.int64), cost)
 
     def _order(self, context, symbol, n, contexts, lower):
         """Costs (contexts x symbols) of one order over those of the order below."""
@@ -125,38 +165,48 @@ class Model:
         escape = np.where(distinct > 0, -np.log2(np.maximum(distinct, 1) / whole), 0.0)
         return np.where(seen > 0, -np.log2(np.maximum(seen, 1) / whole), escape + lower)
 
-    def _slot(self, gram):
-        return (gram.astype(U) * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
-
-    def _unseen(self, gram):
-        """Costs by the escape from order three."""
-        s, c1, c2, c3 = (self.byte[gram >> 8 * k & 255] for k in range(4))
-        return self.escape3[(c3 * self.K + c2) * self.K + c1] + self.low[(c2 * self.K + c1) * self.K + s]
+    @staticmethod
+    def _known(gram: np.ndarray, n: np.ndarray):
+        """The strings seen and their costs; their contexts and the costs of an escape there."""
+        context, at, distinct = np.unique(gram >> 8, return_inverse=True, return_counts=True)
+        whole = np.bincount(at, n) + distinct
+        return gram, -np.log2(n / whole[at]), context, -np.log2(distinct / whole)
+
+    def _cost2(self, gram: np.ndarray) -> np.ndarray:
+        """Costs of three-byte strings by the escape from order two."""
+        s, c1, c2 = (self.byte[gram >> 8 * k & 255] for k in range(3))
+        return self.escape2[c2 * self.K + c1] + self.low[c1 * self.K + s]
+
+    def _cost3(self, gram: np.ndarray) -> np.ndarray:
+        """Costs of four-byte strings by the escape from order three."""
+        three = gram & 0xFFFFFF
+        out, lost = self.three.get(three)
+        out[lost] = self._cost2(three[lost])
+        escape, none = self.escape3.get(gram >> 8)
+        escape[none] = 0.0  # no language knows the context
+        return out + escape
 
     def costs(self, gram: np.ndarray) -> np.ndarray:
         """Bits of each byte behind its context, for every language."""
-        at = self._slot(gram)
-        out = self.rows[at]
-        look = np.flatnonzero(self.tags[at] != gram)
-        at = at[look]
-        while len(look):
-            lost = self.tags[at] < 0
-            out[look[lost]] = self._unseen(gram[look[lost]])
-            at, look = (at[~lost] + 1) & ((1 << self.bits) - 1), look[~lost]
-            found = self.tags[at] == gram[look]
-            out[look[found]] = self.rows[at[found]]
-            at, look = at[~found], look[~found]
+        out, lost = self.four.get(gram)
+        out[lost] = self._cost3(gram[lost])
         return out
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of each text in each language."""
         buf, starts = joined(texts)
-        cost = np.zeros((len(buf) - 3 * len(texts) + 1, len(self.langs)), np.float32)
-        cost[:-1] = self.costs(grams(buf, starts))
-        at = starts - 3 - 3 * np.arange(len(texts))
-        sums = np.add.reduceat(cost, at, axis=0, dtype=np.float64)
-        sums[np.diff(np.append(at, len(cost) - 1)) == 0] = 0
-        return sums
+        gram = grams(buf, starts)
+        ends = np.append(starts[1:], len(buf) + 3) - 3 * np.arange(1, len(texts) + 1) - 3
+        out = np.zeros((len(texts), len(self.langs)))
+        for k in range(0, len(gram), SLICE):
+            some = gram[k : k + SLICE].astype(np.int64)
+            cost = self.costs(some)
+            first = np.searchsorted(ends, k, side="right")
+            doc = np.searchsorted(ends, np.arange(k, k + len(some)), side="right") - first
+            for j in range(len(self.langs)):
+                add = np.bincount(doc, cost[:, j])
+                out[first : first + len(add), j] += add
+        return out
 
 
 def trained_on(doc_id: Column) -> Column:
@@ -167,14 +217,20 @@ def trained_on(doc_id: Column) -> Column:
 def learned(docs: DataFrame, ppm: Ppm) -> Model:
     rows = docs.where(trained_on(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, ppm.texts / n) * (1 << 30)))]) if sizes else None
-    if share is None:
+    if not sizes:
         return Model({})
-    h = F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 30))
-    some = rows.where(h < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counted = cut(some.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toArrow()
+    h, texts = F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 30)), ppm.texts
+    while True:
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, texts / n) * (1 << 30)))])
+        some = rows.where(h < F.element_at(share, F.col("lang"))).select("lang", "text")
+        counted = cut(some.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        strings = counted.agg(F.count_distinct("gram")).first()[0]
+        if strings * (len(sizes) + 1) * 8 * 4 <= ppm.table_mb << 20 or texts <= 1:
+            break
+        texts //= 2
+    counted = counted.toArrow()
     lang = np.array(counted.column("lang").to_pylist(), object)
-    gram, n = counted.column("gram").to_numpy().astype(np.uint32), counted.column("n").to_numpy().astype(np.float64)
+    gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy().astype(np.float64)
     return Model({x: (gram[lang == x], n[lang == x]) for x in sizes})
 
 
@@ -186,9 +242,8 @@ def predicted(docs: DataFrame, ppm: Ppm = Ppm()) -> DataFrame:
         m = model.value
         for b in batches:
             texts = [t if on else "" for t, on in zip(b.column("text").to_pylist(), b.column("letters").to_pylist(), strict=True)]
-            ends = np.cumsum([len(t) for t in texts]) // CHUNK
             pred, score = [], []
-            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1) if texts else []:
+            for part in chunks(texts):
                 some = [texts[i] for i in part]
                 if not m.langs:
                     pred, score = pred + ["und"] * len(some), score + [0.0] * len(some)
