@@ -57,6 +57,26 @@ def test_tracks_groups_and_unknown_sizes(unknown):
     assert m.clusters == 2 and m.tracks[2]["codec"] == "S_TEXT"
 
 
+def test_cues_are_sought():
+    b = M.muxed(random.Random(4).randbytes(300_032))
+    m = M.parsed(b)
+    for ms in (0, 1, 8192, 20_000, 10**9):
+        there = M.sought(b, m, ms).packets
+        at = max(c[0] for c in m.cues if c[0] <= ms)
+        assert there == [p for p in m.packets if at <= p[1] < at + M.LACE * M.BLOCKS * M.FRAME_MS]
+    assert M.sought(b[:5000], m, 10**9).packets == [] and M.sought(b, M.Media(), 5).packets == []
+    lacings = {p[3] for p in m.packets}
+    assert M.EBML_LACE in lacings or M.XIPH in lacings
+
+
+def test_null_media_and_tables_of_packets(spark):
+    rows_ = [(1, None, 5), (2, b"no media", 6), (3, bytes(M.muxed(bytes(128))), 7)]
+    df = spark.createDataFrame(rows_, "doc_id long, media binary, size int")
+    got = {r["doc_id"]: r for r in rows(M.with_packets(df))}
+    assert got[1]["packets"] is None and got[2]["packets"] == [] and got[3]["payload_bytes"] == 128 and got[3]["size"] == 7
+    assert M.packet_table(df).count() == 1
+
+
 def test_broken_files():
     b = M.muxed(bytes(range(256)) * 64)
     whole = M.parsed(b).packets
@@ -84,6 +104,14 @@ def test_features_and_packets(spark):
         assert r["payload_sha256"] == hashlib.sha256(pay).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(pay[-64:])
         assert r["media_sha256"] == hashlib.sha256(M.muxed(pay)).hexdigest()
+        frames = [pay[k : k + M.SAMPLES] for k in range(0, len(pay), M.SAMPLES)]
+        told = dict(x.split("=") for x in r["feature"].split(";"))
+        signs = [x >= 128 for x in pay]
+        assert int(told["energy"]) == sum((x - 128) ** 2 for x in pay)
+        assert int(told["crossings"]) == sum(a != b for a, b in zip(signs, signs[1:], strict=False))
+        assert int(told["packets"]) == len(frames) and told["sought"] == told["cues"] == told["clusters"]
+        mean = [sum((x - 128) ** 2 for x in f) / len(f) for f in frames]
+        assert int(told["loudest_ms"]) == mean.index(max(mean)) * M.FRAME_MS
     media = M.with_media(df.drop("media", "track", "n"))
     table = M.packet_table(media)
     assert table.where("doc_id = 1").count() == 2

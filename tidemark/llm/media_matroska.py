@@ -9,8 +9,14 @@ break off give the packets up to there, and what is no Matroska gives none.
 
 The writer stores a payload as unsigned 8-bit PCM samples (its bytes, unchanged) in one
 audio track: frames of 512 samples, eight to a block with fixed-size lacing, the last
-block with EBML lacing, clusters of 16 blocks, and a cue for each cluster. It uses no
-clock and no random ids, so equal payloads give equal files.
+block with EBML or (in clusters of odd number) Xiph lacing, clusters of 16 blocks, and a
+cue for each cluster. It uses no clock and no random ids, so equal payloads give equal
+files.
+
+``features`` stores the files as a table in the shared folder, parses the stored bytes into
+a packet table (an array of packets for each file, with the energy and zero crossings of
+the samples in each byte range), and seeks every cue: the cluster it points at, parsed by
+itself, must give the packets of that time. What it tells is summed up from the packets.
 
 Null texts count as empty; empty texts are stored as 64 zero bytes. Null media have no
 packets. Repeated rows, null ids and further columns need nothing special, and an empty
@@ -24,9 +30,13 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import written
 
 # Element ids of the Matroska format.
 EBML, DOCTYPE, DOCTYPE_VERSION, DOCTYPE_READ = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -94,7 +104,7 @@ def muxed(payload: bytes) -> bytes:
             if len(some) == LACE and len(some[-1]) == SAMPLES:
                 parts.append(element(SIMPLE, block(1, (b - c) * FRAME_MS, some, FIXED, 0x80)))
             else:
-                lacing = EBML_LACE if len(some) > 1 else NO_LACE
+                lacing = (XIPH if c // per % 2 else EBML_LACE) if len(some) > 1 else NO_LACE
                 parts.append(element(GROUP, element(BLOCK, block(1, (b - c) * FRAME_MS, some, lacing, 0)) + uint(BLOCK_TIME, len(some) * FRAME_MS)))
         cues.append(element(CUE, uint(CUE_TIME, t) + element(CUE_AT, uint(CUE_TRACK, 1) + uint(CUE_POS, pos))))
         body.append(element(CLUSTER, b"".join(parts)))
@@ -112,6 +122,7 @@ class Media:
     clusters: int = 0
     blocks: int = 0
     duration_ms: float = 0.0
+    scale: int = 1_000_000
 
 
 def read_vint(b: bytes, at: int, keep: bool = False) -> tuple[int, int]:
@@ -158,72 +169,92 @@ def lace_sizes(b: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int
 def parsed(b: bytes) -> Media:
     """The packets, tracks and cues of a Matroska file, up to where it is whole."""
     m = Media()
-    scale, now, base = 1_000_000, 0, 0
     try:
-        if read_vint(b, 0, True)[0] != EBML:
-            return m
-        open_: list[tuple[int, int, dict]] = []  # element, its end (or -1), its values
-        at, values = 0, {}
-        while at < len(b) or open_:
-            while open_ and open_[-1][1] >= 0 and at >= open_[-1][1]:
-                kind, _, values = open_.pop()
-                _closed(m, kind, values, base)
-            if at >= len(b):
-                if not open_ or open_[-1][1] >= 0:
-                    break
-                kind, _, values = open_.pop()
-                _closed(m, kind, values, base)
-                continue
-            kind, data = read_vint(b, at, True)
-            size, data = read_vint(b, data)
-            while open_ and open_[-1][1] < 0 and open_[-1][0] != SEGMENT and kind in TOP:
-                k, _, values = open_.pop()
-                _closed(m, k, values, base)
-            end = data + size if size >= 0 else -1
-            if end > len(b) and kind not in PARENTS:
-                break
-            values = open_[-1][2] if open_ else {}
-            if kind in PARENTS:
-                if kind == SEGMENT:
-                    base = data
-                elif kind == CLUSTER:
-                    m.clusters += 1
-                open_.append((kind, end, {"up": values, "scale": scale}))
-                at = data
-                continue
-            if kind in (SIMPLE, BLOCK):
-                track, p = read_vint(b, data)
-                delta, flags = struct.unpack_from(">hB", b, p)
-                lacing = flags >> 1 & 3
-                sizes, p = lace_sizes(b, p + 3, end, lacing)
-                t = (now + delta) * scale / 1e6
-                step = m.tracks.get(track, {}).get("frame_ns", 0) / 1e6
-                first = len(m.packets)
-                for k, n in enumerate(sizes):
-                    m.packets.append((track, int(t + k * step), flags >> 7 == 1, lacing, p, n))
-                    p += n
-                m.blocks += 1
-                values["packets"] = (first, kind)
-            elif kind == TIME:
-                now = int.from_bytes(b[data:end], "big")
-            elif kind == SCALE:
-                scale = int.from_bytes(b[data:end], "big")
-            elif kind == DURATION:
-                m.duration_ms = struct.unpack(">d" if size == 8 else ">f", b[data:end])[0] * scale / 1e6
-            elif kind == RATE:
-                values["up"][kind] = struct.unpack(">d" if size == 8 else ">f", b[data:end])[0]
-            elif kind == CODEC:
-                values[kind] = b[data:end].decode("latin-1")
-            elif kind in (NUMBER, KIND, FRAME_NS, CUE_TIME, CUE_TRACK, CUE_POS):
-                values[kind] = int.from_bytes(b[data:end], "big")
-            elif kind == REFERENCE:
-                values["reference"] = True
-            at = end
+        if read_vint(b, 0, True)[0] == EBML:
+            _walk(b, 0, m)
     except (IndexError, ValueError, struct.error):
         pass
     return m
 
 
+def sought(b: bytes, m: Media, ms: int) -> Media:
+    """The cluster at which the last cue at or before ms points, parsed by itself; nothing is read before it."""
+    here = Media(tracks=m.tracks, scale=m.scale)
+    cues = [c for c in m.cues if c[0] <= ms]
+    try:
+        if cues and read_vint(b, max(cues)[2], True)[0] == CLUSTER:
+            _walk(b, max(cues)[2], here, one=True)
+    except (IndexError, ValueError, struct.error):
+        pass
+    return here
+
+
+def _walk(b: bytes, at: int, m: Media, one: bool = False) -> None:
+    """Takes in elements from a place on; with ``one`` until the first is closed."""
+    scale, now, base, start = m.scale, 0, 0, at
+    open_: list[tuple[int, int, dict]] = []  # element, its end (or -1), its values
+    values = {}
+    while at < len(b) or open_:
+        while open_ and open_[-1][1] >= 0 and at >= open_[-1][1]:
+            kind, _, values = open_.pop()
+            _closed(m, kind, values, base)
+        if one and at > start and not open_:
+            break
+        if at >= len(b):
+            if not open_ or open_[-1][1] >= 0:
+                break
+            kind, _, values = open_.pop()
+            _closed(m, kind, values, base)
+            continue
+        kind, data = read_vint(b, at, True)
+        size, data = read_vint(b, data)
+        while open_ and open_[-1][1] < 0 and open_[-1][0] != SEGMENT and kind in TOP:
+            k, _, values = open_.pop()
+            _closed(m, k, values, base)
+        if one and at > start and not open_:
+            break
+        end = data + size if size >= 0 else -1
+        if end > len(b) and kind not in PARENTS:
+            break
+        values = open_[-1][2] if open_ else {}
+        if kind in PARENTS:
+            if kind == SEGMENT:
+                base = data
+            elif kind == CLUSTER:
+                m.clusters += 1
+            open_.append((kind, end, {"up": values, "scale": scale}))
+            at = data
+            continue
+        if kind in (SIMPLE, BLOCK):
+            track, p = read_vint(b, data)
+            delta, flags = struct.unpack_from(">hB", b, p)
+            lacing = flags >> 1 & 3
+            sizes, p = lace_sizes(b, p + 3, end, lacing)
+            t = (now + delta) * scale / 1e6
+            step = m.tracks.get(track, {}).get("frame_ns", 0) / 1e6
+            first = len(m.packets)
+            for k, n in enumerate(sizes):
+                m.packets.append((track, int(t + k * step), flags >> 7 == 1, lacing, p, n))
+                p += n
+            m.blocks += 1
+            values["packets"] = (first, kind)
+        elif kind == TIME:
+            now = int.from_bytes(b[data:end], "big")
+        elif kind == SCALE:
+            scale = m.scale = int.from_bytes(b[data:end], "big")
+        elif kind == DURATION:
+            m.duration_ms = struct.unpack(">d" if size == 8 else ">f", b[data:end])[0] * scale / 1e6
+        elif kind == RATE:
+            values["up"][kind] = struct.unpack(">d" if size == 8 else ">f", b[data:end])[0]
+        elif kind == CODEC:
+            values[kind] = b[data:end].decode("latin-1")
+        elif kind in (NUMBER, KIND, FRAME_NS, CUE_TIME, CUE_TRACK, CUE_POS):
+            values[kind] = int.from_bytes(b[data:end], "big")
+        elif kind == REFERENCE:
+            values["reference"] = True
+        at = end
+
+
 def _closed(m: Media, kind: int, v: dict, base: int) -> None:
     if kind == TRACK:
         m.tracks[v.get(NUMBER, 0)] = {"kind": v.get(KIND), "codec": v.get(CODEC), "frame_ns": v.get(FRAME_NS, 0), "rate": v.get(RATE)}
@@ -254,42 +285,90 @@ def with_media(docs: DataFrame, to: str = "media") -> DataFrame:
     return docs.withColumn(to, mux("text"))
 
 
-PACKET = "track int, ms long, keyframe boolean, lacing int, offset long, size long"
+PACKET = "struct<track:int,ms:long,keyframe:boolean,lacing:int,offset:long,size:long,energy:long,crossings:long>"
+
+
+def measured(b: bytes, m: Media) -> list[tuple]:
+    """The packets with the energy (squares of samples about the middle) and zero crossings of their bytes."""
+    if not m.packets:
+        return []
+    samples = np.frombuffer(payload(b, m), np.uint8).astype(np.int64) - 128
+    ends = np.cumsum([p[5] for p in m.packets])
+    energy = np.append(0, np.cumsum(samples * samples))
+    sign = samples >= 0
+    cross = np.append(0, np.cumsum(np.append(False, sign[1:] != sign[:-1])))  # a crossing counts where it arrives
+    starts = ends - [p[5] for p in m.packets]
+    return [(*p, int(e), int(c)) for p, e, c in zip(m.packets, energy[ends] - energy[starts], cross[ends] - cross[starts], strict=True)]
+
+
+def with_packets(df: DataFrame, media: str = "media") -> DataFrame:
+    """df with the column media replaced by what its files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, clusters, duration_ms, packets, cues, and sought: the cues that lead to the packets of their time."""
+    kept = [f for f in df.schema.fields if f.name != media]
+    made = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, clusters long, duration_ms double, packets array<{PACKET}>, cues array<struct<ms:long,track:int,offset:long>>, sought long"
+    made = StructType.fromDDL(made)
+
+    def told(raw: bytes) -> tuple:
+        m = parsed(raw)
+        back = payload(raw, m)
+        packets = measured(raw, m)
+        sums = hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:])
+        hit, first = 0, 0
+        for ms, _, at in sorted(m.cues):
+            there = sought(raw, m, ms).packets
+            while first < len(packets) and packets[first][4] < at:
+                first += 1
+            hit += bool(there) and there[0][1] == ms and there == m.packets[first : first + len(there)]
+        codec = ",".join(str(m.tracks[k]["codec"]) for k in sorted(m.tracks))
+        return (len(back), *sums, len(raw), hashlib.sha256(raw).hexdigest(), codec, m.clusters, m.duration_ms, [dict(zip(named, p, strict=True)) for p in packets], [dict(zip(("ms", "track", "offset"), c, strict=True)) for c in m.cues], hit)
+
+    def run(batches):
+        for b in batches:
+            raws = b.column(media)
+            for k in range(0, b.num_rows, 64):  # packets of few files at a time
+                part = b.slice(k, 64)
+                cols = list(zip(*[told(x.as_py()) if x.is_valid else (None,) * len(types) for x in raws[k : k + 64]], strict=True))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [f.name for f in kept] + made.names)
+
+    packet = pa.struct([("track", pa.int32()), ("ms", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("energy", pa.int64()), ("crossings", pa.int64())])
+    cue = pa.struct([("ms", pa.int64()), ("track", pa.int32()), ("offset", pa.int64())])
+    named = [packet.field(i).name for i in range(packet.num_fields)]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(packet), pa.list_(cue), pa.int64()]
+    return df.mapInArrow(run, StructType(kept + made.fields))
 
 
 def packet_table(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """A row for each packet: key, n, track, ms, keyframe, lacing, offset, size."""
+    """A row for each packet: key, n, and the packet's track, ms, keyframe, lacing, offset, size, energy, crossings."""
+    return with_packets(df.select(key, media), media).select(key, F.posexplode("packets").alias("n", "_p")).select(key, F.col("n").cast("long").alias("n"), "_p.*")
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, n, *p) for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if raw for n, p in enumerate(parsed(raw).packets)]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-    names = [key, "n", "track", "ms", "keyframe", "lacing", "offset", "size"]
-    return df.select(key, media).mapInArrow(run, f"`{key}` long, n long, {PACKET}")
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media of every row, as a table in the shared folder."""
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return written(with_media(docs.select("doc_id", n, "text")).drop("text"), "media")
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Every text stored as media, read back from the stored bytes, and described."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len((text or "").encode("utf-8", "surrogatepass"))
-                media = muxed(padded(text))
-                m = parsed(media)
-                back = payload(media, m)
-                laces = "".join(str(sum(p[3] == k for p in m.packets)) + "/" for k in range(4))[:-1]
-                last = m.packets[-1][1] if m.packets else 0
-                what = f"codec={m.tracks[1]['codec']};packets={len(m.packets)};blocks={m.blocks};clusters={m.clusters};cues={len(m.cues)};laced={laces};last_ms={last};duration_ms={m.duration_ms:g}"
-                out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), what))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    """Every text stored as media, and what the packets of the stored files say of it."""
+    df = with_packets(stored(docs))
+
+    def total(of, when=None) -> Column:
+        some = F.filter("packets", when) if when else F.col("packets")
+        return F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + of(p))
+
+    one = F.lit(1).cast("long")
+    loudest = F.array_max(F.transform("packets", lambda p: F.struct((p["energy"] / F.greatest(p["size"], one)).alias("mean"), (-p["offset"]).alias("first"), p["ms"].alias("ms"))))
+    what = {
+        "codec": "codec",
+        "packets": F.size("packets"),
+        "clusters": "clusters",
+        "cues": F.size("cues"),
+        "sought": "sought",
+        "laced": F.concat_ws("/", *[total(lambda p: one, lambda p, k=k: p["lacing"] == k) for k in range(4)]),
+        "last_ms": F.array_max(F.col("packets.ms")),
+        "duration_ms": F.col("duration_ms").cast("long"),
+        "energy": total(lambda p: p["energy"]),
+        "crossings": total(lambda p: p["crossings"]),
+        "loudest_ms": loudest["ms"],
+    }
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("0"))) for k, c in what.items()])
+    return df.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
