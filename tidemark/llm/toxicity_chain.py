@@ -1,7 +1,9 @@
 """Toxicity by a classifier chain: linear models predict one category after another, each fed the probabilities of those before it.
 
 A text is the set of its lower-cased words, hashed. For each category the words that tell
-most about it (by the likelihood ratio, in the training rows) are scaled by their
+about it are chosen in the training rows: those in three rows or more whose log likelihood
+ratio is at least the logarithm of the number of such words, so that chance lets few words
+in however many there are; of them the best ``Chain.telling``. They are scaled by their
 naive-Bayes log ratios, and a logistic regression is fitted on top. The probabilities that later models are trained with are out of fold:
 every training row's come from models that have not seen it. The last category's threshold
 is the one with the best F1 over such probabilities. Spark ML fits and applies the models.
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
+#: Training rows in a partition: they are bounded, and every step of a fit is a job over all partitions.
+PART_ROWS = 2500
+
 
 @dataclass(frozen=True)
 class Chain:
@@ -51,9 +56,11 @@ def bagged(docs: DataFrame, chain: Chain) -> DataFrame:
     return HashingTF(numFeatures=chain.features, inputCol="_words", outputCol="_bag", binary=True).transform(df).drop("_words")
 
 
-def telling(rows: DataFrame, label: str, chain: Chain) -> tuple[list[int], DenseVector]:
-    """The most telling words of those in three rows or more, and the log ratios of their smoothed rates in the two classes."""
+def telling(rows: DataFrame, label: str, chain: Chain) -> tuple[list[int], DenseVector] | None:
+    """The most telling words (one at least), and the log ratios of their smoothed rates in the two classes. None without rows."""
     sums = {r[label]: (r.s.toArray(), r.n) for r in rows.groupBy(label).agg(Summarizer.sum(F.col("_bag")).alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    if not sums:
+        return None
     none = (np.zeros(chain.features), 0)
     (pos, p), (neg, q) = sums.get(1.0, none), sums.get(0.0, none)
     rate = (pos + neg) / max(p + q, 1)
@@ -62,18 +69,22 @@ def telling(rows: DataFrame, label: str, chain: Chain) -> tuple[list[int], Dense
         return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
 
     gain = part(pos, p * rate) + part(neg, q * rate) + part(p - pos, p * (1 - rate)) + part(q - neg, q * (1 - rate))
-    best = np.sort(np.lexsort((np.arange(len(gain)), -np.where(pos + neg >= 3, gain, -1.0)))[: chain.telling])
+    often = pos + neg >= 3
+    gain = np.where(often, gain, -1.0)
+    many = int((gain >= np.log(max(often.sum(), 1))).sum())
+    best = np.sort(np.lexsort((np.arange(len(gain)), -gain))[: max(1, min(many, chain.telling))])
     ratio = np.log((pos + 1) / (p + 2)) - np.log((neg + 1) / (q + 2))
-    return best.tolist(), Vectors.dense(np.where(pos + neg >= 3, ratio, 0.0)[best])
+    return best.tolist(), Vectors.dense(np.where(often, ratio, 0.0)[best])
 
 
 def fitted(rows: DataFrame, name: str, before: list[str], chain: Chain) -> PipelineModel | None:
     """A model that adds p_<name>, from _bag and the probabilities ``before``."""
     label = f"_is_{name}"
     rows = rows.where(F.col(label).isNotNull())
-    if rows.isEmpty():
+    found = telling(rows, label, chain)
+    if not found:
         return None
-    best, ratio = telling(rows, label, chain)
+    best, ratio = found
     pick = VectorSlicer(inputCol="_bag", outputCol="_some", indices=best)
     scale = ElementwiseProduct(scalingVec=ratio, inputCol="_some", outputCol="_scaled")
     join = VectorAssembler(inputCols=["_scaled", *before], outputCol="_all")
@@ -110,15 +121,16 @@ def trained(docs: DataFrame, labels: DataFrame, chain: Chain) -> tuple[list[Pipe
     labels = labels.where(h < int((1 << 30) * min(1.0, chain.rows / max(n, 1))))
     rows = docs.select("doc_id", "text").join(small(labels, min(n, chain.rows)), "doc_id")
     fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(chain.folds)).cast("int")  # copies share a fold
-    rows = written(bagged(rows, chain).select("_bag", fold.alias("_fold"), *is_), "train")
+    parts = max(1, -(-min(n, chain.rows) // PART_ROWS))
+    rows = written(bagged(rows, chain).select("_bag", fold.alias("_fold"), *is_), "train").coalesce(parts)
     models, before = [], []
     for name, _ in chain.categories:
         models.append(fitted(rows, name, before, chain))
-        parts = [predicted(rows.where(F.col("_fold") == k), fitted(rows.where(F.col("_fold") != k), name, before, chain), name) for k in range(chain.folds)]
-        out = parts[0]
-        for p in parts[1:]:
+        held = [predicted(rows.where(F.col("_fold") == k), fitted(rows.where(F.col("_fold") != k), name, before, chain), name) for k in range(chain.folds)]
+        out = held[0]
+        for p in held[1:]:
             out = out.unionByName(p)
-        rows, before = written(out, "out-of-fold"), [*before, f"p_{name}"]
+        rows, before = written(out, "out-of-fold").coalesce(parts), [*before, f"p_{name}"]
     return models, best_threshold(rows, name)
 
 
