@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import bagminhash as B
+from tidemark.llm import common
 
 SCHEMA = "doc_id long, text string, source string, label string, band int"
 
@@ -106,8 +107,10 @@ def test_clashing_columns_stay(spark):
     assert got(B.near_duplicates(df)) == [(0, 0), (1, 0), (2, 2)]
 
 
-def test_large_groups_are_dealt_out(spark):
-    """Hubs, heavy buckets and heavy copies above the bound from which keys are salted."""
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_large_groups_are_dealt_out(spark, monkeypatch, most):
+    """Hubs, heavy buckets and heavy copies above the bound from which keys are salted, with and without broadcasts."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     base = text(21, 120)
     rows = [(i, base) for i in range(300)] + [(1000 + i, base + f" x{i}") for i in range(300)] + [(5000 + i, text(100 + i, 60)) for i in range(50)]
     df = spark.createDataFrame([(*r, "s", "l", 1) for r in rows], SCHEMA).repartition(6)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_join, small, written
+from .common import cut, dealt_join, key_join, small, written
 
 #: Counters by which shingles are ordered. They only decide how many pairs are looked at, never which links are found.
 CELLS = 1 << 17
@@ -228,7 +228,7 @@ def texts_of(keys: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     """a, b, similarity of those pairs (a, b) of text keys whose texts are similar. Each pair's texts meet once, whole."""
-    at_a, at_b = (cut(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))) for c in "ab")
+    at_a, at_b = (pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")) for c in "ab")
     out = dealt_join(pairs, texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a", "b", counts=at_a)
     out = dealt_join(out, texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b", "a", counts=at_b)
     return cut(out.select("a", "b", "ta", "tb").mapInArrow(_verify(near), "a binary, b binary, similarity double"))
@@ -289,14 +289,14 @@ def across(mixed_keys: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """key, label (the smallest key of its component) for every key of links (a, b). Each round takes the smallest label of a neighbour, then the label of one's label."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct())
-    degrees = cut(edges.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label")))
+    n = labels.count()
     while True:
-        seen = dealt_join(edges, labels.select(F.col("key").alias("v"), "label"), "v", "u", counts=degrees).groupBy("u").agg(F.min("label").alias("m"))
+        seen = key_join(edges, labels.select(F.col("key").alias("v"), "label"), "v", by="u", rows=n).groupBy("u").agg(F.min("label").alias("m"))
         step = labels.join(seen, labels["key"] == seen["u"]).select("key", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         step = cut(step)
         jump = step.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        step = cut(dealt_join(step, jump, "label", "key", "left").select("key", "old", F.least(F.col("label"), F.coalesce("next", "label")).alias("label")))
+        step = cut(key_join(step, jump, "label", by="key", rows=n).select("key", "old", F.col("next").alias("label")))
         if step.where(F.col("label") != F.col("old")).isEmpty():
             return step.select("key", "label")
         labels = step.select("key", "label")
@@ -312,34 +312,34 @@ def classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     reps = written(members.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "reps")
     banded = reps.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
     filled = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(dealt_join(banded, filled, "band", "key", counts=filled))
+    shared = cut(key_join(banded, filled, "band", by="key"))
     # The text that meets most others is likely the one that they were made from; a second centre is taken at random.
     met = shared.join(shared.groupBy("key").agg(F.sum("n").alias("met")), "key")
     first = F.max(F.struct("met", "key")).alias("first")
     second = F.max(F.struct(F.xxhash64("key").alias("h"), "key")).alias("second")
     centres = met.groupBy("band").agg(first, second).select("band", F.array("first.key", "second.key").alias("c"))
-    pairs = dealt_join(shared.select("band", "key"), centres, "band", "key", counts=filled).select("key", F.explode("c").alias("c")).where("key != c")
+    pairs = key_join(shared.select("band", "key"), cut(centres), "band", by="key").select("key", F.explode("c").alias("c")).where("key != c")
     pairs = cut(pairs.select(*_ordered("key", "c")).distinct())
     texts = texts_of(shared.select("key").distinct(), docs, reps)
     links = verified(pairs, texts, near)
     labels = components(links)
-    at = cut(shared.select("band", "key").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
+    at = key_join(shared.select("band", "key"), labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
     several = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_keys = dealt_join(at, several, "band", "key", counts=filled).select("key", "label").distinct()
+    open_keys = key_join(at, cut(several), "band", by="key").select("key", "label").distinct()
     more = verified(cut(across(open_keys, texts, near).join(pairs, ["a", "b"], "left_anti")), texts, near)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = cut(reps.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    named = cut(key_join(reps.select("key", "doc_id", "copies"), labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id").alias("id"), "key")).alias("_s")
     found = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), stands)
     found = found.select("label", "class_id", "class_size", F.col("_s.key").alias("of_key"), F.col("_s.id").alias("of_id"))
-    return members.select("key", "doc_id"), dealt_join(named.select("key", "label"), found, "label", "key").drop("label")
+    return members.select("key", "doc_id"), cut(key_join(named.select("key", "label"), cut(found), "label", by="key").drop("label"))
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, class_id, class_size for every row of docs (doc_id, text): rows of one class are linked by similar texts."""
     members, of_key = classes(docs, near)
-    return dealt_join(members, of_key, "key", F.coalesce("doc_id", F.monotonically_increasing_id()), "left").select("doc_id", "class_id", "class_size")
+    return key_join(members, of_key, "key", "left").select("doc_id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -350,7 +350,7 @@ def one_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """
     members, of_key = classes(docs, near)
     each = cut(members.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    each = cut(dealt_join(each, of_key, "key", "doc_id").withColumn("_stays", (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))))
+    each = cut(key_join(each, of_key, "key", by="doc_id").withColumn("_stays", (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))))
     whole = docs.select(F.struct(*docs.columns).alias("_row"), text_key().alias("_key"), F.col("doc_id").alias("_id"))
 
     def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:

@@ -60,18 +60,25 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str, by: Column | str, how:
     copied to each salt. ``counts`` (key, n) saves counting. Keys are not null.
     """
     if counts is None:
-        counts = cut(many.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
+        counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     light = max(LIGHT, rows // MOST_HEAVY)
-    heavy = cut(counts.where(F.col("n") > light).select(key, F.ceil(F.col("n") / light).cast("int").alias("_salts")))
-    if heavy.isEmpty():
+    if most <= light:
         return many.join(one, key, how)
+    heavy = cut(counts.where(F.col("n") > light).select(key, F.ceil(F.col("n") / light).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     many = many.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
     one = one.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return many.join(one, [key, "_salt"], how).drop("_salt")
 
 
+def key_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", by: Column | str | None = None, rows: int | None = None) -> DataFrame:
+    """many joined with one, a narrow table with a row for a key: by broadcast if its counted rows are within the bound, else with heavy keys dealt out."""
+    if (one.count() if rows is None else rows) <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one), key, how)
+    return dealt_join(many, one, key, F.monotonically_increasing_id() if by is None else by, how)
+
+
 def words(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
