@@ -10,9 +10,14 @@ No source is sorted as a whole: keys are dealt into cells, cell sums give the ce
 the budget ends, and only the rows of that cell are sorted. What is left is a row for
 each source, and every document is decided by itself, from its key.
 
-Null sources are one source, in last place. Null and empty texts have size 0 and take
-nothing; null ids share one key, broken by a checksum of the text. An empty table gives
-an empty result. Other columns are kept by ``mixed`` and ignored elsewhere.
+The quality weight is made of text statistics: the share of characters that mark
+boiler-plate, how far the mean length of words is from usual, and the share of lines that
+repeat others.
+
+Targets are computed over one row a source, in one task. Null sources are one source, in
+last place. Null and empty texts have size 0 and take nothing; null ids draw by a checksum
+of the text. An empty table gives an empty result. Other columns are kept by ``mixed`` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .common import cells, cut, small, unit_hash, words
 
 #: Characters that mark boiler-plate and garbage; their share lowers a document's weight.
 JUNK = "#$%&*!|"
+SPACE = " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -39,15 +45,22 @@ class Mix:
 
 
 def quality(text=None):
-    """Weight in [0.25, 1]: the share of characters that aren't junk."""
+    """Weight in [0.05, 1]: falls with the share of JUNK characters, with the distance of the mean word from 4 to 8 characters, and with repeated lines. 1 without a word."""
     text = F.col("text") if text is None else text
-    junk = F.length(text) - F.length(F.translate(text, JUNK, ""))
-    return F.coalesce(1 - 0.75 * junk / F.nullif(F.length(text), F.lit(0)), F.lit(1.0))
+    length, count = F.length(text), words(text)
+    junk = length - F.length(F.translate(text, JUNK, ""))
+    mean = F.length(F.translate(text, SPACE, "")) / F.nullif(count, F.lit(0))
+    lines = F.split(text, "\n")
+    fine = 1 - F.least(F.lit(1.0), 4.0 * junk / F.nullif(length, F.lit(0)))
+    usual = 1 - F.least(F.lit(1.0), F.greatest(4.0 - mean, mean - 8.0, F.lit(0.0)) / 8.0)
+    fresh = F.size(F.array_distinct(lines)) / F.size(lines)
+    return F.when(count > 0, 0.05 + 0.95 * (fine * usual * fresh)).otherwise(1.0)
 
 
 def keyed(docs: DataFrame, mix: Mix) -> DataFrame:
     """_row (the row itself), doc_id, size and what decides on it: _src, _key, _id, _sum."""
-    u = unit_hash(F.lit(mix.seed), F.col("doc_id").cast("string"))
+    own = F.concat(F.lit("-"), F.crc32(F.coalesce("text", F.lit(""))).cast("string"))
+    u = unit_hash(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), own))
     return docs.select(
         F.struct(*docs.columns).alias("_row"),
         "doc_id",
@@ -115,11 +128,22 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 #: u is the same hash in both engines; weights, caps and budgets are exact numbers of words.
 SQL = r"""
-with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    -ln((cast('0x' || substr(md5(concat_ws(':', 'mix-1', cast(doc_id as varchar))), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0)
-      / coalesce(1 - 0.75 * (length(text) - length(translate(text, '#$%&*!|', ''))) / nullif(length(text), 0), 1.0) as key
+with p as (
+  select doc_id, source, text, length(text) as chars, string_split(text, chr(10)) as lines,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as solid,
+    length(text) - length(translate(text, '#$%&*!|', '')) as junk,
+    (cast('0x' || substr(md5(concat_ws(':', 'mix-1', cast(doc_id as varchar))), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0 as u
   from documents),
+q as (
+  select *, solid::double / nullif(size, 0) as mean from p),
+d as (
+  select doc_id, source, size,
+    -ln(u) / case when size > 0 then 0.05::double + 0.95::double * (
+      (1 - least(1.0::double, 4.0::double * junk / nullif(chars, 0)))
+      * (1 - least(1.0::double, greatest(4.0::double - mean, mean - 8.0::double, 0.0::double) / 8.0::double))
+      * (len(list_distinct(lines))::double / len(lines))) else 1.0::double end as key
+  from q),
 s as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rn from d group by source),
 w as (select *, case (rn - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w, 2.0::double * source_size as cap from s),
