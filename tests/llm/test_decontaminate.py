@@ -1,6 +1,8 @@
+import random
 import re
 from collections import defaultdict
 
+from tidemark.llm import common
 from tidemark.llm import decontaminate as D
 
 from .helpers import rows
@@ -65,10 +67,10 @@ def test_reparameterised_questions(spark):
     data = [(1, FILL + Q + " " + FILL), (2, FILL + other), (3, FILL + other.upper()), (4, FILL), (5, None), (6, ""), (7, "1 2 3 4 5 6 7 8 9"), (None, Q), (1, FILL + Q + " " + FILL), (8, FILL * 3000 + other), (9, " ".join(Q.split()[:12])), (10, mixed)]
     df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in data], SCHEMA).repartition(3)
     got = rows(D.leaks(df, bench))
-    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == brute(data, [(1, Q), (6, Q)])
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted([*brute(data, [(1, Q), (6, Q)]), (7, 5)], key=str)
     form = {r["doc_id"]: r["form"] for r in got}
     assert form[1] == "verbatim" and form[2] == form[8] == "other values"
-    assert 4 not in form and 9 not in form and 7 not in form
+    assert 4 not in form and 9 not in form and form[7] == "verbatim"
     clean = D.cleaned(df, bench)
     assert clean.columns == df.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in data if i is not None and i not in form)
@@ -115,6 +117,55 @@ def test_copies_in_another_case(spark):
     assert got == {(k, 2 if 4 <= k <= 6 else 1): "other values" if k in (6, 7) else "verbatim" for k in (1, 2, 3, 4, 5, 6, 7, 9, *range(100, 116))}
 
 
+def test_beyond_the_broadcasts(spark, sf, monkeypatch):
+    """Shuffled joins, with heavy windows, items and copies dealt out, give the same rows."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    first = bench.orderBy("item_id").first()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.range(300).selectExpr("id + 100000", f"'{first.text.replace(chr(39), ' ')}'")).union(spark.range(300).selectExpr("id + 200000", f"concat(id, ' ', '{first.text.replace(chr(39), ' ')}')"))
+    want = sorted(map(str, D.leaks(docs, bench).collect()))
+    assert len(want) > 600
+    kept = D.cleaned(docs, bench).count()
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "ITEM_BYTES", 0)
+    for most in (0, 10**6):
+        monkeypatch.setattr(D, "MOST_HASHES", most)
+        assert sorted(map(str, D.leaks(docs, bench).collect())) == want
+    assert D.cleaned(docs, bench).count() == kept
+
+
+def test_recall_of_replaced_values_on_the_benchmark(spark):
+    """Items of the test tables, which hold no values, get numbers, units and names between their words; with others in their
+    places, each the same throughout, in the middle of documents, nine in ten are found, and no document without them."""
+    rng = random.Random(8)
+    names = ["Anna", "Boris", "Clara", "David", "Emma", "Frank"]
+    old, new = {}, {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect():
+        who = rng.sample(names, 3)
+        numbers = rng.sample(range(10, 99), 3)
+        other = dict(zip(who, rng.sample(["Gustav", "Helga", "Igor", "Johanna"], 3), strict=True)) | {str(n): str(n + 100) for n in numbers}
+        words = []
+        for k, w in enumerate(r.text.split()):
+            words.append(w)
+            if k % 7 == 6:
+                words.append(str(rng.choice(numbers)) + rng.choice(["", " km", " kg"]))
+            if k % 11 == 10 and w[-1].islower():
+                words.append(rng.choice(who))
+        old[r.item_id] = " ".join(words)
+        new[r.item_id] = re.sub("|".join(other), lambda m, other=other: other[m[0]], old[r.item_id])
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(len(old)).select("text").collect()]
+    data = [(i, f"{d} {new[i]} {d}", "a", "b", 1) for i, d in zip(old, docs, strict=True)] + [(10_000 + k, d, "a", "b", 1) for k, d in enumerate(docs)]
+    got = [(r.doc_id, r.item_id, r.form) for r in D.leaks(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(i, t, "k") for i, t in old.items()], BENCH)).collect()]
+    print(len(got), len(old))
+    assert len(got) >= 0.9 * len(old) and all(d == i and form == "other values" for d, i, form in got)
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, Q, "a", "k"), (2, FILL, "b", "k")], "doc_id long, text string, _k string, _key string")
+    assert [tuple(r) for r in D.cleaned(df, spark.createDataFrame([(1, Q, "k")], BENCH)).collect()] == [(2, FILL, "b", "k")]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, Q, "a", "b", 1)], SCHEMA), spark.createDataFrame([(1, Q, "k")], BENCH)
     assert D.leaks(docs.limit(0), bench).count() == 0

@@ -14,7 +14,9 @@ are left out. An item that has no other windows is sought as it stands: by its w
 five bare words (lower-cased, without placeholders), or as a whole run if it has fewer than
 five words, so that an item of one word is held by every text with that word.
 
-Every distinct text is judged once by its checksum, and copies share the verdict. Null and
+Copies share the verdict, which goes by a text's checksum. What is broadcast is counted
+first, texts by their bytes; beyond the bounds the joins shuffle, with heavy windows, items
+and copies dealt out. Null and
 empty texts, and items without a word, match nothing. Repeated rows give repeated
 results, null ids stay null. Empty tables give an empty result. Other columns are ignored
 (``cleaned`` keeps them).
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, written
+from .common import BROADCAST_ROWS, cut, dealt_join, key_join, small, written
 
 #: Units that make the word after a number a slot.
 UNITS = "km cm mm m kg g mg lb lbs oz l ml s sec seconds min minutes h hr hours days weeks months years miles feet ft inches in yards percent dollars euros pounds cents usd eur degrees mph kph watts volts people".split()
@@ -40,6 +42,9 @@ PLACES = (1, 2, 3)
 #: Words of a text that are hashed at once.
 PART = 256
 
+#: Window hashes up to which texts are searched by a broadcast of them alone, and bytes of items that are broadcast: 50 MB each at most, as held.
+MOST_HASHES, ITEM_BYTES = 1_000_000, 8 << 20
+
 
 @dataclass(frozen=True)
 class Leak:
@@ -50,7 +55,7 @@ class Leak:
 def tokens(text: Column) -> Column:
     """Lower-cased words; names and units keep a mark in front."""
     marked = F.regexp_replace(text, rf"(?i)([0-9]\x20?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    marked = F.regexp_replace(marked, r"(?<=[\p{Ll},;:]\x20)(?=\p{Lu}\p{Ll})", NAME)
+    marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;:]\x20)", NAME)
     return F.filter(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}]+"), lambda t: t != "")
 
 
@@ -155,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     rows = items.count()
     runs = sorted(r.run for r in wins.select("run").distinct().collect() if r.run)
     at = placed(docs.select(text_key().alias("key"), "text"), "key", runs=runs)
-    hits = at.join(small(wins, n), "hash").groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
+    hits = met(at, wins, n).groupBy("key", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
     whole = wins.groupBy("item").agg(F.count_distinct("at").alias("windows"))
     hits = hits.select("key", "item", "offset", "ats", F.size("ats").alias("n"))
     found = hits.groupBy("key", "item").agg(
@@ -167,12 +172,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
     judged = F.filter("_at", lambda o: (o["n"] == F.col("_most")) | (o["n"] / F.col("windows") >= leak.covered))
     found = found.select("key", "item", "covered", F.explode(judged).alias("best"))
     found = cut(found.select("key", "item", "covered", "best.n", "best.offset", "best.lo", (F.col("best.hi") - F.col("best.lo") + 5).alias("len")))
-    some = found.select("key").distinct()
-    held = docs.select("doc_id", text_key().alias("key"), "text").join(small(some, some.count()), "key", "left_semi")
-    held = written(held, "held")
+    rows_of = docs.select("doc_id", text_key().alias("key"), "text")
+    held = written(key_join(rows_of, cut(found.select("key").distinct()), "key", "left_semi"), "held")
     mine = held.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("mine"))
     theirs = texts.select("item", tokens(F.col("text")).alias("theirs"))
-    side = found.join(mine, "key").join(small(theirs, max(n, rows)), "item")
+    side = found.join(mine, "key")
+    if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= ITEM_BYTES:
+        side = side.join(F.broadcast(theirs), "item")
+    else:
+        side = dealt_join(side, theirs, "item", "key", counts=found.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     pair = F.arrays_zip(F.slice("theirs", F.col("lo") + 1, F.col("len")).alias("i"), F.slice("mine", F.col("lo") + F.col("offset") + 1, F.col("len")).alias("d"))
     pair = F.filter(pair, lambda p: (kind(p["i"]) > 0) & ((kind(p["i"]) == kind(p["d"])) | (bare(p["i"]) == bare(p["d"]))))
     slots = F.transform(pair, lambda p: F.struct(bare(p["i"]).alias("i"), bare(p["d"]).alias("d")))
@@ -186,11 +194,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFra
         "key", "item", "covered", "_told.slots", "_told.consistent", F.when(F.col("_told.same"), "verbatim").otherwise("other values").alias("form")
     )
     side = side.join(small(items.select("item", "item_id"), rows), "item")
-    return held.select("key", "doc_id").join(side, "key").select("doc_id", "item_id", "covered", "slots", "consistent", "form")
+    told = F.collect_list(F.struct("item_id", "covered", "slots", "consistent", "form")).alias("_items")  # as many as items at most
+    side = cut(side.groupBy("key").agg(told))
+    return key_join(held.select("key", "doc_id"), side, "key").select("doc_id", F.inline("_items"))
+
+
+def met(at: DataFrame, wins: DataFrame, n: int) -> DataFrame:
+    """The windows of texts (hash and more) with the n windows of items that have their hash."""
+    if n <= BROADCAST_ROWS:
+        return at.join(F.broadcast(wins), "hash")
+    spots = cut(wins.groupBy("hash").agg(F.collect_list(F.struct("item", "at", "run")).alias("_spots")))
+    if spots.count() <= MOST_HASHES:  # few windows of the texts are left to be shuffled
+        at = cut(at.join(F.broadcast(spots.select("hash")), "hash", "left_semi"))
+    return dealt_join(at, spots, "hash", "key").select(*at.columns, F.inline("_spots"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
     """The rows of docs that hold no item. Rows without an id are judged by their text, like all others."""
     bad = leaks(docs.select(F.struct("doc_id", text_key().alias("k")).alias("doc_id"), "text"), benchmark, leak)
-    bad = cut(bad.select(F.col("doc_id.k").alias("_k")).distinct())
-    return docs.withColumn("_k", text_key()).join(small(bad, bad.count()), "_k", "left_anti").drop("_k")
+    bad = cut(bad.select(F.col("doc_id.k").alias("_key")).distinct())
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), text_key().alias("_key"))
+    return key_join(whole, bad, "_key", "left_anti").select("_row.*")
