@@ -1,7 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads, with DataFrame functions only.
 
 The ring has a fixed number of slots. A shard's virtual nodes own the slots up to the
-next node anticlockwise, and a document belongs to the arc of its id's hash. A shard holds
+next node anticlockwise, and a document belongs to the arc of the hash of its id and its
+text's checksum, so that many rows of one id, or without one, stand in many places. A shard holds
 its bound of rows and no more; the rows of an arc that overflow it continue clockwise to
 the next node of a shard that still has room. The bounds are the number of rows over the
 number of shards, rounded up for the first shards and down for the others, so every shard
@@ -12,8 +13,7 @@ alone; they are bounded by the ring, never by the data. Rows are ranked inside a
 cells, so that no task holds an arc.
 
 Null and empty texts have size 1. Repeated rows stay: rows equal in all columns are
-counted together and dealt out again. Null ids share one place on the ring. An empty
-table gives an empty result. All columns but the text are kept.
+counted together and dealt out again. Null ids are placed by their text. An empty table gives an empty result. All columns but the text are kept.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def sharded(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*other).alias("_row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
-    place = F.xxhash64(F.lit(ring.seed), F.col("_row.doc_id"))
+    place = F.xxhash64(F.lit(ring.seed), F.col("_row.doc_id"), F.col("text_crc32"))
     rows = cut(rows.withColumn("_unit", F.shiftrightunsigned(place, 11) / float(1 << 53)))
     slot = F.floor(F.col("_unit") * ring.slots)
     counted = {r.slot: (r.n, r.most, r.rows) for r in rows.groupBy(slot.alias("slot")).agg(F.sum("_n").alias("n"), F.max("_n").alias("most"), F.count(F.lit(1)).alias("rows")).collect()}
