@@ -188,8 +188,8 @@ def greedy(prices, width):
 @given(st.lists(st.floats(1, 2, allow_nan=False), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_clusters_are_anchored(prices):
-    got = T.clustered([(p, i, i % 2 == 0) for i, p in enumerate(prices)], 0.05)
-    assert [sorted(c["prices"]) for c in got] == greedy(prices, 0.05)
+    p = np.sort(np.array(prices, float))
+    assert [list(x) for x in np.split(p, T.clustered(p, 0.05))[1:]] == greedy(prices, 0.05)
 
 
 @given(st.integers(0, 10_000))
@@ -202,10 +202,46 @@ def test_topology_invariants(seed):
     rows = T.levels(o, h, lo, c, 0.0001)
     assert len(rows) <= 20 and sum(r[8] for r in rows) == pytest.approx(1, abs=1e-5)
     assert all(r[2] >= 1 and r[3] <= r[2] and r[1] in ("support", "resistance", "flip_zone") for r in rows)
-    v = T.vector(rows, 60, lo.min(), h.max())
+    v = T.vector(rows, 60)
     assert len(v) == 40 and all(0 <= x <= 1 for x in v)
 
 
+def test_topology_vector_of_few_levels():
+    assert T.vector([], 50) == [0.0] * 40
+    level = lambda price, kind, away: (price, kind, 2, 1, 1, 0.5, 10, away, 0.5)
+    one = T.vector([level(1.1, "support", 3.0)], 50)
+    assert one[32:36] == [1, 0, 0, 0] and one[39] == 0
+    two = T.vector([level(1.1, "support", 3.0), level(1.2, "resistance", 30.0)], 50)
+    assert two[32:36] == [0.5, 0, 0, 0.5] and two[38] == 0.5 and two[39] == 1
+    assert T.vector([level(1.1, "support", 0.0), level(1.2, "flip_zone", 4.0)], 50)[39] == 0.5
+
+
+def test_blocks_give_the_windows_of_a_whole_asset(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    c = 100 + np.cumsum(rng.normal(0, 1, 500))
+    o = np.concatenate([[100], c[:-1]])
+    rows = [(float(a), float(max(a, b) + 0.5), float(min(a, b) - 0.5), float(b)) for a, b in zip(o, c, strict=True)]
+    df = P.with_pip(bars(spark, rows), 0.1)
+    for current in (True, False):
+        whole = sorted(map(str, T.topology(df, current).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(T, "BLOCK", 120)
+            assert sorted(map(str, T.topology(df, current).collect())) == whole
+    assert len(whole) == 470
+
+
+def test_search_in_blocks_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(o, o + 2, o - 2, o + d) for o, d in zip(rng.uniform(90, 110, 130), rng.uniform(-2, 2, 130), strict=True)]
+    s = P.fingerprints(bars(spark, rows), 0.05)
+    s = s.withColumn("topology", F.when(F.hour("ts") != 4, F.array(F.col("l1")[0], F.col("l1")[1], F.lit(0.2))))
+    for search in (lambda: M.batch_search(s, 7, 0.1), lambda: M.engine_search(s, 7)):
+        whole = sorted(map(str, search().collect()))
+        with monkeypatch.context() as m:
+            m.setattr(M, "BLOCK", 16)
+            assert sorted(map(str, search().collect())) == whole
+
+
 @given(st.floats(-1e6, 1e6, allow_nan=False))
 @settings(max_examples=20, deadline=None)
 def test_rounding_is_half_up(spark, x):

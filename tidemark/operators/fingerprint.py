@@ -77,6 +77,13 @@ _BOND, _GOLD = _snapshot("us10y", "1e0", "4e0"), _snapshot("gold", "1500e0", "10
 #: Eight components of macro context from market snapshots.
 MACRO = [_DXY, _VIX, _SPX, _BOND, _GOLD, f"1e0 - {_DXY}", f"({_SPX} + 1e0 - {_VIX}) / 2e0", f"abs({_BOND} - {_GOLD})"]
 
+_FEAR = f"((({_VIX}) + ({_GOLD})) / 2e0)"
+#: Six components of sentiment from market snapshots: fear, risk aversion, dollar, equity appetite, bond stress, their mean.
+MOOD = [_VIX, _FEAR, _DXY, _SPX, _BOND, f"({_VIX} + {_FEAR} + {_DXY} + {_SPX} + {_BOND}) / 5e0"]
+#: Components of the engines' vectors, in the order of the layers.
+MACRO_PARTS = ("event_proximity_pressure", "aggregate_surprise_factor", "rate_differential", "high_impact_event_count", "medium_impact_event_count", "event_density", "upcoming_event_intensity", "composite_macro_state")
+MOOD_PARTS = ("aggregate_sentiment", "bullish_pressure", "bearish_pressure", "article_volume", "sentiment_dispersion", "momentum")
+
 VOL_REGIME = f"case when {RANGE} < 30 then 'LOW' when {RANGE} > 70 then 'HIGH' else 'NORMAL' end"
 TREND_REGIME = f"case when high = low then 'RANGING' when {NET} / {RANGE} > 3e-1 then 'BULLISH' when {NET} / {RANGE} < -3e-1 then 'BEARISH' else 'RANGING' end"
 SESSION = "case when hour(ts) >= 4 and hour(ts) < 12 then 'LONDON' when hour(ts) >= 12 and hour(ts) < 20 then 'NY' else 'ASIA' end"
@@ -103,12 +110,29 @@ def layer(parts: list[str]):
 
 
 def fingerprints(candles: DataFrame, pip: float) -> DataFrame:
-    """One row for each bar: id, regime, and the layers l1 to l5 (l4 and l5 neutral unless context is joined)."""
+    """One row for each bar: id, regime, and the layers l1 to l5 (l4 and l5 neutral until ``with_context``)."""
     df = with_regime(with_id(with_pip(candles, pip)))
     half = lambda n: F.array(*[F.lit(0.5)] * n)
     return df.withColumns({"l1": layer(STRUCTURE), "l2": layer(VOLATILITY), "l3": F.array(*[F.expr(x) for x in LIQUIDITY]), "l4": half(8), "l5": half(6)})
 
 
+def with_context(states: DataFrame, macro: DataFrame, sentiment: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """states with l4 and l5 from the context, and macro_source and sentiment_source.
+
+    macro: by ts, events and MACRO_PARTS; sentiment: by asset and ts, articles and MOOD_PARTS;
+    snapshots: by ts, dxy, vix, spx, us10y and gold. A layer is the engine's vector if it saw
+    an event or article, else made of the snapshot, else neutral.
+    """
+    m = macro.where("events > 0").select("ts", F.array(*MACRO_PARTS).alias("_l4"))
+    s = sentiment.where("articles > 0").select("asset", "ts", F.array(*MOOD_PARTS).alias("_l5"))
+    p = snapshots.select("ts", layer(MACRO).alias("_p4"), layer(MOOD).alias("_p5"))
+    df = states.join(m, "ts", "left").join(s, ["asset", "ts"], "left").join(p, "ts", "left")
+    for name, own, other, to in (("macro", "_l4", "_p4", "l4"), ("sentiment", "_l5", "_p5", "l5")):
+        source = F.when(F.col(own).isNotNull(), "engine").when(F.col(other).isNotNull(), "snapshot").otherwise("neutral")
+        df = df.withColumns({f"{name}_source": source, to: F.coalesce(own, other, to)}).drop(own, other)
+    return df
+
+
 def last(n: int, upto: int = 0):
     return Window.partitionBy("asset").orderBy("ts").rowsBetween(-(n - 1), upto)
 

@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_join(points: DataFrame, marks: DataFrame, on: list[str], at: str, mark: str, before: int, after: int, how: str = "inner", step: int = 14_400) -> DataFrame:
-    """Pairs with ``mark - before <= at <= mark + after`` (seconds): points are dealt into all bins of ``step`` seconds in which a mark could want them, and joined by bin."""
+def interval_join(points: DataFrame, marks: DataFrame, on: list[str], at: str, mark: str, before: int, after: int, step: int = 14_400) -> DataFrame:
+    """Pairs with ``mark - before <= at <= mark + after`` (seconds): marks, the fewer, are dealt into all bins of ``step`` seconds that they look into, and joined with the points by bin."""
     sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    low, high = F.floor((sec(at) - after) / step), F.floor((sec(at) + before) / step)
-    dealt = points.withColumn("_bin", F.explode(F.sequence(low, high)))
-    out = marks.withColumn("_bin", F.floor(sec(mark) / step)).join(dealt, [*on, "_bin"], how)
+    low, high = F.floor((sec(mark) - before) / step), F.floor((sec(mark) + after) / step)
+    dealt = marks.withColumn("_bin", F.explode(F.sequence(low, high)))
+    out = points.withColumn("_bin", F.floor(sec(at) / step)).join(dealt, [*on, "_bin"])
     near = (sec(at) >= sec(mark) - before) & (sec(at) <= sec(mark) + after)
-    if how == "left":
-        raise ValueError("aggregate the inner join and join the marks to that")
     return out.where(near).drop("_bin")
 
 
+def numbered(df: DataFrame, key: list[str], ts: str) -> DataFrame:
+    """df with _n: 0, 1, ... in time order within a key. A key's rows are sorted in one task: they must be bounded, as bars on a time grid are."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(ts)) - 1)
+
+
+def blocked(df: DataFrame, key: list[str], ts: str, size: int, back: int) -> DataFrame:
+    """df with _n (order in the key), _block and _own: rows in blocks of ``size``, each with copies (not _own) of the ``back`` rows before it."""
+    if back > size:
+        raise ValueError("a block must hold what the next one looks back on")
+    df = numbered(df, key, ts)
+    block = F.floor(F.col("_n") / size)
+    here, on = F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own"))
+    late = F.col("_n") % size >= size - back
+    df = df.withColumn("_at", F.explode(F.when(late, F.array(here, on)).otherwise(F.array(here))))
+    return df.select(*[c for c in df.columns if c != "_at"], F.col("_at.b").alias("_block"), F.col("_at.own").alias("_own"))
+
+
 def asof_next(df: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
     """The row's columns and those of the next row of its key, null behind the last."""
     w = Window.partitionBy(key).orderBy(ts)

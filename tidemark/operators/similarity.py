@@ -1,19 +1,25 @@
-"""The most similar earlier states of every state, within its asset.
-
-Pairs come from an equi join on asset (and, with the pre-filter, on regime) under a time
-condition; norms are computed once per state. Ties go to the smaller id.
+"""The most similar earlier states of every state, within its asset (or within asset and regime).
+
+States are numbered in time and dealt into blocks. Every pair of blocks (a later or the same
+one against an earlier one) is a group of its own, in which NumPy computes all similarities
+as products of matrices and keeps the best k of each query; what is left, k rows for each
+query and block, is ranked again. So no task holds more than two blocks, however long an
+asset's history is, and no pair of states ever becomes a row. Scores are rounded to six
+digits before they are ranked; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors as V
-
-from .joins import top_per_key
+from .joins import numbered, top_per_key
 from .outcomes import r6
 
+#: States of a block.
+BLOCK = 1024
 LAYERS = ("structure", "volatility", "liquidity", "macro", "sentiment")
 #: Weights of the layers by volatility; others weigh the same.
 WEIGHTS = {"LOW": (0.40, 0.15, 0.30, 0.10, 0.05), "NORMAL": (0.20, 0.15, 0.15, 0.30, 0.20), "HIGH": (0.25, 0.25, 0.15, 0.20, 0.15)}
@@ -27,58 +33,102 @@ def weight(vol: Column, i: int) -> Column:
     return out
 
 
-def sides(states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = states
-    for i in range(1, 6):
-        s = s.withColumn(f"m{i}", V.norm(F.col(f"l{i}")))
-    keep = ["asset", "fingerprint_id", "ts", "vol_regime", "trend_regime", "session", *[f"{x}{i}" for x in "lm" for i in range(1, 6)]]
-    q = s.select("asset", *[F.col(c).alias(f"q_{c}") for c in keep if c != "asset"])
-    return q, s.select("asset", *[F.col(c).alias(f"c_{c}") for c in keep if c != "asset"])
-
-
-def pairs(states: DataFrame, prefilter: bool, earlier: bool = True) -> DataFrame:
-    q, c = sides(states)
-    c = c.withColumnRenamed("asset", "c_asset")
-    on = F.col("asset") == F.col("c_asset")
-    for x in ("vol_regime", "trend_regime") if prefilter else ():
-        on = on & (F.col(f"q_{x}") == F.col(f"c_{x}"))
-    when = F.col("c_ts") < F.col("q_ts") if earlier else F.col("c_fingerprint_id") != F.col("q_fingerprint_id")
-    return q.join(c, on & when).drop("c_asset")
-
-
-def scored(p: DataFrame, euclid: tuple[int, ...]) -> DataFrame:
-    """s1 to s5: cosine, or closeness for the layers in ``euclid``; and their weighted sum."""
-    for i in range(1, 6):
-        a, b = F.col(f"q_l{i}"), F.col(f"c_l{i}")
-        s = V.closeness(a, b) if i in euclid else V.cosine(a, b, F.col(f"q_m{i}"), F.col(f"c_m{i}"))
-        p = p.withColumn(f"s{i}", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
-    total = sum((F.col(f"s{i}") * weight(F.col("q_vol_regime"), i - 1) for i in range(2, 6)), F.col("s1") * weight(F.col("q_vol_regime"), 0))
-    return p.withColumn("score", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))))
-
-
 def blended(score: Column, topology: Column, w: float = TOPOLOGY_WEIGHT) -> Column:
     """The score with the topology's similarity mixed in, where there is one."""
     return F.when(topology.isNull() | F.lit(w == 0), score).otherwise(r6((1 - w) * score + w * topology))
 
 
-def ranked(p: DataFrame, k: int) -> DataFrame:
-    best = top_per_key(p, ["asset", "q_fingerprint_id"], [F.col("score").desc(), F.col("c_fingerprint_id")], k)
-    return best.select("asset", F.col("q_fingerprint_id").alias("fingerprint_id"), F.col("c_fingerprint_id").alias("match_id"), "rank", "score", *[r6(F.col(f"s{i}")).alias(f"s{i}") for i in range(1, 6)], F.col("q_vol_regime").alias("vol_regime"), F.col("q_session").alias("session"), F.col("c_vol_regime").alias("match_vol_regime"), F.col("c_session").alias("match_session"))
+def rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All cosines of rows; 0 where a norm is."""
+    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    both = na[:, None] * nb
+    return np.where(both > 0, (a @ b.T) / np.where(both > 0, both, 1.0), 0.0)
+
+
+def closenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 / (1 + distance) of all rows."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):  # differences, not squares of norms, so that equal rows are at distance 0
+        out += (a[:, j, None] - b[:, j]) ** 2
+    return 1 / (1 + np.sqrt(out))
+
+
+REGIME = ["vol_regime", "trend_regime", "session"]
+FOUND = "asset string, fingerprint_id string, match_id string, score double, s1 double, s2 double, s3 double, s4 double, s5 double, topology_score double, vol_regime string, session string, match_vol_regime string, match_session string"
+
+
+def search(states: DataFrame, keys: list[str], k: int, euclid: tuple[int, ...] = (), bonus: bool = False, topology_weight: float = 0.0) -> DataFrame:
+    """The k best earlier states of each state among those with the same keys.
+
+    Layers in ``euclid`` are compared by distance, the others by cosine. bonus: the same
+    session adds 5 %, then the same volatility 3 %, to at most 1. With a topology weight the
+    cosine of the vectors in the column ``topology`` is mixed in where both states have one.
+    """
+    layers = [f"l{i}" for i in range(1, 6)]
+    cols = [*dict.fromkeys([*keys, "asset", "fingerprint_id", *REGIME, *layers]), *(["topology"] if topology_weight else [])]
+    df = numbered(states.select("ts", *cols), keys, "ts").drop("ts").withColumn("_b", F.floor(F.col("_n") / BLOCK).cast("int"))
+    last = df.groupBy(*keys).agg(F.max("_b").alias("_last"))
+    df = df.join(last, keys)
+    as_query = F.transform(F.sequence(F.lit(0), F.col("_b")), lambda b: F.struct(F.col("_b").alias("q"), b.alias("c"), F.lit(True).alias("query")))
+    as_match = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda b: F.struct(b.alias("q"), F.col("_b").alias("c"), F.lit(False).alias("query")))
+    df = df.withColumn("_p", F.explode(F.concat(as_query, as_match))).select("*", "_p.*").drop("_p", "_b", "_last")
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        q, c = (b[b["query"] == on].sort_values("_n", ignore_index=True) for on in (True, False))
+        scores = []
+        for i in range(1, 6):
+            x, y = (np.array(side[f"l{i}"].tolist(), float).reshape(len(side), -1) for side in (q, c))
+            scores.append(np.clip((closenesses if i in euclid else cosines)(x, y), 0, 1))
+        w = np.array([WEIGHTS.get(v, (0.2,) * 5) for v in q["vol_regime"]]).reshape(len(q), 5)
+        total = sum((s * w[:, i, None] for i, s in enumerate(scores)), np.zeros((len(q), len(c))))
+        total = rounded(np.clip(total, 0, 1))
+        if bonus:
+            for name, more in (("session", 1.05), ("vol_regime", 1.03)):
+                same = q[name].to_numpy()[:, None] == c[name].to_numpy()
+                total = np.where(same, np.minimum(1.0, total * more), total)
+            total = rounded(total)
+        shape = np.full(total.shape, np.nan)
+        if topology_weight:
+            has_q, has_c = (np.flatnonzero(side["topology"].notna()) for side in (q, c))
+            if len(has_q) and len(has_c):
+                t = np.clip(cosines(*(np.array(side["topology"][at].tolist(), float) for side, at in ((q, has_q), (c, has_c)))), 0, 1)
+                at = np.ix_(has_q, has_c)
+                shape[at] = t
+                total[at] = rounded((1 - topology_weight) * total[at] + topology_weight * t)
+        earlier = c["_n"].to_numpy() < q["_n"].to_numpy()[:, None]
+        ids, rows, hits = c["fingerprint_id"].to_numpy(), [], []
+        for r in range(len(q)):
+            n = int(earlier[r].sum())  # they stand first
+            some = np.arange(n)
+            if n > k:
+                least = np.partition(total[r, :n], n - k)[n - k]
+                some = some[total[r, :n] >= least]
+            some = some[np.lexsort((ids[some].astype(str), -total[r, some]))[:k]]
+            rows.append(np.full(len(some), r))
+            hits.append(some)
+        r, m = np.concatenate([*rows, np.zeros(0, int)]).astype(int), np.concatenate([*hits, np.zeros(0, int)]).astype(int)
+        out = {"asset": q["asset"].to_numpy()[r], "fingerprint_id": q["fingerprint_id"].to_numpy()[r], "match_id": ids[m], "score": total[r, m]}
+        out |= {f"s{i + 1}": rounded(s[r, m]) for i, s in enumerate(scores)} | {"topology_score": rounded(shape[r, m])}
+        out |= {"vol_regime": q["vol_regime"].to_numpy()[r], "session": q["session"].to_numpy()[r], "match_vol_regime": c["vol_regime"].to_numpy()[m], "match_session": c["session"].to_numpy()[m]}
+        return pd.DataFrame(out)
+
+    found = df.groupBy(*keys, "q", "c").applyInPandas(run, FOUND)
+    found = found.withColumn("topology_score", F.when(~F.isnan("topology_score"), F.col("topology_score")))
+    return top_per_key(found, ["asset", "fingerprint_id"], [F.col("score").desc(), F.col("match_id")], k)
 
 
 def engine_search(states: DataFrame, k: int = TOP) -> DataFrame:
     """Only states of the same regime; context layers by distance."""
-    return ranked(scored(pairs(states, prefilter=True), (4, 5)), min(k, TOP))
+    return search(states, ["asset", "vol_regime", "trend_regime"], min(k, TOP), euclid=(4, 5))
 
 
-def batch_search(states: DataFrame, k: int = TOP) -> DataFrame:
-    """All earlier states of the asset by cosine; the same session adds 5 %, then the same volatility 3 %, to at most 1."""
-    p = scored(pairs(states, prefilter=False), ())
-    one = F.lit(1.0)
-    s = F.when(F.col("q_session") == F.col("c_session"), F.least(one, F.col("score") * 1.05)).otherwise(F.col("score"))
-    p = p.withColumn("score", s)
-    s = F.when(F.col("q_vol_regime") == F.col("c_vol_regime"), F.least(one, F.col("score") * 1.03)).otherwise(F.col("score"))
-    return ranked(p.withColumn("score", r6(s)), k)
+def batch_search(states: DataFrame, k: int = TOP, topology_weight: float = 0.0) -> DataFrame:
+    """All earlier states of the asset by cosine, with the bonus of session and volatility; with a topology weight, blended with the column topology."""
+    return search(states, ["asset"], k, bonus=True, topology_weight=topology_weight)
 
 
 def explained(matches: DataFrame, threshold: float = MATCHED) -> DataFrame:

@@ -46,7 +46,15 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    return P.fingerprints(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP)
+    """States with the context of calendar, news and snapshots."""
+    b = bars(spark, sf)
+    return P.with_context(P.fingerprints(b, PIP), K.macro(b.select("ts").distinct(), calendar(spark, sf)), K.sentiment(b, articles(spark, sf)), snapshots(spark, sf))
+
+
+def shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """States with the topology vector of the bars before them, null where those are too few."""
+    t = T.topology(bars(spark, sf), include_current=False).select("asset", "ts", F.col("vector").alias("topology"))
+    return states(spark, sf).join(t, ["asset", "ts"], "left")
 
 
 def regime_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,11 +165,31 @@ def l3_liquidity(spark, sf):
 
 @query
 def l4_macro_snapshot(spark, sf):
-    """Closes of the five assets stand for the five snapshot symbols, brought into their ranges."""
+    return split(snapshots(spark, sf), "l4", [feature(x) for x in P.MACRO], ["ts"])
+
+
+@query
+def l5_sentiment_snapshot(spark, sf):
+    """As above; every seventh hour block lacks the volatility index."""
+    snap = snapshots(spark, sf).withColumn("vix", F.when(F.dayofmonth("ts") % 7 != 0, F.col("vix")))
+    return split(snap, "l5", [feature(x) for x in P.MOOD], ["ts"])
+
+
+@query
+def state_layers(spark, sf):
+    """Where layers four and five come from and what they are: news and calendar of the first ten days only, snapshots of the first twenty, so that each source is used."""
     b = bars(spark, sf)
-    wide = b.groupBy("ts").agg(*[F.max(F.when(F.col("asset") == a, F.col("close"))).alias(f"x{i}") for i, a in enumerate(ASSETS)])
-    snap = wide.select("ts", *[F.expr(e).alias(n) for n, e in SNAPSHOT.items()])
-    return split(snap, "l4", [feature(x) for x in P.MACRO], ["ts"])
+    ten, twenty = (F.lit(f"2024-01-{d}").cast("timestamp_ntz") for d in (11, 21))
+    m = K.macro(b.select("ts").distinct(), calendar(spark, sf).where(F.col("event_date") < ten))
+    s = K.sentiment(b, articles(spark, sf).where(F.col("published_at") < ten))
+    df = P.with_context(P.fingerprints(b, PIP), m, s, snapshots(spark, sf).where(F.col("ts") < twenty))
+    return split(df, "l4", [f"l4[{i}]" for i in range(8)], ["asset", "ts", "macro_source", "sentiment_source", "l5"]).select("*", *[F.col("l5")[i].alias(f"l5_{i}") for i in range(6)]).drop("l5")
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Closes of the five assets stand for the five snapshot symbols, brought into their ranges."""
+    wide = bars(spark, sf).groupBy("ts").agg(*[F.max(F.when(F.col("asset") == a, F.col("close"))).alias(f"x{i}") for i, a in enumerate(ASSETS)])
+    return wide.select("ts", *[F.expr(e).alias(n) for n, e in SNAPSHOT.items()])
 
 
 ASSETS = ("click", "view", "purchase", "signup", "error")
@@ -249,7 +277,8 @@ def topk_similarity(spark, sf):
 
 @query
 def similarity_batch(spark, sf):
-    return M.batch_search(states(spark, sf)).select("asset", "fingerprint_id", "match_id", "rank", "score")
+    """All earlier states of the asset, blended with the topology."""
+    return M.batch_search(shaped(spark, sf), topology_weight=M.TOPOLOGY_WEIGHT).select("asset", "fingerprint_id", "match_id", "rank", "score")
 
 
 @query
@@ -265,10 +294,9 @@ def match_explanation(spark, sf):
 
 @query
 def blended_score(spark, sf):
-    """Layer one stands in for the topology vector, missing for the fifth match."""
-    m = M.engine_search(states(spark, sf), 5)
-    t = F.when(F.col("rank") != 5, F.col("s1"))
-    return m.select("fingerprint_id", "match_id", M.blended(F.col("score"), t).alias("blended"))
+    """The topology's part in the five best matches; the first bars have no topology."""
+    m = M.batch_search(shaped(spark, sf), 5, M.TOPOLOGY_WEIGHT)
+    return m.select("fingerprint_id", "match_id", "topology_score", F.col("score").alias("blended"))
 
 
 @query
@@ -576,8 +604,10 @@ def time_ago(spark, sf):
 
 @query
 def sparkline(spark, sf):
-    g = bars(spark, sf).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s"))
-    return g.select("asset", F.size("s").alias("n"), F.col("s")[0]["close"].alias("first"), F.get("s", F.size("s") - 1)["close"].alias("last"))
+    """The last 24 closes of each asset, in time order."""
+    last = J.top_per_key(bars(spark, sf).select("asset", "ts", "close"), ["asset"], [F.col("ts").desc()], 24)
+    g = last.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s"))
+    return g.select("asset", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: F.format_string("%.2f", x["close"])), ",").alias("closes"))
 
 
 @query

@@ -28,8 +28,71 @@ g as (select *, {r6(P.NET, 2)} as net_pips, {r6(P.RANGE, 2)} as range_pips, {P.V
 FWD = f"""{REG},
 nx as (select *, lead(ts) over w as next_ts, lead(high) over w as nh, lead(low) over w as nl, lead(close) over w as nc from g window w as (partition by asset order by ts)),
 o as (select *, {r6("(nc - close) / pip", 2)} as net_return_pips, {r6("(nh - close) / pip", 2)} as mfe_pips, {r6("(close - nl) / pip", 2)} as mae_pips, {r6("((nh - nl) / pip) / 10000e0", 4)} as realised_volatility from nx where next_ts is not null)"""
-STATES = f"""{REG},
-v as (select *, [{", ".join(feature(x) for x in P.STRUCTURE)}] as l1, [{", ".join(feature(x) for x in P.VOLATILITY)}] as l2, [{", ".join(P.LIQUIDITY)}] as l3, list_resize([0.5::double], 8, 0.5::double) as l4, list_resize([0.5::double], 6, 0.5::double) as l5 from g)"""
+
+
+def contains(text: str, terms) -> str:
+    return "(" + " or ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def count_of(text: str, terms) -> str:
+    return "(" + " + ".join(f"contains({text}, '{t}')::int" for t in terms) + ")"
+
+
+def impact(name: str, terms: str = "calendar") -> str:
+    high, medium = X.IMPACT[terms]
+    return f"case when {contains(f'lower({name})', high)} then 'high' when {contains(f'lower({name})', medium)} then 'medium' else 'low' end"
+
+
+_NAMES = "['CPI report', 'rate decision', 'PMI survey', 'GDP release', 'retail sales', 'speech']"
+CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 43920)::int) + interval '30 minutes' as event_date from orders),
+cal as (select name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
+TIMES = "times as (select distinct ts from candles)"
+NEWS = """news as (select timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as published_at, (((doc_id * 37) % 21 - 10) / 10)::double as hint, (((doc_id * 13) % 11) / 10)::double as relevance from documents)"""
+
+
+_MACRO_PARTS = {"event_proximity_pressure": 0.25, "aggregate_surprise_factor": 0.20, "rate_differential": 0.15, "high_impact_event_count": 0.15, "medium_impact_event_count": 0.05, "event_density": 0.05, "upcoming_event_intensity": 0.15}
+_SNAP = {"dxy": "90e0 + x0 / 10e0", "vix": "10e0 + x1 / 5e0", "spx": "3000e0 + x2 * 10e0", "us10y": "1e0 + x3 / 50e0", "gold": "1500e0 + x4 * 4e0"}
+_ASSETS = ("click", "view", "purchase", "signup", "error")
+_KNOWN = f"case when n = 0 then 5e-1 else {r6('({}) * least(n / 3, 1e0) + 5e-1 * (1 - least(n / 3, 1e0))')} end"
+SNAPS = f"""wide as (select ts, {', '.join(f"max(case when asset = '{a}' then close end) as x{i}" for i, a in enumerate(_ASSETS))} from c group by ts),
+snaps as (select ts, {', '.join(f'{v} as {k}' for k, v in _SNAP.items())} from wide)"""
+
+
+def macro_cte(cal: str = "cal") -> str:
+    """mac: the macro vector of every time."""
+    return f"""mj as (select t.ts, k.*, case impact when 'high' then 3e0 when 'medium' then 2e0 else 1e0 end as w, (epoch(event_date) - epoch(t.ts)) / 3600.0::double as ahead, case when estimate = 0 then actual - estimate else (actual - estimate) / abs(estimate) end as d from times t join {cal} k on event_date between t.ts - interval '72 hours' and t.ts + interval '24 hours'),
+ms as (select ts, count(*) as n, min(case when impact = 'high' and ahead > 0 then ahead end) as nxt, sum(case when actual is not null and estimate is not null then (greatest(-1e0, least(1e0, d)) + 1) / 2 * w end) as sw, sum(case when actual is not null and estimate is not null then w end) as w,
+  max(case when is_rate and actual is not null then {{'t': event_date, 'd': greatest(-1e0, least(1e0, actual - previous))}} end).d as rate, sum((impact = 'high')::int) as nh, sum((impact = 'medium')::int) as nm, sum(case when ahead > 0 then w else 0 end) as soon from mj group by ts),
+mp as (select ts, n, coalesce(greatest(0e0, least(1e0, 1 - nxt / 24)), 0e0) as event_proximity_pressure, coalesce(sw / w, 5e-1) as aggregate_surprise_factor, coalesce((rate + 1) / 2, 5e-1) as rate_differential, least(1e0, nh / 5) as high_impact_event_count, least(1e0, nm / 10) as medium_impact_event_count, least(1e0, n / 20) as event_density, least(1e0, soon / 15) as upcoming_event_intensity from times left join ms using (ts)),
+mq as (select *, {' + '.join(f'{w}::double * {k}' for k, w in _MACRO_PARTS.items())} as composite_macro_state from mp),
+mac as (select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1 else {r6(k)} end as {k}' for k in [*_MACRO_PARTS, 'composite_macro_state'])} from mq)"""
+
+
+def sentiment_cte(news: str = "news") -> str:
+    """sen: the sentiment vector of every bar."""
+    return f"""sj as (select t.ts, hint, hint > 0.2::double as up, hint < -0.2::double as down, relevance * pow(5e-1, (epoch(t.ts) - epoch(published_at)) / 3600.0::double / 8e0) as w from times t join {news} k on published_at between t.ts - interval '24 hours' and t.ts),
+ss as (select ts, count(*) as n, sum(hint * w) as sw, sum(w) as w, avg(up::int) as bull, avg(down::int) as bear, avg((hint + 1) / 2) as m, avg((hint + 1) / 2 * ((hint + 1) / 2)) as mm from sj group by ts),
+sa as (select asset, ts, coalesce(n, 0) as n, case when coalesce(w, 0) = 0 then 5e-1 else (sw / w + 1) / 2 end as agg, bull, bear, greatest(mm - m * m, 0) as var from c left join ss using (ts)),
+sb as (select *, (agg - coalesce(lag(agg) over (partition by asset order by ts), 5e-1) + 1) / 2 as mo from sa),
+sen as (select asset, ts, n as articles, {_KNOWN.format('agg')} as aggregate_sentiment, {_KNOWN.format('bull')} as bullish_pressure, {_KNOWN.format('bear')} as bearish_pressure, {_KNOWN.format('least(n / 50, 1e0)')} as article_volume, {_KNOWN.format('least(var / 25e-2, 1e0)')} as sentiment_dispersion, {_KNOWN.format('mo')} as momentum from sb)"""
+
+
+_MOOD_PARTS = ("aggregate_sentiment", "bullish_pressure", "bearish_pressure", "article_volume", "sentiment_dispersion", "momentum")
+CONTEXT = f"{TIMES}, {NEWS}, {CAL}, {macro_cte()}, {sentiment_cte()}, {SNAPS}"
+
+
+def state_cte(snaps: str = "snaps") -> str:
+    """v: states with their layers and the sources of the last two."""
+    none = lambda n: f"list_resize([0.5::double], {n}, 0.5::double)"
+    return f"""v as (select g.*, [{", ".join(feature(x) for x in P.STRUCTURE)}] as l1, [{", ".join(feature(x) for x in P.VOLATILITY)}] as l2, [{", ".join(P.LIQUIDITY)}] as l3,
+  case when mac.events > 0 then [{", ".join([*_MACRO_PARTS, "composite_macro_state"])}] when sn.ts is not null then [{", ".join(feature(x) for x in P.MACRO)}] else {none(8)} end as l4,
+  case when sen.articles > 0 then [{", ".join(_MOOD_PARTS)}] when sn.ts is not null then [{", ".join(feature(x) for x in P.MOOD)}] else {none(6)} end as l5,
+  case when mac.events > 0 then 'engine' when sn.ts is not null then 'snapshot' else 'neutral' end as macro_source,
+  case when sen.articles > 0 then 'engine' when sn.ts is not null then 'snapshot' else 'neutral' end as sentiment_source
+  from g left join mac on g.ts = mac.ts left join sen on g.asset = sen.asset and g.ts = sen.ts left join {snaps} sn on g.ts = sn.ts)"""
+
+
+STATES = f"{REG}, {CONTEXT}, {state_cte()}"
 EXT = f"""{STATES},
 x as (
   select *, row_number() over (partition by asset order by ts)::double as t, list(high - low) over w as wr, avg(high - low) over w as wavg, count(*) over w as wn,
@@ -74,26 +137,6 @@ ev1 as (select *, (direction_predicted = direction_actual)::int as direction_acc
 ev as (select *, {r6("err", 2)} as error, {r6("abs(err)", 2)} as abs_error, {r6("err * err", 4)} as squared_error, {r6("(bu * bu + bd * bd + bf * bf) / 3")} as brier, {r6("confidence - direction_accuracy")} as calibration_error, {BUCKET} as bucket,
   direction_accuracy = 1 and abs(err) <= 0.5 * abs(net_return_pips) as tradeability_success, vol_regime || '_' || trend_regime as regime from ev1)"""
 
-NEWS = """news as (select timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as published_at, (((doc_id * 37) % 21 - 10) / 10)::double as hint, (((doc_id * 13) % 11) / 10)::double as relevance from documents)"""
-_NAMES = "['CPI report', 'rate decision', 'PMI survey', 'GDP release', 'retail sales', 'speech']"
-
-
-def contains(text: str, terms) -> str:
-    return "(" + " or ".join(f"contains({text}, '{t}')" for t in terms) + ")"
-
-
-def count_of(text: str, terms) -> str:
-    return "(" + " + ".join(f"contains({text}, '{t}')::int" for t in terms) + ")"
-
-
-def impact(name: str, terms: str = "calendar") -> str:
-    high, medium = X.IMPACT[terms]
-    return f"case when {contains(f'lower({name})', high)} then 'high' when {contains(f'lower({name})', medium)} then 'medium' else 'low' end"
-
-
-CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 43920)::int) + interval '30 minutes' as event_date from orders),
-cal as (select name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
-TIMES = "times as (select distinct ts from candles)"
 HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar"))}[(doc_id % 8 + 1)::int] || coalesce(' ' || text, '') as headline from documents)"""
 
 
@@ -118,10 +161,45 @@ def ranked(src: str, k: int) -> str:
     return f"rk as (select *, row_number() over (partition by asset, fingerprint_id order by score desc, match_id) as rank from {src} qualify rank <= {k})"
 
 
+def topology_cte(current: bool) -> str:
+    """tl: the levels of every bar, rk from 1; tv: its vector t, for bars with 30 bars or more in their window. Needs ``with recursive``."""
+    frame = "119 preceding and current row" if current else "120 preceding and 1 preceding"
+    scale = {"strength": "1e0", "distance_pips": "500e0", "age": "any_value(n)", "touches": "any_value(n)", "rejections": "any_value(n)", "breakouts": "any_value(n)", "importance": "1e0"}
+    parts = ["count(*) / 20e0", *[f"count_if(kind = '{k}') / count(*)" for k in ("support", "resistance", "flip_zone")]]
+    parts += [f"{e} / {d}" for x, d in scale.items() for e in (f"min({x})", f"max({x})", f"{r6(f'sum({x})', 9)} / count(*)", f"stddev_pop({x})")]
+    parts += [f"count_if(quarter = {k}) / count(*)" for k in range(4)]
+    up, down = (f"count_if(kind = '{k}' and distance_pips > 0)" for k in ("resistance", "support"))
+    parts += [f"{r6("list_sum(list_sort(list(strength), 'desc')[1:5])", 9)} / least(5, count(*))", parts[3], "count_if(distance_pips <= 20) / count(*)", f"case when {up} + {down} = 0 then 5e-1 else 1 - abs({up} - {down})::double / ({up} + {down}) end"]
+    return f"""tw0 as (select asset, ts, pip, count(*) over w as n, list(open) over w as o, list(high) over w as h, list(low) over w as l, list(close) over w as k from c window w as (partition by asset order by ts rows between {frame})),
+tw as (select *, k[n] as price_now from tw0 where n >= 30),
+tb as (select asset, ts, pip, n, i, o[i] as o, h[i] as h, l[i] as l, k[i] as k, h[i - 1] as h0, h[i + 1] as h2, l[i - 1] as l0, l[i + 1] as l2 from (select *, unnest(range(1, n + 1)) as i from tw)),
+tc as (select asset, ts, pip, i, h as price, 0 as sup from tb where i > 1 and i < n and h > h0 and h > h2
+  union all select asset, ts, pip, i, l, 1 from tb where i > 1 and i < n and l < l0 and l < l2
+  union all select asset, ts, pip, i, least(o, k), 1 from tb where h > l and abs(k - o) > 0.6::double * (h - l)
+  union all select asset, ts, pip, i, greatest(o, k), 0 from tb where h > l and abs(k - o) > 0.6::double * (h - l)),
+ta as (select asset, ts, pip, min(price) as a from tc group by all
+  union all select ta.asset, ta.ts, ta.pip, min(tc.price) from ta join tc on tc.asset = ta.asset and tc.ts = ta.ts and tc.price - ta.a > 5e0 * ta.pip group by all),
+tm as (select tc.asset, tc.ts, tc.pip, a, {r6(r6('sum(price)', 8) + ' / count(*)', 5)} as price, min(i) as first, sum(sup) / count(*) as share from tc asof join ta on tc.asset = ta.asset and tc.ts = ta.ts and tc.price >= ta.a group by all),
+tt as (select tm.asset, tm.ts, tm.pip, tm.price, first, share, count_if(l <= price + 3e0 * tb.pip and h >= price - 3e0 * tb.pip) as met, count_if(l <= price + 3e0 * tb.pip and h >= price - 3e0 * tb.pip and abs(k - price) <= 3e0 * tb.pip) as back from tm join tb on tm.asset = tb.asset and tm.ts = tb.ts group by all),
+tr as (select asset, ts, price, n, case when share > 0.65::double then 'support' when share < 0.35::double then 'resistance' else 'flip_zone' end as kind, greatest(1, met) as touches, back as rejections, met - back as breakouts, back / greatest(1, met) as strength, n - first + 1 as age, {r6('abs(price - price_now) / tt.pip', 2)} as distance_pips,
+  row_number() over (partition by asset, ts order by 2 * back + greatest(1, met) - (met - back) desc, price) as rk from tt join tw using (asset, ts) qualify rk <= 20),
+ti as (select *, strength / greatest(distance_pips, 1) as raw, sum(strength / greatest(distance_pips, 1)) over p as total, count(*) over p as many from tr window p as (partition by asset, ts)),
+tj as (select *, {r6('case when total > 0 then raw / total else 1 / many end')} as part from ti),
+tq as (select *, sum(part) over (partition by asset, ts) as whole, row_number() over (partition by asset, ts order by part desc, rk) as nth from tj),
+tl as (select *, {r6('part + case when nth = 1 then 1 - whole else 0e0 end')} as importance from tq),
+tx as (select *, case when max(price) over p > min(price) over p then least(floor((price - min(price) over p) / (max(price) over p - min(price) over p) * 4), 3) else 0 end as quarter from tl window p as (partition by asset, ts)),
+ty as (select asset, ts, any_value(n) as n, [{', '.join(f'greatest(0, least(1, {r6(x)}))' for x in parts)}] as t from tx group by asset, ts),
+tv as (select asset, ts, coalesce(t, list_resize([0e0], 40, 0e0)) as t from tw left join ty using (asset, ts))"""
+
+
+TOPO = topology_cte(False)
 ENGINE = f"{STATES}, {search((4, 5), True)}"
-BATCH = f"""{STATES}, {search((), False)},
+BATCH = f"""{STATES}, {TOPO}, {search((), False)},
 b1 as (select * replace (case when session = match_session then least(1, score * 1.05::double) else score end as score) from sc),
-b2 as (select * replace ({r6("case when vol_regime = match_vol_regime then least(1, score * 1.03::double) else score end")} as score) from b1)"""
+b2 as (select * replace ({r6("case when vol_regime = match_vol_regime then least(1, score * 1.03::double) else score end")} as score) from b1),
+vt as (select fingerprint_id, t, sqrt(list_dot_product(t, t)) as m from v join tv using (asset, ts)),
+b3 as (select b2.*, case when a.m * b.m > 0 then greatest(0, least(1, list_dot_product(a.t, b.t) / (a.m * b.m))) when a.m is not null and b.m is not null then 0e0 end as cosine from b2 left join vt a on b2.fingerprint_id = a.fingerprint_id left join vt b on b2.match_id = b.fingerprint_id),
+b4 as (select * replace (case when cosine is null then score else {r6("0.9::double * score + 0.1::double * cosine")} end as score), {r6("cosine")} as topology_score from b3)"""
 TRADES = "not (dayofweek(ts) = 6 or (dayofweek(ts) = 0 and hour(ts) < 21) or (dayofweek(ts) = 5 and hour(ts) >= 21))"
 V1 = f"""cf as (select *, {r6("greatest(0, least(1, rawc))")} as confidence_raw, greatest(0, least(1, rawc)) as raw1, case when sample_size < 30 then least(sample_size / 30, 0.5::double) else 1.0::double end as sw, greatest(0, least(1, 0.7::double * mr + 0.3::double * (1 - dv))) as st from cf0)"""
 
@@ -142,22 +220,14 @@ f4 as (select *, r[1].name as "primary", -r[1].s as primary_score, list_filter(r
 select asset, ts, "primary", primary_score, array_to_string(list_transform(sec, lambda p: p.name || ':' || printf('%.4f', case when primary_score > 0 then -p.s / primary_score else 0 end)), ',') as secondary, {", ".join(f"rule_{n}" for n in rules)} from f4"""
 
 
-def _weights() -> str:
-    return "case impact when 'high' then 3e0 when 'medium' then 2e0 else 1e0 end"
-
-
 def stats(c: str) -> list[str]:
     mean = f"list_avg({c})"
     return [mean, f"sqrt(list_avg(list_transform({c}, lambda z: (z - {mean}) * (z - {mean}))))", f"list_min({c})", f"list_max({c})"]
 
 
 _ML = [*stats("l1"), *stats("l2"), *[f"l4[{i}]" for i in range(1, 9)], *[f"l5[{i}]" for i in range(1, 7)], *[f"(session = '{s}')::int::double" for s in ("LONDON", "NY", "ASIA")], *[f"(vol_regime = '{r}')::int::double" for r in ("HIGH", "LOW")], "rolling_trend", "atr_percentile", "vol_regime_score"]
-_MACRO_PARTS = {"event_proximity_pressure": 0.25, "aggregate_surprise_factor": 0.20, "rate_differential": 0.15, "high_impact_event_count": 0.15, "medium_impact_event_count": 0.05, "event_density": 0.05, "upcoming_event_intensity": 0.15}
-_SNAP = {k: v for k, v in {"dxy": "90e0 + x0 / 10e0", "vix": "10e0 + x1 / 5e0", "spx": "3000e0 + x2 * 10e0", "us10y": "1e0 + x3 / 50e0", "gold": "1500e0 + x4 * 4e0"}.items()}
-_ASSETS = ("click", "view", "purchase", "signup", "error")
 _PAIR = "from e a join e b on a.label = b.label and a.vec_id < b.vec_id"
 _EMB = "e as (select vec_id, label, list_transform(embedding, lambda z: z::double) as v from embeddings)"
-_KNOWN = f"case when n = 0 then 5e-1 else {r6('({}) * least(n / 3, 1e0) + 5e-1 * (1 - least(n / 3, 1e0))')} end"
 
 
 def corr() -> str:
@@ -181,7 +251,9 @@ ORACLE_SQL: dict[str, str] = {
     "l1_structure": f"with {BARS} select asset, ts, {cols('l1', [feature(x) for x in P.STRUCTURE])} from c",
     "l2_volatility": f"with {BARS} select asset, ts, {cols('l2', [feature(x) for x in P.VOLATILITY])} from c",
     "l3_liquidity": f"with {BARS} select asset, ts, {cols('l3', P.LIQUIDITY)} from c",
-    "l4_macro_snapshot": f"with {BARS}, w as (select ts, {', '.join(f'''max(case when asset = '{a}' then close end) as x{i}''' for i, a in enumerate(_ASSETS))} from c group by ts), s as (select ts, {', '.join(f'{v} as {k}' for k, v in _SNAP.items())} from w) select ts, {cols('l4', [feature(x) for x in P.MACRO])} from s",
+    "l4_macro_snapshot": f"with {BARS}, {SNAPS} select ts, {cols('l4', [feature(x) for x in P.MACRO])} from snaps",
+    "l5_sentiment_snapshot": f"with {BARS}, {SNAPS}, sn as (select * replace (case when day(ts) % 7 != 0 then vix end as vix) from snaps), n as (select ts, {', '.join(f'coalesce(greatest(0e0, least(1e0, ({x} - {lo}) / {w})), 5e-1) as {x}' for x, lo, w in (('vix', '10e0', '30e0'), ('gold', '1500e0', '1000e0'), ('dxy', '90e0', '20e0'), ('spx', '3000e0', '2500e0'), ('us10y', '1e0', '4e0')))} from sn) select ts, {r6('vix')} as l5_0, {r6('(vix + gold) / 2')} as l5_1, {r6('dxy')} as l5_2, {r6('spx')} as l5_3, {r6('us10y')} as l5_4, {r6('(vix + (vix + gold) / 2 + dxy + spx + us10y) / 5')} as l5_5 from n",
+    "state_layers": f"with {REG}, {TIMES}, {NEWS}, {CAL}, news10 as (select * from news where published_at < timestamp '2024-01-11'), cal10 as (select * from cal where event_date < timestamp '2024-01-11'), {macro_cte('cal10')}, {sentiment_cte('news10')}, {SNAPS}, snaps20 as (select * from snaps where ts < timestamp '2024-01-21'), {state_cte('snaps20')} select asset, ts, macro_source, sentiment_source, {', '.join(f'l4[{i + 1}] as l4_{i}' for i in range(8))}, {', '.join(f'l5[{i + 1}] as l5_{i}' for i in range(6))} from v",
     "forward_outcomes": f"with {FWD} select asset, ts, next_ts, net_return_pips, mfe_pips, mae_pips, realised_volatility from o",
     "rolling_trend": f"with {EXT} select asset, ts, rolling_trend from e",
     "atr_percentile": f"with {EXT} select asset, ts, atr_percentile from e",
@@ -195,9 +267,9 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_pairs": f"with {_EMB} select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as similarity {_PAIR}",
     "l2_similarity": f"with {_EMB} select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('1 / (1 + list_distance(a.v, b.v))')} as similarity {_PAIR}",
     "topk_similarity": f"with {_EMB}, p as (select a.vec_id as q_vec_id, b.vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as score from e a join e b on a.vec_id != b.vec_id where a.vec_id % 20 = 0) select *, row_number() over (partition by q_vec_id order by score desc, vec_id) as rank from p qualify rank <= 10",
-    "similarity_batch": f"with {BATCH}, {ranked('b2', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
+    "similarity_batch": f"with recursive {BATCH}, {ranked('b4', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
     "similarity_engine": f"with {ENGINE}, {ranked('sc', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
-    "blended_score": f"with {ENGINE}, {ranked('sc', 5)} select fingerprint_id, match_id, case when rank = 5 then score else {r6('9e-1 * score + 1e-1 * ' + r6('s1'))} end as blended from rk",
+    "blended_score": f"with recursive {BATCH}, {ranked('b4', 5)} select fingerprint_id, match_id, topology_score, score as blended from rk",
     "match_explanation": f"with {ENGINE}, {ranked('sc', 3)}, p as (select *, [{', '.join(f'''{{'name': '{n}', 's': {r6(f's{i}')}, 'c': {r6(f'{r6(f's{i}')} * w{i}', 9)}, 'o': {-i}}}''' for i, n in enumerate(M.LAYERS, 1))}] as p from rk) select fingerprint_id, match_id, array_to_string(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: z.name), ',') as matched, array_to_string(list_transform(list_filter(p, lambda z: z.s < 0.95::double), lambda z: z.name), ',') as mismatched, coalesce(list_sort(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: {{'c': z.c, 'o': z.o, 'name': z.name}}), 'desc')[1].name, 'none') as reason from p",
     "layer_merge": f"with {FWD}, s as (select fingerprint_id as id, abs(net_return_pips) as score, vol_regime = 'HIGH' as a, trend_regime = 'BULLISH' as b, session = 'NY' as d from o) select id, case when a then score else 0 end as s1, case when b then score else 0 end as s2, case when d then score else 0 end as s3 from s where a or b or d",
     "forecast_normalise": f"with {FWD}, {distribution('o', 'asset, vol_regime, session')}, {forecast('dist', 'fc')} select asset, vol_regime, session, up, down, flat, expected_move_pips, direction from fc",
@@ -208,19 +280,8 @@ ORACLE_SQL: dict[str, str] = {
 m as (select fc.asset, fc.vol_regime, fc.up, fc.down, fc.flat, mf.up as mu, {r6('0.5 * fc.up + 0.5 * mf.up', 2)} as u, {r6('0.5 * fc.down + 0.5 * mf.down', 2)} as d, {r6('0.5 * fc.flat + 0.5 * mf.flat', 2)} as f from fc left join mf using (asset)),
 n as (select *, case when mu is null then up else {r6('u / (u + d + f)', 2)} end as ens_up, case when mu is null then down else {r6('d / (u + d + f)', 2)} end as ens_down from m)
 select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else {r6('1 - ens_up - ens_down', 2)} end as ens_flat from n""",
-    "sentiment_vector": f"""with {BARS}, {TIMES}, {NEWS},
-j as (select t.ts, hint, hint > 0.2::double as up, hint < -0.2::double as down, relevance * pow(5e-1, (epoch(t.ts) - epoch(published_at)) / 3600.0::double / 8e0) as w from times t join news on published_at between t.ts - interval '24 hours' and t.ts),
-s as (select ts, count(*) as n, sum(hint * w) as sw, sum(w) as w, avg(up::int) as bull, avg(down::int) as bear, avg((hint + 1) / 2) as m, avg((hint + 1) / 2 * ((hint + 1) / 2)) as mm from j group by ts),
-a as (select asset, ts, coalesce(n, 0) as n, case when coalesce(w, 0) = 0 then 5e-1 else (sw / w + 1) / 2 end as agg, bull, bear, greatest(mm - m * m, 0) as var from c left join s using (ts)),
-b as (select *, (agg - coalesce(lag(agg) over (partition by asset order by ts), 5e-1) + 1) / 2 as mo from a)
-select asset, ts, n as articles, {_KNOWN.format('agg')} as aggregate_sentiment, {_KNOWN.format('bull')} as bullish_pressure, {_KNOWN.format('bear')} as bearish_pressure, {_KNOWN.format('least(n / 50, 1e0)')} as article_volume, {_KNOWN.format('least(var / 25e-2, 1e0)')} as sentiment_dispersion, {_KNOWN.format('mo')} as momentum from b""",
-    "macro_vector": f"""with {BARS}, {TIMES}, {CAL},
-j as (select t.ts, cal.*, {_weights()} as w, (epoch(event_date) - epoch(t.ts)) / 3600.0::double as ahead, case when estimate = 0 then actual - estimate else (actual - estimate) / abs(estimate) end as d from times t join cal on event_date between t.ts - interval '72 hours' and t.ts + interval '24 hours'),
-s as (select ts, count(*) as n, min(case when impact = 'high' and ahead > 0 then ahead end) as nxt, sum(case when actual is not null and estimate is not null then (greatest(-1e0, least(1e0, d)) + 1) / 2 * w end) as sw, sum(case when actual is not null and estimate is not null then w end) as w,
-  max(case when is_rate and actual is not null then {{'t': event_date, 'd': greatest(-1e0, least(1e0, actual - previous))}} end).d as rate, sum((impact = 'high')::int) as nh, sum((impact = 'medium')::int) as nm, sum(case when ahead > 0 then w else 0 end) as soon from j group by ts),
-p as (select ts, n, coalesce(greatest(0e0, least(1e0, 1 - nxt / 24)), 0e0) as event_proximity_pressure, coalesce(sw / w, 5e-1) as aggregate_surprise_factor, coalesce((rate + 1) / 2, 5e-1) as rate_differential, least(1e0, nh / 5) as high_impact_event_count, least(1e0, nm / 10) as medium_impact_event_count, least(1e0, n / 20) as event_density, least(1e0, soon / 15) as upcoming_event_intensity from times left join s using (ts)),
-q as (select *, {' + '.join(f'{w}::double * {k}' for k, w in _MACRO_PARTS.items())} as composite_macro_state from p)
-select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1 else {r6(k)} end as {k}' for k in [*_MACRO_PARTS, 'composite_macro_state'])} from q""",
+    "sentiment_vector": f"with {BARS}, {TIMES}, {NEWS}, {sentiment_cte()} select * from sen",
+    "macro_vector": f"with {BARS}, {TIMES}, {CAL}, {macro_cte()} select * from mac",
     "news_risk": f"with {BARS}, {TIMES}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high'), s as (select t.ts, min((epoch(event_date) - epoch(t.ts)) / 3600.0::double) as hours_to_event, string_agg(name, ',' order by event_date, name) as names from times t join h on event_date > t.ts and event_date <= t.ts + interval '8 hours' group by t.ts) select ts, hours_to_event, coalesce(names, '') as names, hours_to_event is not null as at_risk from times left join s using (ts)",
     "event_context": f"with {FWD}, {CAL}, ev as (select distinct name, event_date from cal), m as (select name, event_date, arg_max(net_return_pips, ts) as net from ev join (select * from o where asset = 'view') v on v.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by 1, 2), n as (select name, count(*) as events from ev group by name), gg as (select name, count(*) as outcomes, median(abs(net)) as med, avg(abs(net)) as mean, avg((net > 0)::int) as up from m group by name) select name, events, outcomes, {r6('med')} as median_abs, {r6('up')} as up_share, {r6('case when med = 0 then 1e0 else mean / med end')} as amplification from gg join n using (name) where outcomes >= 3 and events >= 3",
     "regime_v2": f"with {_regimes()}",
@@ -255,7 +316,9 @@ select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1
     "cache_ttl": "select event_id, (14400 - floor(epoch(ts))::bigint % 14400) as ttl, 14400 - floor(epoch(ts))::bigint % 14400 >= 60 as cached from events",
     "rate_window": "with e as (select event_id, user_id, floor(epoch(ts))::bigint as s from events), n as (select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) as n from e) select event_id, n, n > 5 as limited from n",
     "time_ago": "with m as (select event_id, floor((1706745600 - floor(epoch(ts))) / 60)::bigint as m from events) select event_id, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as ago from m",
-    "sparkline": f"with {BARS} select asset, count(*)::int as n, first(close order by ts) as first, last(close order by ts) as last from c group by asset",
+    "sparkline": f"with {BARS}, l as (select asset, ts, close from c qualify row_number() over (partition by asset order by ts desc) <= 24) select asset, count(*)::int as n, array_to_string(list(printf('%.2f', close) order by ts), ',') as closes from l group by asset",
+    "topology_levels": f"with recursive {BARS}, {topology_cte(True)} select asset, ts, price, kind, touches, rejections, breakouts, strength, age, distance_pips, importance from tl",
+    "topology_vector": f"with recursive {BARS}, {TOPO} select asset, ts, {', '.join(f't[{i + 1}] as t{i}' for i in range(40))} from tv",
     "registry": "select * from (values ('eurusd', 'EURUSD', 1, 0.0001::double, 'EUR/USD', 'EURUSD=X'), ('gbpusd', 'GBPUSD', 2, 0.0001::double, 'GBP/USD', 'GBPUSD=X')) t(id, symbol, priority, pip_size, pair, chart_symbol)",
     "version_bump": "with v as (select n_name as engine, '1.' || i as version, timestamp '2024-01-01' + to_days(i::int) as created_at from nation, range(1, 4) t(i) union all select n_name, '2.0', timestamp '2024-02-01' from nation where n_nationkey % 2 = 0) select *, created_at = max(created_at) over (partition by engine) as is_active from v",
     "config_snapshot": "select n_name as engine, '1.3' as version from nation",
