@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import catalog
+from tidemark import plans
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,12 +21,12 @@ def norm(v):
     return round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = plans.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
-    rel = duck.sql(catalog.ORACLE_SQL[name])
+    rel = duck.sql(plans.ORACLE_SQL[name])
     at = [rel.columns.index(c) for c in cols]
     assert sorted(rel.columns) == cols
     want = sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=str)
@@ -35,4 +35,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+    assert set(plans.ORACLE_SQL) <= set(plans.QUERIES)

@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns and the formats that parse them; all in UTC.
-FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}T.*$", "yyyy-MM-dd'T'HH:mm:ss[.SSS]X"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}\.\d{3}$", "dd.MM.yyyy HH:mm:ss.SSS"),
-)
+# The formats, all in UTC. A text has one of them as a whole.
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]X", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss.SSS")
 
 
 def parse_stamp(text: Column) -> Column:
     """Null for any other format."""
-    out = F.lit(None).cast("timestamp")
-    for pattern, fmt in FORMATS:
-        out = F.when(F.trim(text).rlike(pattern), F.try_to_timestamp(F.trim(text), F.lit(fmt))).otherwise(out)
-    return out
+    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FORMATS])

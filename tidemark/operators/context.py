@@ -89,6 +89,24 @@ def macro(times: DataFrame, events: DataFrame) -> DataFrame:
     return df.select("ts", F.coalesce("n", F.lit(0)).alias("events"), *[F.when(none, 0.5).otherwise(r6(F.col(k))).alias(k) for k in [*parts, "composite_macro_state"]])
 
 
+def events_of(bars: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
+    """Pairs of bars (asset, ts, currencies) and events (currency, event_date and more) of one of their currencies, or of none, within the seconds before and after."""
+    by = bars.withColumn("currency", F.explode(F.array_distinct("currencies"))).drop("currencies")
+    own = interval_join(events.where("currency is not null"), by, ["currency"], "event_date", "ts", before, after)
+    free = interval_join(events.where("currency is null"), bars.drop("currencies"), [], "event_date", "ts", before, after)
+    return own.unionByName(free)
+
+
+def asset_events(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """asset, ts, events (from 72 hours before to 24 after), and of the high-impact ones up to 8 hours ahead the nearest: next_event, hours_to_event."""
+    n = events_of(bars, events, 72 * HOUR, 24 * HOUR).groupBy("asset", "ts").agg(F.count(F.lit(1)).alias("events"))
+    soon = events_of(bars, events.where("impact = 'high'"), 0, 8 * HOUR).where("event_date > ts")
+    soon = soon.groupBy("asset", "ts").agg(F.min(F.struct("event_date", "name")).alias("_e")).withColumn("event_date", F.col("_e.event_date"))
+    soon = soon.select("asset", "ts", F.col("_e.name").alias("next_event"), hours("event_date", "ts").alias("hours_to_event"))
+    df = bars.select("asset", "ts").join(n, ["asset", "ts"], "left").join(soon, ["asset", "ts"], "left")
+    return df.withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 def news_risk(times: DataFrame, events: DataFrame) -> DataFrame:
     """ts, at_risk, hours_to_event, names: high-impact events after each time, up to 8 hours ahead."""
     e = interval_join(events.where("impact = 'high'"), times, [], "event_date", "ts", 0, 8 * HOUR).where("event_date > ts")

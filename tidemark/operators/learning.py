@@ -27,6 +27,25 @@ def walk_forward(df: DataFrame, key: str, ts: str, share: float = 0.8) -> DataFr
     return df.withColumn("is_train", F.row_number().over(w) <= F.floor(share * F.count(F.lit(1)).over(Window.partitionBy(key))))
 
 
+def staged(df: DataFrame, key: str, ts: str, train: float = 0.64, calibrate: float = 0.8) -> DataFrame:
+    """part: train, then calibrate, then test, by shares of each key's rows in time order."""
+    w = Window.partitionBy(key)
+    at = F.row_number().over(w.orderBy(ts)) / F.count(F.lit(1)).over(w)
+    return df.withColumn("part", F.when(at <= train, "train").when(at <= calibrate, "calibrate").otherwise("test"))
+
+
+def kept(path: str, spark, train) -> list:
+    """The models stored at path; if there are none, those that ``train`` gives, stored there."""
+    try:
+        return PipelineModel.load(path).stages
+    except Exception as e:  # none yet
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist")):
+            raise
+    models = train()
+    PipelineModel(models).write().overwrite().save(path)
+    return models
+
+
 def trained(df: DataFrame, features: str, target: str, rounds: int = 8, depth: int = 3, seed: int = 42) -> list:
     """A boosted model for each class, on the rows of df."""
     rows = df.select(array_to_vector(features).alias("features"), target).cache()
@@ -47,10 +66,13 @@ def predicted(df: DataFrame, models: list, features: str) -> DataFrame:
 
 
 def metrics(df: DataFrame, target: str) -> DataFrame:
-    """Accuracy and recall of each class."""
+    """n, accuracy, recall of each class, and weighted_f1: the classes' F1 by their share of rows (0 for a class never hit)."""
     pred = F.when((F.col("ml_up") >= F.col("ml_down")) & (F.col("ml_up") >= F.col("ml_flat")), 0).when(F.col("ml_down") >= F.col("ml_flat"), 1).otherwise(2)
-    hit = (pred == F.col(target)).cast("double")
-    return df.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(hit)).alias("accuracy"), *[r6(F.avg(F.when(F.col(target) == k, hit))).alias(f"recall_{n}") for k, n in enumerate(CLASSES)])
+    df = df.select((pred == F.col(target)).alias("hit"), pred.alias("pred"), F.col(target).alias("y"))
+    n = [F.count_if(F.col("y") == k) for k in range(3)]
+    f1 = sum((n[k] * 2 * F.count_if(F.col("hit") & (F.col("y") == k)) / F.greatest(n[k] + F.count_if(F.col("pred") == k), F.lit(1)) for k in (1, 2)), n[0] * 2 * F.count_if(F.col("hit") & (F.col("y") == 0)) / F.greatest(n[0] + F.count_if(F.col("pred") == 0), F.lit(1)))
+    recalls = [r6(F.avg(F.when(F.col("y") == k, F.col("hit").cast("double")))).alias(f"recall_{c}") for k, c in enumerate(CLASSES)]
+    return df.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("hit").cast("double"))).alias("accuracy"), r6(f1 / F.count(F.lit(1))).alias("weighted_f1"), *recalls)
 
 
 def calibrators(df: DataFrame, target: str) -> list:

@@ -54,6 +54,11 @@ def calibration(e: DataFrame) -> DataFrame:
     return out.select("bucket", "n", r6(F.col("rate")).alias("observed_rate"), r6(F.abs(F.col("mid") - F.col("rate"))).alias("deviation"), (F.col("n") < 10).alias("insufficient"))
 
 
+def overall(report: DataFrame) -> DataFrame:
+    """The calibration score of a report: mean deviation of the buckets with enough rows, null if there are none."""
+    return report.agg(r6(F.avg(F.when(~F.col("insufficient"), F.col("deviation")))).alias("overall"), F.count_if(~F.col("insufficient")).alias("buckets"))
+
+
 def regime_accuracy(e: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Accuracy in percent by regime, asset and direction, and its change against an earlier run."""
     keys = ["regime", "asset", "direction_predicted"]
@@ -73,13 +78,31 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return g.select(*keys, "n", r6(F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).otherwise(0.0)).alias("correlation"))
 
 
-def contributions(e: DataFrame, stages: dict[str, str]) -> DataFrame:
-    """A row for each evaluation and stage (name to column): the stage's correlation with accuracy over all rows, and whether the asset and regime have few rows."""
-    kinds = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).cast("double").alias("value")) for s, c in stages.items()])
+def contributions(e: DataFrame, matches: DataFrame) -> DataFrame:
+    """A row for each evaluation and pipeline stage: contribution_score (the stage's correlation with accuracy over all rows), layer_dominant, marginal_accuracy_delta, is_low_confidence.
+
+    e: evaluations with confidence, has_macro and has_sentiment; matches: the layer scores s1
+    to s5 of their matches by rank. Similarity is told by an evaluation's mean match score,
+    macro and sentiment by whether there was data, the other three by the confidence. The
+    dominant layer (similarity only) is the highest of the first match, the first one on a
+    tie; the delta (macro and sentiment only) is accuracy with data less accuracy without,
+    null if either has no rows. Confidence is low where asset and regime have under ten rows.
+    """
+    top = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("o")) for i in range(1, 6)]))
+    m = matches.groupBy("fingerprint_id").agg(F.avg("score").alias("similarity"), F.max(F.when(F.col("rank") == 1, F.concat(F.lit("L"), -top["o"]))).alias("dominant"))
     few = F.count(F.lit(1)).over(Window.partitionBy("asset", "regime")) < 10
-    long = e.withColumn("is_low_confidence", few).select("fingerprint_id", "is_low_confidence", F.col("direction_accuracy").cast("double").alias("hit"), F.inline(kinds))
-    scores = correlation(long, ["stage"], "value", "hit").select("stage", F.col("correlation").alias("contribution_score"))
-    return long.join(F.broadcast(scores), "stage").select("fingerprint_id", "stage", "contribution_score", "is_low_confidence")
+    e = e.join(m, "fingerprint_id", "left").withColumn("is_low_confidence", few)
+    told = {"similarity": "similarity", "regime": "confidence", "macro": "has_macro", "sentiment": "has_sentiment", "confidence": "confidence", "outcome": "confidence"}
+    kinds = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).cast("double").alias("value")) for s, c in told.items()])
+    long = e.select("fingerprint_id", "is_low_confidence", "dominant", F.col("direction_accuracy").cast("double").alias("hit"), F.inline(kinds))
+    scores = correlation(long.where("value is not null"), ["stage"], "value", "hit").select("stage", F.col("correlation").alias("contribution_score"))
+    deltas = None
+    for s in ("macro", "sentiment"):
+        one = marginal(e, F.col(f"has_{s}")).select(F.lit(s).alias("stage"), F.col("delta").alias("marginal_accuracy_delta"))
+        deltas = one if deltas is None else deltas.union(one)
+    out = long.join(F.broadcast(scores), "stage", "left").join(F.broadcast(deltas), "stage", "left")  # six and two rows
+    dominant = F.when(F.col("stage") == "similarity", F.col("dominant"))
+    return out.select("fingerprint_id", "stage", F.coalesce("contribution_score", F.lit(0.0)).alias("contribution_score"), dominant.alias("layer_dominant"), "marginal_accuracy_delta", "is_low_confidence")
 
 
 def marginal(e: DataFrame, flag: Column) -> DataFrame:

@@ -39,6 +39,11 @@ def currencies(symbol: Column) -> Column:
     return F.when(F.length(symbol) >= 6, F.array(F.substring(symbol, 1, 3), F.substring(symbol, 4, 3))).otherwise(F.array(symbol))
 
 
+def api_currencies(symbol: Column) -> Column:
+    """Both codes of a symbol of exactly six capital letters, else none."""
+    return F.when(symbol.rlike("^[A-Z]{6}$"), currencies(symbol)).otherwise(F.array().cast("array<string>"))
+
+
 def snapshot(versions: DataFrame) -> DataFrame:
     """One map from engine name to its active version."""
     return versions.where("is_active").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", "version")))).alias("versions"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import documents as D
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.functions.numeric import feature
@@ -16,6 +17,7 @@ from tidemark.operators import context as K
 from tidemark.operators import fingerprint as P
 from tidemark.operators import joins as J
 from tidemark.operators import learning as L
+from tidemark.operators import operations as Q
 from tidemark.operators import outcomes as O
 from tidemark.operators import research as R
 from tidemark.operators import scoring as S
@@ -23,6 +25,7 @@ from tidemark.operators import serving as G
 from tidemark.operators import similarity as M
 from tidemark.operators import topology as T
 from tidemark.operators.outcomes import r6
+from tidemark.session import shared_dir
 from tidemark.sources.files import bar_line, bar_lines
 
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -86,7 +89,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 CLERK_NAMES = ("CPI report", "rate decision", "PMI survey", "GDP release", "retail sales", "speech")
 
 
-def calendar(spark: SparkSession, sf: str) -> DataFrame:
+def calendar(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """Orders as calendar events, dealt over five years that begin with the ticks' thirty days."""
     o = read(spark, sf, "orders")
     i = (F.col("o_orderkey") / 61).cast("long") % 6
@@ -99,6 +102,7 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 50) / 10).alias("actual"),
         F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 40) / 10).alias("estimate"),
         ((F.col("o_orderkey") % 45) / 10).alias("previous"),
+        *keep,
     )
 
 
@@ -178,12 +182,17 @@ def l5_sentiment_snapshot(spark, sf):
 @query
 def state_layers(spark, sf):
     """Where layers four and five come from and what they are: news and calendar of the first ten days only, snapshots of the first twenty, so that each source is used."""
+    df = ten_days(spark, sf)
+    return split(df, "l4", [f"l4[{i}]" for i in range(8)], ["asset", "ts", "macro_source", "sentiment_source", "l5"]).select("*", *[F.col("l5")[i].alias(f"l5_{i}") for i in range(6)]).drop("l5")
+
+
+def ten_days(spark: SparkSession, sf: str) -> DataFrame:
+    """States with news and calendar of the first ten days and snapshots of the first twenty."""
     b = bars(spark, sf)
     ten, twenty = (F.lit(f"2024-01-{d}").cast("timestamp_ntz") for d in (11, 21))
     m = K.macro(b.select("ts").distinct(), calendar(spark, sf).where(F.col("event_date") < ten))
     s = K.sentiment(b, articles(spark, sf).where(F.col("published_at") < ten))
-    df = P.with_context(P.fingerprints(b, PIP), m, s, snapshots(spark, sf).where(F.col("ts") < twenty))
-    return split(df, "l4", [f"l4[{i}]" for i in range(8)], ["asset", "ts", "macro_source", "sentiment_source", "l5"]).select("*", *[F.col("l5")[i].alias(f"l5_{i}") for i in range(6)]).drop("l5")
+    return P.with_context(P.fingerprints(b, PIP), m, s, snapshots(spark, sf).where(F.col("ts") < twenty))
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,8 +403,9 @@ def news_risk(spark, sf):
 
 @query
 def event_context(spark, sf):
-    one = O.forward(bars(spark, sf).where("asset = 'view'"), digits=True)
-    return K.event_impact(calendar(spark, sf), one)
+    """The outcomes of every asset, by time."""
+    every = O.forward(bars(spark, sf), digits=True)
+    return K.event_impact(calendar(spark, sf), every)
 
 
 @query
@@ -439,7 +449,10 @@ def regime_accuracy_rollup(spark, sf):
 
 @query
 def stage_contribution(spark, sf):
-    return R.contributions(evaluations(spark, sf), {"confidence": "confidence", "expected_move": "expected_move_pips", "sample": "sample_size"})
+    """News and calendar of the first ten days only, so that states with and without data are compared."""
+    st = ten_days(spark, sf)
+    flags = st.select("fingerprint_id", *[(F.col(f"{x}_source") == "engine").alias(f"has_{x}") for x in ("macro", "sentiment")])
+    return R.contributions(evaluations(spark, sf).join(flags, "fingerprint_id"), M.engine_search(st, 5))
 
 
 @query
@@ -504,10 +517,10 @@ def asof_next(spark, sf):
 
 @query
 def asof_tolerance(spark, sf):
-    """For each high-impact event the latest purchase bar within four hours on either side."""
+    """For each high-impact event and asset the latest bar within four hours on either side."""
     e = calendar(spark, sf).where("impact = 'high'").select("name", "event_date").distinct()
-    m = J.interval_join(bars(spark, sf).where("asset = 'purchase'").select("ts", "close"), e, [], "ts", "event_date", 4 * 3600, 4 * 3600)
-    return m.groupBy("name", "event_date").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
+    m = J.interval_join(bars(spark, sf).select("asset", "ts", "close"), e, [], "ts", "event_date", 4 * 3600, 4 * 3600)
+    return m.groupBy("asset", "name", "event_date").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
 
 
 @query
@@ -525,15 +538,15 @@ def serving_latest(spark, sf):
 
 @query
 def paginate(spark, sf):
-    """The third page of twenty customers by balance."""
-    return read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").orderBy(F.col("c_acctbal").desc(), "c_custkey").offset(40).limit(20)
+    """The third page of twenty customers by balance, and whether more follow."""
+    return Q.page(read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), [F.col("c_acctbal").desc(), F.col("c_custkey")], 40, 20)
 
 
 @query
 def tier_projection(spark, sf):
     """Customers with nation and region, as a tier may see them: balances only where they are high."""
     c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
-    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.select("c_custkey", "n_name", "r_name", F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal")).alias("c_acctbal"))
 
 
@@ -578,8 +591,12 @@ def csv_round_trip(spark, sf):
 
 @query
 def json_vector_parse(spark, sf):
+    """Vectors as text: arrays of numbers, one with a null, nothing, and no array at all."""
     e = read(spark, sf, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    i = F.col("event_id") % 4
+    text = F.when(i == 0, F.concat(F.lit("["), F.col("event_id"), F.lit(", 0.5, -1e-1]"))).when(i == 1, "oops").when(i == 2, F.lit("[]"))
+    v = D.lenient_vector(text)
+    return e.select("event_id", F.size(v).alias("n"), F.get(v, F.lit(0)).alias("first"), F.get(v, F.lit(2)).alias("third"))
 
 
 @query
@@ -623,29 +640,35 @@ def topology_vector(spark, sf):
 
 
 def _ml(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    """Labelled states by part, and the models learned from the first part: stored in the shared folder, trained once."""
     df = P.ml_vector(P.extended(O.forward(states(spark, sf), digits=True))).withColumn("target", L.label(F.col("net_return_pips")))
-    df = L.walk_forward(df, "asset", "ts")
-    return df, L.trained(df.where("is_train"), "ml_features", "target", rounds=5)
+    df = L.staged(df, "asset", "ts")
+    path = f"{shared_dir(spark)}/tidemark/models/{sf.strip('/').replace('/', '-')}"
+    return df, L.kept(path, spark, lambda: L.trained(df.where("part = 'train'"), "ml_features", "target", rounds=5))
+
+
+def _ml_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    df, models = _ml(spark, sf)
+    return L.predicted(df, models, "ml_features").select("fingerprint_id", "part", "target", "ml_up", "ml_down", "ml_flat")
 
 
 @query
 def classifier_train(spark, sf):
-    df, models = _ml(spark, sf)
-    return L.metrics(L.predicted(df.where("not is_train"), models, "ml_features"), "target")
+    """Scores on the newest fifth of each asset's rows."""
+    return L.metrics(_ml_predictions(spark, sf).where("part = 'test'"), "target")
 
 
 @query
 def isotonic_calibrate(spark, sf):
-    df, models = _ml(spark, sf)
-    p = L.predicted(df, models, "ml_features").select("fingerprint_id", "is_train", "target", "ml_up", "ml_down", "ml_flat")
-    return L.calibrated(p.where("not is_train"), L.calibrators(p.where("is_train"), "target")).select("fingerprint_id", *[r6(F.col(f"cal_{n}")).alias(f"cal_{n}") for n in L.CLASSES])
+    """Calibrated on rows that the classifier has not seen, between its training rows and the newest fifth, which is told."""
+    p = _ml_predictions(spark, sf)
+    return L.calibrated(p.where("part = 'test'"), L.calibrators(p.where("part = 'calibrate'"), "target")).select("fingerprint_id", *[r6(F.col(f"cal_{n}")).alias(f"cal_{n}") for n in L.CLASSES])
 
 
 @query
 def shap_approx(spark, sf):
     df, models = _ml(spark, sf)
-    newest = df.where("not is_train").select("fingerprint_id", "ml_features")
-    return L.occlusion(newest, models, "ml_features", "fingerprint_id")
+    return L.occlusion(df.where("part = 'test'").select("fingerprint_id", "ml_features"), models, "ml_features", "fingerprint_id")
 
 
 @query

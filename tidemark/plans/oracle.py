@@ -45,7 +45,7 @@ def impact(name: str, terms: str = "calendar") -> str:
 
 _NAMES = "['CPI report', 'rate decision', 'PMI survey', 'GDP release', 'retail sales', 'speech']"
 CAL = f"""cal0 as (select o_orderkey as k, {_NAMES}[((o_orderkey // 61) % 6 + 1)::int] as name, timestamp '2024-01-01' + to_hours(((o_orderkey * 7) % 43920)::int) + interval '30 minutes' as event_date from orders),
-cal as (select name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
+cal as (select k, name, event_date, {impact("name")} as impact, {contains("lower(name)", ("rate decision", "interest rate"))} as is_rate, case when k % 7 != 0 then ((k % 50) / 10)::double end as actual, case when k % 11 != 0 then ((k % 40) / 10)::double end as estimate, ((k % 45) / 10)::double as previous from cal0)"""
 TIMES = "times as (select distinct ts from candles)"
 NEWS = """news as (select timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as published_at, (((doc_id * 37) % 21 - 10) / 10)::double as hint, (((doc_id * 13) % 11) / 10)::double as relevance from documents)"""
 
@@ -92,6 +92,7 @@ def state_cte(snaps: str = "snaps") -> str:
   from g left join mac on g.ts = mac.ts left join sen on g.asset = sen.asset and g.ts = sen.ts left join {snaps} sn on g.ts = sn.ts)"""
 
 
+TEN = f"{REG}, {TIMES}, {NEWS}, {CAL}, news10 as (select * from news where published_at < timestamp '2024-01-11'), cal10 as (select * from cal where event_date < timestamp '2024-01-11'), {macro_cte('cal10')}, {sentiment_cte('news10')}, {SNAPS}, snaps20 as (select * from snaps where ts < timestamp '2024-01-21'), {state_cte('snaps20')}"
 STATES = f"{REG}, {CONTEXT}, {state_cte()}"
 EXT = f"""{STATES},
 x as (
@@ -107,13 +108,13 @@ e as (
   from y)"""
 
 
-def distribution(src: str, keys: str, n: str = "1") -> str:
-    """Statistics of net_return_pips by keys; n: copies of each row."""
-    return f"""dist_rows as (select {keys}, net_return_pips as x from {src}, lateral (select unnest(range({n})))),
+def distribution(src: str, keys: str, n: str = "1", flat: str = "2") -> str:
+    """Statistics of net_return_pips by keys; n: copies of each row; flat: pips up to which a row is flat."""
+    return f"""dist_rows as (select {keys}, net_return_pips as x, {flat} as fl from {src}, lateral (select unnest(range({n})))),
 dist_sums as (
   select {keys}, count(*) as sample_size, sum(x) / count(*) as mean, sqrt(greatest(sum(x * x) / count(*) - (sum(x) / count(*)) * (sum(x) / count(*)), 0)) as sd, quantile_cont(x, 0.5) as med, quantile_cont(x, 0.1) as q1, quantile_cont(x, 0.9) as q9, max(abs(x)) as mx,
-    sum(case when abs(x) > 2 and x > 0 then 1 else 0 end)::double / count(*) as up, sum(case when abs(x) > 2 and x < 0 then 1 else 0 end)::double / count(*) as down,
-    sum(case when abs(x) <= 2 then 1 else 0 end)::double / count(*) as flat
+    sum(case when abs(x) > fl and x > 0 then 1 else 0 end)::double / count(*) as up, sum(case when abs(x) > fl and x < 0 then 1 else 0 end)::double / count(*) as down,
+    sum(case when abs(x) <= fl then 1 else 0 end)::double / count(*) as flat
   from dist_rows group by {keys}),
 dist as (
   select {keys}, sample_size, {r6("mean")} as mean_return, {r6("med")} as median_return, {r6("up")} as up_probability, {r6("down")} as down_probability, {r6("flat")} as flat_probability, {r6("sd")} as std_dev, {r6("mx")} as max_abs_return, {r6("q1")} as p10, {r6("q9")} as p90, {r6("greatest(up, down, flat)")} as max_probability,
@@ -137,6 +138,9 @@ ev1 as (select *, (direction_predicted = direction_actual)::int as direction_acc
 ev as (select *, {r6("err", 2)} as error, {r6("abs(err)", 2)} as abs_error, {r6("err * err", 4)} as squared_error, {r6("(bu * bu + bd * bd + bf * bf) / 3")} as brier, {r6("confidence - direction_accuracy")} as calibration_error, {BUCKET} as bucket,
   direction_accuracy = 1 and abs(err) <= 0.5 * abs(net_return_pips) as tradeability_success, vol_regime || '_' || trend_regime as regime from ev1)"""
 
+EVALS = EV.removeprefix(f"{REG},\n")
+
+
 HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJPY slips, yen strong", "Fed signals GDP growth", "GBP weak against CHF and CAD", "Markets quiet", "Eurozone inflation in decline", "AUD gains", "nfp surge lifts dollar"))}[(doc_id % 8 + 1)::int] || coalesce(' ' || text, '') as headline from documents)"""
 
 
@@ -253,7 +257,7 @@ ORACLE_SQL: dict[str, str] = {
     "l3_liquidity": f"with {BARS} select asset, ts, {cols('l3', P.LIQUIDITY)} from c",
     "l4_macro_snapshot": f"with {BARS}, {SNAPS} select ts, {cols('l4', [feature(x) for x in P.MACRO])} from snaps",
     "l5_sentiment_snapshot": f"with {BARS}, {SNAPS}, sn as (select * replace (case when day(ts) % 7 != 0 then vix end as vix) from snaps), n as (select ts, {', '.join(f'coalesce(greatest(0e0, least(1e0, ({x} - {lo}) / {w})), 5e-1) as {x}' for x, lo, w in (('vix', '10e0', '30e0'), ('gold', '1500e0', '1000e0'), ('dxy', '90e0', '20e0'), ('spx', '3000e0', '2500e0'), ('us10y', '1e0', '4e0')))} from sn) select ts, {r6('vix')} as l5_0, {r6('(vix + gold) / 2')} as l5_1, {r6('dxy')} as l5_2, {r6('spx')} as l5_3, {r6('us10y')} as l5_4, {r6('(vix + (vix + gold) / 2 + dxy + spx + us10y) / 5')} as l5_5 from n",
-    "state_layers": f"with {REG}, {TIMES}, {NEWS}, {CAL}, news10 as (select * from news where published_at < timestamp '2024-01-11'), cal10 as (select * from cal where event_date < timestamp '2024-01-11'), {macro_cte('cal10')}, {sentiment_cte('news10')}, {SNAPS}, snaps20 as (select * from snaps where ts < timestamp '2024-01-21'), {state_cte('snaps20')} select asset, ts, macro_source, sentiment_source, {', '.join(f'l4[{i + 1}] as l4_{i}' for i in range(8))}, {', '.join(f'l5[{i + 1}] as l5_{i}' for i in range(6))} from v",
+    "state_layers": f"with {TEN} select asset, ts, macro_source, sentiment_source, {', '.join(f'l4[{i + 1}] as l4_{i}' for i in range(8))}, {', '.join(f'l5[{i + 1}] as l5_{i}' for i in range(6))} from v",
     "forward_outcomes": f"with {FWD} select asset, ts, next_ts, net_return_pips, mfe_pips, mae_pips, realised_volatility from o",
     "rolling_trend": f"with {EXT} select asset, ts, rolling_trend from e",
     "atr_percentile": f"with {EXT} select asset, ts, atr_percentile from e",
@@ -283,7 +287,7 @@ select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else
     "sentiment_vector": f"with {BARS}, {TIMES}, {NEWS}, {sentiment_cte()} select * from sen",
     "macro_vector": f"with {BARS}, {TIMES}, {CAL}, {macro_cte()} select * from mac",
     "news_risk": f"with {BARS}, {TIMES}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high'), s as (select t.ts, min((epoch(event_date) - epoch(t.ts)) / 3600.0::double) as hours_to_event, string_agg(name, ',' order by event_date, name) as names from times t join h on event_date > t.ts and event_date <= t.ts + interval '8 hours' group by t.ts) select ts, hours_to_event, coalesce(names, '') as names, hours_to_event is not null as at_risk from times left join s using (ts)",
-    "event_context": f"with {FWD}, {CAL}, ev as (select distinct name, event_date from cal), m as (select name, event_date, arg_max(net_return_pips, ts) as net from ev join (select * from o where asset = 'view') v on v.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by 1, 2), n as (select name, count(*) as events from ev group by name), gg as (select name, count(*) as outcomes, median(abs(net)) as med, avg(abs(net)) as mean, avg((net > 0)::int) as up from m group by name) select name, events, outcomes, {r6('med')} as median_abs, {r6('up')} as up_share, {r6('case when med = 0 then 1e0 else mean / med end')} as amplification from gg join n using (name) where outcomes >= 3 and events >= 3",
+    "event_context": f"with {FWD}, {CAL}, ev as (select distinct name, event_date from cal), m as (select name, event_date, max({{'ts': ts, 'net': net_return_pips}}).net as net from ev join o on o.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by 1, 2), n as (select name, count(*) as events from ev group by name), gg as (select name, count(*) as outcomes, median(abs(net)) as med, avg(abs(net)) as mean, avg((net > 0)::int) as up from m group by name) select name, events, outcomes, {r6('med')} as median_abs, {r6('up')} as up_share, {r6('case when med = 0 then 1e0 else mean / med end')} as amplification from gg join n using (name) where outcomes >= 3 and events >= 3",
     "regime_v2": f"with {_regimes()}",
     "evaluation_metrics": f"with {EV} select fingerprint_id, direction_predicted, direction_actual, direction_accuracy, error, abs_error, squared_error, brier, calibration_error, bucket, tradeability_success from ev",
     "forecast_maturity": f"with {FWD} select fingerprint_id, case when session != 'NY' then 'evaluated' when ts + interval '12 hours' <= timestamp '2024-01-20' then 'outcome_unavailable' else 'waiting' end as status from o",
@@ -291,7 +295,13 @@ select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else
     "calibration_report": f"with {EV}, k as (select bucket, count(*) as n, avg(direction_accuracy) as rate from ev group by bucket), a as (select printf('%.1f-%.1f', i / 10, (i + 1) / 10) as bucket, i / 10 + 0.05::double as mid from range(10) t(i)) select bucket, coalesce(n, 0) as n, {r6('rate')} as observed_rate, {r6('abs(mid - rate)')} as deviation, coalesce(n, 0) < 10 as insufficient from a left join k using (bucket)",
     "regime_accuracy": f"with {EV}, a as (select regime, asset, direction_predicted, {r6('100 * avg(direction_accuracy)', 2)} as accuracy, count(*) as n from ev group by all), b as (select regime, asset, direction_predicted, {r6('100 * avg(direction_accuracy)', 2)} as old from ev where ts < timestamp '2024-01-15' group by all) select regime, asset, direction_predicted, accuracy, n, n >= 30 as significant, accuracy < 40 as underperforming, {r6('accuracy - old', 2)} as delta from a left join b using (regime, asset, direction_predicted)",
     "regime_accuracy_rollup": f"with {EV} select regime, asset, count(*) as n, {r6('100 * avg(direction_accuracy)', 2)} as accuracy from ev group by rollup (regime, asset)",
-    "stage_contribution": f"with {EV}, f as (select *, count(*) over (partition by asset, regime) < 10 as low from ev), l as (select fingerprint_id, low, direction_accuracy::double as hit, stage, value from (select fingerprint_id, low, direction_accuracy, unnest([{{'stage': 'confidence', 'value': confidence}}, {{'stage': 'expected_move', 'value': expected_move_pips}}, {{'stage': 'sample', 'value': sample_size::double}}], recursive := true) from f)), s as (select stage, {sums('value', 'hit')} from l group by stage) select fingerprint_id, l.stage, {corr()} as contribution_score, low as is_low_confidence from l join s on l.stage = s.stage",
+    "stage_contribution": f"""with {TEN}, {search((4, 5), True)}, {ranked('sc', 5)}, {EVALS},
+mt as (select fingerprint_id, avg(score) as similarity, max(case when rank = 1 then 'L' || (list_position([{', '.join(r6(f's{i}') for i in range(1, 6))}], list_max([{', '.join(r6(f's{i}') for i in range(1, 6))}]))) end) as dominant from rk group by fingerprint_id),
+f as (select ev.fingerprint_id, ev.direction_accuracy::double as hit, ev.confidence, v.macro_source = 'engine' as has_macro, v.sentiment_source = 'engine' as has_sentiment, mt.similarity, dominant, count(*) over (partition by ev.asset, ev.regime) < 10 as low from ev join v using (fingerprint_id) left join mt using (fingerprint_id)),
+l as (select fingerprint_id, hit, low, dominant, stage, value from (select *, unnest([{', '.join(f"{{'stage': '{s}', 'value': {x}::double}}" for s, x in (('similarity', 'similarity'), ('regime', 'confidence'), ('macro', 'has_macro::int'), ('sentiment', 'has_sentiment::int'), ('confidence', 'confidence'), ('outcome', 'confidence')))}], recursive := true) from f)),
+s as (select stage, {sums('value', 'hit')} from l where value is not null group by stage), k as (select stage, {corr()} as score from s),
+d as ({' union all '.join(f"select '{x}' as stage, {r6(f'avg(case when has_{x} then hit end) - avg(case when not has_{x} then hit end)')} as delta from f" for x in ('macro', 'sentiment'))})
+select fingerprint_id, stage, coalesce(score, 0) as contribution_score, case when stage = 'similarity' then dominant end as layer_dominant, delta as marginal_accuracy_delta, low as is_low_confidence from l left join k using (stage) left join d using (stage)""",
     "marginal_delta": f"with {EV}, d as (select avg(case when session = 'LONDON' then direction_accuracy end) as a, avg(case when session != 'LONDON' then direction_accuracy end) as b from ev) select {r6('a')} as with_rate, {r6('b')} as without_rate, {r6('a - b')} as delta from d",
     "pearson": f"with {FWD}, s as (select asset, {sums('range_pips', 'mfe_pips')} from o group by asset) select asset, n, {corr()} as correlation from s",
     "drift_check": f"with {EV}, r as (select *, row_number() over (partition by asset order by ts desc) as rn from ev), n as (select * from r where rn <= 100), w as (select asset, rn, avg(direction_accuracy) over w as acc, count(*) over w as k from n window w as (partition by asset order by rn desc rows between 29 preceding and current row)), gg as (select asset, count(*) as n, max(case when rn = 1 and k = 30 then acc end) as rolling, avg(case when k = 30 then acc end) as mean, avg(case when k = 30 then acc * acc end) as sq from w group by asset), h as (select *, {r6('sqrt(greatest(sq - mean * mean, 0))')} as sd from gg where n >= 30) select asset, n, {r6('rolling')} as rolling_accuracy, {r6('mean')} as baseline_mean, sd as baseline_std, sd > 0 and rolling < mean - 2 * sd as drifted, case when sd > 0 then {r6('(mean - rolling) / sd', 2)} else 0 end as deviation from h",
@@ -302,17 +312,17 @@ select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else
     "dedup_first": "select o_custkey, o_orderdate, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1",
     "provider_fallback": f"with {BARS} select asset, ts, case when hour(ts) < 8 then close when hour(ts) < 16 then close + 1 else close + 2 end as close, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 1 else 2 end as source_rank, case when hour(ts) < 8 then 3 when hour(ts) < 16 then 2 else 1 end::bigint as sources from c",
     "asof_next": f"with {BARS} select asset, ts, close, lead(ts) over w as next_ts, lead(close) over w as next_close from c window w as (partition by asset order by ts)",
-    "asof_tolerance": f"with {BARS}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high') select name, event_date, max(ts) as ts, arg_max(close, ts) as close from h join (select * from c where asset = 'purchase') p on p.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by 1, 2",
+    "asof_tolerance": f"with {BARS}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high') select asset, name, event_date, max(ts) as ts, arg_max(close, ts) as close from h join c on c.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by all",
     "range_join_window": f"with {BARS}, {TIMES}, {NEWS} select t.ts, count(*) as n, {r6('avg(hint)')} as mean_hint from times t join news on published_at between t.ts - interval '24 hours' and t.ts group by t.ts",
     "serving_latest": f"with {REG} select asset, ts, close, vol_regime, trend_regime, session from g qualify row_number() over (partition by asset order by ts desc) = 1",
-    "paginate": "select c_custkey, c_name, c_acctbal from customer order by c_acctbal desc, c_custkey limit 20 offset 40",
+    "paginate": "select c_custkey, c_name, c_acctbal, count(*) over () > 60 as has_more from customer order by c_acctbal desc, c_custkey limit 20 offset 40",
     "tier_projection": "select c_custkey, n_name, r_name, case when c_acctbal > 5000 then c_acctbal end as c_acctbal from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "detect_asset": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', X.CURRENCIES)} as n from head) select doc_id, case {' '.join(f'''when n >= 2 and contains(u, '{p[:3]}') and contains(u, '{p[3:]}') then '{p.lower()}' ''' for p in X.PAIRS)} when n = 1 then 'forex' when {contains('l', X.EURO_WORDS + X.DOLLAR_WORDS)} then 'eurusd' else 'forex' end as asset_id from h",
     "relevance_score": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', X.CURRENCIES)} as n from head) select doc_id, (case when {contains('u', [x for p in X.PAIRS for x in (p, f'{p[:3]}/{p[3:]}')])} then 0.9 when n >= 2 then 0.8 when {contains('l', X.STRONG_WORDS)} then case when n >= 1 then 0.8 else 0.7 end when n = 1 then 0.5 else 0.3 end)::double as relevance from h",
     "event_impact": f"with {HEAD} select doc_id, {impact('headline')} as impact, {impact('headline', 'news')} as news_impact, {contains('lower(headline)', ('rate decision', 'interest rate'))} as is_rate from head",
     "sentiment_bias": f"with {HEAD}, h as (select doc_id % 10 as batch, sum({count_of('lower(headline)', X.POSITIVE)}) as p, sum({count_of('lower(headline)', X.NEGATIVE)}) as n from head group by 1) select batch, {r6('case when p + n = 0 then 0 else (p - n)::double / (p + n) end')} as bias from h",
     "csv_round_trip": f"with {BARS} select ts, open, high, low, close, volume::double as volume from c",
-    "json_vector_parse": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
+    "json_vector_parse": "select event_id, case event_id % 4 when 0 then 3 else 0 end as n, case event_id % 4 when 0 then event_id::double end as first, case event_id % 4 when 0 then -0.1::double end as third from events",
     "cache_ttl": "select event_id, (14400 - floor(epoch(ts))::bigint % 14400) as ttl, 14400 - floor(epoch(ts))::bigint % 14400 >= 60 as cached from events",
     "rate_window": "with e as (select event_id, user_id, floor(epoch(ts))::bigint as s from events), n as (select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) as n from e) select event_id, n, n > 5 as limited from n",
     "time_ago": "with m as (select event_id, floor((1706745600 - floor(epoch(ts))) / 60)::bigint as m from events) select event_id, case when m < 60 then m || 'm ago' when m < 1440 then (m // 60) || 'h ago' else (m // 1440) || 'd ago' end as ago from m",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import parse_stamp
+from tidemark.functions.text import impact
 from tidemark.operators.joins import insert_new, upsert
 
 
@@ -40,8 +41,22 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return out.where("event_date is not null and name is not null")
 
 
+def read_positional_calendar(spark: SparkSession, path: str, now: str) -> DataFrame:
+    """event_date, name, impact, actual, estimate, previous, currency of lines whose fields stand in the order time, name, impact, actual, estimate, previous, currency, no more than a day from ``now``.
+
+    Lines of fewer than four fields and without a time (the header) go; the impact follows from the name; a missing currency is USD.
+    """
+    f = F.split(F.regexp_replace("value", "\r$", ""), ",")
+    at = lambda i: F.nullif(F.trim(F.get(f, F.lit(i))), F.lit(""))
+    when = F.coalesce(F.try_to_timestamp(at(0)), parse_stamp(at(0)))
+    num = {c: at(i).try_cast("double").alias(c) for i, c in ((3, "actual"), (4, "estimate"), (5, "previous"))}
+    df = spark.read.text(path).where(F.size(f) >= 4).select(when.cast("timestamp_ntz").alias("event_date"), F.coalesce(at(1), F.lit("")).alias("name"), *num.values(), F.coalesce(at(6), F.lit("USD")).alias("currency"))
+    day, now_ = F.expr("interval 1 day"), F.lit(now).cast("timestamp_ntz")
+    return df.where(F.col("event_date").between(now_ - day, now_ + day)).withColumn("impact", impact(F.col("name")))
+
+
 def import_new(spark: SparkSession, path: str, new: DataFrame, key: list[str]) -> tuple[int, int]:
-    """Appends rows with new keys to a Parquet table; how many came in and how many were there already."""
+    """Appends rows with new keys to a Parquet table, for one writer at a time; how many came in and how many were there already."""
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # no table yet
@@ -58,9 +73,9 @@ def import_new(spark: SparkSession, path: str, new: DataFrame, key: list[str]) -
 
 
 def overwrite_keys(spark: SparkSession, path: str, staging: str, new: DataFrame, key: list[str]) -> None:
-    """new over the table at path, by key; the table is staged, then replaced, never read and overwritten at once."""
+    """new over the table at path, by key; the table is staged, then replaced, never read and overwritten at once. If the second write fails, the whole new table is at ``staging``: write it to path again."""
     upsert(spark.read.parquet(path), new, key).write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").parquet(path)
 
 
-__all__ = ["bar_line", "bar_lines", "import_new", "insert_new", "overwrite_keys", "parse_stamp", "read_bars", "read_calendar"]
+__all__ = ["bar_line", "bar_lines", "import_new", "insert_new", "overwrite_keys", "parse_stamp", "read_bars", "read_calendar", "read_positional_calendar"]

@@ -1,4 +1,4 @@
-"""Four-hour bars from a stream of ticks: late ticks count up to a watermark, and finished bars are upserted batch by batch."""
+"""Four-hour bars from a stream of ticks: late ticks count up to a watermark, and changed bars are written batch by batch."""
 
 from __future__ import annotations
 
@@ -29,3 +29,10 @@ def write_bars(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def latest(df: DataFrame) -> DataFrame:
     """Of every bar the row of its last batch."""
     return df.groupBy("asset", "ts").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("r")).select("asset", "ts", "r.*")
+
+
+def compacted(df: DataFrame, to: str) -> None:
+    """The newest state of every bar of a written stream as one folder, named as the last batch it holds."""
+    n = df.agg(F.max("batch")).first()[0]
+    if n is not None:
+        latest(df).write.mode("overwrite").parquet(f"{to}/batch={int(n):09d}")
