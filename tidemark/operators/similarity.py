@@ -131,6 +131,45 @@ def batch_search(states: DataFrame, k: int = TOP, topology_weight: float = 0.0)
     return search(states, ["asset"], k, bonus=True, topology_weight=topology_weight)
 
 
+#: Vectors of a block of a search for a set of queries.
+ROWS, ASKED = 8192, 2048
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int, by: Column, euclid: bool = False) -> DataFrame:
+    """q_vec_id, vec_id, score, rank: for each vector (vec_id, v) that is asked for, the k nearest others with the same ``by``, by cosine or closeness.
+
+    Exact: blocks of queries meet blocks of vectors, each pair of blocks in a group of its
+    own; the best k of each are ranked again. Every vector is sent once for each block of
+    queries. Scores are rounded to six digits before they are ranked; ties go to the smaller id.
+    """
+    df = vectors.select("vec_id", "v", by.alias("_g"), asked.alias("_asked"))
+    n = df.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_c"), F.ceil(F.count_if("_asked") / ASKED).cast("int").alias("_q"))
+    df = df.join(n.where("_q > 0"), "_g")
+    part = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
+    here = F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda q: F.struct(q.alias("q"), part("_c").alias("c"), F.lit(False).alias("query")))
+    ask = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda c: F.struct(part("_q").alias("q"), c.alias("c"), F.lit(True).alias("query")))
+    df = df.select("_g", "vec_id", "v", F.explode(F.when(F.col("_asked"), F.concat(here, ask)).otherwise(here)).alias("_p")).select("_g", "vec_id", "v", "_p.*")
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        q, c = b[b["query"]], b[~b["query"]]
+        out = []
+        if len(q) and len(c):
+            x, y = (np.array(side["v"].tolist(), float) for side in (q, c))
+            ids, mine = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            for at in range(0, len(q), 256):  # so many rows of scores at once
+                score = rounded((closenesses if euclid else cosines)(x[at : at + 256], y))
+                for r, row in enumerate(score, at):
+                    row = np.where(ids == mine[r], -np.inf, row)
+                    some = np.flatnonzero(row >= (np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -1.5))
+                    some = some[np.lexsort((ids[some], -row[some]))[:k]]
+                    out.append(pd.DataFrame({"q_vec_id": mine[r], "vec_id": ids[some], "score": row[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"q_vec_id": [], "vec_id": [], "score": []})
+
+    kind = dict(vectors.dtypes)["vec_id"]
+    found = df.groupBy("_g", "q", "c").applyInPandas(run, f"q_vec_id {kind}, vec_id {kind}, score double")
+    return top_per_key(found.where("score >= -1"), ["q_vec_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
 def explained(matches: DataFrame, threshold: float = MATCHED) -> DataFrame:
     """matched and mismatched layers, and the matched layer that contributes most."""
     parts = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"s{i}").alias("s"), (F.col(f"s{i}") * weight(F.col("vol_regime"), i - 1)).alias("c"), F.lit(-i).alias("o")) for i, n in enumerate(LAYERS, 1)])

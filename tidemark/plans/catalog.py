@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
 from tidemark.functions import text as X
-from tidemark.functions import vectors as V
 from tidemark.functions.numeric import feature
 from tidemark.functions.stamps import parse_stamp
 from tidemark.operators import candles as C
@@ -261,27 +260,20 @@ def dynamic_flat(spark, sf):
 
 @query
 def cosine_pairs(spark, sf):
-    v = vectors(spark, sf).withColumn("n", V.norm(F.col("v")))
-    a, b = (v.select(*[F.col(c).alias(f"{s}_{c}") for c in v.columns]) for s in "ab")
-    p = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id")))
-    return p.select("a_vec_id", "b_vec_id", r6(V.cosine(F.col("a_v"), F.col("b_v"), F.col("a_n"), F.col("b_n"))).alias("similarity"))
+    """For every vector whose id is divisible by 20, the ten nearest of its label by cosine."""
+    return M.nearest(vectors(spark, sf), F.expr("vec_id % 20 = 0"), 10, F.col("label")).select(F.col("q_vec_id").alias("a_vec_id"), F.col("vec_id").alias("b_vec_id"), F.col("score").alias("similarity"))
 
 
 @query
 def l2_similarity(spark, sf):
-    v = vectors(spark, sf)
-    a, b = (v.select(*[F.col(c).alias(f"{s}_{c}") for c in v.columns]) for s in "ab")
-    p = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_vec_id") < F.col("b_vec_id")))
-    return p.select("a_vec_id", "b_vec_id", r6(V.closeness(F.col("a_v"), F.col("b_v"))).alias("similarity"))
+    """As above, by distance."""
+    return M.nearest(vectors(spark, sf), F.expr("vec_id % 20 = 0"), 10, F.col("label"), euclid=True).select(F.col("q_vec_id").alias("a_vec_id"), F.col("vec_id").alias("b_vec_id"), F.col("score").alias("similarity"))
 
 
 @query
 def topk_similarity(spark, sf):
     """For every vector whose id is divisible by 20, the ten nearest of all by cosine."""
-    v = vectors(spark, sf).withColumn("n", V.norm(F.col("v")))
-    q = v.where("vec_id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in v.columns])
-    p = q.join(v, F.col("q_vec_id") != F.col("vec_id")).withColumn("score", r6(V.cosine(F.col("q_v"), F.col("v"), F.col("q_n"), F.col("n"))))
-    return J.top_per_key(p, ["q_vec_id"], [F.col("score").desc(), F.col("vec_id")], 10).select("q_vec_id", "vec_id", "score", "rank")
+    return M.nearest(vectors(spark, sf), F.expr("vec_id % 20 = 0"), 10, F.lit(0))
 
 
 @query

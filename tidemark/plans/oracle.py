@@ -230,7 +230,7 @@ def stats(c: str) -> list[str]:
 
 
 _ML = [*stats("l1"), *stats("l2"), *[f"l4[{i}]" for i in range(1, 9)], *[f"l5[{i}]" for i in range(1, 7)], *[f"(session = '{s}')::int::double" for s in ("LONDON", "NY", "ASIA")], *[f"(vol_regime = '{r}')::int::double" for r in ("HIGH", "LOW")], "rolling_trend", "atr_percentile", "vol_regime_score"]
-_PAIR = "from e a join e b on a.label = b.label and a.vec_id < b.vec_id"
+_PAIR = "from e a join e b on a.label = b.label and a.vec_id != b.vec_id where a.vec_id % 20 = 0"
 _EMB = "e as (select vec_id, label, list_transform(embedding, lambda z: z::double) as v from embeddings)"
 
 
@@ -268,8 +268,8 @@ ORACLE_SQL: dict[str, str] = {
     "outcome_distribution": f"with {FWD}, {distribution('o', 'asset, vol_regime')} select * from dist",
     "outcome_weighted": f"with {FWD}, w as (select *, case when vol_regime = 'NORMAL' and session = 'LONDON' then 15 when vol_regime = 'NORMAL' then 12 else 7 end as copies from o), {distribution('w', 'asset', 'copies')} select * from dist",
     "dynamic_flat": f"with {BARS}, d as (select asset, ts, count(*) over w as n, avg({P.RANGE}) over w as a from c window w as (partition by asset order by ts rows between 13 preceding and current row)) select asset, ts, {r6('case when n >= 5 then greatest(0.25 * a, 1e0) else 2e0 end')} as flat_threshold from d",
-    "cosine_pairs": f"with {_EMB} select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as similarity {_PAIR}",
-    "l2_similarity": f"with {_EMB} select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('1 / (1 + list_distance(a.v, b.v))')} as similarity {_PAIR}",
+    "cosine_pairs": f"with {_EMB}, p as (select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as similarity {_PAIR}) select * from p qualify row_number() over (partition by a_vec_id order by similarity desc, b_vec_id) <= 10",
+    "l2_similarity": f"with {_EMB}, p as (select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('1 / (1 + list_distance(a.v, b.v))')} as similarity {_PAIR}) select * from p qualify row_number() over (partition by a_vec_id order by similarity desc, b_vec_id) <= 10",
     "topk_similarity": f"with {_EMB}, p as (select a.vec_id as q_vec_id, b.vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as score from e a join e b on a.vec_id != b.vec_id where a.vec_id % 20 = 0) select *, row_number() over (partition by q_vec_id order by score desc, vec_id) as rank from p qualify rank <= 10",
     "similarity_batch": f"with recursive {BATCH}, {ranked('b4', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
     "similarity_engine": f"with {ENGINE}, {ranked('sc', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
