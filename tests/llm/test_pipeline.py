@@ -1,7 +1,9 @@
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as C
-from tidemark.llm import mix_sources, toxicity_chain
+from tidemark.llm import common, mix_sources, toxicity_chain
 
 from .test_bagminhash import brute_classes
 from .test_decontaminate import brute
@@ -62,3 +64,18 @@ def test_stages_take_nulls_ties_and_empty_tables(spark):
         for _, stage in C.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    Cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
