@@ -68,24 +68,10 @@ def kind(token: Column) -> Column:
 def windows(words: str, n: int = 5) -> Column:
     """Hashes of all windows of n (1 to 5) words, from a column of ``codes`` or ``bare_codes``."""
     c = F.col(words)
-
-    def rest(x: Column, k: int) -> Column:
-        return F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
-
-    def cut_to(x: Column, k: int) -> Column:
-        return F.slice(x, 1, F.greatest(F.size(x) - k, F.lit(0)))
-
     if n == 1:
         return c
-    two = F.zip_with(cut_to(c, 1), rest(c, 1), lambda a, b: F.xxhash64(a, b))
-    if n == 2:
-        return two
-    if n == 3:
-        return F.zip_with(cut_to(two, 1), rest(c, 2), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(cut_to(two, 2), rest(two, 2), lambda a, b: F.xxhash64(a, b))
-    if n == 4:
-        return four
-    return F.zip_with(cut_to(four, 1), rest(c, 4), lambda a, b: F.xxhash64(a, b))
+    starts = F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(c, i + k) for k in range(1, n)]))
 
 
 def codes(words: Column) -> Column:
