@@ -163,7 +163,7 @@ def test_rows_without_an_id_stand_in_many_places(spark):
 
 
 def test_quality_falls_with_repeats_and_junk(spark):
-    texts = ["plain words stand here\nand on this line", "plain words stand here\nplain words stand here", "pl#### $$$ ***", "a b c d e f", None, "", " "]
+    texts = ["plain words stand there\nand another follows them", "plain words stand there\nplain words stand there", "pl#### $$$ ***", "a b c d e f", None, "", " "]
     got = [r.q for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", M.quality().alias("q")).orderBy("k").collect()]
     assert got[0] == 1.0 and got[1] == 0.525 and got[2] == 0.05 and got[3] < 0.7 and got[4:] == [1.0, 1.0, 1.0]
 

@@ -31,7 +31,6 @@ from .common import cells, cut, small, unit_hash, words
 
 #: Characters that mark boiler-plate and garbage; their share lowers a document's weight.
 JUNK = "#$%&*!|"
-SPACE = " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -45,15 +44,15 @@ class Mix:
 
 
 def quality(text=None):
-    """Weight in [0.05, 1]: falls with the share of JUNK characters, with the distance of the mean word from 4 to 8 characters, and with repeated lines. 1 without a word."""
+    """Weight in [0.05, 1]: falls with the share of JUNK characters, with the distance of the characters a word (less one, for the space) from 4 to 8, and with repeated lines. 1 without a word."""
     text = F.col("text") if text is None else text
     length, count = F.length(text), words(text)
     junk = length - F.length(F.translate(text, JUNK, ""))
-    mean = F.length(F.translate(text, SPACE, "")) / F.nullif(count, F.lit(0))
-    lines = F.split(text, "\n")
+    mean = length / F.nullif(count, F.lit(0)) - 1
+    lines = length - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     fine = 1 - F.least(F.lit(1.0), 4.0 * junk / F.nullif(length, F.lit(0)))
     usual = 1 - F.least(F.lit(1.0), F.greatest(4.0 - mean, mean - 8.0, F.lit(0.0)) / 8.0)
-    fresh = F.size(F.array_distinct(lines)) / F.size(lines)
+    fresh = F.size(F.array_distinct(F.split(text, "\n"))) / lines
     return F.when(count > 0, 0.05 + 0.95 * (fine * usual * fresh)).otherwise(1.0)
 
 
@@ -131,12 +130,11 @@ SQL = r"""
 with p as (
   select doc_id, source, text, length(text) as chars, string_split(text, chr(10)) as lines,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as solid,
     length(text) - length(translate(text, '#$%&*!|', '')) as junk,
     (cast('0x' || substr(md5(concat_ws(':', 'mix-1', cast(doc_id as varchar))), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0 as u
   from documents),
 q as (
-  select *, solid::double / nullif(size, 0) as mean from p),
+  select *, chars::double / nullif(size, 0) - 1 as mean from p),
 d as (
   select doc_id, source, size,
     -ln(u) / case when size > 0 then 0.05::double + 0.95::double * (
