@@ -11,7 +11,7 @@ import tempfile
 import time
 
 from tidemark import plans
-from tidemark.session import session
+from tidemark.session import session, ship
 
 HEADLINE = (
     "candle_resample_4h",
@@ -37,6 +37,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     with tempfile.TemporaryDirectory() as shared:
         spark = session("bench", cores=cpus, **{"spark.sql.shuffle.partitions": cpus, "spark.checkpoint.dir": shared})
+        ship(spark)
         plans.QUERIES["serving_latest"](spark, sf).write.format("noop").mode("overwrite").save()
         took = {}
         for name in HEADLINE:
