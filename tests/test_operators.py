@@ -234,11 +234,13 @@ def test_search_in_blocks_equals_one_block(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(o, o + 2, o - 2, o + d) for o, d in zip(rng.uniform(90, 110, 130), rng.uniform(-2, 2, 130), strict=True)]
     s = P.fingerprints(bars(spark, rows), 0.05)
-    s = s.withColumn("topology", F.when(F.hour("ts") != 4, F.array(F.col("l1")[0], F.col("l1")[1], F.lit(0.2))))
+    s = s.withColumn("topology", F.when(F.hour("ts") != 4, F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.col("l3")[i % 20] * 0.5)))
     for search in (lambda: M.batch_search(s, 7, 0.1), lambda: M.engine_search(s, 7)):
         whole = sorted(map(str, search().collect()))
         with monkeypatch.context() as m:
             m.setattr(M, "BLOCK", 16)
+            m.setattr(M, "SPAN", 24)
+            m.setattr(M, "SLICE", 10)
             assert sorted(map(str, search().collect())) == whole
 
 

@@ -1,10 +1,10 @@
 """The most similar earlier states of every state, within its asset (or within asset and regime).
 
-States are numbered in time and dealt into blocks. Every pair of blocks (a later or the same
-one against an earlier one) is a group of its own, in which NumPy computes all similarities
-as products of matrices and keeps the best k of each query; what is left, k rows for each
-query and block, is ranked again. So no task holds more than two blocks, however long an
-asset's history is, and no pair of states ever becomes a row. Scores are rounded to six
+States are numbered in time. Blocks of queries meet spans of earlier states, each pair of
+them in a group of its own, in which NumPy computes similarities as products of matrices,
+slice by slice, and keeps the best k of each query; what is left, k rows for each query and
+span, is ranked again. So a task holds a block and a span, however long an asset's history
+is, and no pair of states ever becomes a row. Scores are rounded to six
 digits before they are ranked; ties go to the smaller id.
 """
 
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from .joins import numbered, top_per_key
 from .outcomes import r6
 
-#: States of a block.
-BLOCK = 1024
+#: Queries of a block, earlier states of a span, and of a slice.
+BLOCK, SPAN, SLICE = 1024, 8192, 1024
 LAYERS = ("structure", "volatility", "liquidity", "macro", "sentiment")
 #: Weights of the layers by volatility; others weigh the same.
 WEIGHTS = {"LOW": (0.40, 0.15, 0.30, 0.10, 0.05), "NORMAL": (0.20, 0.15, 0.15, 0.30, 0.20), "HIGH": (0.25, 0.25, 0.15, 0.20, 0.15)}
 TOP, TOPOLOGY_WEIGHT, MATCHED = 50, 0.10, 0.6
+#: Components of the layers.
+WIDTHS = (16, 12, 20, 8, 6)
 
 
 def weight(vol: Column, i: int) -> Column:
@@ -57,6 +59,18 @@ def closenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.sqrt(out))
 
 
+def of_pairs(a: np.ndarray, b: np.ndarray, euclid: bool) -> np.ndarray:
+    """The similarity of each row of a with the same row of b."""
+    if euclid:
+        return 1 / (1 + np.sqrt(((a - b) ** 2).sum(1)))
+    both = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.where(both > 0, (a * b).sum(1) / np.where(both > 0, both, 1.0), 0.0)
+
+
+def matrix(column: pd.Series, width: int) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(-1, width)
+
+
 REGIME = ["vol_regime", "trend_regime", "session"]
 FOUND = "asset string, fingerprint_id string, match_id string, score double, s1 double, s2 double, s3 double, s4 double, s5 double, topology_score double, vol_regime string, session string, match_vol_regime string, match_session string"
 
@@ -70,50 +84,56 @@ def search(states: DataFrame, keys: list[str], k: int, euclid: tuple[int, ...] =
     """
     layers = [f"l{i}" for i in range(1, 6)]
     cols = [*dict.fromkeys([*keys, "asset", "fingerprint_id", *REGIME, *layers]), *(["topology"] if topology_weight else [])]
-    df = numbered(states.select("ts", *cols), keys, "ts").drop("ts").withColumn("_b", F.floor(F.col("_n") / BLOCK).cast("int"))
-    last = df.groupBy(*keys).agg(F.max("_b").alias("_last"))
-    df = df.join(last, keys)
-    as_query = F.transform(F.sequence(F.lit(0), F.col("_b")), lambda b: F.struct(F.col("_b").alias("q"), b.alias("c"), F.lit(True).alias("query")))
-    as_match = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda b: F.struct(b.alias("q"), F.col("_b").alias("c"), F.lit(False).alias("query")))
-    df = df.withColumn("_p", F.explode(F.concat(as_query, as_match))).select("*", "_p.*").drop("_p", "_b", "_last")
+    df = numbered(states.select("ts", *cols), keys, "ts").drop("ts")
+    df = df.withColumns({"_b": F.floor(F.col("_n") / BLOCK).cast("int"), "_s": F.floor(F.col("_n") / SPAN).cast("int")})
+    df = df.join(df.groupBy(*keys).agg(F.max("_b").alias("_last")), keys)
+    as_query = F.transform(F.sequence(F.lit(0), F.col("_s")), lambda c: F.struct(F.col("_b").alias("q"), c.alias("c"), F.lit(True).alias("query")))
+    as_match = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda q: F.struct(q.alias("q"), F.col("_s").alias("c"), F.lit(False).alias("query")))
+    df = df.withColumn("_p", F.explode(F.concat(as_query, as_match))).select("*", "_p.*").drop("_p", "_b", "_s", "_last")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         q, c = (b[b["query"] == on].sort_values("_n", ignore_index=True) for on in (True, False))
-        scores = []
-        for i in range(1, 6):
-            x, y = (np.array(side[f"l{i}"].tolist(), float).reshape(len(side), -1) for side in (q, c))
-            scores.append(np.clip((closenesses if i in euclid else cosines)(x, y), 0, 1))
+        sides = [tuple(matrix(side[name], width) for side in (q, c)) for name, width in zip(layers, WIDTHS, strict=True)]
         w = np.array([WEIGHTS.get(v, (0.2,) * 5) for v in q["vol_regime"]]).reshape(len(q), 5)
-        total = sum((s * w[:, i, None] for i, s in enumerate(scores)), np.zeros((len(q), len(c))))
-        total = rounded(np.clip(total, 0, 1))
-        if bonus:
-            for name, more in (("session", 1.05), ("vol_regime", 1.03)):
-                same = q[name].to_numpy()[:, None] == c[name].to_numpy()
-                total = np.where(same, np.minimum(1.0, total * more), total)
-            total = rounded(total)
-        shape = np.full(total.shape, np.nan)
-        if topology_weight:
-            has_q, has_c = (np.flatnonzero(side["topology"].notna()) for side in (q, c))
-            if len(has_q) and len(has_c):
-                t = np.clip(cosines(*(np.array(side["topology"][at].tolist(), float) for side, at in ((q, has_q), (c, has_c)))), 0, 1)
-                at = np.ix_(has_q, has_c)
-                shape[at] = t
-                total[at] = rounded((1 - topology_weight) * total[at] + topology_weight * t)
-        earlier = c["_n"].to_numpy() < q["_n"].to_numpy()[:, None]
-        ids, rows, hits = c["fingerprint_id"].to_numpy(), [], []
-        for r in range(len(q)):
-            n = int(earlier[r].sum())  # they stand first
-            some = np.arange(n)
-            if n > k:
-                least = np.partition(total[r, :n], n - k)[n - k]
-                some = some[total[r, :n] >= least]
-            some = some[np.lexsort((ids[some].astype(str), -total[r, some]))[:k]]
-            rows.append(np.full(len(some), r))
-            hits.append(some)
-        r, m = np.concatenate([*rows, np.zeros(0, int)]).astype(int), np.concatenate([*hits, np.zeros(0, int)]).astype(int)
-        out = {"asset": q["asset"].to_numpy()[r], "fingerprint_id": q["fingerprint_id"].to_numpy()[r], "match_id": ids[m], "score": total[r, m]}
-        out |= {f"s{i + 1}": rounded(s[r, m]) for i, s in enumerate(scores)} | {"topology_score": rounded(shape[r, m])}
-        out |= {"vol_regime": q["vol_regime"].to_numpy()[r], "session": q["session"].to_numpy()[r], "match_vol_regime": c["vol_regime"].to_numpy()[m], "match_session": c["session"].to_numpy()[m]}
+        shapes = None
+        if topology_weight:  # rows without a topology are told by their first component
+            shapes = [matrix(side["topology"].map(lambda v: [np.nan] * 40 if v is None else v), 40) for side in (q, c)]
+        when_q, when_c, order = q["_n"].to_numpy(), c["_n"].to_numpy(), np.argsort(np.argsort(c["fingerprint_id"].to_numpy().astype(str)))
+        rows, cols, scores = [], [], []
+        for at in range(0, len(c), SLICE):
+            part = slice(at, at + SLICE)
+            total = np.zeros((len(q), len(c[part])))
+            for i, (x, y) in enumerate(sides):
+                total += np.clip((closenesses if i + 1 in euclid else cosines)(x, y[part]), 0, 1) * w[:, i, None]
+            total = rounded(np.clip(total, 0, 1))
+            if bonus:
+                for name, more in (("session", 1.05), ("vol_regime", 1.03)):
+                    same = q[name].to_numpy()[:, None] == c[name].to_numpy()[part]
+                    total = np.where(same, np.minimum(1.0, total * more), total)
+                total = rounded(total)
+            if shapes:
+                has = ~np.isnan(shapes[0][:, :1]) & ~np.isnan(shapes[1][part, 0])
+                t = np.clip(cosines(*(np.nan_to_num(x) for x in (shapes[0], shapes[1][part]))), 0, 1)
+                total = np.where(has, rounded((1 - topology_weight) * total + topology_weight * t), total)
+            total[when_c[part] >= when_q[:, None]] = -1.0
+            least = np.partition(total, -k, axis=1)[:, -k] if total.shape[1] > k else np.zeros(len(q))
+            r, m = np.nonzero(total >= np.maximum(least, 0.0)[:, None])
+            rows.append(r)
+            cols.append(m + at)
+            scores.append(total[r, m])
+        r, m, score = (np.concatenate([*x, np.zeros(0)]) for x in (rows, cols, scores))
+        r, m = r.astype(int), m.astype(int)
+        best = np.lexsort((order[m], -score, r)) if len(r) else np.zeros(0, int)
+        r, m, score = r[best], m[best], score[best]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, m, score = r[top], m[top], score[top]
+        out = {"asset": q["asset"].to_numpy()[r], "fingerprint_id": q["fingerprint_id"].to_numpy()[r], "match_id": c["fingerprint_id"].to_numpy()[m], "score": score}
+        out |= {f"s{i}": rounded(np.clip(of_pairs(x[r], y[m], i in euclid), 0, 1)) for i, (x, y) in enumerate(sides, 1)}
+        shape = np.full(len(r), np.nan)
+        if shapes and len(r):
+            x, y = shapes[0][r], shapes[1][m]
+            shape = np.where(np.isnan(x[:, 0]) | np.isnan(y[:, 0]), np.nan, rounded(np.clip(of_pairs(np.nan_to_num(x), np.nan_to_num(y), False), 0, 1)))
+        out |= {"topology_score": shape, "vol_regime": q["vol_regime"].to_numpy()[r], "session": q["session"].to_numpy()[r], "match_vol_regime": c["vol_regime"].to_numpy()[m], "match_session": c["session"].to_numpy()[m]}
         return pd.DataFrame(out)
 
     found = df.groupBy(*keys, "q", "c").applyInPandas(run, FOUND)
