@@ -115,6 +115,12 @@ def test_corner_cases(spark):
     assert kept.where("doc_id < 100").count() == 40
 
 
+def test_labels_that_tell_nothing_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"words {'abcdefgh'[i % 8]} here", "x", 1, 2) for i in range(60)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 11 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert T.clean(docs, labels, CHAIN).count() == 60
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 1, 2)], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -6,7 +6,8 @@ ratio is at least the logarithm of the number of such words, so that chance lets
 in however many there are; of them the best ``Chain.telling``. They are scaled by their
 naive-Bayes log ratios, and a logistic regression is fitted on top. The probabilities that later models are trained with are out of fold:
 every training row's come from models that have not seen it. The last category's threshold
-is the one with the best F1 over such probabilities. Spark ML fits and applies the models.
+is the one with the best F1 over such probabilities, of those with half of the flagged rows
+right; if there is none, nothing is flagged, so few labels never reject clean documents. Spark ML fits and applies the models.
 
 Training uses labelled rows only, at most about ``Chain.rows`` of them, by a hash of their
 id; this is the one bound. Every row is scored, on its whole text. Null and empty texts
@@ -100,15 +101,16 @@ def predicted(rows: DataFrame, model: PipelineModel | None, name: str) -> DataFr
 
 
 def best_threshold(rows: DataFrame, name: str) -> float:
-    """Where F1 is best, in steps of 0.001; halfway to the next lower probability."""
+    """Where F1 is best among the places with half of the flagged rows right, in steps of 0.001; halfway to the next lower probability. Above 1 if there is none."""
     step = F.floor(F.col(f"p_{name}") * 1000)
     is_ = F.col(f"_is_{name}")
     found = sorted((r.step, r.yes, r.all) for r in rows.where(is_.isNotNull()).groupBy(step.alias("step")).agg(F.sum(is_).alias("yes"), F.count(F.lit(1)).alias("all")).collect())
-    total, hits, taken, best = sum(r[1] for r in found), 0.0, 0, (0.0, 0.5)
+    total, hits, taken, best = sum(r[1] for r in found), 0.0, 0, (0.0, 1.01)
     for i in range(len(found) - 1, -1, -1):
         hits, taken = hits + found[i][1], taken + found[i][2]
         low = found[i - 1][0] if i else 0
-        best = max(best, (2 * hits / (taken + total) if total else 0.0, (found[i][0] + low) / 2000))
+        if hits > 0 and hits >= taken / 2:
+            best = max(best, (2 * hits / (taken + total), (found[i][0] + low) / 2000))
     return max(best[1], 0.01)
 
 
