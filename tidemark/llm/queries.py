@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, lang_ppm, media_matroska, mix_sources, pii_boost, shard_ring, toxicity_chain, url_filter, warc_normalise
+from . import bagminhash, decontaminate, html_blocks, lang_ppm, media_matroska, merkle_manifest, mix_sources, pii_boost, shard_ring, toxicity_chain, url_filter, warc_normalise, whitening
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normalise.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_choleskyqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -62,9 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_boosting": op8_pii_boosting,
     "op9_bagminhash": op9_bagminhash,
     "op10_warc_normaliser": op10_warc_normaliser,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_block_lstm": op12_block_lstm,
+    "op13_choleskyqr_whitening": op13_choleskyqr_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_bloom_url_filter": url_filter.SQL,
     "op5_efraimidis_mix": mix_sources.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
