@@ -72,6 +72,7 @@ def test_query_equals_brute_force_and_sql(spark, sf):
 def test_bands_meet(spark, monkeypatch):
     """Trees of several bands, with a last node on its own on every level."""
     monkeypatch.setattr(M, "BAND", 2)
+    monkeypatch.setattr(M, "BLOCK", 3)
     docs = [(i, f"text {i}", "a" if i % 9 else "b", "s", i) for i in range(1, 66)]
     df = spark.createDataFrame(docs, SCHEMA)
     same(rows(M.proofs(df)), brute(rows(df)))

@@ -10,8 +10,9 @@ lo to hi, end exclusive. All that a proof needs follows from these labels:
 * a leaf's ancestors are attached by the same containment join, in bands of ``BAND`` levels:
   a leaf meets those of its lowest band only, and takes the rest from the node on top of that.
 
-Ranks come from range partitions whose counts are added up, and digests of a band are made
-from blocks of 2^BAND neighbours, so no task holds a tree.
+Ranks come from range partitions whose counts are added up, and digests of ``BLOCK`` levels are
+made from blocks of 2^BLOCK neighbours, so no task holds a tree. Stored and shuffled digests
+are bytes; they are hashed and told as hex text.
 
 Defined results. Null columns are written ``-``; a null text and an empty one differ. A null
 language is a tree of its own, the first. Null ids come first; rows with equal ids stand by
@@ -26,18 +27,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_join, small, written
+from .common import dealt_join, small, written
 
 #: Columns of a document that its leaf is made of, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-#: Levels of a band: 2^BAND nodes are hashed together, and a leaf is joined with BAND ancestors.
-BAND = 8
+#: Levels that are hashed together, from 2^BLOCK nodes.
+BLOCK = 8
+
+#: Levels of a band: so many rows a node are joined with ancestors.
+BAND = 4
 
 #: Trees up to which their roots' paths are broadcast (about 70 bytes a level, so 10 MB).
 MOST_TREES = 10_000
 
-_SIBLING = "struct<left:boolean,sibling:string>"
+_PATH = "array<struct<left:boolean,sibling:binary>>"
 
 
 def field(value: Column) -> Column:
@@ -46,8 +50,12 @@ def field(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(s).cast("string"), F.lit(":"), s), F.lit("-"))
 
 
+def text(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def digest(*values: Column) -> Column:
-    return F.sha2(F.concat(*map(field, values)), 256)
+    return F.unhex(F.sha2(F.concat(*map(field, values)), 256))
 
 
 def leaves(docs: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def numbered(df: DataFrame, tree: str, order: list[str]) -> DataFrame:
     at = written(df.repartitionByRange(tree, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = at.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(tree)
-    counts = cut(counts.select(tree, "_part", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_offset"), F.sum("_n").over(w).alias("size")))
+    counts = written(counts.select(tree, "_part", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_offset"), F.sum("_n").over(w).alias("size")), "counts")
     row = F.row_number().over(Window.partitionBy(tree, "_part").orderBy(*order)) - 1
     out = at.join(small(counts, counts.count()), [tree, "_part"]).withColumn("rank", F.col("_offset") + row)
     return out.drop("_part", "_offset")
@@ -86,8 +94,8 @@ def _raised(nodes: Column) -> Column:
 
     def parent(i: Column) -> Column:
         a, b = F.get(nodes, i * 2), F.get(nodes, i * 2 + 1)
-        text = F.concat(a["digest"], F.coalesce(b["digest"], F.lit("")))
-        return F.struct(a["lo"].alias("lo"), F.coalesce(b["hi"], a["hi"]).alias("hi"), F.sha2(text, 256).alias("digest"))
+        both = F.concat(text(a["digest"]), F.coalesce(text(b["digest"]), F.lit("")))
+        return F.struct(a["lo"].alias("lo"), F.coalesce(b["hi"], a["hi"]).alias("hi"), F.unhex(F.sha2(both, 256)).alias("digest"))
 
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / 2).cast("int") - 1), parent)
 
@@ -97,16 +105,16 @@ def manifest(ranked: DataFrame) -> DataFrame:
     base = ranked.select("tree", "size", F.lit(0).alias("level"), F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), F.col("leaf").alias("digest"))
     tallest = ranked.agg(F.max(height(F.col("size")))).first()[0] or 0
     made = [base]
-    for low in range(0, tallest, BAND):
-        block = base.where(height(F.col("size")) > low).groupBy("tree", "size", F.shiftright("lo", low + BAND).alias("_block"))
+    for low in range(0, tallest, BLOCK):
+        block = base.where(height(F.col("size")) > low).groupBy("tree", "size", F.shiftright("lo", low + BLOCK).alias("_block"))
         row = block.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "digest"))).alias("_0"))
-        for k in range(1, BAND + 1):
+        for k in range(1, BLOCK + 1):
             row = row.withColumn(f"_{k}", F.when(height(F.col("size")) >= low + k, _raised(F.col(f"_{k - 1}"))))
-        levels = F.array(*[F.struct(F.lit(low + k).alias("level"), F.col(f"_{k}").alias("nodes")) for k in range(1, BAND + 1)])
+        levels = F.array(*[F.struct(F.lit(low + k).alias("level"), F.col(f"_{k}").alias("nodes")) for k in range(1, BLOCK + 1)])
         rows = row.select("tree", "size", F.explode(levels).alias("_l")).select("tree", "size", "_l.level", F.explode("_l.nodes").alias("_n"))
-        rows = cut(rows.select("tree", "size", "level", "_n.lo", "_n.hi", "_n.digest"))
+        rows = written(rows.select("tree", "size", "level", "_n.lo", "_n.hi", "_n.digest"), "nodes")
         made.append(rows)
-        base = rows.where(F.col("level") == low + BAND)
+        base = rows.where(F.col("level") == low + BLOCK)
     return reduce(DataFrame.unionByName, made)
 
 
@@ -125,21 +133,24 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return rest.join(other, ["tree", "level", "_from", "_to"], "left").drop("_from", "_to")
 
 
-def paths(nodes: DataFrame, tallest: int) -> DataFrame:
-    """(tree, rank, path) of every leaf below a root: its siblings and those of its ancestors, from the leaf up."""
-    steps = cut(siblings(nodes))
+def paths(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ranked with ``path``: the siblings of each leaf and of its ancestors, from the leaf up; empty for a lone leaf."""
+    tallest = max(1, ranked.agg(F.max(height(F.col("size")))).first()[0] or 0)
+    steps = written(siblings(nodes), "siblings")
     above = None
-    for low in reversed(range(0, max(tallest, 1), BAND)):
+    for low in reversed(range(0, tallest, BAND)):
         top = F.least(F.lit(low + BAND), height(F.col("size"))) - 1
-        at = nodes.where((F.col("level") == low) & (height(F.col("size")) > low)).select("tree", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(F.lit(low), top)).alias("level"))
-        at = at.withColumn("_bucket", F.expr("shiftright(_lo, level)"))
+        at = nodes.where((F.col("level") == low) & (height(F.col("size")) > low)).select("tree", F.col("lo").alias("rank"), F.col("hi").alias("_hi"), F.explode(F.sequence(F.lit(low), top)).alias("level"))
+        at = at.withColumn("_bucket", F.expr("shiftright(rank, level)"))
         over = steps.where((F.col("level") >= low) & (F.col("level") < low + BAND)).withColumn("_bucket", F.expr("shiftright(lo, level)"))
-        near = at.join(over, ["tree", "level", "_bucket"]).where("lo <= _lo and _hi <= hi")
-        band = near.groupBy("tree", "_lo").agg(F.sort_array(F.collect_list(F.struct("level", "left", "sibling"))).alias("_near"))
-        band = band.select("tree", F.col("_lo").alias("rank"), F.transform("_near", lambda s: F.struct(s["left"].alias("left"), s["sibling"].alias("sibling"))).alias("path"))
+        near = at.join(over, ["tree", "level", "_bucket"]).where("lo <= rank and _hi <= hi")
+        band = near.groupBy("tree", "rank").agg(F.sort_array(F.collect_list(F.struct("level", "left", "sibling"))).alias("_near"))
+        band = band.select("tree", "rank", F.transform("_near", lambda s: F.struct(s["left"].alias("left"), s["sibling"].alias("sibling"))).cast(_PATH).alias("path"))
+        if not low:
+            band = ranked.join(band, ["tree", "rank"], "left").withColumn("path", F.coalesce("path", F.array().cast(_PATH)))
         if above is not None:
-            band = band.withColumn("_top", F.shiftright("rank", low + BAND)).join(above, ["tree", "_top"], "left")
-            band = band.select("tree", "rank", F.concat("path", F.coalesce("_more", F.array().cast(f"array<{_SIBLING}>"))).alias("path"))
+            band = band.withColumn("_top", F.shiftright("rank", low + BAND)).join(above, ["tree", "_top"], "left").drop("_top")
+            band = band.withColumn("path", F.concat("path", F.coalesce("_more", F.array().cast(_PATH)))).drop("_more")
         if low:
             above = band.select("tree", F.shiftright("rank", low).alias("_top"), F.col("path").alias("_more"))
     return band
@@ -149,38 +160,32 @@ def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and its path lead to."""
 
     def up(acc: Column, s: Column) -> Column:
-        other = F.coalesce(s["sibling"], F.lit(""))
-        return F.sha2(F.when(s["left"], F.concat(other, acc)).otherwise(F.concat(acc, other)), 256)
+        own, other = text(acc), F.coalesce(text(s["sibling"]), F.lit(""))
+        return F.unhex(F.sha2(F.when(s["left"], F.concat(other, own)).otherwise(F.concat(own, other)), 256))
 
     return F.aggregate(path, leaf, up)
 
 
-def _tree(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Roots of the trees, and the leaves with their paths."""
-    nodes = manifest(ranked)
-    tallest = ranked.agg(F.max(height(F.col("size")))).first()[0] or 0
-    none = F.array().cast(f"array<{_SIBLING}>")
-    return roots(nodes), ranked.join(paths(nodes, tallest), ["tree", "rank"], "left").withColumn("path", F.coalesce("path", none))
-
-
 def proven(docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, subroot, root, path, altered of every row, and ``folded_root`` of the altered leaf where there is one, else of the leaf."""
-    ranked = cut(numbered(leaves(docs), "tree", ["doc_id", "leaf"]))
-    subroots, out = _tree(ranked)
-    trees = cut(numbered(subroots.select(F.lit("").alias("forest"), F.col("tree").alias("name"), F.col("root").alias("leaf")), "forest", ["name"]).withColumnRenamed("forest", "tree"))
-    top, upper = _tree(trees)
-    root = top.first()
-    upper = cut(upper.select(F.col("name").alias("tree"), F.col("leaf").alias("subroot"), F.col("path").alias("_more")))
-    many = upper.count()
-    out = out.join(F.broadcast(upper), "tree") if many <= MOST_TREES else dealt_join(out, upper, "tree", "rank")
+    """doc_id, leaf, subroot, root, path, altered of every row, and ``folded_root`` of the altered leaf where there is one, else of the leaf; digests as bytes."""
+    ranked = written(numbered(leaves(docs), "tree", ["doc_id", "leaf"]), "leaves")
+    nodes = manifest(ranked)
+    trees = numbered(roots(nodes).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("leaf")), "tree", ["name"])
+    trees = written(trees, "trees")
+    top = manifest(trees)
+    root = roots(top).first()
+    upper = written(paths(trees, top).select(F.col("name").alias("tree"), F.col("leaf").alias("subroot"), F.col("path").alias("_more")), "trees")
+    out = paths(ranked, nodes)
+    out = out.join(F.broadcast(upper), "tree") if upper.count() <= MOST_TREES else dealt_join(out, upper, "tree", "rank")
     out = out.withColumn("path", F.concat("path", "_more"))
-    return out.select("doc_id", "leaf", "subroot", F.lit(root["root"] if root else None).cast("string").alias("root"), "path", "altered", folded(F.coalesce("altered", "leaf"), F.col("path")).alias("folded_root"))
+    return out.select("doc_id", "leaf", "subroot", F.lit(bytes(root["root"]) if root else None).cast("binary").alias("root"), "path", "altered", folded(F.coalesce("altered", "leaf"), F.col("path")).alias("folded_root"))
 
 
 def proofs(docs: DataFrame) -> DataFrame:
     """The digest of every row's proof, and whether the row, altered or not, still leads to the root."""
-    siblings_of = F.array_join(F.transform("path", lambda s: F.coalesce(s["sibling"], F.lit(""))), "")
-    return proven(docs).select("doc_id", "leaf", "subroot", "root", F.sha2(siblings_of, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    others = F.array_join(F.transform("path", lambda s: F.coalesce(text(s["sibling"]), F.lit(""))), "")
+    told = {c: text(F.col(c)) for c in ("leaf", "subroot", "root")}
+    return proven(docs).select("doc_id", *[c.alias(n) for n, c in told.items()], F.sha2(others, 256).alias("proof_sha256"), text(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
