@@ -259,7 +259,7 @@ def test_vectors(spark):
 def test_too_little_to_train(spark):
     df = spark.createDataFrame([([0.5] * 30, 1.0)] * 10, "x array<double>, y double")
     with pytest.raises(ValueError):
-        L.trained(df, "x", "y")
+        L.trained(df, "x", "y", "y")
 
 
 def test_streamed_bars_equal_batch_bars(spark, sf, tmp_path):

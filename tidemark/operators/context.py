@@ -114,12 +114,28 @@ def news_risk(times: DataFrame, events: DataFrame) -> DataFrame:
     return times.join(g, "ts", "left").withColumn("at_risk", F.col("hours_to_event").isNotNull()).withColumn("names", F.coalesce("names", F.lit("")))
 
 
-def event_impact(events: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """name, events, median and mean absolute return of the outcome nearest before each past event (within 4 hours), and the share that rose; names with three events and three outcomes at least."""
-    e = events.select("name", "event_date").distinct()
-    m = interval_join(outcomes.select("ts", "net_return_pips"), e, [], "ts", "event_date", 4 * HOUR, 4 * HOUR)
-    m = m.groupBy("name", "event_date").agg(F.max_by("net_return_pips", F.struct("ts", "net_return_pips")).alias("net"))
-    n = e.groupBy("name").agg(F.count(F.lit(1)).alias("events"))
-    g = m.groupBy("name").agg(F.count(F.lit(1)).alias("outcomes"), F.median(F.abs("net")).alias("med"), F.avg(F.abs("net")).alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("up"))
-    g = g.join(n, "name").where("outcomes >= 3 and events >= 3")
-    return g.select("name", "events", "outcomes", r6(F.col("med")).alias("median_abs"), r6(F.col("up")).alias("up_share"), r6(F.when(F.col("med") == 0, 1.0).otherwise(F.col("mean") / F.when(F.col("med") == 0, 1.0).otherwise(F.col("med")))).alias("amplification"))
+def upcoming(bars: DataFrame, events: DataFrame, within: int = 8 * HOUR) -> DataFrame:
+    """asset, ts, name of the nearest high-impact event of one of the asset's currencies, from each bar's time on."""
+    by = bars.select("asset", "ts", F.explode(F.array_distinct("currencies")).alias("currency"))
+    e = interval_join(events.where("impact = 'high' and currency is not null"), by, ["currency"], "event_date", "ts", 0, within)
+    return e.groupBy("asset", "ts").agg(F.min(F.struct("event_date", "name"))["name"].alias("name"))
+
+
+def event_impact(bars: DataFrame, events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """For each asset and bar with an event ahead, what the asset did at the events of that name before: asset, ts, name, events, outcomes, median_abs, up_share, amplification.
+
+    bars: asset, ts, currencies; events: name, event_date, impact, currency; outcomes: asset, ts,
+    net_return_pips. An event's outcome is the asset's latest within four hours on either
+    side. Bars with fewer than three events or three outcomes have no row. Outcomes are
+    matched once for each asset and event; a bar then takes those before it, as many as the calendar has of the name.
+    """
+    past = events.select("name", "event_date").distinct()
+    net = interval_join(outcomes.select("asset", "ts", "net_return_pips"), past, [], "ts", "event_date", 4 * HOUR, 4 * HOUR)
+    net = net.groupBy("name", "event_date", "asset").agg(F.max_by("net_return_pips", "ts").alias("net"))
+    ahead = upcoming(bars, events)
+    seen = ahead.join(past, "name").where("event_date < ts").groupBy("asset", "ts", "name").agg(F.count(F.lit(1)).alias("events"))
+    near = ahead.join(net, ["asset", "name"]).where("event_date < ts")
+    g = near.groupBy("asset", "ts", "name").agg(F.count(F.lit(1)).alias("outcomes"), F.median(F.abs("net")).alias("med"), F.avg(F.abs("net")).alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("up"))
+    g = g.join(seen, ["asset", "ts", "name"]).where("outcomes >= 3 and events >= 3")
+    ratio = F.when(F.col("med") == 0, 1.0).otherwise(F.col("mean") / F.when(F.col("med") == 0, 1.0).otherwise(F.col("med")))
+    return g.select("asset", "ts", "name", "events", "outcomes", r6(F.col("med")).alias("median_abs"), r6(F.col("up")).alias("up_share"), r6(ratio).alias("amplification"))

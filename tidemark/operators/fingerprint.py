@@ -1,7 +1,9 @@
 """State vectors of bars: five layers of features in [0, 1], the regime, and features of the preceding bars.
 
-Formulas are SQL text (``tidemark.functions.numeric``) over open, high, low, close; ``pip``
-is the size of a pip. Windows run over an asset's bars in time order.
+Formulas are SQL text (``tidemark.functions.numeric``) over open, high, low, close, and ``pip``,
+the size of a pip. The first two layers and the regimes take net and range in pips as rounded to two
+digits (``net_pips``, ``range_pips`` of ``with_regime``), so that no binary fraction decides at a
+boundary; the statistics of preceding bars take them unrounded. Windows run over an asset's bars in time order.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import feature, half_interval, ratio, rounded, sigmoid, unit
+from tidemark.functions.numeric import feature, ratio, rounded, sigmoid, unit
 
 VERSIONS = {"market_state_version": "1.1.0", "schema_version": "v1_0", "normalisation": "fixed", "timeframe": "4H"}
 
@@ -18,7 +20,7 @@ _R = "(case when high = low then 1e0 else high - low end)"
 _BODY, _UP, _LOW = "abs(close - open)", "(high - greatest(open, close))", "(least(open, close) - low)"
 _POS = f"(((open + close) / 2e0 - low) / {_R})"
 _DIR = "(case when close > open then 1e0 when close < open then 0e0 else 5e-1 end)"
-_TREND = f"(abs(close - open) / {_R})"
+_TREND = "(case when range_pips = 0 then 0e0 else abs(net_pips) / range_pips end)"
 
 #: Sixteen components of market structure.
 STRUCTURE = [
@@ -33,17 +35,17 @@ STRUCTURE = [
     f"(close - low) / {_R}",
     f"(open - low) / {_R}",
     f"1e0 - abs({_POS} - 5e-1) * 2e0",
-    sigmoid(f"{NET} / 50e0"),
-    f"{RANGE} / 100e0",
+    sigmoid("net_pips / 50e0"),
+    "range_pips / 100e0",
     f"(close - (high + low) / 2e0) / {_R} * 5e-1 + 5e-1",
-    f"{_DIR} * {_TREND}",
+    f"{_DIR} * {unit(_TREND)}",
     f"(case when close = open then 5e-1 else ({_UP} + {_LOW}) / {_BODY} / 2e0 end)",
 ]
 
-_EXPANSION = unit(f"{RANGE} / 50e0")
+_EXPANSION = unit("range_pips / 50e0")
 #: Twelve components of volatility.
 VOLATILITY = [
-    f"{RANGE} / 100e0",
+    "range_pips / 100e0",
     f"{_BODY} / {_R}",
     f"{_UP} / {_R}",
     f"{_LOW} / {_R}",
@@ -51,8 +53,8 @@ VOLATILITY = [
     f"1e0 - {_EXPANSION}",
     _TREND,
     f"({_BODY} / pip) / 50e0",
-    f"{RANGE} / 30e0",
-    f"({RANGE} - 30e0) / 40e0",
+    "range_pips / 30e0",
+    "(range_pips - 30e0) / 40e0",
     ratio(f"{_UP} + {_LOW} - abs({_UP} - {_LOW})", f"{_UP} + {_LOW}", "5e-1"),
     f"1e0 - {_BODY} / {_R}",
 ]
@@ -80,12 +82,14 @@ MACRO = [_DXY, _VIX, _SPX, _BOND, _GOLD, f"1e0 - {_DXY}", f"({_SPX} + 1e0 - {_VI
 _FEAR = f"((({_VIX}) + ({_GOLD})) / 2e0)"
 #: Six components of sentiment from market snapshots: fear, risk aversion, dollar, equity appetite, bond stress, their mean.
 MOOD = [_VIX, _FEAR, _DXY, _SPX, _BOND, f"({_VIX} + {_FEAR} + {_DXY} + {_SPX} + {_BOND}) / 5e0"]
+#: The market's state and its aversion to risk, each of the norms alone; neutral where there is no snapshot.
+MACRO_STATE, RISK_OFF = f"({_DXY} + {_VIX} + {_SPX} + {_BOND} + {_GOLD}) / 5e0", f"({_VIX} + {_GOLD} + {_BOND} + 1e0 - {_SPX}) / 4e0"
 #: Components of the engines' vectors, in the order of the layers.
 MACRO_PARTS = ("event_proximity_pressure", "aggregate_surprise_factor", "rate_differential", "high_impact_event_count", "medium_impact_event_count", "event_density", "upcoming_event_intensity", "composite_macro_state")
 MOOD_PARTS = ("aggregate_sentiment", "bullish_pressure", "bearish_pressure", "article_volume", "sentiment_dispersion", "momentum")
 
-VOL_REGIME = f"case when {RANGE} < 30 then 'LOW' when {RANGE} > 70 then 'HIGH' else 'NORMAL' end"
-TREND_REGIME = f"case when high = low then 'RANGING' when {NET} / {RANGE} > 3e-1 then 'BULLISH' when {NET} / {RANGE} < -3e-1 then 'BEARISH' else 'RANGING' end"
+VOL_REGIME = "case when range_pips < 30 then 'LOW' when range_pips > 70 then 'HIGH' else 'NORMAL' end"
+TREND_REGIME = "case when range_pips = 0 then 'RANGING' when net_pips / range_pips > 3e-1 then 'BULLISH' when net_pips / range_pips < -3e-1 then 'BEARISH' else 'RANGING' end"
 SESSION = "case when hour(ts) >= 4 and hour(ts) < 12 then 'LONDON' when hour(ts) >= 12 and hour(ts) < 20 then 'NY' else 'ASIA' end"
 API_SESSION = "case when hour(ts) >= 12 and hour(ts) < 21 then 'NY' when hour(ts) >= 7 and hour(ts) < 12 then 'LONDON' else 'ASIA' end"
 
@@ -102,7 +106,8 @@ def with_id(df: DataFrame) -> DataFrame:
 
 def with_regime(df: DataFrame) -> DataFrame:
     """net and range in pips, vol_regime, trend_regime, session."""
-    return df.withColumns({"net_pips": F.expr(rounded(NET, 2)), "range_pips": F.expr(rounded(RANGE, 2)), "vol_regime": F.expr(VOL_REGIME), "trend_regime": F.expr(TREND_REGIME), "session": F.expr(SESSION)})
+    df = df.withColumns({"net_pips": F.expr(rounded(NET, 2)), "range_pips": F.expr(rounded(RANGE, 2))})
+    return df.withColumns({"vol_regime": F.expr(VOL_REGIME), "trend_regime": F.expr(TREND_REGIME), "session": F.expr(SESSION)})
 
 
 def layer(parts: list[str]):
@@ -121,12 +126,14 @@ def with_context(states: DataFrame, macro: DataFrame, sentiment: DataFrame, snap
 
     macro: by ts, events and MACRO_PARTS; sentiment: by asset and ts, articles and MOOD_PARTS;
     snapshots: by ts, dxy, vix, spx, us10y and gold. A layer is the engine's vector if it saw
-    an event or article, else made of the snapshot, else neutral.
+    an event or article, else made of the snapshot, else neutral. macro_state and
+    sentiment_score are of the snapshot, whatever the layers are made of.
     """
     m = macro.where("events > 0").select("ts", F.array(*MACRO_PARTS).alias("_l4"))
     s = sentiment.where("articles > 0").select("asset", "ts", F.array(*MOOD_PARTS).alias("_l5"))
-    p = snapshots.select("ts", layer(MACRO).alias("_p4"), layer(MOOD).alias("_p5"))
+    p = snapshots.select("ts", layer(MACRO).alias("_p4"), layer(MOOD).alias("_p5"), F.expr(feature(MACRO_STATE)).alias("macro_state"), F.expr(feature(RISK_OFF)).alias("sentiment_score"))
     df = states.join(m, "ts", "left").join(s, ["asset", "ts"], "left").join(p, "ts", "left")
+    df = df.withColumns({c: F.coalesce(c, F.lit(0.5)) for c in ("macro_state", "sentiment_score")})
     for name, own, other, to in (("macro", "_l4", "_p4", "l4"), ("sentiment", "_l5", "_p5", "l5")):
         source = F.when(F.col(own).isNotNull(), "engine").when(F.col(other).isNotNull(), "snapshot").otherwise("neutral")
         df = df.withColumns({f"{name}_source": source, to: F.coalesce(own, other, to)}).drop(own, other)
@@ -190,7 +197,3 @@ def ml_vector(df: DataFrame) -> DataFrame:
     flat = F.concat(F.array(*stats("l1"), *stats("l2")), "l4", "l5", F.array(*hot, *more))
     return df.withColumn("ml_features", F.transform(flat, lambda x: F.floor(x * 1e6 + 0.5) / 1e6))
 
-
-def summary(df: DataFrame) -> DataFrame:
-    """macro_state and sentiment_score of the context layers."""
-    return df.withColumns({"macro_state": F.expr(rounded("l4[7]")), "sentiment_score": F.expr(rounded(half_interval("l5[0] * 2e0 - 1e0")))})

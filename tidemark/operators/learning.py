@@ -1,17 +1,17 @@
-"""Learned forecasts: boosted trees one class against the rest, isotonic calibration, occlusion effects."""
+"""Learned forecasts: boosted trees of three classes, isotonic calibration, exact contributions and occlusion effects."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .outcomes import r6
+from .trees import TREE, Boosting, Forest, explained, fitted, probabilities
 
 CLASSES = ("up", "down", "flat")
 
@@ -34,35 +34,27 @@ def staged(df: DataFrame, key: str, ts: str, train: float = 0.64, calibrate: flo
     return df.withColumn("part", F.when(at <= train, "train").when(at <= calibrate, "calibrate").otherwise("test"))
 
 
-def kept(path: str, spark, train) -> list:
-    """The models stored at path; if there are none, those that ``train`` gives, stored there."""
+def kept(path: str, spark: SparkSession, train) -> Forest:
+    """The model stored at path; if there is none, the one that ``train`` gives, stored there."""
     try:
-        return PipelineModel.load(path).stages
-    except Exception as e:  # none yet
-        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist")):
+        return Forest.of([tuple(r) for r in spark.read.schema(TREE).parquet(path).collect()])
+    except AnalysisException as e:  # none yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    models = train()
-    PipelineModel(models).write().overwrite().save(path)
-    return models
+    model = train()
+    spark.createDataFrame(model.rows(), TREE).coalesce(1).write.mode("overwrite").parquet(path)
+    return model
 
 
-def trained(df: DataFrame, features: str, target: str, rounds: int = 8, depth: int = 3, seed: int = 42) -> list:
-    """A boosted model for each class, on the rows of df."""
-    rows = df.select(array_to_vector(features).alias("features"), target).cache()
-    if rows.count() < 200:
-        raise ValueError("200 rows or more are needed")
-    models = [GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(rows.withColumn("label", (F.col(target) == k).cast("double"))) for k in range(len(CLASSES))]
-    rows.unpersist()
-    return models
+def trained(df: DataFrame, features: str, target: str, key: str, how: Boosting = Boosting()) -> Forest:
+    """Boosted trees of the three classes, on the rows of df."""
+    return fitted(df, features, target, F.col(key), how)
 
 
-def predicted(df: DataFrame, models: list, features: str) -> DataFrame:
+def predicted(df: DataFrame, model: Forest, features: str) -> DataFrame:
     """ml_up, ml_down, ml_flat, that add up to 1."""
-    df = df.withColumn("features", array_to_vector(features))
-    for name, m in zip(CLASSES, models, strict=True):
-        df = m.transform(df).withColumn(f"_p_{name}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-    total = reduce(lambda a, b: a + b, [F.col(f"_p_{n}") for n in CLASSES])
-    return df.withColumns({f"ml_{n}": F.col(f"_p_{n}") / total for n in CLASSES}).drop("features", *[f"_p_{n}" for n in CLASSES])
+    df = df.withColumn("_p", probabilities(features, model))
+    return df.select(*[c for c in df.columns if c != "_p"], *[F.col("_p")[k].alias(f"ml_{n}") for k, n in enumerate(CLASSES)])
 
 
 def metrics(df: DataFrame, target: str) -> DataFrame:
@@ -87,12 +79,20 @@ def calibrated(df: DataFrame, models: list) -> DataFrame:
     return df.withColumns({f"cal_{n}": F.when(total > 0, F.col(f"cal_{n}") / F.when(total > 0, total).otherwise(1.0)).otherwise(F.col(f"ml_{n}")) for n in CLASSES})
 
 
-def occlusion(df: DataFrame, models: list, features: str, key: str, top: int = 5) -> DataFrame:
+def occlusion(df: DataFrame, model: Forest, features: str, key: str, top: int = 5) -> DataFrame:
     """The features whose neutral value changes the up probability most: an approximation of their contributions."""
     n = df.select(F.size(features)).first()[0]
-    base = predicted(df.select(key, features), models, features).select(key, F.col("ml_up").alias("base"))
+    base = predicted(df.select(key, features), model, features).select(key, F.col("ml_up").alias("base"))
     hidden = df.select(key, F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("feature", "_i"), features)
     hidden = hidden.withColumn(features, F.transform(features, lambda x, i: F.when(i == F.col("feature"), 0.5).otherwise(x)))
-    out = predicted(hidden, models, features).join(base, key).withColumn("effect", r6(F.col("base") - F.col("ml_up")))
+    out = predicted(hidden, model, features).join(base, key).withColumn("effect", r6(F.col("base") - F.col("ml_up")))
     w = Window.partitionBy(key).orderBy(F.abs("effect").desc(), "feature")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(key, "rank", "feature", "effect")
+
+
+def contributions(df: DataFrame, model: Forest, features: str, key: str, top: int = 5) -> DataFrame:
+    """The features that move the margin of up most, by their exact Shapley values, with the base value and the margin that all of them lead to."""
+    e = df.select(key, explained(features, model).alias("_e")).select(key, "_e.base", "_e.margin", F.posexplode("_e.effects").alias("feature", "effect"))
+    e = e.withColumns({"effect": r6(F.col("effect")), "base": r6(F.col("base")), "margin": r6(F.col("margin"))})
+    w = Window.partitionBy(key).orderBy(F.abs("effect").desc(), "feature")
+    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(key, "rank", "feature", "effect", "base", "margin")

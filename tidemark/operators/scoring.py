@@ -106,9 +106,9 @@ RULES = {
 }
 #: Features of the rules in terms of the layers and extended features.
 FEATURES = {
-    "direction": "l1[4]", "strength": "l1[5]", "impulse": "l1[6]", "rejection": "l1[7]", "close_pos": "l1[8]", "speed": "l1[12]",
-    "atr": "l2[0]", "expansion": "l2[4]", "contraction": "l2[5]",
-    "rt": "nullif(rolling_trend, 0.5e0)", "pct": "nullif(atr_percentile, 0.5e0)", "macro": "nullif(macro_state, 0.5e0)", "sentiment": "nullif(sentiment_score, 0.5e0)",
+    "direction": "l1[4]", "strength": "l1[5]", "impulse": "l1[6]", "rejection": "l1[7]", "close_pos": "l1[8]",
+    "atr": "l2[0]", "expansion": "l2[4]", "contraction": "l2[5]", "speed": "l2[6]",
+    **{n: f"case when abs({x} - 0.5e0) >= 1e-9 then {x} end" for n, x in (("rt", "rolling_trend"), ("pct", "atr_percentile"), ("macro", "macro_state"), ("sentiment", "sentiment_score"))},
 }
 
 

@@ -24,6 +24,8 @@ from tidemark.operators import serving as G
 from tidemark.operators import similarity as M
 from tidemark.operators import topology as T
 from tidemark.operators.outcomes import r6
+from tidemark.operators.trees import Forest
+from tidemark.operators.writes import once
 from tidemark.session import shared_dir
 from tidemark.sources.files import bar_line, bar_lines
 
@@ -44,19 +46,28 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    return P.with_pip(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP)
+    """Bars of all ticks: ticks are read once, what is built on bars reads the written table."""
+    return once(spark, sf, "bars", lambda: P.with_pip(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP))
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    """States with the context of calendar, news and snapshots."""
-    b = bars(spark, sf)
-    return P.with_context(P.fingerprints(b, PIP), K.macro(b.select("ts").distinct(), calendar(spark, sf)), K.sentiment(b, articles(spark, sf)), snapshots(spark, sf))
+    """States with the context of calendar, news and snapshots, written once as bars are."""
+
+    def made() -> DataFrame:
+        b = bars(spark, sf)
+        return P.with_context(P.fingerprints(b, PIP), K.macro(b.select("ts").distinct(), calendar(spark, sf)), K.sentiment(b, articles(spark, sf)), snapshots(spark, sf))
+
+    return once(spark, sf, "states", made)
 
 
 def shaped(spark: SparkSession, sf: str) -> DataFrame:
-    """States with the topology vector of the bars before them, null where those are too few."""
-    t = T.topology(bars(spark, sf), include_current=False).select("asset", "ts", F.col("vector").alias("topology"))
-    return states(spark, sf).join(t, ["asset", "ts"], "left")
+    """States with the topology vector of the bars before them, null where those are too few; written once."""
+
+    def made() -> DataFrame:
+        t = T.topology(bars(spark, sf), include_current=False).select("asset", "ts", F.col("vector").alias("topology"))
+        return states(spark, sf).join(t, ["asset", "ts"], "left")
+
+    return once(spark, sf, "shaped", made)
 
 
 def regime_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,12 +164,12 @@ def regime_classify(spark, sf):
 
 @query
 def l1_structure(spark, sf):
-    return split(bars(spark, sf), "l1", [feature(x) for x in P.STRUCTURE], ["asset", "ts"])
+    return split(regime_bars(spark, sf), "l1", [feature(x) for x in P.STRUCTURE], ["asset", "ts"])
 
 
 @query
 def l2_volatility(spark, sf):
-    return split(bars(spark, sf), "l2", [feature(x) for x in P.VOLATILITY], ["asset", "ts"])
+    return split(regime_bars(spark, sf), "l2", [feature(x) for x in P.VOLATILITY], ["asset", "ts"])
 
 
 @query
@@ -393,16 +404,37 @@ def news_risk(spark, sf):
     return K.news_risk(bars(spark, sf).select("ts").distinct(), calendar(spark, sf).select("name", "event_date", "impact").distinct())
 
 
+SYMBOLS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "XAU", "error": "eurgbp"}
+CURRENCIES = ("USD", "EUR", "GBP", "JPY")
+
+
+def symbol(asset):
+    out = F.lit(None).cast("string")
+    for a, s in SYMBOLS.items():
+        out = F.when(asset == a, s).otherwise(out)
+    return out
+
+
+def priced_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """The calendar with a currency for four in five events."""
+    c = calendar(spark, sf, F.get(F.array(*map(F.lit, CURRENCIES)), (F.col("o_orderkey") % 5).cast("int")).alias("currency"))
+    return c.select("event_date", "name", "impact", "currency")
+
+
+def dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """asset, ts and the asset's currencies."""
+    return bars(spark, sf).select("asset", "ts", G.currencies(F.upper(symbol(F.col("asset")))).alias("currencies"))
+
+
 @query
 def event_context(spark, sf):
-    """The outcomes of every asset, by time."""
-    every = O.forward(bars(spark, sf), digits=True)
-    return K.event_impact(calendar(spark, sf), every)
+    """What each asset did at earlier events of the name that is ahead of it."""
+    return K.event_impact(dealt(spark, sf), priced_calendar(spark, sf), O.forward(bars(spark, sf), digits=True))
 
 
 @query
 def regime_v2(spark, sf):
-    return S.regimes(P.summary(P.extended(states(spark, sf)))).select("asset", "ts", "primary", "primary_score", "secondary", *[f"rule_{n}" for n in S.RULES])
+    return S.regimes(P.extended(states(spark, sf))).select("asset", "ts", "primary", "primary_score", "secondary", *[f"rule_{n}" for n in S.RULES])
 
 
 @query
@@ -631,17 +663,17 @@ def topology_vector(spark, sf):
     return t.select("asset", "ts", *[F.col("vector")[i].alias(f"t{i}") for i in range(40)])
 
 
-def _ml(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
-    """Labelled states by part, and the models learned from the first part: stored in the shared folder, trained once."""
+def _ml(spark: SparkSession, sf: str) -> tuple[DataFrame, Forest]:
+    """Labelled states by part, and the model learned from the first part: stored in the shared folder, trained once."""
     df = P.ml_vector(P.extended(O.forward(states(spark, sf), digits=True))).withColumn("target", L.label(F.col("net_return_pips")))
     df = L.staged(df, "asset", "ts")
     path = f"{shared_dir(spark)}/tidemark/models/{sf.strip('/').replace('/', '-')}"
-    return df, L.kept(path, spark, lambda: L.trained(df.where("part = 'train'"), "ml_features", "target", rounds=5))
+    return df, L.kept(path, spark, lambda: L.trained(df.where("part = 'train'"), "ml_features", "target", "fingerprint_id"))
 
 
 def _ml_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    df, models = _ml(spark, sf)
-    return L.predicted(df, models, "ml_features").select("fingerprint_id", "part", "target", "ml_up", "ml_down", "ml_flat")
+    df, model = _ml(spark, sf)
+    return L.predicted(df, model, "ml_features").select("fingerprint_id", "part", "target", "ml_up", "ml_down", "ml_flat")
 
 
 @query
@@ -659,8 +691,15 @@ def isotonic_calibrate(spark, sf):
 
 @query
 def shap_approx(spark, sf):
-    df, models = _ml(spark, sf)
-    return L.occlusion(df.where("part = 'test'").select("fingerprint_id", "ml_features"), models, "ml_features", "fingerprint_id")
+    df, model = _ml(spark, sf)
+    return L.occlusion(df.where("part = 'test'").select("fingerprint_id", "ml_features"), model, "ml_features", "fingerprint_id")
+
+
+@query
+def tree_shap(spark, sf):
+    """The five greatest exact contributions to the margin of up, of every state."""
+    df, model = _ml(spark, sf)
+    return L.contributions(df.select("fingerprint_id", "ml_features"), model, "ml_features", "fingerprint_id")
 
 
 @query

@@ -19,12 +19,10 @@ from tidemark.operators import similarity as M
 from tidemark.operators.outcomes import r6
 
 from . import oracle as A
-from .catalog import Query, articles, bars, calendar, evaluations, labelled, read, regime_bars, regime_forecasts, rekeyed, shaped, states
+from .catalog import Query, articles, bars, calendar, dealt, evaluations, labelled, priced_calendar, read, regime_bars, regime_forecasts, rekeyed, shaped, states, symbol
 
 QUERIES: dict[str, Query] = {}
 
-SYMBOLS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "XAU", "error": "eurgbp"}
-CURRENCIES = ("USD", "EUR", "GBP", "JPY")
 CHAIN = [("alpha", 12, 2), ("beta", 6, 1), ("gamma", 4, 1)]
 
 
@@ -33,20 +31,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def symbol(asset):
-    out = F.lit(None).cast("string")
-    for a, s in SYMBOLS.items():
-        out = F.when(asset == a, s).otherwise(out)
-    return out
-
-
-def priced_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """The calendar with a currency for four in five events."""
-    o = read(spark, sf, "orders")
-    keys = o.select(F.get(F.array(*map(F.lit, CURRENCIES)), (F.col("o_orderkey") % 5).cast("int")).alias("currency"), F.col("o_orderkey").alias("k"))
-    return calendar(spark, sf, "o_orderkey").withColumnRenamed("o_orderkey", "k").join(keys, "k").select("event_date", "name", "impact", "currency")
-
-
 @query
 def currency_derivation(spark, sf):
     a = bars(spark, sf).select("asset").distinct().withColumn("symbol", symbol(F.col("asset")))
@@ -57,8 +41,7 @@ def currency_derivation(spark, sf):
 @query
 def asset_events(spark, sf):
     """Events of each asset's currencies around every bar."""
-    b = bars(spark, sf).select("asset", "ts", G.currencies(F.upper(symbol(F.col("asset")))).alias("currencies"))
-    return K.asset_events(b, priced_calendar(spark, sf))
+    return K.asset_events(dealt(spark, sf), priced_calendar(spark, sf))
 
 
 @query
@@ -238,9 +221,7 @@ def pipeline(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     return S.tradeability(d, "confidence_v2", "spread", "session", "liquidity", "at_risk")
 
 
-_SYMBOL = "case asset " + " ".join(f"when '{a}' then '{s}'" for a, s in SYMBOLS.items()) + " end"
-_CODES = f"case when length({_SYMBOL}) >= 6 then [upper({_SYMBOL})[1:3], upper({_SYMBOL})[4:6]] else [{_SYMBOL}] end"
-_CUR = f"pcal as (select cal.*, {list(CURRENCIES)}[(k % 5 + 1)::int] as currency from cal)"
+_SYMBOL, _CODES, _CUR = A.SYMBOL, A.CODES, A.PCAL
 _NOT = "' '"
 
 ORACLE_SQL: dict[str, str] = {
@@ -267,7 +248,7 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_versions": f"with {A.FWD} select asset, ts, case when hour(ts) < 12 then net_return_pips else 0 end as net_return_pips from o",
     "drift_alerts": f"with {A.EV}, e2 as (select *, asset || '/' || session as key from ev), r as (select *, row_number() over (partition by key order by ts desc) as rn from e2), n as (select * from r where rn <= 100), w as (select key, rn, avg(direction_accuracy) over w as acc, count(*) over w as k from n window w as (partition by key order by rn desc rows between 29 preceding and current row)), gg as (select key, count(*) as n, max(case when rn = 1 and k = 30 then acc end) as rolling, avg(case when k = 30 then acc end) as mean, avg(case when k = 30 then acc * acc end) as sq from w group by key), h as (select *, {A.r6('sqrt(greatest(sq - mean * mean, 0))')} as sd from gg where n >= 30) select key, {A.r6('mean')} as baseline, {A.r6('rolling')} as current, {A.r6('(mean - rolling) / sd', 2)} as sigmas, 'retrain' as action, 'open' as status from h where sd > 0 and rolling < mean - 0.5::double * sd",
     "forecast_pipeline": f"""with recursive {A.BATCH}, {A.ranked('b4', 20)}, {A.EVALS},
-fl as (select fingerprint_id, ts, trend_regime, {A.r6('case when count(*) over w >= 5 then greatest(0.25 * avg(' + P.RANGE + ') over w, 1e0) else 2e0 end')} as flat from g window w as (partition by asset order by ts rows between 13 preceding and current row)),
+fl as (select fingerprint_id, ts, trend_regime, {A.r6('case when count(*) over w >= 5 then greatest(0.25 * avg((high - low) / pip) over w, 1e0) else 2e0 end')} as flat from g window w as (partition by asset order by ts rows between 13 preceding and current row)),
 kn as (select rk.asset, rk.fingerprint_id, fl.ts, rk.vol_regime, fl.trend_regime, rk.session, o.net_return_pips, flat, case when match_vol_regime = rk.vol_regime and match_session = rk.session then 15 when match_vol_regime = rk.vol_regime then 12 else 7 end as copies from rk join o on o.fingerprint_id = rk.match_id join fl on fl.fingerprint_id = rk.fingerprint_id),
 {A.distribution('kn', 'asset, fingerprint_id, ts, vol_regime, trend_regime, session', 'copies', 'flat').replace('dist', 'pdist')}, {A.forecast('pdist', 'pf')},
 n as (select fingerprint_id, count(*) as matches from kn group by 1), br as (select bucket, {A.r6('avg(direction_accuracy)')} as b from ev group by 1), rr as (select regime, {A.r6('avg(direction_accuracy)')} as r from ev group by 1 having count(*) >= 30),

@@ -1,30 +1,94 @@
-"""DuckDB SQL for the catalogue's queries, from the same tables. Formulas of single features are shared text; joins, windows and aggregates are written anew."""
+"""DuckDB SQL for the catalogue's queries, from the same tables. Formulas, rules, weights and word lists are written out here, apart from the library's own."""
 
 from __future__ import annotations
 
-from tidemark.functions import text as X
-from tidemark.functions.numeric import feature, rounded, sigmoid
-from tidemark.operators import fingerprint as P
-from tidemark.operators import scoring as S
-from tidemark.operators import similarity as M
-
 
 def r6(x: str, d: int = 6) -> str:
-    return rounded(x, d)
+    """Half up towards positive infinity."""
+    return f"(floor(({x}) * 1e{d} + 0.5) / 1e{d})"
+
+
+def unit(x: str) -> str:
+    return f"greatest(0e0, least(1e0, {x}))"
+
+
+def part(x: str) -> str:
+    return unit(r6(x))
+
+
+def logistic(x: str) -> str:
+    return f"(1e0 / (1e0 + exp(-({x}))))"
 
 
 def cols(name: str, parts: list[str]) -> str:
     return ", ".join(f"{x} as {name}_{i}" for i, x in enumerate(parts))
 
 
+def norm(x: str, low: str, width: str) -> str:
+    return f"coalesce({unit(f'({x} - {low}) / {width}')}, 5e-1)"
+
+
+# Components of the layers over the columns of geo: net and range in rounded pips, and the bar's shape.
+_TOP_WICK, _LOW_WICK, _BODY = "((high - top) / safe)", "((bottom - low) / safe)", "((top - bottom) / safe)"
+_PLACE = "(((top + bottom) / 2e0 - low) / safe)"
+L1 = [
+    _PLACE, _BODY, _TOP_WICK, _LOW_WICK, "heading", "drive", _BODY, f"greatest({_TOP_WICK}, {_LOW_WICK})", "(close - low) / safe", "(open - low) / safe",
+    f"1e0 - abs({_PLACE} - 5e-1) * 2e0", logistic("net_pips / 50e0"), "range_pips / 100e0", "(close - (high + low) / 2e0) / safe * 5e-1 + 5e-1", "heading * drive",
+    f"case when top = bottom then 5e-1 else (high - top + bottom - low) / (top - bottom) / 2e0 end",
+]
+L2 = [
+    "range_pips / 100e0", _BODY, _TOP_WICK, _LOW_WICK, "least(1e0, range_pips / 50e0)", "1e0 - least(1e0, range_pips / 50e0)", "drive", "(top - bottom) / pip / 50e0", "range_pips / 30e0",
+    "case when range_pips < 30 then 0e0 when range_pips > 70 then 1e0 else (range_pips - 30e0) / 40e0 end",
+    "case when high - top + bottom - low = 0 then 5e-1 else 1e0 - abs((high - top) - (bottom - low)) / (high - top + bottom - low) end", f"1e0 - {_BODY}",
+]
+L3 = [r6(unit(" + ".join(f"{w} * (1e0 - abs(low + {i}e0 / 19e0 * (high - low) - {at}) / safe)" for w, at in (("3e-1", "open"), ("4e-1", "close"), ("3e-1", "((high + low) / 2e0)")))) ) for i in range(20)]
+_DXY, _VIX, _SPX, _BOND, _GOLD = norm("dxy", "90e0", "20e0"), norm("vix", "10e0", "30e0"), norm("spx", "3000e0", "2500e0"), norm("us10y", "1e0", "4e0"), norm("gold", "1500e0", "1000e0")
+L4 = [_DXY, _VIX, _SPX, _BOND, _GOLD, f"1e0 - {_DXY}", f"({_SPX} + (1e0 - {_VIX})) / 2e0", f"abs({_BOND} - {_GOLD})"]
+L5 = [_VIX, f"({_VIX} + {_GOLD}) / 2e0", _DXY, _SPX, _BOND, f"({_VIX} + ({_VIX} + {_GOLD}) / 2e0 + {_DXY} + {_SPX} + {_BOND}) / 5e0"]
+MACRO_STATE = f"({_DXY} + {_VIX} + {_SPX} + {_BOND} + {_GOLD}) / 5e0"
+RISK_OFF = f"({_VIX} + {_GOLD} + {_BOND} + (1e0 - {_SPX})) / 4e0"
+
+#: Points and conditions of the nine regimes over strength, impulse, expansion and the like; neutral extended features are null.
+RULES = {
+    "accumulation": "0.4 * (squeeze > 0.5), 0.4 * (at_close > 0.55), 0.2 * (strength < 0.4)",
+    "breakout": "0.35 * (impulse > 0.6), 0.35 * (pace > 0.6), 0.3 * (growth > 0.55)",
+    "contraction": "0.5 * (squeeze > 0.65), 0.3 * (atr < 0.35), 0.2 * (pct < 0.3)",
+    "distribution": "0.4 * (squeeze > 0.5), 0.4 * (at_close < 0.45), 0.2 * (strength < 0.4)",
+    "expansion": "0.5 * (growth > 0.65), 0.3 * (atr > 0.6), 0.2 * (pct > 0.7)",
+    "macro_driven": "0.6 * (abs(macro - 0.5) > 0.3), 0.3 * (abs(mood - 0.5) > 0.3), 0.1 * (strength < 0.4)",
+    "ranging": "0.5 * (strength < 0.35), 0.3 * (growth < 0.4), 0.2 * (abs(roll - 0.5) < 0.15)",
+    "reversal": "0.5 * (rejection > 0.5), 0.3 * (abs(heading - at_close) > 0.3), 0.2 * (abs(roll - heading) > 0.3)",
+    "trend": "0.5 * (strength > 0.55), 0.3 * (impulse > 0.5), 0.2 * (abs(roll - 0.5) > 0.2)",
+}
+
+#: Weights of the layers by volatility, and word lists.
+WEIGHTS = {"LOW": (0.40, 0.15, 0.30, 0.10, 0.05), "NORMAL": (0.20, 0.15, 0.15, 0.30, 0.20), "HIGH": (0.25, 0.25, 0.15, 0.20, 0.15)}
+LAYERS = ("structure", "volatility", "liquidity", "macro", "sentiment")
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD", "NZD", "CAD", "CHF")
+PAIRS = ("EURUSD", "GBPUSD", "USDJPY", "AUDUSD", "NZDUSD", "USDCAD", "USDCHF", "EURGBP", "EURJPY", "GBPJPY")
+EURO_WORDS = ("ecb", "eurozone", "euro area", "european central bank", "lagarde", "euro")
+DOLLAR_WORDS = ("fed", "federal reserve", "powell", "fomc", "us economy", "dollar", "treasury")
+STRONG_WORDS = ("ecb", "fed", "eurozone", "fomc", "nonfarm", "nfp", "cpi", "gdp", "rate decision", "inflation")
+POSITIVE = ("bullish", "rally", "growth", "strong", "gain", "surge", "optimism", "recovery")
+NEGATIVE = ("bearish", "crash", "recession", "weak", "loss", "plunge", "fear", "risk-off", "decline")
+IMPACT = {
+    "calendar": (("nfp", "non-farm", "cpi", "gdp", "rate decision"), ("pmi", "retail sales")),
+    "news": (("nonfarm", "nfp", "cpi", "gdp", "interest rate", "fomc", "fed funds", "ecb rate", "employment change"), ("pmi", "retail sales", "trade balance", "unemployment", "consumer confidence", "housing")),
+}
+
+
 # Common table expressions, each building on those before it.
 BARS = """candles as (
   select event_type as asset, time_bucket(interval '4 hours', ts) as ts, first(value order by ts, event_id) as open, max(value) as high, min(value) as low, last(value order by ts, event_id) as close, count(*) as volume
   from events group by 1, 2),
 c as (select *, 2.0::double as pip from candles)"""
 REG = f"""{BARS},
-g as (select *, {r6(P.NET, 2)} as net_pips, {r6(P.RANGE, 2)} as range_pips, {P.VOL_REGIME} as vol_regime, {P.TREND_REGIME} as trend_regime, {P.SESSION} as session,
-  sha256(asset || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z') as fingerprint_id from c)"""
+pips as (select *, {r6("(close - open) / pip", 2)} as net_pips, {r6("(high - low) / pip", 2)} as range_pips from c),
+g as (select *, case when range_pips < 30 then 'LOW' when range_pips <= 70 then 'NORMAL' else 'HIGH' end as vol_regime,
+  case when range_pips > 0 and abs(net_pips) / range_pips > 0.3::double then case when net_pips > 0 then 'BULLISH' else 'BEARISH' end else 'RANGING' end as trend_regime,
+  case hour(ts) // 4 when 1 then 'LONDON' when 2 then 'LONDON' when 3 then 'NY' when 4 then 'NY' else 'ASIA' end as session,
+  sha256(asset || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z') as fingerprint_id from pips),
+geo as (select *, case when high = low then 1e0 else high - low end as safe, greatest(open, close) as top, least(open, close) as bottom, case when range_pips = 0 then 0e0 else least(1e0, abs(net_pips) / range_pips) end as drive, case when close > open then 1e0 when close < open then 0e0 else 5e-1 end as heading from g)"""
 FWD = f"""{REG},
 nx as (select *, lead(ts) over w as next_ts, lead(high) over w as nh, lead(low) over w as nl, lead(close) over w as nc from g window w as (partition by asset order by ts)),
 o as (select *, {r6("(nc - close) / pip", 2)} as net_return_pips, {r6("(nh - close) / pip", 2)} as mfe_pips, {r6("(close - nl) / pip", 2)} as mae_pips, {r6("((nh - nl) / pip) / 10000e0", 4)} as realised_volatility from nx where next_ts is not null)"""
@@ -39,7 +103,7 @@ def count_of(text: str, terms) -> str:
 
 
 def impact(name: str, terms: str = "calendar") -> str:
-    high, medium = X.IMPACT[terms]
+    high, medium = IMPACT[terms]
     return f"case when {contains(f'lower({name})', high)} then 'high' when {contains(f'lower({name})', medium)} then 'medium' else 'low' end"
 
 
@@ -84,12 +148,13 @@ CONTEXT = f"{TIMES}, {NEWS}, {CAL}, {macro_cte()}, {sentiment_cte()}, {SNAPS}"
 def state_cte(snaps: str = "snaps") -> str:
     """v: states with their layers and the sources of the last two."""
     none = lambda n: f"list_resize([0.5::double], {n}, 0.5::double)"
-    return f"""v as (select g.*, [{", ".join(feature(x) for x in P.STRUCTURE)}] as l1, [{", ".join(feature(x) for x in P.VOLATILITY)}] as l2, [{", ".join(P.LIQUIDITY)}] as l3,
-  case when mac.events > 0 then [{", ".join([*_MACRO_PARTS, "composite_macro_state"])}] when sn.ts is not null then [{", ".join(feature(x) for x in P.MACRO)}] else {none(8)} end as l4,
-  case when sen.articles > 0 then [{", ".join(_MOOD_PARTS)}] when sn.ts is not null then [{", ".join(feature(x) for x in P.MOOD)}] else {none(6)} end as l5,
+    return f"""v as (select g.*, [{", ".join(map(part, L1))}] as l1, [{", ".join(map(part, L2))}] as l2, [{", ".join(L3)}] as l3,
+  case when mac.events > 0 then [{", ".join([*_MACRO_PARTS, "composite_macro_state"])}] when sn.ts is not null then [{", ".join(map(part, L4))}] else {none(8)} end as l4,
+  case when sen.articles > 0 then [{", ".join(_MOOD_PARTS)}] when sn.ts is not null then [{", ".join(map(part, L5))}] else {none(6)} end as l5,
   case when mac.events > 0 then 'engine' when sn.ts is not null then 'snapshot' else 'neutral' end as macro_source,
-  case when sen.articles > 0 then 'engine' when sn.ts is not null then 'snapshot' else 'neutral' end as sentiment_source
-  from g left join mac on g.ts = mac.ts left join sen on g.asset = sen.asset and g.ts = sen.ts left join {snaps} sn on g.ts = sn.ts)"""
+  case when sen.articles > 0 then 'engine' when sn.ts is not null then 'snapshot' else 'neutral' end as sentiment_source,
+  {r6(MACRO_STATE)} as macro_state, {r6(RISK_OFF)} as sentiment_score
+  from geo g left join mac on g.ts = mac.ts left join sen on g.asset = sen.asset and g.ts = sen.ts left join {snaps} sn on g.ts = sn.ts)"""
 
 
 TEN = f"{REG}, {TIMES}, {NEWS}, {CAL}, news10 as (select * from news where published_at < timestamp '2024-01-11'), cal10 as (select * from cal where event_date < timestamp '2024-01-11'), {macro_cte('cal10')}, {sentiment_cte('news10')}, {SNAPS}, snaps20 as (select * from snaps where ts < timestamp '2024-01-21'), {state_cte('snaps20')}"
@@ -97,13 +162,13 @@ STATES = f"{REG}, {CONTEXT}, {state_cte()}"
 EXT = f"""{STATES},
 x as (
   select *, row_number() over (partition by asset order by ts)::double as t, list(high - low) over w as wr, avg(high - low) over w as wavg, count(*) over w as wn,
-    {", ".join(f"count(case when session = '{s.upper()}' then 1 end) over w as {s}_count, sum(case when session = '{s.upper()}' then {P.RANGE} end) over w as {s}_sum" for s in ("asia", "london", "ny"))}
+    {", ".join(f"count(case when session = '{s.upper()}' then 1 end) over w as {s}_count, sum(case when session = '{s.upper()}' then (high - low) / pip end) over w as {s}_sum" for s in ("asia", "london", "ny"))}
   from v window w as (partition by asset order by ts rows between 49 preceding and current row)),
 y as (select *, count(*) over w as n, sum(t) over w as sx, sum(close) over w as sy, sum(t * close) over w as sxy, sum(t * t) over w as sxx from x window w as (partition by asset order by ts rows between 49 preceding and current row)),
 e as (
-  select *, {r6(f"case when n = 1 then {sigmoid(P.NET + ' / 25e0')} else {sigmoid('((n * sxy - sx * sy) / (n * sxx - sx * sx)) / pip / 25e-1')} end")} as rolling_trend,
+  select *, {r6(f"case when n = 1 then {logistic('(close - open) / pip / 25e0')} else {logistic('((n * sxy - sx * sy) / (n * sxx - sx * sx)) / pip / 25e-1')} end")} as rolling_trend,
     {r6("case when wn <= 1 then 5e-1 else len(list_filter(wr, lambda r: r < high - low))::double / (wn - 1) end")} as atr_percentile,
-    {r6(f"case when wavg = 0 then 5e-1 else {sigmoid('((high - low) / wavg - 1e0) * 2e0')} end")} as vol_regime_score,
+    {r6(f"case when wavg = 0 then 5e-1 else {logistic('((high - low) / wavg - 1e0) * 2e0')} end")} as vol_regime_score,
     {", ".join(f"{r6(f'case when {s}_count = 0 then 5e-1 else {r6(f"{s}_sum")} / {s}_count end')} as {s}_range" for s in ("asia", "london", "ny"))}
   from y)"""
 
@@ -145,7 +210,7 @@ HEAD = f"""head as (select doc_id, {list(("EUR/USD rallies as ECB holds", "USDJP
 
 
 def weight(i: int) -> str:
-    return "case q.vol_regime " + " ".join(f"when '{n}' then {w[i]}::double" for n, w in M.WEIGHTS.items()) + " else 0.2::double end"
+    return "case q.vol_regime " + " ".join(f"when '{n}' then {w[i]}::double" for n, w in WEIGHTS.items()) + " else 0.2::double end"
 
 
 def _cos(i: int) -> str:
@@ -212,16 +277,19 @@ def confidence_raw(sim: str, density: str, spread: str, skew: str, kurt: str) ->
     return f"0.4::double * ((greatest(up, down, flat) - 1e0 / 3) / (2e0 / 3)) + 0.35::double * (0.5::double * {sim} + 0.3::double * {density} + 0.2::double * (1 - {spread})) + 0.25::double * (((1 - least(std_dev / 50, 1e0)) + (1 - abs({skew})) + (1 - {kurt})) / 3)"
 
 
+def _rule(text: str) -> str:
+    """Points of the conditions that hold; what is not known does not."""
+    return r6(" + ".join(f"case when {cond[:-1]} then {points}::double else 0e0 end" for points, cond in (x.split(" * (", 1) for x in text.split(", "))))
+
+
 def _regimes() -> str:
-    rules = {n: S.rule_score(p) for n, p in S.RULES.items()}
-    feats = {k: v.replace("l1[", "list_extract(l1, 1 + ").replace("l2[", "list_extract(l2, 1 + ").replace("]", ")") for k, v in S.FEATURES.items()}
     return f"""{EXT},
-f0 as (select *, {r6("l4[8]")} as macro_state, {r6("((l5[1] * 2e0 - 1e0) + 1e0) / 2e0")} as sentiment_score from e),
-f1 as (select *, {", ".join(f"{v} as {k}" for k, v in feats.items())} from f0),
-f2 as (select *, {", ".join(f"{v} as rule_{k}" for k, v in rules.items())} from f1),
-f3 as (select *, list_sort([{", ".join(f"{{'s': -rule_{n}, 'name': '{n}'}}" for n in rules)}]) as r from f2),
+f1 as (select * exclude (heading), l1[5] as heading, l1[6] as strength, l1[7] as impulse, l1[8] as rejection, l1[9] as at_close, l2[1] as atr, l2[5] as growth, l2[6] as squeeze, l2[7] as pace,
+  {", ".join(f"case when abs({x} - 5e-1) >= 1e-9 then {x} end as {n}" for x, n in (("rolling_trend", "roll"), ("atr_percentile", "pct"), ("macro_state", "macro"), ("sentiment_score", "mood")))} from e),
+f2 as (select *, {", ".join(f"{_rule(v)} as rule_{k}" for k, v in RULES.items())} from f1),
+f3 as (select *, list_sort([{", ".join(f"{{'s': -rule_{n}, 'name': '{n}'}}" for n in RULES)}]) as r from f2),
 f4 as (select *, r[1].name as "primary", -r[1].s as primary_score, list_filter(r[2:9], lambda p: p.s < 0)[1:2] as sec from f3)
-select asset, ts, "primary", primary_score, array_to_string(list_transform(sec, lambda p: p.name || ':' || printf('%.4f', case when primary_score > 0 then -p.s / primary_score else 0 end)), ',') as secondary, {", ".join(f"rule_{n}" for n in rules)} from f4"""
+select asset, ts, "primary", primary_score, array_to_string(list_transform(sec, lambda p: p.name || ':' || printf('%.4f', case when primary_score > 0 then -p.s / primary_score else 0 end)), ',') as secondary, {", ".join(f"rule_{n}" for n in RULES)} from f4"""
 
 
 def stats(c: str) -> list[str]:
@@ -243,6 +311,13 @@ def sums(x: str, y: str) -> str:
     return f"count(*) as n, sum({x}) as sx, sum({y}) as sy, sum({x} * {y}) as sxy, sum({x} * {x}) as sxx, sum({y} * {y}) as syy"
 
 
+#: Fixed mapping of the test assets to symbols, of their currencies, and of calendar events to currencies.
+SYMBOLS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "XAU", "error": "eurgbp"}
+SYMBOL = "case asset " + " ".join(f"when '{a}' then '{s}'" for a, s in SYMBOLS.items()) + " end"
+CODES = f"case when length({SYMBOL}) >= 6 then [upper({SYMBOL})[1:3], upper({SYMBOL})[4:6]] else [{SYMBOL}] end"
+PCAL = "pcal as (select cal.*, ['USD', 'EUR', 'GBP', 'JPY'][(k % 5 + 1)::int] as currency from cal)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "candle_resample_4h": f"with {BARS} select * from candles",
     "ohlc_validate": f"with {BARS}, n as (select *, row_number() over (partition by asset order by ts) as row from c), b as (select * replace (case when row % 7 = 0 then least(open, close) - 1 else high end as high) from n) select asset, ts, row, case when high < greatest(open, close, low) then 'high' else 'low' end as reason from b where high < greatest(open, close, low) or low > least(open, close, high)",
@@ -251,11 +326,11 @@ ORACLE_SQL: dict[str, str] = {
     "sunday_merge": f"with {BARS}, s as (select *, case when dayofweek(ts) = 0 then date_trunc('day', ts) + interval '1 day' else ts end as slot from c) select asset, slot as ts, first(open order by ts) as open, max(high) as high, min(low) as low, last(close order by ts) as close, sum(volume)::bigint as volume from s group by asset, slot",
     "fingerprint_id": f"with {REG} select asset, ts, fingerprint_id from g",
     "return_profile": f"with {REG} select asset, ts, net_pips, range_pips from g",
-    "regime_classify": f"with {REG} select asset, ts, vol_regime, trend_regime, session, {P.API_SESSION} as api_session from g",
-    "l1_structure": f"with {BARS} select asset, ts, {cols('l1', [feature(x) for x in P.STRUCTURE])} from c",
-    "l2_volatility": f"with {BARS} select asset, ts, {cols('l2', [feature(x) for x in P.VOLATILITY])} from c",
-    "l3_liquidity": f"with {BARS} select asset, ts, {cols('l3', P.LIQUIDITY)} from c",
-    "l4_macro_snapshot": f"with {BARS}, {SNAPS} select ts, {cols('l4', [feature(x) for x in P.MACRO])} from snaps",
+    "regime_classify": f"with {REG} select asset, ts, vol_regime, trend_regime, session, case when hour(ts) between 12 and 20 then 'NY' when hour(ts) between 7 and 11 then 'LONDON' else 'ASIA' end as api_session from g",
+    "l1_structure": f"with {REG} select asset, ts, {cols('l1', [*map(part, L1)])} from geo",
+    "l2_volatility": f"with {REG} select asset, ts, {cols('l2', [*map(part, L2)])} from geo",
+    "l3_liquidity": f"with {REG} select asset, ts, {cols('l3', L3)} from geo",
+    "l4_macro_snapshot": f"with {BARS}, {SNAPS} select ts, {cols('l4', [*map(part, L4)])} from snaps",
     "l5_sentiment_snapshot": f"with {BARS}, {SNAPS}, sn as (select * replace (case when day(ts) % 7 != 0 then vix end as vix) from snaps), n as (select ts, {', '.join(f'coalesce(greatest(0e0, least(1e0, ({x} - {lo}) / {w})), 5e-1) as {x}' for x, lo, w in (('vix', '10e0', '30e0'), ('gold', '1500e0', '1000e0'), ('dxy', '90e0', '20e0'), ('spx', '3000e0', '2500e0'), ('us10y', '1e0', '4e0')))} from sn) select ts, {r6('vix')} as l5_0, {r6('(vix + gold) / 2')} as l5_1, {r6('dxy')} as l5_2, {r6('spx')} as l5_3, {r6('us10y')} as l5_4, {r6('(vix + (vix + gold) / 2 + dxy + spx + us10y) / 5')} as l5_5 from n",
     "state_layers": f"with {TEN} select asset, ts, macro_source, sentiment_source, {', '.join(f'l4[{i + 1}] as l4_{i}' for i in range(8))}, {', '.join(f'l5[{i + 1}] as l5_{i}' for i in range(6))} from v",
     "forward_outcomes": f"with {FWD} select asset, ts, next_ts, net_return_pips, mfe_pips, mae_pips, realised_volatility from o",
@@ -267,14 +342,14 @@ ORACLE_SQL: dict[str, str] = {
     "walk_forward_split": f"with {FWD}, s as (select asset, row_number() over (partition by asset order by ts) <= floor(0.8 * count(*) over (partition by asset)) as t from o) select asset, sum(t::int)::bigint as train, count(*) as n from s group by asset",
     "outcome_distribution": f"with {FWD}, {distribution('o', 'asset, vol_regime')} select * from dist",
     "outcome_weighted": f"with {FWD}, w as (select *, case when vol_regime = 'NORMAL' and session = 'LONDON' then 15 when vol_regime = 'NORMAL' then 12 else 7 end as copies from o), {distribution('w', 'asset', 'copies')} select * from dist",
-    "dynamic_flat": f"with {BARS}, d as (select asset, ts, count(*) over w as n, avg({P.RANGE}) over w as a from c window w as (partition by asset order by ts rows between 13 preceding and current row)) select asset, ts, {r6('case when n >= 5 then greatest(0.25 * a, 1e0) else 2e0 end')} as flat_threshold from d",
+    "dynamic_flat": f"with {BARS}, d as (select asset, ts, count(*) over w as n, avg((high - low) / pip) over w as a from c window w as (partition by asset order by ts rows between 13 preceding and current row)) select asset, ts, {r6('case when n >= 5 then greatest(0.25 * a, 1e0) else 2e0 end')} as flat_threshold from d",
     "cosine_pairs": f"with {_EMB}, p as (select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as similarity {_PAIR}) select * from p qualify row_number() over (partition by a_vec_id order by similarity desc, b_vec_id) <= 10",
     "l2_similarity": f"with {_EMB}, p as (select a.vec_id as a_vec_id, b.vec_id as b_vec_id, {r6('1 / (1 + list_distance(a.v, b.v))')} as similarity {_PAIR}) select * from p qualify row_number() over (partition by a_vec_id order by similarity desc, b_vec_id) <= 10",
     "topk_similarity": f"with {_EMB}, p as (select a.vec_id as q_vec_id, b.vec_id, {r6('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as score from e a join e b on a.vec_id != b.vec_id where a.vec_id % 20 = 0) select *, row_number() over (partition by q_vec_id order by score desc, vec_id) as rank from p qualify rank <= 10",
     "similarity_batch": f"with recursive {BATCH}, {ranked('b4', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
     "similarity_engine": f"with {ENGINE}, {ranked('sc', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
     "blended_score": f"with recursive {BATCH}, {ranked('b4', 5)} select fingerprint_id, match_id, topology_score, score as blended from rk",
-    "match_explanation": f"with {ENGINE}, {ranked('sc', 3)}, p as (select *, [{', '.join(f'''{{'name': '{n}', 's': {r6(f's{i}')}, 'c': {r6(f'{r6(f's{i}')} * w{i}', 9)}, 'o': {-i}}}''' for i, n in enumerate(M.LAYERS, 1))}] as p from rk) select fingerprint_id, match_id, array_to_string(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: z.name), ',') as matched, array_to_string(list_transform(list_filter(p, lambda z: z.s < 0.95::double), lambda z: z.name), ',') as mismatched, coalesce(list_sort(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: {{'c': z.c, 'o': z.o, 'name': z.name}}), 'desc')[1].name, 'none') as reason from p",
+    "match_explanation": f"with {ENGINE}, {ranked('sc', 3)}, p as (select *, [{', '.join(f'''{{'name': '{n}', 's': {r6(f's{i}')}, 'c': {r6(f'{r6(f's{i}')} * w{i}', 9)}, 'o': {-i}}}''' for i, n in enumerate(LAYERS, 1))}] as p from rk) select fingerprint_id, match_id, array_to_string(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: z.name), ',') as matched, array_to_string(list_transform(list_filter(p, lambda z: z.s < 0.95::double), lambda z: z.name), ',') as mismatched, coalesce(list_sort(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: {{'c': z.c, 'o': z.o, 'name': z.name}}), 'desc')[1].name, 'none') as reason from p",
     "layer_merge": f"with {FWD}, s as (select fingerprint_id as id, abs(net_return_pips) as score, vol_regime = 'HIGH' as a, trend_regime = 'BULLISH' as b, session = 'NY' as d from o) select id, case when a then score else 0 end as s1, case when b then score else 0 end as s2, case when d then score else 0 end as s3 from s where a or b or d",
     "forecast_normalise": f"with {FWD}, {distribution('o', 'asset, vol_regime, session')}, {forecast('dist', 'fc')} select asset, vol_regime, session, up, down, flat, expected_move_pips, direction from fc",
     "tradeability": f"with {RF}, t as (select *, case when sample_size > 5 then confidence end as conf, case session when 'NY' then 1.0 when 'LONDON' then 1.2 else 1.5 end as spread, case session when 'ASIA' then 0.7 else 0.85 end as liquidity, hour(ts) = 12 as news from rf), u as (select asset, ts, case when conf is null then 0e0 else {r6('greatest(0, least(1, conf)) * (case when spread <= 2 then 1e0 else 7e-1 end) * (case session when ' + chr(39) + 'LONDON' + chr(39) + ' then 1e0 when ' + chr(39) + 'NY' + chr(39) + ' then 8e-1 else 5e-1 end) * 1e0 * (case when news then 0e0 else 1e0 end)', 2)} end as tradeability_score, case when conf is null then 'conf' else '' end as unavailable from t) select *, case when tradeability_score > 0.75 then 'GO' when tradeability_score >= 0.45 then 'CONDITIONAL' else 'NO_GO' end as label from u",
@@ -287,7 +362,13 @@ select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else
     "sentiment_vector": f"with {BARS}, {TIMES}, {NEWS}, {sentiment_cte()} select * from sen",
     "macro_vector": f"with {BARS}, {TIMES}, {CAL}, {macro_cte()} select * from mac",
     "news_risk": f"with {BARS}, {TIMES}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high'), s as (select t.ts, min((epoch(event_date) - epoch(t.ts)) / 3600.0::double) as hours_to_event, string_agg(name, ',' order by event_date, name) as names from times t join h on event_date > t.ts and event_date <= t.ts + interval '8 hours' group by t.ts) select ts, hours_to_event, coalesce(names, '') as names, hours_to_event is not null as at_risk from times left join s using (ts)",
-    "event_context": f"with {FWD}, {CAL}, ev as (select distinct name, event_date from cal), m as (select name, event_date, max({{'ts': ts, 'net': net_return_pips}}).net as net from ev join o on o.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by 1, 2), n as (select name, count(*) as events from ev group by name), gg as (select name, count(*) as outcomes, median(abs(net)) as med, avg(abs(net)) as mean, avg((net > 0)::int) as up from m group by name) select name, events, outcomes, {r6('med')} as median_abs, {r6('up')} as up_share, {r6('case when med = 0 then 1e0 else mean / med end')} as amplification from gg join n using (name) where outcomes >= 3 and events >= 3",
+    "event_context": f"""with {FWD}, {CAL}, {PCAL}, b as (select asset, ts, {CODES} as codes from c),
+up as (select asset, ts, min({{'d': event_date, 'n': name}}).n as name from b join pcal on event_date >= ts and event_date <= ts + interval '8 hours' and impact = 'high' and list_contains(codes, currency) group by asset, ts),
+inst as (select distinct name, event_date from cal),
+net as (select asset, name, event_date, max({{'ts': ts, 'net': net_return_pips}}).net as net from inst join o on o.ts between event_date - interval '4 hours' and event_date + interval '4 hours' group by asset, name, event_date),
+past as (select asset, ts, name, count(*) as events from up join inst using (name) where event_date < ts group by asset, ts, name),
+gg as (select up.asset, up.ts, up.name, count(*) as outcomes, median(abs(net)) as med, avg(abs(net)) as mean, avg((net > 0)::int) as share from up join net on net.asset = up.asset and net.name = up.name and net.event_date < up.ts group by up.asset, up.ts, up.name)
+select asset, ts, name, events, outcomes, {r6('med')} as median_abs, {r6('share')} as up_share, {r6('case when med = 0 then 1e0 else mean / med end')} as amplification from gg join past using (asset, ts, name) where outcomes >= 3 and events >= 3""",
     "regime_v2": f"with {_regimes()}",
     "evaluation_metrics": f"with {EV} select fingerprint_id, direction_predicted, direction_actual, direction_accuracy, error, abs_error, squared_error, brier, calibration_error, bucket, tradeability_success from ev",
     "forecast_maturity": f"with {FWD} select fingerprint_id, case when session != 'NY' then 'evaluated' when ts + interval '12 hours' <= timestamp '2024-01-20' then 'outcome_unavailable' else 'waiting' end as status from o",
@@ -317,10 +398,10 @@ select fingerprint_id, stage, coalesce(score, 0) as contribution_score, case whe
     "serving_latest": f"with {REG} select asset, ts, close, vol_regime, trend_regime, session from g qualify row_number() over (partition by asset order by ts desc) = 1",
     "paginate": "select c_custkey, c_name, c_acctbal, count(*) over () > 60 as has_more from customer order by c_acctbal desc, c_custkey limit 20 offset 40",
     "tier_projection": "select c_custkey, n_name, r_name, case when c_acctbal > 5000 then c_acctbal end as c_acctbal from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
-    "detect_asset": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', X.CURRENCIES)} as n from head) select doc_id, case {' '.join(f'''when n >= 2 and contains(u, '{p[:3]}') and contains(u, '{p[3:]}') then '{p.lower()}' ''' for p in X.PAIRS)} when n = 1 then 'forex' when {contains('l', X.EURO_WORDS + X.DOLLAR_WORDS)} then 'eurusd' else 'forex' end as asset_id from h",
-    "relevance_score": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', X.CURRENCIES)} as n from head) select doc_id, (case when {contains('u', [x for p in X.PAIRS for x in (p, f'{p[:3]}/{p[3:]}')])} then 0.9 when n >= 2 then 0.8 when {contains('l', X.STRONG_WORDS)} then case when n >= 1 then 0.8 else 0.7 end when n = 1 then 0.5 else 0.3 end)::double as relevance from h",
+    "detect_asset": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', CURRENCIES)} as n from head) select doc_id, case {' '.join(f'''when n >= 2 and contains(u, '{p[:3]}') and contains(u, '{p[3:]}') then '{p.lower()}' ''' for p in PAIRS)} when n = 1 then 'forex' when {contains('l', EURO_WORDS + DOLLAR_WORDS)} then 'eurusd' else 'forex' end as asset_id from h",
+    "relevance_score": f"with {HEAD}, h as (select doc_id, upper(headline) as u, lower(headline) as l, {count_of('upper(headline)', CURRENCIES)} as n from head) select doc_id, (case when {contains('u', [x for p in PAIRS for x in (p, f'{p[:3]}/{p[3:]}')])} then 0.9 when n >= 2 then 0.8 when {contains('l', STRONG_WORDS)} then case when n >= 1 then 0.8 else 0.7 end when n = 1 then 0.5 else 0.3 end)::double as relevance from h",
     "event_impact": f"with {HEAD} select doc_id, {impact('headline')} as impact, {impact('headline', 'news')} as news_impact, {contains('lower(headline)', ('rate decision', 'interest rate'))} as is_rate from head",
-    "sentiment_bias": f"with {HEAD}, h as (select doc_id % 10 as batch, sum({count_of('lower(headline)', X.POSITIVE)}) as p, sum({count_of('lower(headline)', X.NEGATIVE)}) as n from head group by 1) select batch, {r6('case when p + n = 0 then 0 else (p - n)::double / (p + n) end')} as bias from h",
+    "sentiment_bias": f"with {HEAD}, h as (select doc_id % 10 as batch, sum({count_of('lower(headline)', POSITIVE)}) as p, sum({count_of('lower(headline)', NEGATIVE)}) as n from head group by 1) select batch, {r6('case when p + n = 0 then 0 else (p - n)::double / (p + n) end')} as bias from h",
     "csv_round_trip": f"with {BARS} select ts, open, high, low, close, volume::double as volume from c",
     "json_vector_parse": "select event_id, case event_id % 4 when 0 then 3 else 0 end as n, case event_id % 4 when 0 then event_id::double end as first, case event_id % 4 when 0 then -0.1::double end as third from events",
     "cache_ttl": "select event_id, (14400 - floor(epoch(ts))::bigint % 14400) as ttl, 14400 - floor(epoch(ts))::bigint % 14400 >= 60 as cached from events",
