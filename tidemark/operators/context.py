@@ -15,16 +15,15 @@ def hours(a: str, b: str) -> Column:
     return (F.unix_seconds(F.col(a).cast("timestamp")) - F.unix_seconds(F.col(b).cast("timestamp"))) / float(HOUR)
 
 
-def sentiment(bars: DataFrame, articles: DataFrame, half_life: float = 8.0) -> DataFrame:
-    """asset, ts, articles, and six components of sentiment over the articles (published_at, hint, relevance) of the 24 hours up to each bar, both ends included.
+#: Sums of a time's articles that its sentiment is made of.
+SUMS = ("n", "sw", "w", "bull", "bear", "m", "mm")
 
-    Weights halve every ``half_life`` hours; fewer than three articles are mixed with 0.5. Momentum is against the asset's bar before.
-    """
-    times = bars.select("ts").distinct()
-    near = interval_join(articles, times, [], "published_at", "ts", 24 * HOUR, 0)
+
+def sentiment_sums(near: DataFrame, half_life: float = 8.0) -> DataFrame:
+    """ts and SUMS of pairs of times (ts) and articles (published_at, hint, relevance)."""
     hint = F.coalesce("hint", F.lit(0.0))
     w = F.col("relevance") * F.pow(F.lit(0.5), hours("ts", "published_at") / half_life)
-    g = near.groupBy("ts").agg(
+    return near.groupBy("ts").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(hint * w).alias("sw"),
         F.sum(w).alias("w"),
@@ -33,6 +32,19 @@ def sentiment(bars: DataFrame, articles: DataFrame, half_life: float = 8.0) -> D
         F.avg((hint + 1) / 2).alias("m"),
         F.avg((hint + 1) / 2 * ((hint + 1) / 2)).alias("mm"),
     )
+
+
+def sentiment(bars: DataFrame, articles: DataFrame, half_life: float = 8.0) -> DataFrame:
+    """asset, ts, articles, and six components of sentiment over the articles (published_at, hint, relevance) of the 24 hours up to each bar, both ends included.
+
+    Weights halve every ``half_life`` hours; fewer than three articles are mixed with 0.5. Momentum is against the asset's bar before.
+    """
+    near = interval_join(articles, bars.select("ts").distinct(), [], "published_at", "ts", 24 * HOUR, 0)
+    return sentiment_of(bars, sentiment_sums(near, half_life))
+
+
+def sentiment_of(bars: DataFrame, g: DataFrame) -> DataFrame:
+    """``sentiment`` from the sums of every time."""
     df = bars.select("asset", "ts").join(g, "ts", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     agg = F.when(F.coalesce(F.col("w"), F.lit(0.0)) == 0, 0.5).otherwise((F.col("sw") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")) + 1) / 2)
     df = df.withColumn("agg", agg)
@@ -72,7 +84,7 @@ def macro(times: DataFrame, events: DataFrame) -> DataFrame:
     )
     one = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     parts = {
-        "event_proximity_pressure": (0.25, F.coalesce(one(1 - F.col("next") / 24), F.lit(0.0))),
+        "event_proximity_pressure": (0.25, F.when(F.col("next").isNull(), 0.0).otherwise(one(1 - F.col("next") / 24))),
         "aggregate_surprise_factor": (0.20, F.coalesce(F.col("sw") / F.col("w"), F.lit(0.5))),
         "rate_differential": (0.15, F.coalesce((F.col("rate") + 1) / 2, F.lit(0.5))),
         "high_impact_event_count": (0.15, one(F.col("nh") / 5)),
@@ -107,11 +119,24 @@ def asset_events(bars: DataFrame, events: DataFrame) -> DataFrame:
     return df.withColumn("events", F.coalesce("events", F.lit(0)))
 
 
-def news_risk(times: DataFrame, events: DataFrame) -> DataFrame:
-    """ts, at_risk, hours_to_event, names: high-impact events after each time, up to 8 hours ahead."""
-    e = interval_join(events.where("impact = 'high'"), times, [], "event_date", "ts", 0, 8 * HOUR).where("event_date > ts")
-    g = e.groupBy("ts").agg(F.min(hours("event_date", "ts")).alias("hours_to_event"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_date", "name"))), lambda x: x["name"]), ",").alias("names"))
-    return times.join(g, "ts", "left").withColumn("at_risk", F.col("hours_to_event").isNotNull()).withColumn("names", F.coalesce("names", F.lit("")))
+def news_risk(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """asset, ts, at_risk, hours_to_event, names: high-impact events of one of the asset's currencies after each bar's time, up to 8 hours ahead.
+
+    bars: asset, ts, currencies; events: name, event_date, impact, currency. Assets without
+    currencies are at no risk. Bars with only a ts are held against all events.
+    """
+    high = events.where("impact = 'high'")
+    if "currencies" in bars.columns:
+        keys = ["asset", "ts"]
+        by = bars.select(*keys, F.explode(F.array_distinct("currencies")).alias("currency"))
+        e = interval_join(high.where("currency is not null"), by, ["currency"], "event_date", "ts", 0, 8 * HOUR)
+    else:
+        keys = ["ts"]
+        e = interval_join(high, bars, [], "event_date", "ts", 0, 8 * HOUR)
+    e = e.where("event_date > ts").select(*keys, "event_date", "name").distinct()
+    names = F.transform(F.array_sort(F.collect_list(F.struct("event_date", "name"))), lambda x: x["name"])
+    g = e.groupBy(*keys).agg(F.min(hours("event_date", "ts")).alias("hours_to_event"), F.array_join(names, ",").alias("names"))
+    return bars.select(*keys).join(g, keys, "left").withColumn("at_risk", F.col("hours_to_event").isNotNull()).withColumn("names", F.coalesce("names", F.lit("")))
 
 
 def upcoming(bars: DataFrame, events: DataFrame, within: int = 8 * HOUR) -> DataFrame:

@@ -71,7 +71,7 @@ LIQUIDITY = [liquidity(i) for i in range(20)]
 
 
 def _snapshot(x: str, low: str, width: str) -> str:
-    return f"coalesce({unit(f'({x} - {low}) / {width}')}, 5e-1)"
+    return f"(case when {x} is null then 5e-1 else {unit(f'({x} - {low}) / {width}')} end)"  # greatest and least pass over nulls
 
 
 _DXY, _VIX, _SPX = _snapshot("dxy", "90e0", "20e0"), _snapshot("vix", "10e0", "30e0"), _snapshot("spx", "3000e0", "2500e0")
@@ -114,9 +114,10 @@ def layer(parts: list[str]):
     return F.array(*[F.expr(feature(x)) for x in parts])
 
 
-def fingerprints(candles: DataFrame, pip: float) -> DataFrame:
-    """One row for each bar: id, regime, and the layers l1 to l5 (l4 and l5 neutral until ``with_context``)."""
-    df = with_regime(with_id(with_pip(candles, pip)))
+def fingerprints(candles: DataFrame, pip: float | None = None) -> DataFrame:
+    """One row for each bar: id, versions, regime, and the layers l1 to l5 (l4 and l5 neutral until ``with_context``). Without ``pip``, bars have it as a column."""
+    df = with_regime(with_id(candles if pip is None else with_pip(candles, pip)))
+    df = df.withColumns({name: F.lit(v) for name, v in VERSIONS.items()})
     half = lambda n: F.array(*[F.lit(0.5)] * n)
     return df.withColumns({"l1": layer(STRUCTURE), "l2": layer(VOLATILITY), "l3": F.array(*[F.expr(x) for x in LIQUIDITY]), "l4": half(8), "l5": half(6)})
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,40 +33,65 @@ def direction_accuracy(forecasts: DataFrame, actual: DataFrame, key: str, order:
     return g.select(key, F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("correct", F.lit(0)).alias("correct"), r6(100 * F.col("correct") / F.nullif("evaluated", F.lit(0)), 2).alias("accuracy"))
 
 
+DAY, LAST_MINUTE = 86_400_000_000, 60_000_000
+
+
+class Quotas:
+    """The counters of one service: requests of the UTC day by provider, and the times (microseconds) of those in the last minute."""
+
+    def __init__(self, chain: list[tuple[str, int, int]], day: int | None = None, used: list[int] | None = None, recent: list[tuple[int, int]] | None = None):
+        self.chain, self.day = chain, day
+        self.used = list(used or [0] * len(chain))
+        self.recent: list[deque[int]] = [deque(at for p, at in sorted(recent or []) if p == i) for i in range(len(chain))]
+
+    def ask(self, at: int, works) -> tuple[str | None, list[str]]:
+        """The provider that serves a request, null if all fail, and what was asked or skipped before it. Times do not fall from call to call."""
+        if at // DAY != self.day:
+            self.day, self.used = at // DAY, [0] * len(self.chain)
+        tried = []
+        for i, (name, per_day, per_minute) in enumerate(self.chain):
+            recent = self.recent[i]
+            while recent and recent[0] <= at - LAST_MINUTE:
+                recent.popleft()
+            if self.used[i] >= per_day or len(recent) >= per_minute:
+                tried.append(f"{name}: rate limited")
+                continue
+            self.used[i] += 1
+            recent.append(at)
+            if name in works:
+                return name, tried
+            tried.append(f"{name}: failed")
+        return None, tried
+
+    def kept(self) -> list[tuple[int, int]]:
+        return [(i, at) for i, times in enumerate(self.recent) for at in times]
+
+
 def with_fallback(requests: DataFrame, chain: list[tuple[str, int, int]], key: str, ts: str, tie: str, works: str) -> DataFrame:
     """key, tie, provider (null if all failed), attempts: providers asked or skipped before it, in the order of the chain (name, requests a day, requests a minute).
 
     A provider at its limit is skipped; one that fails (its name is not in the array column
     ``works``) still uses up a request. Days are UTC days, a minute is the last 60 seconds.
-    The requests of a key are an ordered fold in one task: a key is one ingestion service.
+    The requests of a key are an ordered fold: rows are sorted by key and time within
+    partitions by key and pass through Arrow batch by batch, so a task holds a batch and
+    the counters of one key, not the key's rows. ``streaming.quotas`` keeps them as state.
     """
+    kinds = dict(requests.dtypes)
+    rows = requests.select(F.col(key).alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie"), F.col(works).alias("_works"))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values([ts, tie], ignore_index=True)
-        day, used, recent, out = None, {}, {name: deque() for name, *_ in chain}, []
-        for at, n, ok in zip(b[ts], b[tie], b[works], strict=True):
-            if at.date() != day:
-                day, used = at.date(), {}
-            won, tried = None, []
-            for name, per_day, per_minute in chain:
-                while recent[name] and recent[name][0] <= at - dt.timedelta(seconds=60):
-                    recent[name].popleft()
-                if used.get(name, 0) >= per_day or len(recent[name]) >= per_minute:
-                    tried.append(f"{name}: rate limited")
-                    continue
-                used[name] = used.get(name, 0) + 1
-                recent[name].append(at)
-                if name in ok:
-                    won = name
-                    break
-                tried.append(f"{name}: failed")
-            out.append((n, won, "; ".join(tried)))
-        frame = pd.DataFrame(out, columns=[tie, "provider", "attempts"])
-        frame.insert(0, key, b[key])
-        return frame
-
-    t = dict(requests.dtypes)
-    return requests.select(key, ts, tie, works).groupBy(key).applyInPandas(run, f"{key} {t[key]}, {tie} {t[tie]}, provider string, attempts string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, quotas = None, None
+        for b in batches:
+            won, tried = [], []
+            for k, at, ok in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if quotas is None or k != of:
+                    of, quotas = k, Quotas(chain)
+                a, t = quotas.ask(at, ok or [])
+                won.append(a)
+                tried.append("; ".join(t))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(won, pa.string()), pa.array(tried, pa.string())], [key, tie, "provider", "attempts"])
+
+    return rows.repartition("_key").sortWithinPartitions("_key", "_at", "_tie").mapInArrow(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, provider string, attempts string")
 
 
 def daily_quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int) -> DataFrame:
@@ -114,6 +139,22 @@ def checked(df: DataFrame, units: list[str], positive: list[str] = ()) -> DataFr
     return df.where(F.assert_true(v == "", F.concat(F.lit("outside the valid range: "), v)).isNull())
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: dict | None, size: int) -> DataFrame:
+    """The next ``size`` rows in order (column, whether it falls; the last one unique) behind the row with the values ``after``; the first ones without it.
+
+    Rows before it are left out by a predicate, not counted, so a late page costs what an early one does.
+    """
+    if after is not None:
+        behind = F.lit(False)
+        for i, (c, falls) in enumerate(order):
+            here = F.col(c) < after[c] if falls else F.col(c) > after[c]
+            for b, _ in order[:i]:
+                here = here & (F.col(b) == after[b])
+            behind = behind | here
+        df = df.where(behind)
+    return df.orderBy(*[F.col(c).desc() if falls else F.col(c).asc() for c, falls in order]).limit(size)
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 20) -> DataFrame:
     """The rows of one page and has_more, whether rows follow it."""
     if not 1 <= limit <= 100 or offset < 0:
@@ -135,6 +176,19 @@ def calendar_summary(at_risk: Column, hours: Column) -> dict[str, Column]:
     return {"high_impact_event": F.when(known, at_risk).otherwise(False), "hours_to_next_event": r6(F.when(known, F.greatest(F.lit(0.0), F.coalesce(hours, F.lit(24.0)))).otherwise(24.0))}
 
 
+#: The extended features that can be switched on, and the columns of each.
+EXTENDED = {
+    "rolling_trend": ["rolling_trend"],
+    "atr_percentile": ["atr_percentile"],
+    "volatility_regime_score": ["vol_regime_score"],
+    "session_statistics": [f"{s}_{x}" for x in ("count", "range") for s in ("asia", "london", "ny")],
+    "correlated_markets": ["correlated"],
+    "economic_calendar_summary": ["high_impact_event", "hours_to_next_event"],
+    "macro_state": ["macro_state"],
+    "sentiment_summary": ["sentiment_summary"],
+}
+
+
 def enabled(df: DataFrame, flags: dict[str, bool], columns: dict[str, list[str]]) -> DataFrame:
     """df with the columns of features that are switched off made null."""
     off = [c for name, on in flags.items() if not on for c in columns[name]]

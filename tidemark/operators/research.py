@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .outcomes import r6
+from .writes import written
 from .scoring import bucket
 
 
@@ -126,12 +127,32 @@ def drift(e: DataFrame, key: str, order: list[str], window: int = 30, base: int
     return g.select(key, "n", r6(F.col("rolling")).alias("rolling_accuracy"), r6(F.col("mean")).alias("baseline_mean"), F.col("sd").alias("baseline_std"), hit.alias("drifted"), off.alias("deviation"))
 
 
+def compared(results: dict[str, DataFrame]) -> DataFrame:
+    """By fingerprint_id what every version gives, and whether all agree."""
+    out = None
+    for v, one in results.items():
+        one = one.select("fingerprint_id", F.lit(v).alias("version"), "result")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("fingerprint_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "result"))), lambda x: F.concat(x["version"], F.lit("="), x["result"])), ",").alias("results"), (F.count_distinct("result") == 1).alias("agree"))
+
+
 def experiment(inputs: DataFrame, engines: dict) -> DataFrame:
     """Every engine (version to a function from DataFrame to DataFrame with fingerprint_id, result) over the same inputs, and whether all agree."""
     if len(engines) < 2:
         raise ValueError("an experiment compares two versions or more")
-    out = None
+    return compared({v: f(inputs) for v, f in engines.items()})
+
+
+def experiment_apart(inputs: DataFrame, engines: dict) -> tuple[DataFrame, dict[str, str]]:
+    """``experiment`` with a job of its own for every version: the rows of those that did not fail, and the errors of the others."""
+    if len(engines) < 2:
+        raise ValueError("an experiment compares two versions or more")
+    done, errors = {}, {}
     for v, f in engines.items():
-        one = f(inputs).select("fingerprint_id", F.lit(v).alias("version"), "result")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("fingerprint_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "result"))), lambda x: F.concat(x["version"], F.lit("="), x["result"])), ",").alias("results"), (F.count_distinct("result") == 1).alias("agree"))
+        try:
+            done[v] = written(f(inputs).select("fingerprint_id", "result"), "version")
+        except Exception as e:  # whatever a version does, the others' rows are kept
+            errors[v] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    if not done:
+        raise ValueError(f"all versions failed: {errors}")
+    return compared(done), errors

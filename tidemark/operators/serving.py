@@ -120,5 +120,5 @@ def strict(df: DataFrame, col: str, fields: dict[str, str]) -> DataFrame:
 def first_markets(values: Column, n: int = 5) -> Column:
     """The first n keys of a map in order, their values in [0, 1], 0.5 for NaN."""
     e = F.slice(F.array_sort(F.map_entries(values)), 1, n)
-    unit = lambda v: F.when(F.isnan(v), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    unit = lambda v: F.when(v.isNull() | F.isnan(v), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
     return F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"], unit(x["value"]))))

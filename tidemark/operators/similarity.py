@@ -3,7 +3,7 @@
 States are numbered in time. Blocks of queries meet spans of earlier states, each pair of
 them in a group of its own, in which NumPy computes similarities as products of matrices,
 slice by slice, and keeps the best k of each query; what is left, k rows for each query and
-span, is ranked again. So a task holds a block and a span, however long an asset's history
+span, is ranked again. A state travels as one run of doubles. So a task holds a block and a span, however long an asset's history
 is, and no pair of states ever becomes a row. Scores are rounded to six
 digits before they are ranked; ties go to the smaller id.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import numbered, top_per_key
@@ -24,8 +24,9 @@ LAYERS = ("structure", "volatility", "liquidity", "macro", "sentiment")
 #: Weights of the layers by volatility; others weigh the same.
 WEIGHTS = {"LOW": (0.40, 0.15, 0.30, 0.10, 0.05), "NORMAL": (0.20, 0.15, 0.15, 0.30, 0.20), "HIGH": (0.25, 0.25, 0.15, 0.20, 0.15)}
 TOP, TOPOLOGY_WEIGHT, MATCHED = 50, 0.10, 0.6
-#: Components of the layers.
-WIDTHS = (16, 12, 20, 8, 6)
+#: Components of the layers, and of the topology.
+WIDTHS, TOPOLOGY = (16, 12, 20, 8, 6), 40
+LAYER_COLUMNS = [f"l{i}" for i in range(1, 6)]
 
 
 def weight(vol: Column, i: int) -> Column:
@@ -75,29 +76,15 @@ REGIME = ["vol_regime", "trend_regime", "session"]
 FOUND = "asset string, fingerprint_id string, match_id string, score double, s1 double, s2 double, s3 double, s4 double, s5 double, topology_score double, vol_regime string, session string, match_vol_regime string, match_session string"
 
 
-def search(states: DataFrame, keys: list[str], k: int, euclid: tuple[int, ...] = (), bonus: bool = False, topology_weight: float = 0.0) -> DataFrame:
-    """The k best earlier states of each state among those with the same keys.
-
-    Layers in ``euclid`` are compared by distance, the others by cosine. bonus: the same
-    session adds 5 %, then the same volatility 3 %, to at most 1. With a topology weight the
-    cosine of the vectors in the column ``topology`` is mixed in where both states have one.
-    """
-    layers = [f"l{i}" for i in range(1, 6)]
-    cols = [*dict.fromkeys([*keys, "asset", "fingerprint_id", *REGIME, *layers]), *(["topology"] if topology_weight else [])]
-    df = numbered(states.select("ts", *cols), keys, "ts").drop("ts")
-    df = df.withColumns({"_b": F.floor(F.col("_n") / BLOCK).cast("int"), "_s": F.floor(F.col("_n") / SPAN).cast("int")})
-    df = df.join(df.groupBy(*keys).agg(F.max("_b").alias("_last")), keys)
-    as_query = F.transform(F.sequence(F.lit(0), F.col("_s")), lambda c: F.struct(F.col("_b").alias("q"), c.alias("c"), F.lit(True).alias("query")))
-    as_match = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda q: F.struct(q.alias("q"), F.col("_s").alias("c"), F.lit(False).alias("query")))
-    df = df.withColumn("_p", F.explode(F.concat(as_query, as_match))).select("*", "_p.*").drop("_p", "_b", "_s", "_last")
+def scorer(k: int, euclid: tuple[int, ...] = (), bonus: bool = False, topology_weight: float = 0.0):
+    """A function of a group of queries and earlier states (told by the column ``query``) to the k best of each query, by FOUND."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         q, c = (b[b["query"] == on].sort_values("_n", ignore_index=True) for on in (True, False))
-        sides = [tuple(matrix(side[name], width) for side in (q, c)) for name, width in zip(layers, WIDTHS, strict=True)]
+        x, y = (unpacked(side["v"], topology_weight) for side in (q, c))
+        sides = list(zip(x[:5], y[:5], strict=True))
         w = np.array([WEIGHTS.get(v, (0.2,) * 5) for v in q["vol_regime"]]).reshape(len(q), 5)
-        shapes = None
-        if topology_weight:  # rows without a topology are told by their first component
-            shapes = [matrix(side["topology"].map(lambda v: [np.nan] * 40 if v is None else v), 40) for side in (q, c)]
+        shapes = [x[5], y[5]] if topology_weight else None  # rows without a topology are told by their first component
         when_q, when_c, order = q["_n"].to_numpy(), c["_n"].to_numpy(), np.argsort(np.argsort(c["fingerprint_id"].to_numpy().astype(str)))
         rows, cols, scores = [], [], []
         for at in range(0, len(c), SLICE):
@@ -136,11 +123,57 @@ def search(states: DataFrame, keys: list[str], k: int, euclid: tuple[int, ...] =
         out |= {"topology_score": shape, "vol_regime": q["vol_regime"].to_numpy()[r], "session": q["session"].to_numpy()[r], "match_vol_regime": c["vol_regime"].to_numpy()[m], "match_session": c["session"].to_numpy()[m]}
         return pd.DataFrame(out)
 
-    found = df.groupBy(*keys, "q", "c").applyInPandas(run, FOUND)
+    return run
+
+
+def packed(states: DataFrame, keys: list[str], topology_weight: float) -> DataFrame:
+    """What a search takes of a state: ts, keys, ids, regime, and ``v``, the components of its layers (and topology) as one run of doubles, once a state."""
+    arrays = [*LAYER_COLUMNS, *(["topology"] if topology_weight else [])]
+    cols = [*dict.fromkeys(["ts", *keys, "asset", "fingerprint_id", *REGIME])]
+
+    @F.pandas_udf("binary")
+    def pack(l1: pd.Series, l2: pd.Series, l3: pd.Series, l4: pd.Series, l5: pd.Series) -> pd.Series:
+        return pd.Series([m.tobytes() for m in np.hstack([matrix(v, w) for v, w in zip((l1, l2, l3, l4, l5), WIDTHS, strict=True)])])
+
+    @F.pandas_udf("binary")
+    def pack_shape(l1: pd.Series, l2: pd.Series, l3: pd.Series, l4: pd.Series, l5: pd.Series, topology: pd.Series) -> pd.Series:
+        shape = topology.map(lambda v: [np.nan] * TOPOLOGY if v is None else v)
+        return pd.Series([m.tobytes() for m in np.hstack([matrix(v, w) for v, w in zip((l1, l2, l3, l4, l5, shape), (*WIDTHS, TOPOLOGY), strict=True)])])
+
+    return states.select(*cols, (pack_shape if topology_weight else pack)(*arrays).alias("v"))
+
+
+def unpacked(v: pd.Series, topology_weight: float = 0.0) -> list[np.ndarray]:
+    """The matrices of the layers, then that of the topology."""
+    widths = (*WIDTHS, *([TOPOLOGY] if topology_weight else []))
+    m = np.frombuffer(b"".join(v), float).reshape(len(v), sum(widths))
+    return np.split(m, np.cumsum(widths)[:-1], axis=1)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best matches of each state among what the groups found, each match once."""
     found = found.withColumn("topology_score", F.when(~F.isnan("topology_score"), F.col("topology_score")))
+    w = Window.partitionBy("asset", "fingerprint_id").orderBy(F.col("score").desc(), "match_id")
+    found = found.withColumn("_before", F.lag("match_id").over(w)).where("_before is null or _before != match_id").drop("_before")
     return top_per_key(found, ["asset", "fingerprint_id"], [F.col("score").desc(), F.col("match_id")], k)
 
 
+def search(states: DataFrame, keys: list[str], k: int, euclid: tuple[int, ...] = (), bonus: bool = False, topology_weight: float = 0.0) -> DataFrame:
+    """The k best earlier states of each state among those with the same keys.
+
+    Layers in ``euclid`` are compared by distance, the others by cosine. bonus: the same
+    session adds 5 %, then the same volatility 3 %, to at most 1. With a topology weight the
+    cosine of the vectors in the column ``topology`` is mixed in where both states have one.
+    """
+    df = numbered(packed(states, keys, topology_weight), keys, "ts").drop("ts")
+    df = df.withColumns({"_b": F.floor(F.col("_n") / BLOCK).cast("int"), "_s": F.floor(F.col("_n") / SPAN).cast("int")})
+    df = df.join(df.groupBy(*keys).agg(F.max("_b").alias("_last")), keys)
+    as_query = F.transform(F.sequence(F.lit(0), F.col("_s")), lambda c: F.struct(F.col("_b").alias("q"), c.alias("c"), F.lit(True).alias("query")))
+    as_match = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda q: F.struct(q.alias("q"), F.col("_s").alias("c"), F.lit(False).alias("query")))
+    df = df.withColumn("_p", F.explode(F.concat(as_query, as_match))).select("*", "_p.*").drop("_p", "_b", "_s", "_last")
+    return best(df.groupBy(*keys, "q", "c").applyInPandas(scorer(k, euclid, bonus, topology_weight), FOUND), k)
+
+
 def engine_search(states: DataFrame, k: int = TOP) -> DataFrame:
     """Only states of the same regime; context layers by distance."""
     return search(states, ["asset", "vol_regime", "trend_regime"], min(k, TOP), euclid=(4, 5))
@@ -200,6 +233,13 @@ def explained(matches: DataFrame, threshold: float = MATCHED) -> DataFrame:
     return df.withColumns({"matched": names(hit), "mismatched": names(F.filter("_p", lambda p: p["s"] < threshold)), "reason": F.coalesce(top["name"], F.lit("none"))}).drop("_p")
 
 
+def explained_briefly(matches: DataFrame, high: float = 0.8, low: float = 0.5) -> DataFrame:
+    """matched: which of the price layers are above ``high``; mismatched: which of the context layers are below ``low``; the reason is always the weighted sum."""
+    named = lambda hits: F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in hits])), ",")
+    s = {n: F.col(f"s{i}") for i, n in enumerate(LAYERS, 1)}
+    return matches.withColumns({"matched": named([(n, s[n] > high) for n in LAYERS[:3]]), "mismatched": named([(n, s[n] < low) for n in LAYERS[3:]]), "reason": F.lit("weighted_vector_similarity")})
+
+
 def merged_layers(layers: list[DataFrame]) -> DataFrame:
     """id and s1 ... of several searches (id, score), 0 where one did not return the id: a full outer merge by one aggregation."""
     tagged = None

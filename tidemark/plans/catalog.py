@@ -14,6 +14,7 @@ from tidemark.functions.stamps import parse_stamp
 from tidemark.operators import candles as C
 from tidemark.operators import context as K
 from tidemark.operators import fingerprint as P
+from tidemark.operators import index as I
 from tidemark.operators import joins as J
 from tidemark.operators import learning as L
 from tidemark.operators import operations as Q
@@ -27,11 +28,20 @@ from tidemark.operators.outcomes import r6
 from tidemark.operators.trees import Forest
 from tidemark.operators.writes import once
 from tidemark.session import shared_dir
+from tidemark.sources import responses as W
 from tidemark.sources.files import bar_line, bar_lines
 
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
-PIP = 2.0
+#: The test assets as registered markets.
+MARKETS = (
+    ("click", "EURUSD", "FOREX", "ACTIVE", 1, 2.0, 2, "24x7"),
+    ("view", "GBPUSD", "FOREX", "ACTIVE", 2, 2.0, 2, "24x7"),
+    ("purchase", "USDJPY", "FOREX", "BETA", 3, 2.0, 2, "24x7"),
+    ("signup", "XAU", "METAL", "BETA", 4, 2.0, 2, "24x7"),
+    ("error", "eurgbp", "FOREX", "PLANNED", 5, 2.0, 2, "24x7"),
+)
+CURRENCIES = ("USD", "EUR", "GBP", "JPY")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -47,7 +57,8 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of all ticks: ticks are read once, what is built on bars reads the written table."""
-    return once(spark, sf, "bars", lambda: P.with_pip(C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id"), PIP))
+    pips = G.registry(spark, MARKETS).select(F.col("id").alias("asset"), F.col("pip_size").alias("pip"))
+    return once(spark, sf, "bars", lambda: C.bars(read(spark, sf, "events"), "event_type", "ts", "value", "event_id").join(F.broadcast(pips), "asset"))
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +66,7 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
 
     def made() -> DataFrame:
         b = bars(spark, sf)
-        return P.with_context(P.fingerprints(b, PIP), K.macro(b.select("ts").distinct(), calendar(spark, sf)), K.sentiment(b, articles(spark, sf)), snapshots(spark, sf))
+        return P.with_context(P.fingerprints(b), K.macro(b.select("ts").distinct(), calendar(spark, sf)), K.sentiment(b, articles(spark, sf)), snapshots(spark, sf))
 
     return once(spark, sf, "states", made)
 
@@ -202,7 +213,7 @@ def ten_days(spark: SparkSession, sf: str) -> DataFrame:
     ten, twenty = (F.lit(f"2024-01-{d}").cast("timestamp_ntz") for d in (11, 21))
     m = K.macro(b.select("ts").distinct(), calendar(spark, sf).where(F.col("event_date") < ten))
     s = K.sentiment(b, articles(spark, sf).where(F.col("published_at") < ten))
-    return P.with_context(P.fingerprints(b, PIP), m, s, snapshots(spark, sf).where(F.col("ts") < twenty))
+    return P.with_context(P.fingerprints(b), m, s, snapshots(spark, sf).where(F.col("ts") < twenty))
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,6 +252,18 @@ def session_stats(spark, sf):
     return P.session_statistics(regime_bars(spark, sf)).select("asset", "ts", *[f"{s}_{x}" for s in ("asia", "london", "ny") for x in ("count", "range")])
 
 
+@query
+def extended_all(spark, sf):
+    """All eight extended features of every state, two of them switched off."""
+    df = P.extended(states(spark, sf)).withColumnRenamed("sentiment_score", "sentiment_summary")
+    markets = bars(spark, sf).groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("asset", F.col("close") / 200))).alias("_m"))
+    told = F.transform(F.map_entries(G.first_markets(F.col("_m"))), lambda e: F.format_string("%s:%.6f", e["key"], e["value"]))
+    risk = K.news_risk(bars(spark, sf).select("ts").distinct(), calendar(spark, sf)).select("ts", *[c.alias(n) for n, c in Q.calendar_summary(F.col("at_risk"), F.col("hours_to_event")).items()])
+    df = df.join(markets.select("ts", F.array_join(told, ",").alias("correlated")), "ts").join(risk, "ts")
+    flags = dict.fromkeys(Q.EXTENDED, True) | {"atr_percentile": False, "sentiment_summary": False}
+    return Q.enabled(df, flags, Q.EXTENDED).select("asset", "ts", *[c for cols in Q.EXTENDED.values() for c in cols])
+
+
 @query
 def ml_features(spark, sf):
     df = P.ml_vector(P.extended(states(spark, sf)))
@@ -304,6 +327,27 @@ def match_explanation(spark, sf):
     return m.select("fingerprint_id", "match_id", "matched", "mismatched", "reason")
 
 
+@query
+def match_explanation_brief(spark, sf):
+    """Of the three best matches of the blended search, by the fixed thresholds."""
+    m = M.explained_briefly(M.batch_search(shaped(spark, sf), 3, M.TOPOLOGY_WEIGHT))
+    return m.select("fingerprint_id", "match_id", "matched", "mismatched", "reason")
+
+
+@query
+def ann_layers(spark, sf):
+    """The search within regimes through the index of layers."""
+    return I.engine_search(states(spark, sf)).select("asset", "fingerprint_id", "match_id", "rank", "score")
+
+
+@query
+def ann_recall(spark, sf):
+    """How many of the fifty best earlier states of its asset a state finds through the index, regimes together, so that groups exceed what a query reads."""
+    st = states(spark, sf)
+    found = I.search(st, ["asset"], 50, bonus=True, how=I.Index(reach=80))
+    return I.recall(found, M.batch_search(st, 50))
+
+
 @query
 def blended_score(spark, sf):
     """The topology's part in the five best matches; the first bars have no topology."""
@@ -399,22 +443,6 @@ def macro_vector(spark, sf):
     return K.macro(bars(spark, sf).select("ts").distinct(), calendar(spark, sf))
 
 
-@query
-def news_risk(spark, sf):
-    return K.news_risk(bars(spark, sf).select("ts").distinct(), calendar(spark, sf).select("name", "event_date", "impact").distinct())
-
-
-SYMBOLS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "XAU", "error": "eurgbp"}
-CURRENCIES = ("USD", "EUR", "GBP", "JPY")
-
-
-def symbol(asset):
-    out = F.lit(None).cast("string")
-    for a, s in SYMBOLS.items():
-        out = F.when(asset == a, s).otherwise(out)
-    return out
-
-
 def priced_calendar(spark: SparkSession, sf: str) -> DataFrame:
     """The calendar with a currency for four in five events."""
     c = calendar(spark, sf, F.get(F.array(*map(F.lit, CURRENCIES)), (F.col("o_orderkey") % 5).cast("int")).alias("currency"))
@@ -422,8 +450,14 @@ def priced_calendar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dealt(spark: SparkSession, sf: str) -> DataFrame:
-    """asset, ts and the asset's currencies."""
-    return bars(spark, sf).select("asset", "ts", G.currencies(F.upper(symbol(F.col("asset")))).alias("currencies"))
+    """asset, ts and the currencies of the asset as registered."""
+    own = G.registry(spark, MARKETS).select(F.col("id").alias("asset"), G.currencies(F.upper("symbol")).alias("currencies"))
+    return bars(spark, sf).select("asset", "ts").join(F.broadcast(own), "asset")
+
+
+@query
+def news_risk(spark, sf):
+    return K.news_risk(dealt(spark, sf), priced_calendar(spark, sf))
 
 
 @query
@@ -566,6 +600,16 @@ def paginate(spark, sf):
     return Q.page(read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), [F.col("c_acctbal").desc(), F.col("c_custkey")], 40, 20)
 
 
+@query
+def paginate_keyset(spark, sf):
+    """The third page again, from the last row of the second one on."""
+    c, order = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), [("c_acctbal", True), ("c_custkey", False)]
+    after = None
+    for _ in range(2):
+        after = Q.page_after(c, order, after, 20).collect()[-1].asDict()
+    return Q.page_after(c, order, after, 20)
+
+
 @query
 def tier_projection(spark, sf):
     """Customers with nation and region, as a tier may see them: balances only where they are high."""
@@ -583,6 +627,42 @@ def headlines(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.concat_ws(" ", pick, "text").alias("headline"))
 
 
+@query
+def reply_scores(spark, sf):
+    """Replies to batches of ten documents, in five shapes by turns, parsed and dealt back by position."""
+    score = ((F.col("doc_id") * 37) % 21 - 10) / 10
+    d = read(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("batch"), score.alias("s"))
+    b = d.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", "s"))).alias("_d"))
+    listed = lambda f: F.array_join(F.transform("_d", lambda x: f(x["s"]).cast("string")), ", ")
+    fence = F.lit("```")
+    shapes = [
+        F.concat(F.lit("["), listed(lambda s: s), F.lit("]")),
+        F.concat(fence, F.lit("json\n["), listed(lambda s: s), F.lit("]\n"), fence),
+        F.concat(F.lit("Scores: "), listed(lambda s: s)),
+        F.lit("I cannot score these."),
+        F.concat(F.lit("Here: ["), listed(lambda s: 3 * s), F.lit(', null, "0.5"] and [9]')),
+    ]
+    reply = F.get(F.array(*shapes), F.pmod("batch", F.lit(5)).cast("int"))
+    b = b.select(F.transform("_d", lambda x: x["doc_id"]).alias("ids"), X.scores_of_reply(reply, F.size("_d")).alias("scores"))
+    return b.select(F.explode(F.arrays_zip("ids", "scores")).alias("z")).select(F.col("z.ids").alias("doc_id"), F.col("z.scores").alias("score"))
+
+
+@query
+def candle_sources(spark, sf):
+    """Bars as answers of three providers, some of them errors or incomplete, and the first candle of each boundary."""
+    b = bars(spark, sf).withColumn("h", F.hour("ts"))
+    text = F.to_json(F.struct(F.array(F.struct(*[F.col(f).cast("string").alias(f) for f in W.FIELDS])).alias("values"), F.lit("ok").alias("status")))
+    plain = F.to_json(F.struct(F.array(F.struct(F.col("open"), F.col("high"), F.col("low"), (F.col("close") + 1).alias("close"), F.col("volume"))).alias("candles")))
+    quote = F.struct(*[F.array(F.lit(0.0), F.when(F.lit(f != "high") | (F.dayofmonth("ts") % 5 != 0), F.col(f)).cast("double")).alias(f) for f in W.FIELDS])
+    chart = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
+    body = {
+        "primary": F.when(F.col("h") < 8, text).otherwise('{"status": "error", "message": "limit"}'),
+        "fallback": F.when(F.col("h") < 16, plain).otherwise('{"candles": []}'),
+        "emergency": chart,
+    }
+    return W.fetched({p: b.select("asset", "ts", c.alias("body")) for p, c in body.items()})
+
+
 @query
 def detect_asset(spark, sf):
     return headlines(spark, sf).select("doc_id", X.asset_of(F.col("headline")).alias("asset_id"))
@@ -657,6 +737,14 @@ def topology_levels(spark, sf):
     return t.select("asset", "ts", F.inline("levels"))
 
 
+@query
+def level_strengths(spark, sf):
+    """The five greatest strengths of each bar's levels."""
+    t = T.topology(bars(spark, sf))
+    top = F.slice(F.sort_array(F.transform("levels", lambda x: x["strength"]), asc=False), 1, 5)
+    return t.select("asset", "ts", F.array_join(F.transform(top, lambda x: F.format_string("%.6f", x)), ",").alias("strengths"))
+
+
 @query
 def topology_vector(spark, sf):
     t = T.topology(bars(spark, sf), include_current=False)
@@ -689,6 +777,14 @@ def isotonic_calibrate(spark, sf):
     return L.calibrated(p.where("part = 'test'"), L.calibrators(p.where("part = 'calibrate'"), "target")).select("fingerprint_id", *[r6(F.col(f"cal_{n}")).alias(f"cal_{n}") for n in L.CLASSES])
 
 
+@query
+def ensemble_model(spark, sf):
+    """Every state's forecast from its most similar earlier states, blended with the stored model's probabilities."""
+    f = flagship(spark, sf).select("asset", "fingerprint_id", "up", "down", "flat")
+    p = _ml_predictions(spark, sf).select("fingerprint_id", "ml_up", "ml_down", "ml_flat")
+    return S.ensemble(f.join(p, "fingerprint_id", "left"), "ml_up", "ml_down", "ml_flat").select("asset", "fingerprint_id", "up", "ens_up", "ens_down", "ens_flat")
+
+
 @query
 def shap_approx(spark, sf):
     df, model = _ml(spark, sf)
@@ -704,8 +800,10 @@ def tree_shap(spark, sf):
 
 @query
 def registry(spark, sf):
-    a = G.processable(G.registry(spark))
-    return a.select("id", "symbol", "priority", "pip_size", F.array_join(G.currencies(F.col("symbol")), "/").alias("pair"), F.concat("symbol", F.lit("=X")).alias("chart_symbol"))
+    """Markets that are processed, with the bars that they have."""
+    n = bars(spark, sf).groupBy(F.col("asset").alias("id")).agg(F.count(F.lit(1)).alias("bars"))
+    a = G.processable(G.registry(spark, MARKETS)).join(n, "id", "left")
+    return a.select("id", "symbol", "priority", "pip_size", F.array_join(G.currencies(F.upper("symbol")), "/").alias("pair"), F.concat("symbol", F.lit("=X")).alias("chart_symbol"), "bars")
 
 
 def versions(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,9 +17,10 @@ from tidemark.operators import scoring as S
 from tidemark.operators import serving as G
 from tidemark.operators import similarity as M
 from tidemark.operators.outcomes import r6
+from tidemark.operators.tracing import Trace
 
 from . import oracle as A
-from .catalog import Query, articles, bars, calendar, dealt, evaluations, labelled, priced_calendar, read, regime_bars, regime_forecasts, rekeyed, shaped, states, symbol
+from .catalog import MARKETS, Query, articles, bars, calendar, dealt, evaluations, labelled, priced_calendar, read, regime_bars, regime_forecasts, rekeyed, shaped, states
 
 QUERIES: dict[str, Query] = {}
 
@@ -33,7 +34,7 @@ def query(f: Query) -> Query:
 
 @query
 def currency_derivation(spark, sf):
-    a = bars(spark, sf).select("asset").distinct().withColumn("symbol", symbol(F.col("asset")))
+    a = bars(spark, sf).select("asset").distinct().join(F.broadcast(G.registry(spark, MARKETS).select(F.col("id").alias("asset"), "symbol")), "asset")
     text = lambda c: F.array_join(c, ",")
     return a.select("asset", "symbol", text(G.currencies(F.col("symbol"))).alias("codes"), text(G.api_currencies(F.col("symbol"))).alias("api_codes"), F.concat(F.lower("symbol"), F.lit("=x")).alias("chart"), F.regexp_replace("symbol", "^(.{3})(.{3})$", "$1/$2").alias("slashed"))
 
@@ -204,21 +205,32 @@ def forecast_pipeline(spark, sf):
     return pipeline(spark, sf).select("asset", "fingerprint_id", "sample_size", "up", "down", "flat", "expected_move_pips", "direction", "confidence_v2", "tradeability_score", "label")
 
 
-def pipeline(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    m = M.batch_search(shaped(spark, sf), k, M.TOPOLOGY_WEIGHT)
+@query
+def forecast_trace(spark, sf):
+    """Rows and hashes of the stages that lead to tradeability."""
+    trace = Trace(spark)
+    pipeline(spark, sf, trace=trace)
+    return trace.table().select("position", "stage", "rows", "digest")
+
+
+def pipeline(spark: SparkSession, sf: str, k: int = 20, trace: Trace | None = None) -> DataFrame:
+    """The forecasts with all that they are made of. With a trace, each stage is written and recorded."""
+    stage = trace.stage if trace else lambda name, make: make()
+    m = stage("similarity", lambda: M.batch_search(shaped(spark, sf), k, M.TOPOLOGY_WEIGHT))
     out = labelled(spark, sf).select(F.col("fingerprint_id").alias("match_id"), "net_return_pips")
     own = O.dynamic_flat(regime_bars(spark, sf)).select("fingerprint_id", "ts", "trend_regime", r6(F.col("flat_threshold")).alias("flat_threshold"))
-    known = m.join(out, "match_id").join(own, "fingerprint_id").withColumn("copies", O.regime_copies(F.col("vol_regime"), F.col("session"), F.col("match_vol_regime"), F.col("match_session")))
-    d = S.forecast(O.distribution(known, ["asset", "fingerprint_id", "ts", "vol_regime", "trend_regime", "session"], "net_return_pips", flat=F.col("flat_threshold"), weight="copies"))
+    copies = O.regime_copies(F.col("vol_regime"), F.col("session"), F.col("match_vol_regime"), F.col("match_session"))
+    known = stage("outcomes", lambda: m.join(out, "match_id").join(own, "fingerprint_id").withColumn("copies", copies))
+    d = stage("forecast", lambda: S.forecast(O.distribution(known, ["asset", "fingerprint_id", "ts", "vol_regime", "trend_regime", "session"], "net_return_pips", flat=F.col("flat_threshold"), weight="copies")))
     n = known.groupBy("fingerprint_id").agg(F.count(F.lit(1)).alias("matches"))
-    e = evaluations(spark, sf)
+    e = stage("evaluations", lambda: evaluations(spark, sf))
     rate = lambda key, least: e.groupBy(key).agg(r6(F.avg("direction_accuracy")).alias(f"{key}_rate"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
     d = d.withColumns({"bucket": S.bucket(F.col("max_probability")), "regime": F.concat_ws("_", "vol_regime", "trend_regime")})
     d = d.join(rate("bucket", 1), "bucket", "left").join(rate("regime", 30), "regime", "left").join(n, "fingerprint_id").withColumn("sample_size", F.col("matches"))
     d = S.confidence_v2(d, F.col("bucket_rate"), F.col("regime_rate"), F.col("sample_size") / 30)
-    risk = K.news_risk(bars(spark, sf).select("ts").distinct(), calendar(spark, sf).select("name", "event_date", "impact").distinct()).select("ts", "at_risk")
-    d = d.join(risk, "ts").withColumns({"spread": S.session_default(F.col("session"), 0), "liquidity": S.session_default(F.col("session"), 1)})
-    return S.tradeability(d, "confidence_v2", "spread", "session", "liquidity", "at_risk")
+    risk = stage("news_risk", lambda: K.news_risk(dealt(spark, sf), priced_calendar(spark, sf)).select("asset", "ts", "at_risk"))
+    d = d.join(risk, ["asset", "ts"]).withColumns({"spread": S.session_default(F.col("session"), 0), "liquidity": S.session_default(F.col("session"), 1)})
+    return stage("tradeability", lambda: S.tradeability(d, "confidence_v2", "spread", "session", "liquidity", "at_risk"))
 
 
 _SYMBOL, _CODES, _CUR = A.SYMBOL, A.CODES, A.PCAL
@@ -252,8 +264,8 @@ fl as (select fingerprint_id, ts, trend_regime, {A.r6('case when count(*) over w
 kn as (select rk.asset, rk.fingerprint_id, fl.ts, rk.vol_regime, fl.trend_regime, rk.session, o.net_return_pips, flat, case when match_vol_regime = rk.vol_regime and match_session = rk.session then 15 when match_vol_regime = rk.vol_regime then 12 else 7 end as copies from rk join o on o.fingerprint_id = rk.match_id join fl on fl.fingerprint_id = rk.fingerprint_id),
 {A.distribution('kn', 'asset, fingerprint_id, ts, vol_regime, trend_regime, session', 'copies', 'flat').replace('dist', 'pdist')}, {A.forecast('pdist', 'pf')},
 n as (select fingerprint_id, count(*) as matches from kn group by 1), br as (select bucket, {A.r6('avg(direction_accuracy)')} as b from ev group by 1), rr as (select regime, {A.r6('avg(direction_accuracy)')} as r from ev group by 1 having count(*) >= 30),
-ns as (select distinct t.ts from times t join cal on impact = 'high' and event_date > t.ts and event_date <= t.ts + interval '8 hours'),
-f as (select pf.*, matches, {A.r6('greatest(0, least(1, coalesce(b, 5e-1) * coalesce(r, 1e0) * case when matches >= 30 then 1e0 else matches / 30 end))')} as conf, ns.ts is not null as news from pf join n using (fingerprint_id) left join br on br.bucket = {A.BUCKET.replace('confidence', 'max_probability')} left join rr on rr.regime = vol_regime || '_' || trend_regime left join ns on ns.ts = pf.ts),
+{_CUR}, b0 as (select asset, ts, {_CODES} as codes from c), ns as (select distinct asset, ts from b0 join pcal on impact = 'high' and event_date > ts and event_date <= ts + interval '8 hours' and list_contains(codes, currency)),
+f as (select pf.*, matches, {A.r6('greatest(0, least(1, coalesce(b, 5e-1) * coalesce(r, 1e0) * case when matches >= 30 then 1e0 else matches / 30 end))')} as conf, ns.ts is not null as news from pf join n using (fingerprint_id) left join br on br.bucket = {A.BUCKET.replace('confidence', 'max_probability')} left join rr on rr.regime = vol_regime || '_' || trend_regime left join ns on ns.ts = pf.ts and ns.asset = pf.asset),
 t as (select *, {A.r6("conf * case session when 'LONDON' then 1e0 when 'NY' then 8e-1 else 5e-1 end * case when news then 0e0 else 1e0 end", 2)} as score from f)
 select asset, fingerprint_id, matches as sample_size, up, down, flat, expected_move_pips, direction, conf as confidence_v2, score as tradeability_score, case when score > 0.75 then 'GO' when score >= 0.45 then 'CONDITIONAL' else 'NO_GO' end as label from t""",
 }

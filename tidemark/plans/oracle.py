@@ -25,7 +25,7 @@ def cols(name: str, parts: list[str]) -> str:
 
 
 def norm(x: str, low: str, width: str) -> str:
-    return f"coalesce({unit(f'({x} - {low}) / {width}')}, 5e-1)"
+    return f"(case when {x} is null then 5e-1 else {unit(f'({x} - {low}) / {width}')} end)"
 
 
 # Components of the layers over the columns of geo: net and range in rounded pips, and the bar's shape.
@@ -127,7 +127,7 @@ def macro_cte(cal: str = "cal") -> str:
     return f"""mj as (select t.ts, k.*, case impact when 'high' then 3e0 when 'medium' then 2e0 else 1e0 end as w, (epoch(event_date) - epoch(t.ts)) / 3600.0::double as ahead, case when estimate = 0 then actual - estimate else (actual - estimate) / abs(estimate) end as d from times t join {cal} k on event_date between t.ts - interval '72 hours' and t.ts + interval '24 hours'),
 ms as (select ts, count(*) as n, min(case when impact = 'high' and ahead > 0 then ahead end) as nxt, sum(case when actual is not null and estimate is not null then (greatest(-1e0, least(1e0, d)) + 1) / 2 * w end) as sw, sum(case when actual is not null and estimate is not null then w end) as w,
   max(case when is_rate and actual is not null then {{'t': event_date, 'd': greatest(-1e0, least(1e0, actual - previous))}} end).d as rate, sum((impact = 'high')::int) as nh, sum((impact = 'medium')::int) as nm, sum(case when ahead > 0 then w else 0 end) as soon from mj group by ts),
-mp as (select ts, n, coalesce(greatest(0e0, least(1e0, 1 - nxt / 24)), 0e0) as event_proximity_pressure, coalesce(sw / w, 5e-1) as aggregate_surprise_factor, coalesce((rate + 1) / 2, 5e-1) as rate_differential, least(1e0, nh / 5) as high_impact_event_count, least(1e0, nm / 10) as medium_impact_event_count, least(1e0, n / 20) as event_density, least(1e0, soon / 15) as upcoming_event_intensity from times left join ms using (ts)),
+mp as (select ts, n, case when nxt is null then 0e0 else greatest(0e0, least(1e0, 1 - nxt / 24)) end as event_proximity_pressure, coalesce(sw / w, 5e-1) as aggregate_surprise_factor, coalesce((rate + 1) / 2, 5e-1) as rate_differential, least(1e0, nh / 5) as high_impact_event_count, least(1e0, nm / 10) as medium_impact_event_count, least(1e0, n / 20) as event_density, least(1e0, soon / 15) as upcoming_event_intensity from times left join ms using (ts)),
 mq as (select *, {' + '.join(f'{w}::double * {k}' for k, w in _MACRO_PARTS.items())} as composite_macro_state from mp),
 mac as (select ts, coalesce(n, 0) as events, {', '.join(f'case when n is null then 5e-1 else {r6(k)} end as {k}' for k in [*_MACRO_PARTS, 'composite_macro_state'])} from mq)"""
 
@@ -331,7 +331,7 @@ ORACLE_SQL: dict[str, str] = {
     "l2_volatility": f"with {REG} select asset, ts, {cols('l2', [*map(part, L2)])} from geo",
     "l3_liquidity": f"with {REG} select asset, ts, {cols('l3', L3)} from geo",
     "l4_macro_snapshot": f"with {BARS}, {SNAPS} select ts, {cols('l4', [*map(part, L4)])} from snaps",
-    "l5_sentiment_snapshot": f"with {BARS}, {SNAPS}, sn as (select * replace (case when day(ts) % 7 != 0 then vix end as vix) from snaps), n as (select ts, {', '.join(f'coalesce(greatest(0e0, least(1e0, ({x} - {lo}) / {w})), 5e-1) as {x}' for x, lo, w in (('vix', '10e0', '30e0'), ('gold', '1500e0', '1000e0'), ('dxy', '90e0', '20e0'), ('spx', '3000e0', '2500e0'), ('us10y', '1e0', '4e0')))} from sn) select ts, {r6('vix')} as l5_0, {r6('(vix + gold) / 2')} as l5_1, {r6('dxy')} as l5_2, {r6('spx')} as l5_3, {r6('us10y')} as l5_4, {r6('(vix + (vix + gold) / 2 + dxy + spx + us10y) / 5')} as l5_5 from n",
+    "l5_sentiment_snapshot": f"with {BARS}, {SNAPS}, sn as (select * replace (case when day(ts) % 7 != 0 then vix end as vix) from snaps), n as (select ts, {', '.join(f'case when {x} is null then 5e-1 else greatest(0e0, least(1e0, ({x} - {lo}) / {w})) end as {x}' for x, lo, w in (('vix', '10e0', '30e0'), ('gold', '1500e0', '1000e0'), ('dxy', '90e0', '20e0'), ('spx', '3000e0', '2500e0'), ('us10y', '1e0', '4e0')))} from sn) select ts, {r6('vix')} as l5_0, {r6('(vix + gold) / 2')} as l5_1, {r6('dxy')} as l5_2, {r6('spx')} as l5_3, {r6('us10y')} as l5_4, {r6('(vix + (vix + gold) / 2 + dxy + spx + us10y) / 5')} as l5_5 from n",
     "state_layers": f"with {TEN} select asset, ts, macro_source, sentiment_source, {', '.join(f'l4[{i + 1}] as l4_{i}' for i in range(8))}, {', '.join(f'l5[{i + 1}] as l5_{i}' for i in range(6))} from v",
     "forward_outcomes": f"with {FWD} select asset, ts, next_ts, net_return_pips, mfe_pips, mae_pips, realised_volatility from o",
     "rolling_trend": f"with {EXT} select asset, ts, rolling_trend from e",
@@ -350,6 +350,14 @@ ORACLE_SQL: dict[str, str] = {
     "similarity_engine": f"with {ENGINE}, {ranked('sc', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
     "blended_score": f"with recursive {BATCH}, {ranked('b4', 5)} select fingerprint_id, match_id, topology_score, score as blended from rk",
     "match_explanation": f"with {ENGINE}, {ranked('sc', 3)}, p as (select *, [{', '.join(f'''{{'name': '{n}', 's': {r6(f's{i}')}, 'c': {r6(f'{r6(f's{i}')} * w{i}', 9)}, 'o': {-i}}}''' for i, n in enumerate(LAYERS, 1))}] as p from rk) select fingerprint_id, match_id, array_to_string(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: z.name), ',') as matched, array_to_string(list_transform(list_filter(p, lambda z: z.s < 0.95::double), lambda z: z.name), ',') as mismatched, coalesce(list_sort(list_transform(list_filter(p, lambda z: z.s >= 0.95::double), lambda z: {{'c': z.c, 'o': z.o, 'name': z.name}}), 'desc')[1].name, 'none') as reason from p",
+    "match_explanation_brief": f"with recursive {BATCH}, {ranked('b4', 3)} select fingerprint_id, match_id, array_to_string(list_filter([{', '.join(f"case when {r6(f's{i}')} > 0.8::double then '{n}' end" for i, n in ((1, 'structure'), (2, 'volatility'), (3, 'liquidity')))}], lambda z: z is not null), ',') as matched, array_to_string(list_filter([{', '.join(f"case when {r6(f's{i}')} < 0.5::double then '{n}' end" for i, n in ((4, 'macro'), (5, 'sentiment')))}], lambda z: z is not null), ',') as mismatched, 'weighted_vector_similarity' as reason from rk",
+    "ann_layers": f"with {ENGINE}, {ranked('sc', 50)} select asset, fingerprint_id, match_id, rank, score from rk",
+    "extended_all": f"""with {EXT}, mk as (select ts, string_agg(asset || ':' || printf('%.6f', greatest(0, least(1, close / 200))), ',' order by asset) as correlated from c group by ts), ah as (select t.ts, min((epoch(event_date) - epoch(t.ts)) / 3600.0::double) as h from times t join cal on impact = 'high' and event_date > t.ts and event_date <= t.ts + interval '8 hours' group by t.ts)
+select e.asset, e.ts, rolling_trend, null::double as atr_percentile, vol_regime_score, asia_count, london_count, ny_count, asia_range, london_range, ny_range, correlated, h is not null as high_impact_event, {r6('greatest(0e0, coalesce(h, 24e0))')} as hours_to_next_event, macro_state, null::double as sentiment_summary from e join mk using (ts) left join ah using (ts)""",
+    "paginate_keyset": "select c_custkey, c_name, c_acctbal from customer order by c_acctbal desc, c_custkey limit 20 offset 40",
+    "reply_scores": "with d as (select doc_id, (doc_id // 10) % 5 as shape, (((doc_id * 37) % 21 - 10) / 10)::double as s from documents) select doc_id, case when shape in (0, 1, 2) then s when shape = 3 then 0e0 else greatest(-1e0, least(1e0, 3 * s)) end as score from d",
+    "candle_sources": f"with {BARS}, s as (select *, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 1 when day(ts) % 5 != 0 then 2 end as source_rank, ((hour(ts) < 8)::int + (hour(ts) < 16)::int + (day(ts) % 5 != 0)::int)::bigint as sources from c) select asset, ts, open, high, low, case when source_rank = 1 then close + 1 else close end as close, volume::double as volume, source_rank, sources from s where source_rank is not null",
+    "level_strengths": f"with recursive {BARS}, {topology_cte(True)} select asset, ts, array_to_string(list_transform(list_sort(list(strength), 'desc')[1:5], lambda z: printf('%.6f', z)), ',') as strengths from tl group by asset, ts",
     "layer_merge": f"with {FWD}, s as (select fingerprint_id as id, abs(net_return_pips) as score, vol_regime = 'HIGH' as a, trend_regime = 'BULLISH' as b, session = 'NY' as d from o) select id, case when a then score else 0 end as s1, case when b then score else 0 end as s2, case when d then score else 0 end as s3 from s where a or b or d",
     "forecast_normalise": f"with {FWD}, {distribution('o', 'asset, vol_regime, session')}, {forecast('dist', 'fc')} select asset, vol_regime, session, up, down, flat, expected_move_pips, direction from fc",
     "tradeability": f"with {RF}, t as (select *, case when sample_size > 5 then confidence end as conf, case session when 'NY' then 1.0 when 'LONDON' then 1.2 else 1.5 end as spread, case session when 'ASIA' then 0.7 else 0.85 end as liquidity, hour(ts) = 12 as news from rf), u as (select asset, ts, case when conf is null then 0e0 else {r6('greatest(0, least(1, conf)) * (case when spread <= 2 then 1e0 else 7e-1 end) * (case session when ' + chr(39) + 'LONDON' + chr(39) + ' then 1e0 when ' + chr(39) + 'NY' + chr(39) + ' then 8e-1 else 5e-1 end) * 1e0 * (case when news then 0e0 else 1e0 end)', 2)} end as tradeability_score, case when conf is null then 'conf' else '' end as unavailable from t) select *, case when tradeability_score > 0.75 then 'GO' when tradeability_score >= 0.45 then 'CONDITIONAL' else 'NO_GO' end as label from u",
@@ -361,7 +369,7 @@ n as (select *, case when mu is null then up else {r6('u / (u + d + f)', 2)} end
 select asset, vol_regime, ens_up, ens_down, case when mu is null then flat else {r6('1 - ens_up - ens_down', 2)} end as ens_flat from n""",
     "sentiment_vector": f"with {BARS}, {TIMES}, {NEWS}, {sentiment_cte()} select * from sen",
     "macro_vector": f"with {BARS}, {TIMES}, {CAL}, {macro_cte()} select * from mac",
-    "news_risk": f"with {BARS}, {TIMES}, {CAL}, h as (select distinct name, event_date from cal where impact = 'high'), s as (select t.ts, min((epoch(event_date) - epoch(t.ts)) / 3600.0::double) as hours_to_event, string_agg(name, ',' order by event_date, name) as names from times t join h on event_date > t.ts and event_date <= t.ts + interval '8 hours' group by t.ts) select ts, hours_to_event, coalesce(names, '') as names, hours_to_event is not null as at_risk from times left join s using (ts)",
+    "news_risk": f"with {BARS}, {CAL}, {PCAL}, b as (select asset, ts, {CODES} as codes from c), h as (select distinct asset, ts, name, event_date from b join pcal on impact = 'high' and list_contains(codes, currency) and event_date > ts and event_date <= ts + interval '8 hours'), s as (select asset, ts, min((epoch(event_date) - epoch(ts)) / 3600.0::double) as hours_to_event, string_agg(name, ',' order by event_date, name) as names from h group by asset, ts) select asset, ts, hours_to_event, coalesce(names, '') as names, hours_to_event is not null as at_risk from b left join s using (asset, ts)",
     "event_context": f"""with {FWD}, {CAL}, {PCAL}, b as (select asset, ts, {CODES} as codes from c),
 up as (select asset, ts, min({{'d': event_date, 'n': name}}).n as name from b join pcal on event_date >= ts and event_date <= ts + interval '8 hours' and impact = 'high' and list_contains(codes, currency) group by asset, ts),
 inst as (select distinct name, event_date from cal),
@@ -410,7 +418,7 @@ select fingerprint_id, stage, coalesce(score, 0) as contribution_score, case whe
     "sparkline": f"with {BARS}, l as (select asset, ts, close from c qualify row_number() over (partition by asset order by ts desc) <= 24) select asset, count(*)::int as n, array_to_string(list(printf('%.2f', close) order by ts), ',') as closes from l group by asset",
     "topology_levels": f"with recursive {BARS}, {topology_cte(True)} select asset, ts, price, kind, touches, rejections, breakouts, strength, age, distance_pips, importance from tl",
     "topology_vector": f"with recursive {BARS}, {TOPO} select asset, ts, {', '.join(f't[{i + 1}] as t{i}' for i in range(40))} from tv",
-    "registry": "select * from (values ('eurusd', 'EURUSD', 1, 0.0001::double, 'EUR/USD', 'EURUSD=X'), ('gbpusd', 'GBPUSD', 2, 0.0001::double, 'GBP/USD', 'GBPUSD=X')) t(id, symbol, priority, pip_size, pair, chart_symbol)",
+    "registry": f"with {BARS}, m as (select * from (values ('click', 'EURUSD', 1, 'EUR/USD'), ('view', 'GBPUSD', 2, 'GBP/USD'), ('purchase', 'USDJPY', 3, 'USD/JPY'), ('signup', 'XAU', 4, 'XAU')) t(id, symbol, priority, pair)), n as (select asset, count(*) as bars from c group by 1) select id, symbol, priority::int as priority, 2.0::double as pip_size, pair, symbol || '=X' as chart_symbol, bars from m left join n on asset = id",
     "version_bump": "with v as (select n_name as engine, '1.' || i as version, timestamp '2024-01-01' + to_days(i::int) as created_at from nation, range(1, 4) t(i) union all select n_name, '2.0', timestamp '2024-02-01' from nation where n_nationkey % 2 = 0) select *, created_at = max(created_at) over (partition by engine) as is_active from v",
     "config_snapshot": "select n_name as engine, '1.3' as version from nation",
     "integrity_report": f"with {BARS} select asset, case when count_if(volume % 10 = 0) > 0 then 'partial' else 'complete' end as status, count(*) as bars, count_if(high - low > 120)::bigint as wide, count_if(volume % 10 = 0)::bigint as errors from c group by asset",
