@@ -170,3 +170,20 @@ def test_quality_falls_with_repeats_and_junk(spark):
 
 def test_shard_empty(spark):
     assert R.sharded(docs(spark, [])).count() == 0
+
+
+def test_cells_are_even_whatever_the_weights(spark):
+    """A third of the rows of weight 0.05, and texts without spaces: no cell holds more than some times its part."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("$$$$ &&&& %%%%")).when(F.col("id") % 3 == 1, F.lit("plain words go here")).otherwise(F.lit("漢字かな交じり文" * 5)).alias("text"), F.when(F.col("id") % 5 == 0, F.lit("small")).otherwise(F.lit("hot")).alias("source"))
+    mix = M.Mix()
+    rows = M.keyed(df, mix).drop("_row")
+    w = {r.w for r in df.select(M.quality().alias("w")).distinct().collect()}
+    assert min(w) == pytest.approx(0.05) and max(w) == 1.0
+    cells = M.celled(rows).groupBy("_src", "_cell").count().groupBy("_src").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("cells")).collect()
+    assert all(r.most <= 4 * r["all"] / r.cells for r in cells) and all(r.cells > 100 for r in cells)
+    at = M.celled(rows).select("_src", "_cell", "_key").collect()
+    for src in {r._src for r in at}:
+        order = [r._cell for r in sorted((r for r in at if r._src == src), key=lambda r: r._key)]
+        assert order == sorted(order)

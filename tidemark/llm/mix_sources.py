@@ -8,11 +8,14 @@ words that still fit (rows equal to it in all columns share them evenly).
 
 No source is sorted as a whole: keys are dealt into cells, cell sums give the cell where
 the budget ends, and only the rows of that cell are sorted. What is left is a row for
-each source, and every document is decided by itself, from its key.
+each source, and every document is decided by itself, from its key. Cells are cut on the
+distribution that a source's keys have, a mixture of exponential ones by its counted weights,
+so they hold about as many rows each, whatever the weights are.
 
 The quality weight is made of text statistics: the share of characters that mark
 boiler-plate, how far the mean length of words is from usual, and the share of lines that
-repeat others.
+repeat others. The length of words tells nothing where scripts have no spaces (two and a
+half bytes a character or more), so it counts as usual there.
 
 Targets are computed over one row a source, in one task. Null sources are one source, in
 last place. Null and empty texts have size 0 and take nothing; null ids draw by a checksum
@@ -29,10 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import cells, cut, small, unit_hash, words
 
+#: Weights are counted in classes, so many for a factor of e: about three times as many in all, as the least weight is 0.05.
+CLASSES = 20
+
 #: Characters that mark boiler-plate and garbage; their share lowers a document's weight.
 JUNK = "#$%&*!|"
 
 
+#: Sources whose mixtures are broadcast: a kilobyte each.
+MOST_SHARES = 20_000
+
+
 @dataclass(frozen=True)
 class Mix:
     """weights: of the sources by name, repeating; share: of all words; cap: of a source's words; seed: of the draw."""
@@ -44,7 +54,7 @@ class Mix:
 
 
 def quality(text=None):
-    """Weight in [0.05, 1]: falls with the share of JUNK characters, with the distance of the characters a word (less one, for the space) from 4 to 8, and with repeated lines. 1 without a word."""
+    """Weight in [0.05, 1]: falls with the share of JUNK characters, with the distance of the characters a word (less one, for the space) from 4 to 8 where words have spaces between them, and with repeated lines. 1 without a word."""
     text = F.col("text") if text is None else text
     length, count = F.length(text), words(text)
     junk = length - F.length(F.translate(text, JUNK, ""))
@@ -53,6 +63,7 @@ def quality(text=None):
     fine = 1 - F.least(F.lit(1.0), 4.0 * junk / F.nullif(length, F.lit(0)))
     usual = 1 - F.least(F.lit(1.0), F.greatest(4.0 - mean, mean - 8.0, F.lit(0.0)) / 8.0)
     fresh = F.size(F.array_distinct(F.split(text, "\n"))) / lines
+    usual = F.when(F.octet_length(text) >= 2.5 * length, 1.0).otherwise(usual)
     return F.when(count > 0, 0.05 + 0.95 * (fine * usual * fresh)).otherwise(1.0)
 
 
@@ -66,6 +77,7 @@ def keyed(docs: DataFrame, mix: Mix) -> DataFrame:
         F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("_src"),
         words(F.col("text")).alias("size"),
         (-F.log(u) / quality()).alias("_key"),
+        F.floor(F.log(quality()) * CLASSES).cast("int").alias("_class"),
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("_sum"),
     )
@@ -84,10 +96,20 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return t.select("_src", "source_size", F.least("_cap", F.max("_level").over(whole) * F.col("_w")).alias("target"))
 
 
+def celled(rows: DataFrame) -> DataFrame:
+    """rows with ``_cell``: rising with the key within a source, about equally full."""
+    classes = cut(rows.groupBy("_src", "_class").agg(F.count(F.lit(1)).alias("_n")))
+    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    shares = classes.groupBy("_src").agg(F.array_sort(F.collect_list(F.struct((F.exp((F.col("_class") + 0.5) / CLASSES)).alias("w"), F.col("_n").cast("double").alias("n")))).alias("_mix"), F.sum("_n").alias("_all"))
+    n = cells(total)
+    rows = rows.join(small(shares, shares.count(), MOST_SHARES), "_src")
+    under = F.aggregate("_mix", F.lit(0.0), lambda s, x: s + x["n"] * (1 - F.exp(-x["w"] * F.col("_key"))))
+    return rows.withColumn("_cell", F.least(F.floor(under / F.col("_all") * n), F.lit(n - 1)).cast("int")).drop("_mix", "_all", "_class")
+
+
 def plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     """A row for each source: its target, epochs and the key at which its last epoch ends; and the number of sources."""
-    n = cells(rows.count())
-    rows = rows.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_key"))) * n), F.lit(n - 1)).cast("int"))
+    rows = celled(rows)
     sums = cut(rows.groupBy("_src", "_cell").agg(F.sum("size").alias("_words")))
     t = targets(sums.groupBy("_src").agg(F.sum("_words").alias("source_size")), mix)
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
@@ -139,7 +161,7 @@ d as (
   select doc_id, source, size,
     -ln(u) / case when size > 0 then 0.05::double + 0.95::double * (
       (1 - least(1.0::double, 4.0::double * junk / nullif(chars, 0)))
-      * (1 - least(1.0::double, greatest(4.0::double - mean, mean - 8.0::double, 0.0::double) / 8.0::double))
+      * case when strlen(text) >= 2.5::double * chars then 1.0::double else 1 - least(1.0::double, greatest(4.0::double - mean, mean - 8.0::double, 0.0::double) / 8.0::double) end
       * (len(list_distinct(lines))::double / len(lines))) else 1.0::double end as key
   from q),
 s as (
