@@ -17,10 +17,12 @@ the threshold of the kind is the lowest one with ``precision``; a kind without o
 nothing. Of overlapping chosen candidates that with the higher calibrated probability
 stays, and none may touch a base span.
 
-Training takes candidates of about ``Boost.texts`` distinct texts at most, by a hash of the
-text: the one bound; and always those of ``Boost.made`` generated texts, half of them held out,
-with personal data of every kind and numbers that are none. So what is found does not hang on
-the size of the table, nor on a kind's being in it. Every row is searched on its whole text; time grows with its length.
+Training, calibration and thresholds count the candidates of every distinct text, whole, and
+those of ``Boost.made`` generated texts, half of them held out, with personal data of every kind
+and numbers that are none. Equal candidates are one row with its count; generated ones count
+several times where the table has more, so that both weigh about the same. So what is found does
+not hang on the size of the table, nor on a kind's being in it. Every row is searched on its
+whole text; time grows with its length.
 Null and empty texts have no spans. Repeated rows get equal results, null ids stay null.
 An empty table gives an empty result. Other columns are kept by ``redacted``.
 """
@@ -32,6 +34,7 @@ import math
 import random
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +52,6 @@ EMAIL, IP, CARD, PHONE, SECRET = range(5)
 
 @dataclass(frozen=True)
 class Boost:
-    texts: int = 20_000
     rounds: int = 20
     depth: int = 5
     precision: float = 0.98
@@ -298,17 +300,18 @@ def generated(n: int, seed: int = 20) -> list[str]:
     return out
 
 
-def examples(t: str) -> list[tuple[list[float], int, int]]:
+def examples(t: str) -> Iterator[tuple[list[float], int, int]]:
     """Features, label and kind of the candidates to learn from."""
     base = base_spans(t)
     covered = Cover(base)
-    out, sources = [], [(s, s, kind, e) for s, kind, e in base]
+    sources = [(s, s, kind, e) for s, kind, e in base]
     for c in candidates(t):
         if not covered.touches(c):
             seen = described(t, *c)
-            out.append((seen, weak_label(t, *c, seen), c[1]))
+            label = weak_label(t, *c, seen)
+            yield seen, label, c[1]
             name = _NAME_BEFORE.search(t[max(0, c[0] - 24) : c[0]])
-            if c[1] == SECRET and out[-1][1] and name:
+            if c[1] == SECRET and label and name:
                 sources.append((c[0] - len(name[0]), *c))
     for before, s, kind, e in sources:
         near = t[max(0, before - 64) : before]
@@ -316,8 +319,9 @@ def examples(t: str) -> list[tuple[list[float], int, int]]:
         span, local = (len(near), kind, len(near) + len(new)), near + new + t[e : e + 64]
         here = Cover([span])
         if not Cover(base_spans(local)).touches(span):
-            out += [(described(local, *c), int(c == span), c[1]) for c in candidates(local) if here.touches(c)]
-    return out
+            for c in candidates(local):
+                if here.touches(c):
+                    yield described(local, *c), int(c == span), c[1]
 
 
 class Trees:
@@ -387,40 +391,64 @@ def isotonic(n: np.ndarray, hits: np.ndarray) -> list[float]:
     return out.tolist()
 
 
+#: Examples in a batch, as a text may hold any number.
+BATCH = 4096
+
+
 def _train(batches):
+    names, types = ["key", "place", "x", "label", "kind", "half", "made"], [pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names)
+
+    out = []
     for b in batches:
-        out = []
         for t, half in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True):
             if not t or not _ANY.search(t):
                 continue
-            out += [(*x, half) for x in examples(t)]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["x", "label", "kind", "half"])
+            key, made = hashlib.md5(t.encode()).digest(), half is not None
+            for place, x in enumerate(examples(t)):
+                out.append((key, place, *x, half if made else key[0] & 1, made))
+                if len(out) == BATCH:
+                    yield batch(out)
+                    out = []
+    yield batch(out)
 
 
 def _held(trees: Trees):
     def run(batches):
         for b in batches:
             x = np.array(b.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("label"), pa.array(steps(trees.probability(x)))], ["kind", "label", "step"])
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("label"), b.column("weight"), pa.array(steps(trees.probability(x)))], ["kind", "label", "weight", "step"])
 
     return run
 
 
-def fitted(docs: DataFrame, boost: Boost) -> Judge:
-    """Trees from one half of the sampled texts, calibration and thresholds from counts over the other half."""
-    rows = docs.where("text is not null").select("text")
-    n = max(rows.count(), 1)
-    h = F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30))
-    some = rows.where(h < int((1 << 30) * min(1.0, boost.texts / n))).groupBy(F.md5("text").alias("_k")).agg(F.first("text").alias("text"))
-    some = some.select("text", F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int").alias("half"))
+def learned(docs: DataFrame, boost: Boost) -> DataFrame:
+    """The examples of all distinct texts and of the generated ones (made): features, label, kind, half and how many are like that."""
+    rows = docs.where("text is not null").select("text", F.lit(None).cast("int").alias("half"))
     made = docs.sparkSession.createDataFrame([(t, i // 7 % 2) for i, t in enumerate(generated(boost.made))], "text string, half int")
-    seen = written(some.unionByName(made).mapInArrow(_train, "x array<double>, label int, kind int, half int"), "pii-train")
-    learn = seen.where("half = 0").select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    trees = Trees(GBTClassifier(maxIter=boost.rounds, maxDepth=boost.depth, seed=7).fit(learn))
-    counted = seen.where("half = 1").select("x", "label", "kind").mapInArrow(_held(trees), "kind int, label int, step long")
+    each = rows.unionByName(made).mapInArrow(_train, "key binary, place int, x array<double>, label int, kind int, half int, made boolean").distinct()
+    return each.groupBy("x", "label", "kind", "half", "made").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The most bins whose square is an int.
+MOST_BINS = 46_340
+
+
+def fitted(docs: DataFrame, boost: Boost) -> Judge:
+    """Trees from one half of all texts, calibration and thresholds from counts over the other half."""
+    seen = written(learned(docs, boost), "pii-train")
+    first, table, made = seen.agg(F.count_if(F.col("half") == 0), *[F.coalesce(F.sum(F.when(F.col("made") == m, F.col("n"))), F.lit(0)) for m in (False, True)]).first()
+    seen = seen.withColumn("weight", F.col("n") * F.when(F.col("made"), max(1, round(table / max(made, 1)))).otherwise(1))
+    learn = seen.where("half = 0").select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), F.col("weight").cast("double"))
+    # MLlib looks for splits in a sample of maxBins squared rows; with as many as there are it takes all
+    bins = max(32, min(MOST_BINS, math.isqrt(first) + 1))
+    trees = Trees(GBTClassifier(maxIter=boost.rounds, maxDepth=boost.depth, maxBins=bins, weightCol="weight", seed=7).fit(learn))
+    counted = seen.where("half = 1").select("x", "label", "kind", "weight").mapInArrow(_held(trees), "kind int, label int, weight long, step long")
     count, hit = np.zeros((len(KINDS), STEPS), np.int64), np.zeros((len(KINDS), STEPS), np.int64)
-    for r in counted.groupBy("kind", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).collect():  # kinds x STEPS rows at most
+    for r in counted.groupBy("kind", "step").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hits")).collect():  # kinds x STEPS rows at most
         count[r.kind, r.step], hit[r.kind, r.step] = r.n, r.hits
     thresholds, calibrated = {}, {}
     for k in range(len(KINDS)):
